@@ -13,24 +13,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import SPACES, table
 
-#: Character classes in the order in which they are taken off the text; what remains is "other".
-CLASSES = [
-    ("lower", r"\p{Ll}"),
-    ("space", r"[\x20\x09-\x0D]"),
-    ("upper", r"\p{Lu}"),
-    ("stop", r"[.,;:?'\"()\-]"),
-    ("digit", r"\p{Nd}"),
-]
-_SYMBOLS = r"[#*$%&|<>]"
 _ALL = "*"
+_SYMBOLS = r"[#*$%&|<>]+"
+#: Code of a word that is not in the reference; the words follow, all within ASCII.
+_FIRST = 48
+#: Classes of characters: lower case, white space, upper case, stops, digits, symbols, the rest.
+N_CLASSES = 7
 
 
 @dataclass(frozen=True)
@@ -39,147 +33,162 @@ class DivergenceParams:
     min_words: int = 20
     max_repeat_percent: int = 30
     common_words: int = 40
+    #: Expected size of the sample in which the common words are looked for.
+    vocabulary_docs: int = 2000
     guard_words: int = 40
     guard_chars: int = 200
     max_class_distance: float = 0.28
-    max_word_distance: float = 0.46
+    max_word_distance: float = 0.48
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACES + "+"), lambda w: w != "")
+def base_measures(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, the plain text of words between single spaces, counts of words, lines and characters.
 
-
-def _repeated(df: DataFrame, window: int) -> DataFrame:
-    """Adds n_repeat_words: words covered by windows (a power of two) whose content is found twice or more."""
-    step, level = 1, F.transform("words", lambda w: F.xxhash64(w))
-    while step < window:
-        df = df.withColumn("_h", F.when(F.col("n_words") >= window, level))
-        rest = F.size("_h") - step
-        shift = step
-        level = F.zip_with(F.slice("_h", 1, rest), F.slice("_h", F.lit(shift + 1), rest), lambda a, b: F.xxhash64(a, b))
-        step *= 2
-    df = df.withColumn("_h", F.when(F.col("n_words") >= window, level))
-    twice = F.size(F.array_distinct("_h")) < F.size("_h")
-    df = df.withColumn("_s", F.when(twice, F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    same = lambda x, i: (F.get("_s", i - 1)["h"] == x["h"]) | (F.get("_s", i + 1)["h"] == x["h"])
-    df = df.withColumn("_p", F.sort_array(F.transform(F.filter("_s", same), lambda x: x["i"])))
-    cover = F.transform("_p", lambda p, i: F.least(F.lit(window), F.coalesce(F.get("_p", i + 1) - p, F.lit(window))))
-    total = F.aggregate(cover, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return df.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("bigint"))).drop("_h", "_s", "_p")
-
-
-def base_measures(docs: DataFrame, params: DivergenceParams = DivergenceParams()) -> DataFrame:
-    """doc_id, lang, words, class counts and the base counts of each document."""
+    Each count is taken from the shortest text that still shows it: what is neither lower case nor white space is a few
+    hundredths of a text.
+    """
     df = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
-    df = df.withColumn("words", _words(F.col("text")))
+    df = df.withColumn("plain", F.trim(F.regexp_replace("text", SPACES + "+", " ")))
+    df = df.withColumn("odd", F.regexp_replace("plain", r"[\p{Ll} ]+", ""))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_lines", lines)
     df = df.withColumns(
         {
-            "n_words": F.size("words").cast("bigint"),
+            "n_words": F.when(F.col("plain") != "", F.octet_length("plain") - F.octet_length(F.replace("plain", F.lit(" "), F.lit(""))) + 1).otherwise(0).cast("bigint"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
             "n_chars": F.length("text").cast("bigint"),
-            "n_symbols": (F.length("text") - F.length(F.regexp_replace("text", _SYMBOLS + "+", ""))).cast("bigint"),
+            "n_plain": F.length("plain").cast("bigint"),
+            "n_odd": F.length("odd").cast("bigint"),
+            "n_symbols": (F.length("odd") - F.length(F.regexp_replace("odd", _SYMBOLS, ""))).cast("bigint"),
+            "n_upper": (F.length("odd") - F.length(F.regexp_replace("odd", r"\p{Lu}+", ""))).cast("bigint"),
+            "n_stops": (F.length("odd") - F.length(F.regexp_replace("odd", r"[.,;:?'\"()\-]+", ""))).cast("bigint"),
+            "n_digits": (F.length("odd") - F.length(F.regexp_replace("odd", r"\p{Nd}+", ""))).cast("bigint"),
         }
-    ).drop("_lines")
-    rest = F.col("text")
-    counts = {}
-    for name, pattern in CLASSES:
-        before, rest = rest, F.regexp_replace(rest, pattern + "+", "")
-        df = df.withColumn("_rest", rest)
-        counts[name] = f"_n_{name}"
-        df = df.withColumn(f"_n_{name}", (F.length(before) - F.length("_rest")).cast("double"))
-        df = df.drop("text").withColumnRenamed("_rest", "text")
-        rest = F.col("text")
-    classes = F.array(*[F.col(c) for c in counts.values()], F.length("text").cast("double"))
-    df = df.withColumn("classes", classes).drop("text", *counts.values())
-    return df.withColumn("word_chars", F.length(F.array_join("words", "")).cast("bigint"))
-
-
-def with_base_verdict(measures: DataFrame, params: DivergenceParams = DivergenceParams()) -> DataFrame:
-    df = _repeated(measures, params.window)
+    ).drop("_lines", "text", "odd")
+    word_chars = F.col("n_plain") - F.greatest(F.col("n_words") - 1, F.lit(0))
+    df = df.withColumn("word_chars", word_chars)
+    rest = F.col("n_odd") - F.col("n_upper") - F.col("n_stops") - F.col("n_digits") - F.col("n_symbols")
+    counts = [F.col("word_chars") - F.col("n_odd"), F.col("n_chars") - F.col("word_chars"), *map(F.col, ("n_upper", "n_stops", "n_digits", "n_symbols")), rest]
+    return df.withColumn("classes", F.array(*[c.cast("double") for c in counts]))
+
+
+def with_base_verdict(measures: DataFrame, params: DivergenceParams = DivergenceParams(), keep_plain: bool = False) -> DataFrame:
+    """Adds n_repeat_words (words covered by windows, a power of two long, found twice or more) and base_failed."""
+    size, step, df = params.window, 1, measures
+    level = F.transform(F.filter(F.split("plain", " "), lambda w: w != ""), lambda w: F.xxhash64(w))
+    while True:
+        df = df.withColumn("_h", F.when(F.col("n_words") >= size, level))
+        if step >= size:
+            break
+        rest = F.size("_h") - step
+        level = F.zip_with(F.slice("_h", 1, rest), F.slice("_h", F.lit(step + 1), rest), lambda x, y: F.xxhash64(x, y))
+        step *= 2
+    # few texts repeat a window; only they pay for finding where
+    twice = F.size(F.array_distinct("_h")) < F.size("_h")
+    marked = F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    df = df.withColumn("_s", F.when(twice, F.sort_array(marked))).drop("_h")
+    same = lambda x, i: (F.get("_s", i - 1)["h"] == x["h"]) | (F.get("_s", i + 1)["h"] == x["h"])
+    df = df.withColumn("_p", F.sort_array(F.transform(F.filter("_s", same), lambda x: x["i"])))
+    cover = F.transform("_p", lambda p, i: F.least(F.lit(size), F.coalesce(F.get("_p", i + 1) - p, F.lit(size))))
+    total = F.aggregate(cover, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    df = df.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("bigint"))).drop("_s", "_p")
+    df = df if keep_plain else df.drop("plain")
     failed = (F.col("n_words") < params.min_words) | (
         F.lit(100) * F.col("n_repeat_words") > F.lit(params.max_repeat_percent) * F.col("n_words")
     )
     return df.withColumn("base_failed", failed)
 
 
-def _normalized(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    return F.when(total > 0, F.transform(values, lambda x: x / total)).otherwise(values)
-
-
-def jensen_shannon(p: Column, q: Column) -> Column:
-    """Distance of two histograms of equal length, each normalised to sum 1; 0 to 1."""
+def jensen_shannon(counts: Column, total: Column, q: Column) -> Column:
+    """Distance (0 to 1) of counts with that total from the distribution q; total is to be a plain column."""
 
     def part(a: Column, b: Column) -> Column:
         return F.when(a > 0, a * F.log2(F.lit(2.0) * a / (a + b))).otherwise(F.lit(0.0))
 
-    terms = F.zip_with(p, q, lambda a, b: part(a, b) + part(b, a))
+    terms = F.zip_with(counts, q, lambda n, b: part(n / total, b) + part(b, n / total))
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2.0))
 
 
+def _with_counts(df: DataFrame, longest: int) -> DataFrame:
+    """Column counts: how often each word of column ref_words (at most 79) occurs in plain.
+
+    Words no longer than the longest reference word become one character each, their place in ref_words; the characters
+    are then counted.
+    """
+    short = F.regexp_replace("plain", rf"(?<![^ ])[^ ]{{{longest + 1},}}+ ?", "")
+    places = F.transform(F.split(short, " "), lambda w: F.char(F.array_position("ref_words", w) + _FIRST))
+    df = df.withColumn("_codes", F.array_join(places, ""))
+    each = F.sequence(F.lit(1), F.size("ref_words"))
+    lost = lambda i: F.octet_length("_codes") - F.octet_length(F.replace(F.col("_codes"), F.char(i + _FIRST), F.lit("")))
+    counts = F.when(F.size("ref_words") > 0, F.transform(each, lambda i: lost(i).cast("double"))).otherwise(F.array().cast("array<double>"))
+    return df.withColumn("counts", counts).drop("_codes")
+
+
+def common_words(docs: DataFrame, params: DivergenceParams = DivergenceParams()) -> dict[str, list[str]]:
+    """Each language's most frequent words in a bounded sample (vocabulary_docs rows expected, chosen by hash).
+
+    Only which words are compared comes from the sample; how often they occur is counted over all documents.
+    """
+    share = min(1.0, params.vocabulary_docs / max(docs.count(), 1))
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    words = sample.select("lang", F.explode(F.split("text", SPACES + "+")).alias("word")).filter("word <> ''").groupBy("lang", "word").count()
+    words = words.unionByName(words.groupBy(F.lit(_ALL).alias("lang"), "word").agg(F.sum("count").alias("count"))).filter("lang is not null")
+    place = W.partitionBy("lang").orderBy(F.desc("count"), F.asc("word"))
+    top = words.withColumn("_r", F.row_number().over(place)).filter(F.col("_r") <= min(params.common_words, 79))
+    out: dict[str, list[str]] = {_ALL: []}
+    for r in top.orderBy("lang", "_r").collect():
+        out.setdefault(r["lang"], []).append(r["word"])
+    return out
+
+
 def fit_references(docs: DataFrame, params: DivergenceParams = DivergenceParams()) -> list[dict]:
     """A reference for each language and one (lang '*') of all: class histogram, common words, their histogram.
 
     Counts cover all documents. What comes to the driver holds languages x common_words words, whatever the corpus size.
     """
-    k = params.common_words
-    classes = range(len(CLASSES) + 1)
-    totals = base_measures(docs, params).groupBy("lang").agg(
-        F.sum("n_words").alias("n_words"), *[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in classes]
-    )
-    words = docs.select("lang", F.explode(_words(F.col("text"))).alias("word")).groupBy("lang", "word").count()
-    # each of 64 salts keeps its own first words before the languages' lists meet, so no task sorts a whole vocabulary
-    order = [F.desc("count"), F.asc("word")]
-    salted = words.withColumn("_salt", F.pmod(F.xxhash64("word"), F.lit(64)))
-    top = salted.withColumn("_r", F.row_number().over(W.partitionBy("lang", "_salt").orderBy(*order)))
-    top = top.filter(F.col("_r") <= k).drop("_r", "_salt")
-    top = top.withColumn("_r", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("_r") <= k)
-    lists: dict = {}
-    for r in top.collect():
-        lists.setdefault(r["lang"], {})[r["word"]] = r["count"]
-    out, every = [], {"lang": _ALL, "n_words": 0, "classes": [0.0] * len(classes), "counts": {}}
-    for r in totals.collect():
-        one = {"lang": r["lang"], "n_words": r["n_words"], "classes": [r[f"c{i}"] for i in classes], "counts": lists.get(r["lang"], {})}
-        every["n_words"] += one["n_words"]
-        every["classes"] = [a + b for a, b in zip(every["classes"], one["classes"])]
-        for w, n in one["counts"].items():
-            every["counts"][w] = every["counts"].get(w, 0) + n
-        if one["lang"] is not None:
-            out.append(one)
-    every["counts"] = dict(sorted(every["counts"].items(), key=lambda x: (-x[1], x[0]))[:k])
-    return [*out, every]
+    spark, vocabulary = docs.sparkSession, common_words(docs, params)
+    df = _with_reference(base_measures(docs).drop("odd"), spark.createDataFrame([(x, ws) for x, ws in vocabulary.items()], "ref_lang string, ref_words array<string>"), vocabulary)
+    widest = max(map(len, vocabulary.values()))
+    sums = [F.sum("n_words").alias("n_words"), *[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(N_CLASSES)]]
+    sums += [F.sum(F.get("counts", F.lit(i))).alias(f"w{i}") for i in range(widest)]
+    out = {x: {"lang": x, "n_words": 0, "classes": [0.0] * N_CLASSES, "counts": dict.fromkeys(ws, 0.0)} for x, ws in vocabulary.items()}
+    for r in df.groupBy("ref_lang").agg(*sums).collect():
+        for name in {r["ref_lang"], _ALL}:
+            one = out[name]
+            one["n_words"] += r["n_words"]
+            one["classes"] = [c + r[f"c{i}"] for i, c in enumerate(one["classes"])]
+            for i, w in enumerate(vocabulary[r["ref_lang"]]):
+                if w in one["counts"]:
+                    one["counts"][w] += r[f"w{i}"]
+    return list(out.values())
+
+
+def _with_reference(df: DataFrame, refs: DataFrame, vocabulary: dict[str, list[str]]) -> DataFrame:
+    known = [x for x in vocabulary if x != _ALL]
+    df = df.withColumn("ref_lang", F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit(_ALL)))
+    # one row a language
+    df = df.join(F.broadcast(refs), "ref_lang", "left")
+    return _with_counts(df, max([0, *(len(w) for ws in vocabulary.values() for w in ws)]))
 
 
 def judge(docs: DataFrame, references: list[dict], params: DivergenceParams = DivergenceParams()) -> DataFrame:
     """All measures of each document, its two distances and the verdict kept."""
     spark = docs.sparkSession
-    vocabulary = sorted({w for r in references for w in r["counts"]})
-    place = {w: i for i, w in enumerate(vocabulary)}
-    rows = []
+    vocabulary, rows = {}, []
     for r in references:
-        chosen = sorted(r["counts"], key=lambda w: (-r["counts"][w], w))
-        seen = [float(r["counts"][w]) for w in chosen]
-        rows.append((r["lang"], [float(x) for x in r["classes"]], [place[w] for w in chosen], [*seen, max(0.0, r["n_words"] - sum(seen))]))
-    refs = spark.createDataFrame(rows, "ref_lang string, ref_classes array<double>, ref_words array<int>, ref_counts array<double>")
-    known = [r["lang"] for r in references]
-    df = with_base_verdict(base_measures(docs, params), params)
-    df = df.withColumn("ref_lang", F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit(_ALL)))
-    df = df.join(F.broadcast(refs), "ref_lang", "left")
-    if vocabulary:
-        model = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="_v")
-        df = model.transform(df).withColumn("_c", vector_to_array("_v")).drop("_v")
-    else:
-        df = df.withColumn("_c", F.array().cast("array<double>"))
-    df = df.withColumn("_w", F.transform("ref_words", lambda i: F.get("_c", i))).drop("words", "_c")
-    left = F.greatest(F.lit(0.0), F.col("n_words") - F.aggregate("_w", F.lit(0.0), lambda a, x: a + x))
-    df = df.withColumn("_p", _normalized(F.concat("_w", F.array(left))))
+        vocabulary[r["lang"]] = words = sorted(r["counts"])
+        seen, n = [float(r["counts"][w]) for w in words], float(max(r["n_words"], 1))
+        chars = max(sum(r["classes"]), 1.0)
+        rows.append((r["lang"], words, [x / chars for x in r["classes"]], [x / n for x in [*seen, max(0.0, n - sum(seen))]]))
+    refs = spark.createDataFrame(rows, "ref_lang string, ref_words array<string>, ref_classes array<double>, ref_shares array<double>")
+    df = _with_reference(with_base_verdict(base_measures(docs), params, keep_plain=True), refs, vocabulary).drop("plain")
+    rest = F.greatest(F.lit(0.0), F.col("n_words") - F.aggregate("counts", F.lit(0.0), lambda a, x: a + x))
+    df = df.withColumn("_rest", rest).withColumn("_c", F.concat("counts", F.array("_rest")))
     guarded = (F.col("n_words") >= params.guard_words) & (F.col("n_chars") >= params.guard_chars)
     df = df.withColumns(
         {
-            "class_distance": F.when(guarded, jensen_shannon(_normalized(F.col("classes")), _normalized(F.col("ref_classes")))),
-            "word_distance": F.when(guarded, jensen_shannon(F.col("_p"), _normalized(F.col("ref_counts")))),
+            "class_distance": F.when(guarded, jensen_shannon(F.col("classes"), F.col("n_chars"), F.col("ref_classes"))),
+            "word_distance": F.when(guarded, jensen_shannon(F.col("_c"), F.col("n_words"), F.col("ref_shares"))),
         }
     )
     odd = (F.col("class_distance") > params.max_class_distance) | (F.col("word_distance") > params.max_word_distance)
