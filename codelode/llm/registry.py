@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from .decontamination import op10_decontamination
+from .language_id import op1_language_id
+from .near_duplicates import op9_near_duplicates
 from .quality_divergence import op7_quality_divergence
+from .substring_dedup import op2_substring_dedup
+from .toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_substring_dedup": op2_substring_dedup,
     "op7_quality_divergence": op7_quality_divergence,
+    "op8_toxicity": op8_toxicity,
+    "op9_near_duplicates": op9_near_duplicates,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
