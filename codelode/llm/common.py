@@ -39,6 +39,14 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Like materialized, as compressed Parquet: for wide rows. The files stay in the shared folder for the session's life."""
+    spark = df.sparkSession
+    path = staging_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Marks df for broadcast only if it is counted to hold at most max_rows narrow rows; else the join shuffles."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
