@@ -41,13 +41,14 @@ class DivergenceParams:
     max_word_distance: float = 0.48
 
 
-def base_measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the plain text of words between single spaces, counts of words, lines and characters.
+def base_measures(docs: DataFrame, keep: bool = False) -> DataFrame:
+    """doc_id, lang (with keep also all columns of docs, in column row), the plain text of words between single spaces, counts of words, lines and characters.
 
     Each count is taken from the shortest text that still shows it: what is neither lower case nor white space is a few
     hundredths of a text.
     """
-    df = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    row = [F.struct(*docs.columns).alias("row")] if keep else []
+    df = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"), *row)
     df = df.withColumn("plain", F.trim(F.regexp_replace("text", SPACES + "+", " ")))
     df = df.withColumn("odd", F.regexp_replace("plain", r"[\p{Ll} ]+", ""))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -171,8 +172,8 @@ def _with_reference(df: DataFrame, refs: DataFrame, vocabulary: dict[str, list[s
     return _with_counts(df, max([0, *(len(w) for ws in vocabulary.values() for w in ws)]))
 
 
-def judge(docs: DataFrame, references: list[dict], params: DivergenceParams = DivergenceParams()) -> DataFrame:
-    """All measures of each document, its two distances and the verdict kept."""
+def judge(docs: DataFrame, references: list[dict], params: DivergenceParams = DivergenceParams(), keep: bool = False) -> DataFrame:
+    """All measures of each document, its two distances and the verdict kept; with keep also its row."""
     spark = docs.sparkSession
     vocabulary, rows = {}, []
     for r in references:
@@ -181,7 +182,7 @@ def judge(docs: DataFrame, references: list[dict], params: DivergenceParams = Di
         chars = max(sum(r["classes"]), 1.0)
         rows.append((r["lang"], words, [x / chars for x in r["classes"]], [x / n for x in [*seen, max(0.0, n - sum(seen))]]))
     refs = spark.createDataFrame(rows, "ref_lang string, ref_words array<string>, ref_classes array<double>, ref_shares array<double>")
-    df = _with_reference(with_base_verdict(base_measures(docs), params, keep_plain=True), refs, vocabulary).drop("plain")
+    df = _with_reference(with_base_verdict(base_measures(docs, keep), params, keep_plain=True), refs, vocabulary).drop("plain")
     rest = F.greatest(F.lit(0.0), F.col("n_words") - F.aggregate("counts", F.lit(0.0), lambda a, x: a + x))
     df = df.withColumn("_rest", rest).withColumn("_c", F.concat("counts", F.array("_rest")))
     guarded = (F.col("n_words") >= params.guard_words) & (F.col("n_chars") >= params.guard_chars)

@@ -5,13 +5,21 @@ from __future__ import annotations
 from .decontamination import op10_decontamination
 from .language_id import op1_language_id
 from .near_duplicates import op9_near_duplicates
+from .packing import op4_packing
+from .pii_surrogates import op6_pii_surrogates
 from .quality_divergence import op7_quality_divergence
+from .secret_scan import op3_secret_scan
 from .substring_dedup import op2_substring_dedup
 from .toxicity import op8_toxicity
+from .warc import op5_warc_round_trip
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_packing": op4_packing,
+    "op5_warc_round_trip": op5_warc_round_trip,
+    "op6_pii_surrogates": op6_pii_surrogates,
     "op7_quality_divergence": op7_quality_divergence,
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
