@@ -2,5 +2,466 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .functions import dims, ladders
+from .operators import detect, flows, graph, lint, scan
+from .plans import review
+from .sources import corpus
+from .sources.corpus import FILES_SQL, LINES_SQL, NODES_SQL, RULES_SQL, quoted, sql_list
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _sql_ladder(column: str, rungs: list, otherwise: str) -> str:
+    whens = " ".join("WHEN " + " OR ".join(f"contains(lower({column}), {quoted(w)})" for w in words) + f" THEN {quoted(v)}" for words, v in rungs)
+    return f"CASE {whens} ELSE {otherwise} END"
+
+
+FOUND_SQL = f"""{LINES_SQL}, {RULES_SQL}, found AS (
+  SELECT file_id, line, l.language, ord, phase, severity, description, text, regex
+  FROM lines l JOIN rules r ON l.language = r.language AND regexp_matches(text, '(?i)' || regex)),
+dedup AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, line, description ORDER BY phase, ord) AS rn FROM found) WHERE rn = 1)"""
+SCORES_SQL = FOUND_SQL + """, sums AS (
+  SELECT file_id, count(*) AS findings,
+    sum(CASE severity WHEN 'CRITICAL' THEN 20 WHEN 'HIGH' THEN 10 WHEN 'MEDIUM' THEN 5 WHEN 'LOW' THEN 2 WHEN 'INFO' THEN 1 ELSE 5 END) AS weight,
+    bool_or(severity = 'CRITICAL') AS c, bool_or(severity = 'HIGH') AS h, bool_or(severity = 'MEDIUM') AS m, bool_or(severity = 'LOW') AS l,
+    count(*) FILTER (severity IN ('CRITICAL', 'HIGH')) AS grave
+  FROM dedup GROUP BY file_id),
+scores AS (
+  SELECT f.file_id, coalesce(findings, 0)::BIGINT AS findings, coalesce(weight, 0)::BIGINT AS weight, coalesce(grave, 0) AS grave,
+    (CASE WHEN coalesce(weight, 0) <= 30 THEN 100 - coalesce(weight, 0) ELSE greatest(70 - (weight - 30) * 2, 0) END)::INT AS score,
+    CASE WHEN findings IS NULL THEN 'LOW' WHEN c OR weight >= 40 THEN 'CRITICAL' WHEN h OR weight >= 20 THEN 'HIGH'
+      WHEN m OR weight >= 10 THEN 'MEDIUM' WHEN l OR weight >= 5 THEN 'LOW' ELSE 'INFO' END AS risk_level
+  FROM (SELECT DISTINCT file_id FROM lines) f LEFT JOIN sums USING (file_id))"""
+WARN_SQL = """warned AS (
+  SELECT file_id, line, language, 0 AS ord, 'Use ''let'' or ''const'' instead of ''var''' AS message FROM lines
+    WHERE language = 'javascript' AND regexp_matches(text, '\\bvar\\s+\\w+') AND NOT contains(split_part(text, 'var', 1), '//')
+  UNION ALL SELECT file_id, line, language, 1, 'Use ''==='' or ''!=='' for strict equality' FROM lines
+    WHERE language = 'javascript' AND (contains(text, ' == ') OR contains(text, ' != ')) AND NOT contains(text, '//')
+  UNION ALL SELECT file_id, line, language, 2, 'Use full PHP opening tag <?php instead of <?' FROM lines
+    WHERE language = 'php' AND contains(text, '<? ') AND NOT contains(text, '<?php')
+  UNION ALL SELECT file_id, line, language, 3, 'Avoid using ''then'' in if statements' FROM lines
+    WHERE language = 'ruby' AND starts_with(trim(text), 'if ') AND contains(text, 'then')
+  UNION ALL SELECT file_id, line, language, 4, 'Line too long (' || length(text) || ' > ' || n || ')' FROM
+    (SELECT *, CASE WHEN language IN ('javascript', 'ruby', 'go') THEN 100 WHEN language IN ('java', 'php') THEN 120 END AS n FROM lines) WHERE length(text) > n
+  UNION ALL SELECT file_id, line, language, 5, 'Avoid wildcard imports' FROM lines
+    WHERE language = 'java' AND starts_with(trim(text), 'import') AND contains(text, '.*;'))"""
+LINT_SQL = WARN_SQL + """, lint AS (
+  SELECT file_id, 0::BIGINT AS errors, count(w.file_id) AS warnings, 0::BIGINT AS infos,
+    (CASE WHEN count(w.file_id) = 0 THEN 100 ELSE 100 - least(count(w.file_id) * 5, 25) END)::INT AS score, true AS passed, count(w.file_id) AS complexity
+  FROM (SELECT DISTINCT file_id FROM lines) f LEFT JOIN (SELECT file_id FROM warned) w USING (file_id) GROUP BY file_id)"""
+
+
+# --- lines and files
+
+
+@query("lines_explode", "SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line, unnest(string_split(text, chr(10))) AS text FROM documents")
+def lines_explode(spark, d):
+    parts = F.posexplode(F.split("text", "\n", -1)).alias("pos", "part")
+    return _table(spark, d, "documents").select("doc_id", parts).select("doc_id", (F.col("pos") + 1).alias("line"), F.col("part").alias("text"))
+
+
+@query(
+    "loc_by_language",
+    f"""WITH {LINES_SQL}, s AS (SELECT *, last_value(CASE WHEN contains(text, '?>') THEN 0 WHEN contains(text, '<?php') OR contains(text, '<?=') THEN 1 END IGNORE NULLS)
+      OVER (PARTITION BY file_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS inside FROM lines)
+    SELECT file_id, language, count(*) FILTER (trim(text) <> '' AND NOT starts_with(trim(text), CASE WHEN language IN ('python', 'ruby') THEN '#' ELSE '//' END)
+      AND (language <> 'php' OR coalesce(inside, 0) = 1)) AS loc FROM s GROUP BY file_id, language""",
+)
+def loc_by_language(spark, d):
+    return lint.lines_of_code(corpus.lines(spark, d))
+
+
+@query("manual_line_rules", f"WITH {LINES_SQL}, {WARN_SQL} SELECT file_id, line, message FROM warned")
+def manual_line_rules(spark, d):
+    return lint.line_warnings(corpus.lines(spark, d)).select("file_id", "line", "message")
+
+
+@query("lint_score", f"WITH {LINES_SQL}, {LINT_SQL} SELECT * FROM lint")
+def lint_score(spark, d):
+    return lint.lint_results(corpus.lines(spark, d))
+
+
+_PYLINT = "'f.py:' || event_id || ':' || (event_id % 80) || ': ' || ['E', 'W', 'C', 'R', 'F'][1 + event_id % 5] || '0' || (100 + event_id % 900) || ': message ' || user_id"
+
+
+@query(
+    "pylint_parse",
+    f"""SELECT event_id, event_id::INT AS line, (event_id % 80)::INT AS col, ['E', 'W', 'C', 'R', 'F'][1 + event_id % 5] || '0' || (100 + event_id % 900) AS code,
+      'message ' || user_id AS message, ['error', 'warning', 'info', 'info', 'error'][1 + event_id % 5] AS severity FROM events""",
+)
+def pylint_parse(spark, d):
+    letter = corpus.pick(["E", "W", "C", "R", "F"], F.col("event_id") % 5)
+    raw = F.concat(F.lit("f.py:"), "event_id", F.lit(":"), F.col("event_id") % 80, F.lit(": "), letter, F.lit("0"), F.col("event_id") % 900 + 100, F.lit(": message "), "user_id")
+    return _table(spark, d, "events").select("event_id", lint.parse_pylint(raw).alias("p")).select("event_id", "p.*")
+
+
+@query(
+    "flake8_parse",
+    """SELECT event_id, event_id::INT AS line, ['E501', 'F821', 'W291', 'E999'][1 + event_id % 4] AS code, ['E501', 'F821', 'W291', 'E999'][1 + event_id % 4] || ' said ' || user_id AS message,
+      ['warning', 'error', 'warning', 'error'][1 + event_id % 4] AS severity FROM events""",
+)
+def flake8_parse(spark, d):
+    code = corpus.pick(["E501", "F821", "W291", "E999"], F.col("event_id") % 4)
+    raw = F.concat(F.lit("f.py:"), "event_id", F.lit(":1: "), code, F.lit(" said "), "user_id")
+    return _table(spark, d, "events").select("event_id", lint.parse_flake8(raw).alias("p")).select("event_id", "p.*")
+
+
+@query(
+    "govet_parse",
+    "SELECT event_id, event_id::INT AS line, ['unsafe pointer', 'fatal: stop', 'unused x'][1 + event_id % 3] AS message, ['HIGH', 'CRITICAL', 'MEDIUM'][1 + event_id % 3] AS severity FROM events",
+)
+def govet_parse(spark, d):
+    said = corpus.pick(["unsafe pointer", "fatal: stop", "unused x"], F.col("event_id") % 3)
+    raw = F.concat(F.lit("f.go:"), "event_id", F.lit(":3: "), said)
+    return _table(spark, d, "events").select("event_id", lint.parse_govet(raw).alias("p")).select("event_id", "p.*")
+
+
+@query(
+    "eslint_json_parse",
+    """SELECT event_id, event_id::INT AS line, 'no-x' AS rule, CASE WHEN event_id % 3 = 0 THEN 'CRITICAL' WHEN event_id % 2 = 1 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+      CASE WHEN event_id % 3 = 0 THEN 'uses eval' ELSE 'plain' END AS message FROM events""",
+)
+def eslint_json_parse(spark, d):
+    said = F.when(F.col("event_id") % 3 == 0, "uses eval").otherwise("plain")
+    raw = F.format_string('[{"messages":[{"line":%d,"ruleId":"no-x","severity":%d,"message":"%s"}]}]', F.col("event_id"), F.col("event_id") % 2 + 1, said)
+    return _table(spark, d, "events").select("event_id", F.explode(lint.parse_eslint(raw)).alias("m")).select("event_id", "m.*")
+
+
+@query("json_input_files", "SELECT 'c' || conv_id || '_' || turn || '.py' AS filename, length(text) AS code_length FROM conversations")
+def json_input_files(spark, d):
+    item = F.struct(F.concat(F.lit("c"), "conv_id", F.lit("_"), "turn", F.lit(".py")).alias("filename"), F.col("text").alias("code"))
+    packed = _table(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.collect_list(item)).alias("j"))
+    parsed = packed.select(F.explode(F.from_json("j", "array<struct<filename:string,code:string>>")).alias("f"))
+    return parsed.select("f.filename", F.length("f.code").cast("bigint").alias("code_length"))
+
+
+# --- detection
+
+
+def _ext_sql() -> str:
+    return "CASE WHEN ends_with(lower(filename), '.cs') THEN NULL " + " ".join(
+        f"WHEN {' OR '.join(f'ends_with(lower(filename), {quoted(e)})' for e in ends)} THEN {quoted(x)}" for x, ends in dims.EXTENSIONS.items()
+    ) + " END"
+
+
+_SCORE = {
+    x: " + ".join(f"len(regexp_extract_all(code, {quoted('(?mi)' + p)})) * {w}" for lang, w, p in dims.LANGUAGE_PATTERNS if lang == x) for x in dims.LANGUAGES
+}
+_SHEBANG_SQL = "CASE " + " ".join(f"WHEN regexp_matches(first, {quoted('(?i)^#!.*' + chr(92) + 'b' + w)}) THEN {quoted(x)}" for w, x in dims.SHEBANGS) + " END"
+DETECT_SQL = FILES_SQL + f""", head AS (SELECT file_id, filename, code AS whole, array_to_string(string_split(code, chr(10))[1:100], chr(10)) AS code,
+    split_part(trim(code, chr(32) || chr(10)), chr(10), 1) AS first FROM files),
+scored AS (SELECT *, [{", ".join(_SCORE[x] for x in dims.LANGUAGES)}] AS s, {_ext_sql()} AS ext, {_SHEBANG_SQL} AS bang FROM head),
+content AS (SELECT file_id, filename, ext, CASE WHEN bang IS NOT NULL THEN bang WHEN length(trim(whole, chr(32) || chr(10))) >= 10 AND list_max(s) >= 2
+      THEN {sql_list(dims.LANGUAGES)}[list_position(s, list_max(s))] END AS content_language,
+    CASE WHEN bang IS NOT NULL THEN 0.95 WHEN length(trim(whole, chr(32) || chr(10))) >= 10 AND list_max(s) >= 2
+      THEN least(1.0, list_max(s)::DOUBLE / greatest(10.0, list_sum(s)::DOUBLE / 3)) ELSE 0.0 END::DOUBLE AS content_confidence FROM scored),
+det AS (SELECT file_id, CASE WHEN ends_with(lower(filename), '.cs') THEN NULL ELSE coalesce(ext, content_language) END AS language,
+    CASE WHEN ends_with(lower(filename), '.cs') THEN 0.0 WHEN ext = content_language THEN greatest(0.9, content_confidence)
+      WHEN ext IS NOT NULL AND content_language IS NOT NULL THEN 0.7 WHEN ext IS NOT NULL THEN 0.8 WHEN content_language IS NOT NULL THEN content_confidence ELSE 0.0 END::DOUBLE AS confidence FROM content)"""
+
+
+@query("detect_extension", f"WITH {FILES_SQL} SELECT file_id, {_ext_sql()} AS language FROM files")
+def detect_extension(spark, d):
+    return corpus.files(spark, d).select("file_id", detect.by_extension(F.col("filename")).alias("language"))
+
+
+@query("detect_content", f"WITH {DETECT_SQL} SELECT file_id, content_language AS language, round(content_confidence, 6) AS confidence FROM content")
+def detect_content(spark, d):
+    return detect.with_content(corpus.files(spark, d)).select("file_id", F.col("content_language").alias("language"), F.round("content_confidence", 6).alias("confidence"))
+
+
+@query("detect_combined", f"WITH {DETECT_SQL} SELECT file_id, language, round(confidence, 6) AS confidence FROM det")
+def detect_combined(spark, d):
+    return detect.detected(corpus.files(spark, d)).select("file_id", "language", F.round("confidence", 6).alias("confidence"))
+
+
+@query(
+    "language_gate",
+    f"""WITH {DETECT_SQL} SELECT file_id, CASE WHEN confidence < 0.7 OR language IS NULL OR language = 'shell' THEN 'UNSUPPORTED_LANGUAGE' ELSE 'SUPPORTED' END AS status,
+      CASE WHEN confidence < 0.7 THEN 'Low confidence' WHEN language IS NULL OR language = 'shell' THEN 'Unsupported language' END AS reason FROM det""",
+)
+def language_gate(spark, d):
+    return detect.gated(corpus.files(spark, d)).select("file_id", "status", "reason")
+
+
+# --- security scan
+
+
+@query("rule_findings", f"WITH {FOUND_SQL} SELECT file_id, line, ord, severity FROM found")
+def rule_findings(spark, d):
+    return scan.findings(corpus.lines(spark, d), scan.rules(spark)).select("file_id", "line", "ord", "severity")
+
+
+@query("findings_dedup", f"WITH {FOUND_SQL} SELECT file_id, line, description, severity, {_sql_ladder('description', dims.CATEGORIES, quoted(dims.OTHER_CATEGORY))} AS category FROM dedup")
+def findings_dedup(spark, d):
+    return _found(spark, d).select("file_id", "line", "description", "severity", "category")
+
+
+def _found(spark, d):
+    return scan.deduplicated(scan.findings(corpus.lines(spark, d), scan.rules(spark)))
+
+
+@query("matched_text", f"WITH {FOUND_SQL} SELECT file_id, line, ord, substr(CASE WHEN phase = 'common' THEN regexp_extract(text, '(?i)' || regex) ELSE trim(text) END, 1, 100) AS matched_text FROM dedup")
+def matched_text(spark, d):
+    return _found(spark, d).select("file_id", "line", "ord", "matched_text")
+
+
+@query(
+    "rule_dimension",
+    f"WITH {RULES_SQL} SELECT ord, {_sql_ladder('description', dims.CATEGORIES, quoted(dims.OTHER_CATEGORY))} AS category, {_sql_ladder('description', dims.REMEDIATIONS, quoted(dims.OTHER_REMEDIATION))} AS remediation FROM rules",
+)
+def rule_dimension(spark, d):
+    return scan.rules(spark).select("ord", "category", "remediation")
+
+
+@query("security_score", f"WITH {SCORES_SQL} SELECT file_id, findings, weight, score, risk_level, risk_level IN ('LOW', 'INFO') AS passed FROM scores")
+def security_score(spark, d):
+    lines = corpus.lines(spark, d)
+    return scan.scores(lines.select("file_id").distinct(), scan.deduplicated(scan.findings(lines, scan.rules(spark))))
+
+
+@query("summary_by_severity", f"WITH {FOUND_SQL} SELECT file_id, severity, count(*) AS n FROM dedup GROUP BY ALL")
+def summary_by_severity(spark, d):
+    return _found(spark, d).groupBy("file_id", "severity").agg(F.count("*").alias("n"))
+
+
+@query("summary_by_category", f"WITH {FOUND_SQL}, c AS (SELECT file_id, {_sql_ladder('description', dims.CATEGORIES, quoted(dims.OTHER_CATEGORY))} AS category FROM dedup) SELECT file_id, category, count(*) AS n FROM c GROUP BY ALL")
+def summary_by_category(spark, d):
+    return _found(spark, d).groupBy("file_id", "category").agg(F.count("*").alias("n"))
+
+
+@query(
+    "summary_advice",
+    f"WITH {SCORES_SQL} SELECT file_id, CASE WHEN c THEN {quoted(dims.SUMMARY_ADVICE['CRITICAL'])} WHEN h THEN {quoted(dims.SUMMARY_ADVICE['HIGH'])} WHEN m THEN {quoted(dims.SUMMARY_ADVICE['MEDIUM'])} WHEN l THEN {quoted(dims.SUMMARY_ADVICE['LOW'])} ELSE {quoted(dims.SUMMARY_OTHER)} END AS recommendation FROM sums",
+)
+def summary_advice(spark, d):
+    return scan.advice(_found(spark, d))
+
+
+@query(
+    "report_top10",
+    f"WITH {FOUND_SQL}, r AS (SELECT file_id, severity, row_number() OVER (PARTITION BY file_id, severity ORDER BY line, ord)::INT AS rank, line, description FROM dedup) SELECT * FROM r WHERE rank <= 10",
+)
+def report_top10(spark, d):
+    return scan.top_per_severity(_found(spark, d)).select("file_id", "severity", "rank", "line", "description")
+
+
+@query("security_report")
+def security_report(spark, d):
+    return scan.report(_found(spark, d))
+
+
+# --- decisions and roll-ups
+
+
+REVIEW_SQL = f"""{SCORES_SQL}, {LINT_SQL}, pred AS (SELECT doc_id % 150 AS file_id, quality = 1 AND toxic = 1 AS vulnerable, (doc_id % 100) / 100.0 AS confidence FROM labels),
+p AS (SELECT file_id, count(*) FILTER (vulnerable) AS v, count(*) FILTER (vulnerable AND confidence >= 0.85) AS hc FROM pred GROUP BY file_id),
+rev AS (SELECT s.file_id, l.score AS style_score, s.score AS security_score, risk_level, trunc(l.score * 0.4::DOUBLE + s.score * 0.6::DOUBLE)::INT AS overall_score, grave, coalesce(v, 0) AS v, coalesce(hc, 0) AS hc
+  FROM scores s JOIN lint l USING (file_id) LEFT JOIN p USING (file_id)),
+dec AS (SELECT *, CASE WHEN overall_score >= 90 THEN 'EXCELLENT' WHEN overall_score >= 75 THEN 'GOOD' WHEN overall_score >= 60 THEN 'FAIR' ELSE 'POOR' END AS overall_status,
+  CASE WHEN hc > 0 OR security_score < 60 OR risk_level IN ('CRITICAL', 'HIGH') THEN 'REJECT' WHEN v > 0 THEN 'REVIEW_REQUIRED' WHEN security_score < 75 THEN 'REVIEW_RECOMMENDED' ELSE 'APPROVE' END AS final_decision FROM rev)"""
+
+
+def _reviews(spark, d):
+    labels = _table(spark, d, "labels")
+    predictions = labels.select((F.col("doc_id") % 150).alias("file_id"), ((F.col("quality") == 1) & (F.col("toxic") == 1)).alias("vulnerable"), (F.col("doc_id") % 100 / 100.0).alias("confidence"))
+    return review.reviewed(corpus.lines(spark, d), predictions)
+
+
+@query("pipeline_decision", f"WITH {REVIEW_SQL} SELECT file_id, style_score, security_score, risk_level, overall_score, overall_status, final_decision FROM dec")
+def pipeline_decision(spark, d):
+    return _reviews(spark, d).drop("recommendations")
+
+
+@query(
+    "recommendations",
+    f"""WITH {REVIEW_SQL} SELECT file_id, 0 AS ord, 'Address security issues (score: ' || security_score || '/100)' AS text FROM dec WHERE security_score < 80
+    UNION ALL SELECT file_id, (CASE WHEN security_score < 80 THEN 1 ELSE 0 END), 'Fix ' || grave || ' critical/high security findings' FROM dec WHERE grave > 0
+    UNION ALL SELECT file_id, (CASE WHEN security_score < 80 THEN 1 ELSE 0 END) + (CASE WHEN grave > 0 THEN 1 ELSE 0 END),
+      CASE WHEN hc > 0 THEN 'CRITICAL: Model detected ' || hc || ' high-confidence vulnerable patterns' ELSE 'Model detected ' || v || ' vulnerable patterns (review recommended)' END FROM dec WHERE v > 0""",
+)
+def recommendations(spark, d):
+    return _reviews(spark, d).select("file_id", F.posexplode("recommendations").alias("ord", "text"))
+
+
+@query(
+    "pr_summary",
+    f"""WITH {REVIEW_SQL}, c AS (SELECT * FROM dec WHERE file_id IN (SELECT user_id FROM events WHERE event_id % 7 = 0))
+    SELECT count(*) AS total_files, count(*) AS files_analyzed, CASE WHEN count(*) = 0 THEN 'NO_CHANGES' WHEN bool_or(final_decision = 'REJECT') THEN 'REJECT' WHEN bool_or(final_decision = 'REVIEW_REQUIRED') THEN 'REVIEW_REQUIRED'
+      WHEN bool_or(final_decision = 'REVIEW_RECOMMENDED') THEN 'REVIEW_RECOMMENDED' ELSE 'APPROVE' END AS overall_decision, (coalesce(bool_or(final_decision = 'REJECT'), false))::INT AS exit_code FROM c""",
+)
+def pr_summary(spark, d):
+    changed = _table(spark, d, "events").filter("event_id % 7 = 0").select(F.col("user_id").alias("file_id"))
+    return review.change_set(_reviews(spark, d).join(changed, "file_id", "left_semi"))
+
+
+@query(
+    "summary_report",
+    f"""WITH {LINES_SQL}, {LINT_SQL} SELECT count(*) AS total_files, count(*) FILTER (passed) AS passed_files, sum(errors)::BIGINT AS total_errors, sum(warnings)::BIGINT AS total_warnings, sum(infos)::BIGINT AS total_infos,
+      round(avg(score), 2) AS average_score, count(*) - count(*) FILTER (passed) AS failed_files,
+      CASE WHEN sum(errors) = 0 AND sum(warnings) = 0 THEN 'excellent' WHEN sum(errors) = 0 THEN 'good' ELSE 'acceptable' END AS overall_status, round(count(*) FILTER (passed) * 100.0::DOUBLE / count(*), 2) AS pass_rate FROM lint""",
+)
+def summary_report(spark, d):
+    return review.style_summary(lint.lint_results(corpus.lines(spark, d)))
+
+
+@query("language_distribution", f"WITH {LINES_SQL} SELECT language, count(DISTINCT file_id) AS files FROM lines GROUP BY language")
+def language_distribution(spark, d):
+    return corpus.lines(spark, d).groupBy("language").agg(F.countDistinct("file_id").alias("files"))
+
+
+# --- graph
+
+
+_STOPS_SQL = "stops AS (SELECT DISTINCT file_id, line FROM nodes WHERE node_type IN ('RETURN', 'BREAK', 'CONTINUE'))"
+EDGES_SQL = f"""{NODES_SQL}, {_STOPS_SQL},
+ctl AS (SELECT file_id, id AS src, line AS c_line FROM nodes WHERE node_type IN ('IF_STATEMENT', 'FOR_STATEMENT', 'WHILE_STATEMENT')),
+body AS (SELECT c.file_id, src, c_line, n.id AS dst, n.line AS b_line FROM ctl c JOIN nodes n ON n.file_id = c.file_id AND n.parent_id = c.src AND n.node_type <> 'BLOCK'
+  UNION ALL SELECT c.file_id, src, c_line, m.id, m.line FROM ctl c JOIN nodes n ON n.file_id = c.file_id AND n.parent_id = c.src AND n.node_type = 'BLOCK'
+    JOIN nodes m ON m.file_id = n.file_id AND m.parent_id = n.id AND m.node_type NOT IN ('IF_STATEMENT', 'FOR_STATEMENT', 'WHILE_STATEMENT')),
+control AS (SELECT DISTINCT file_id, src, dst FROM body b WHERE NOT EXISTS (SELECT 1 FROM stops t WHERE t.file_id = b.file_id AND t.line > b.c_line AND t.line < b.b_line)),
+uses AS (SELECT file_id, id, var, bool_or(kind = 'def') AS d, bool_or(kind = 'use') AS u FROM refs GROUP BY ALL),
+reach AS (SELECT u.*, n.node_type = 'FUNCTION_DEF' AS f, last_value(CASE WHEN d AND n.node_type <> 'FUNCTION_DEF' THEN u.id END IGNORE NULLS)
+  OVER (PARTITION BY u.file_id, var ORDER BY line, col, u.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS src FROM uses u JOIN nodes n ON n.file_id = u.file_id AND n.id = u.id),
+data AS (SELECT file_id, src, id AS dst, min(var) AS label FROM reach WHERE src IS NOT NULL AND ((d AND NOT f) OR (u AND (f OR NOT d))) GROUP BY ALL),
+calls AS (SELECT n.file_id, n.id AS src, g.dst FROM nodes n JOIN (SELECT file_id, name, max(id) AS dst FROM nodes WHERE node_type = 'FUNCTION_DEF' GROUP BY ALL) g
+  ON g.file_id = n.file_id AND g.name = n.name WHERE n.node_type = 'CALL' AND n.id <> g.dst),
+seq AS (SELECT file_id, id AS src, parent_id, line AS c_line, lead(id) OVER w AS dst, lead(parent_id) OVER w AS np, lead(line) OVER w AS b_line FROM nodes WINDOW w AS (PARTITION BY file_id ORDER BY line, col, id)),
+ordered AS (SELECT file_id, src, dst FROM seq s WHERE dst IS NOT NULL AND parent_id IS NOT DISTINCT FROM np
+  AND NOT EXISTS (SELECT 1 FROM stops t WHERE t.file_id = s.file_id AND t.line > s.c_line AND t.line < s.b_line)),
+structural AS (SELECT file_id, parent_id AS src, id AS dst FROM nodes WHERE parent_id IS NOT NULL),
+edges AS (SELECT DISTINCT * FROM (SELECT *, 'control' AS edge_type FROM control UNION ALL SELECT file_id, src, dst, 'data' FROM data UNION ALL SELECT *, 'call' FROM calls
+  UNION ALL SELECT *, 'order' FROM ordered UNION ALL SELECT *, 'structural' FROM structural) WHERE src <> dst)"""
+
+
+def _graph(name, build, sql):
+    QUERIES[name] = lambda spark, d: build(corpus.nodes(spark, d), corpus.var_refs(spark, d))
+    ORACLE_SQL[name] = f"WITH {EDGES_SQL} {sql}"
+
+
+_graph("graph_structural", lambda n, r: graph.structural_edges(n), "SELECT * FROM structural")
+_graph("graph_control", lambda n, r: graph.control_edges(n), "SELECT * FROM control")
+_graph("graph_data", graph.data_edges, "SELECT * FROM data")
+_graph("graph_call", lambda n, r: graph.call_edges(n), "SELECT * FROM calls")
+_graph("graph_order", lambda n, r: graph.order_edges(n), "SELECT * FROM ordered")
+_graph("graph_edge_counts", lambda n, r: graph.edges(n, r).groupBy("edge_type").agg(F.count("*").alias("n")), "SELECT edge_type, count(*) AS n FROM edges GROUP BY edge_type")
+_SEEDS_SQL = "seeds AS (SELECT DISTINCT r.file_id, r.id FROM refs r JOIN nodes n ON n.file_id = r.file_id AND n.id = r.id WHERE r.kind = 'def' AND n.node_type IN ('CALL', 'FUNCTION_DEF') AND n.name IN ('f0', 'f1', 'f2'))"
+_graph("taint_seed", graph.taint_seeds, f", {_SEEDS_SQL} SELECT * FROM seeds")
+
+
+@query(
+    "taint_closure",
+    f"""WITH RECURSIVE {EDGES_SQL}, {_SEEDS_SQL}, step AS (SELECT d.file_id, d.src, d.dst FROM data d JOIN nodes n ON n.file_id = d.file_id AND n.id = d.dst WHERE n.name <> 'f12'),
+    t AS (SELECT file_id, id FROM seeds UNION SELECT s.file_id, s.dst FROM t JOIN step s ON s.file_id = t.file_id AND s.src = t.id) SELECT file_id, id FROM t""",
+)
+def taint_closure(spark, d):
+    n, r = corpus.nodes(spark, d), corpus.var_refs(spark, d)
+    return graph.taint_closure(graph.taint_seeds(n, r), graph.data_edges(n, r), n.filter("name = 'f12'").select("file_id", "id"))
+
+
+@query(
+    "ml_features",
+    f"""WITH {NODES_SQL}, c AS (SELECT file_id, id, count(*) FILTER (kind = 'def') AS defs, count(*) FILTER (kind = 'use') AS uses FROM refs GROUP BY ALL)
+    SELECT n.file_id, (row_number() OVER (PARTITION BY n.file_id ORDER BY n.id) - 1)::INT AS idx,
+      line * 1000000 + col * 10000 + (node_type IN ('IF_STATEMENT', 'FOR_STATEMENT', 'WHILE_STATEMENT'))::INT * 1000 + (node_type IN ('RETURN', 'BREAK', 'CONTINUE'))::INT * 100 + defs * 10 + uses AS packed,
+      list_position({sql_list([t for _, t in dims.NODE_TYPES] + [dims.OTHER_NODE_TYPE])}, node_type)::INT AS hot FROM nodes n JOIN c ON c.file_id = n.file_id AND c.id = n.id""",
+)
+def ml_features(spark, d):
+    df = graph.features(corpus.nodes(spark, d), corpus.var_refs(spark, d))
+    f = F.col("features")
+    packed = f[0] * 1000000 + f[1] * 10000 + f[2] * 1000 + f[3] * 100 + f[4] * 10 + f[5]
+    return df.select("file_id", "idx", packed.cast("bigint").alias("packed"), F.array_position(F.slice("features", 7, 17), 1.0).cast("int").alias("hot"))
+
+
+@query("node_type_map", f"SELECT event_id, {_sql_ladder('t', dims.NODE_TYPES, quoted(dims.OTHER_NODE_TYPE))} AS node_type FROM (SELECT event_id, {sql_list(['if_statement', 'method_invocation', 'class_body', 'call_expression', 'identifier', 'import_declaration', 'return_statement'])}[1 + event_id % 7] AS t FROM events)")
+def node_type_map(spark, d):
+    t = corpus.pick(["if_statement", "method_invocation", "class_body", "call_expression", "identifier", "import_declaration", "return_statement"], F.col("event_id") % 7)
+    return _table(spark, d, "events").select("event_id", ladders.node_type(t).alias("node_type"))
+
+
+# --- flows
+
+
+_FLOW_PARTS = [
+    ["request.getParameter", "raw_input()", "window.location.search", "$_POST", "socket.read", "URLSearchParams"],
+    ["PreparedStatement.execute", "os.system", "element.innerHTML", "mysqli_query", "logger.info"],
+    ["none", "bind_param", "unsanitized", "custom"],
+]
+
+
+@query(
+    "flow_normalize",
+    f"""WITH f AS (SELECT event_id, {sql_list(_FLOW_PARTS[0])}[1 + event_id % 6] AS a, {sql_list(_FLOW_PARTS[1])}[1 + event_id % 5] AS b, {sql_list(_FLOW_PARTS[2])}[1 + event_id % 4] AS c FROM events)
+    SELECT event_id, {_sql_ladder('a', dims.FLOW_SOURCES, 'a')} AS source, {_sql_ladder('b', dims.FLOW_SINKS, 'b')} AS sink, {_sql_ladder('c', dims.FLOW_SANITIZERS, 'c')} AS sanitization FROM f""",
+)
+def flow_normalize(spark, d):
+    parts = [corpus.pick(p, F.col("event_id") % len(p)) for p in _FLOW_PARTS]
+    return _table(spark, d, "events").select("event_id", *ladders.normalized_flow(*parts))
+
+
+@query("label_counts", "SELECT quality AS label, count(*) AS n FROM labels GROUP BY quality")
+def label_counts(spark, d):
+    return _table(spark, d, "labels").groupBy(F.col("quality").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "label_rotation",
+    "WITH i AS (SELECT row_number() OVER (ORDER BY doc_id, quality) - 1 AS idx, quality AS label FROM labels) SELECT idx, label, '[VULNERABILITY_FLOW]' || chr(10) || CASE WHEN label = 1 THEN "
+    + " ELSE ".join(
+        sql_list([f"SOURCE: {a}\nSINK: {b}\nSANITIZATION: {c}" for a, b, c in dims.FLOW_TEXTS[k]]) + "[1 + idx % 6]" for k in (1, 0)
+    )
+    + " END AS text FROM i",
+)
+def label_rotation(spark, d):
+    return flows.training_texts(_table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")))
+
+
+@query(
+    "classification_metrics",
+    """WITH c AS (SELECT count(*) FILTER (toxic <> 1 AND quality <> 1) AS tn, count(*) FILTER (toxic <> 1 AND quality = 1) AS fp, count(*) FILTER (toxic = 1 AND quality <> 1) AS fn, count(*) FILTER (toxic = 1 AND quality = 1) AS tp FROM labels)
+    SELECT tn, fp, fn, tp, round((tp + tn)::DOUBLE / (tp + tn + fp + fn), 6) AS accuracy, round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 6) AS recall,
+      round(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c""",
+)
+def classification_metrics(spark, d):
+    return flows.metrics(_table(spark, d, "labels"), "toxic", "quality")
+
+
+@query(
+    "get_decision",
+    """SELECT doc_id, CASE WHEN toxic = 1 AND c > 0.7 THEN 'BLOCK' WHEN toxic = 1 THEN 'REVIEW' ELSE 'ALLOW' END AS decision, CASE WHEN toxic = 1 AND c > 0.7 THEN 'HIGH' WHEN toxic = 1 THEN 'MEDIUM' ELSE 'LOW' END AS priority
+    FROM (SELECT *, (doc_id % 100) / 100.0 AS c FROM labels)""",
+)
+def get_decision(spark, d):
+    chosen = ladders.get_decision(F.col("toxic") == 1, F.col("doc_id") % 100 / 100.0)
+    return _table(spark, d, "labels").select("doc_id", chosen.alias("x")).select("doc_id", "x.decision", "x.priority")
+
+
+@query(
+    "pr_block_decision",
+    "SELECT CASE WHEN bool_or(toxic = 1 AND (doc_id % 100) / 100.0 > 0.8) THEN 'BLOCK' WHEN bool_or(toxic = 1) THEN 'REVIEW_REQUIRED' ELSE 'APPROVE' END AS decision FROM labels",
+)
+def pr_block_decision(spark, d):
+    return flows.change_set_decision(_table(spark, d, "labels").select((F.col("toxic") == 1).alias("vulnerable"), (F.col("doc_id") % 100 / 100.0).alias("confidence")))
+
+
+@query("classifier_fit")
+def classifier_fit(spark, d):
+    train = label_rotation(spark, d)
+    return flows.fitted_classifier(train.select("text", "label")).transform(train).groupBy("label", "prediction").agg(F.count("*").alias("n"))

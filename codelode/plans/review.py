@@ -1,0 +1,71 @@
+"""Whole reviews: scan, lint and decisions of each file, and the roll-up of a change set."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import ladders
+from ..operators import lint, scan
+
+RANKS = {"APPROVE": 0, "REVIEW_RECOMMENDED": 1, "REVIEW_REQUIRED": 2, "REJECT": 3}
+
+
+def reviewed(lines: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
+    """file_id, style_score, security_score, risk_level, overall_score, overall_status, final_decision, recommendations.
+
+    predictions: file_id, vulnerable, confidence (optional; files without a row have none).
+    """
+    found = scan.deduplicated(scan.findings(lines, scan.rules(lines.sparkSession)))
+    security = scan.scores(lines.select("file_id").distinct(), found)
+    style = lint.lint_results(lines).select("file_id", F.col("score").alias("style_score"))
+    grave = found.groupBy("file_id").agg(F.count_if(F.col("severity").isin("CRITICAL", "HIGH")).alias("grave"))
+    df = security.join(style, "file_id").join(grave, "file_id", "left").na.fill(0, ["grave"])
+    if predictions is None:
+        df = df.withColumns({"vulnerable": F.lit(0), "confident": F.lit(0)})
+    else:
+        sums = predictions.groupBy("file_id").agg(F.count_if("vulnerable").alias("vulnerable"), F.count_if(F.col("vulnerable") & (F.col("confidence") >= 0.85)).alias("confident"))
+        df = df.join(sums, "file_id", "left").na.fill(0, ["vulnerable", "confident"])
+    overall = ladders.overall_score(F.col("style_score"), F.col("score"))
+    said = F.array_compact(
+        F.array(
+            F.when(F.col("score") < 80, F.format_string("Address security issues (score: %d/100)", F.col("score"))),
+            F.when(F.col("grave") > 0, F.format_string("Fix %d critical/high security findings", F.col("grave"))),
+            F.when(F.col("confident") > 0, F.format_string("CRITICAL: Model detected %d high-confidence vulnerable patterns", F.col("confident"))).when(
+                F.col("vulnerable") > 0, F.format_string("Model detected %d vulnerable patterns (review recommended)", F.col("vulnerable"))
+            ),
+        )
+    )
+    return df.select(
+        "file_id", "style_score", F.col("score").alias("security_score"), "risk_level", overall.alias("overall_score"), ladders.overall_status(overall).alias("overall_status"),
+        ladders.final_decision(F.col("score"), F.col("risk_level"), F.col("vulnerable"), F.col("confident")).alias("final_decision"), said.alias("recommendations"),
+    )
+
+
+def change_set(reviews: DataFrame) -> DataFrame:
+    """One row: files, files_analyzed, overall_decision (the gravest), exit_code."""
+    rank = None
+    for name, r in RANKS.items():
+        rank = F.when(F.col("final_decision") == name, r) if rank is None else rank.when(F.col("final_decision") == name, r)
+    df = reviews.agg(F.count("*").alias("total_files"), F.count_if(F.col("final_decision") != "ERROR").alias("files_analyzed"), F.max(rank).alias("_r"))
+    names = F.array(*[F.lit(x) for x in RANKS])
+    decision = F.when(F.col("total_files") == 0, "NO_CHANGES").otherwise(F.coalesce(F.get(names, F.col("_r")), F.lit("APPROVE")))
+    df = df.select("total_files", "files_analyzed", decision.alias("overall_decision"))
+    return df.withColumn("exit_code", (F.col("overall_decision") == "REJECT").cast("int"))
+
+
+def style_summary(results: DataFrame) -> DataFrame:
+    """One row over lint results; zeros and 'unknown' where there are none."""
+    df = results.agg(
+        F.count("*").alias("total_files"), F.count_if("passed").alias("passed_files"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(f"total_{c}") for c in ("errors", "warnings", "infos")], F.coalesce(F.round(F.avg("score"), 2), F.lit(0.0)).alias("average_score"),
+    )
+    status = (
+        F.when(F.col("total_files") == 0, "unknown")
+        .when((F.col("total_errors") == 0) & (F.col("total_warnings") == 0), "excellent")
+        .when(F.col("total_errors") == 0, "good")
+        .when(F.col("passed_files") == F.col("total_files"), "acceptable")
+        .otherwise("needs_improvement")
+    )
+    rate = F.coalesce(F.round(F.try_divide(F.col("passed_files") * 100.0, F.col("total_files")), 2), F.lit(0.0))
+    return df.withColumns({"failed_files": F.col("total_files") - F.col("passed_files"), "overall_status": status, "pass_rate": rate})
