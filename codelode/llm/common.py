@@ -10,11 +10,20 @@ from pyspark.sql import functions as F
 
 #: White space of every word definition here: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]"
+_BATCH_BYTES = str(8 << 20)
 #: Items summed in one step by running_sum; keeps the work per text near linear.
 _BLOCK = 256
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of rows go to Python in at most 8 MB, so tasks on long texts hold little at once (a setting of the session)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) != _BATCH_BYTES:
+        spark.conf.set(name, _BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .char_grams import Level, ORDER, U, distinct, gram_runs, lookup
-from .common import table
+from .common import materialized, table
 from .language_id import _held_out, count_grams
 
 FEATURES = 4
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     # at most about max_labelled rows of 12 bytes, by the line above
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
     for_weights = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(4)) == 0
-    counts = count_grams(rows.filter(~for_weights).select(F.col("toxic").cast("string").alias("kind"), "text"))
+    counts = materialized(count_grams(rows.filter(~for_weights).select(F.col("toxic").cast("string").alias("kind"), "text")))
     size = counts.agg(F.countDistinct("gram")).first()[0]
     if size > params.max_grams:
         frequent = counts.groupBy("gram").agg(F.sum("n").alias("all_n"))
