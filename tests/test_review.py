@@ -1,0 +1,83 @@
+"""Known files, readers, invariants and the stream."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from codelode.functions import ladders
+from codelode.operators import detect, flows, scan
+from codelode.plans import review
+from codelode.sources import readers
+from codelode.streaming import session_counters
+
+
+def split(df):
+    parts = F.posexplode(F.split("code", "\n", -1)).alias("p", "text")
+    return df.select("file_id", "language", parts).select("file_id", (F.col("p") + 1).alias("line"), "language", "text")
+
+
+@pytest.fixture(scope="module")
+def reviews(spark):
+    files = [
+        (1, "python", "import os\ndef run(name):\n    cmd = name\n    os.system('ls ' + cmd)\n"),
+        (2, "python", "import re\ndef clean(x):\n    return re.sub('[^a-z]', '', x)\n"),
+        (3, "javascript", "function f(n) {\n  document.write('<b>' + n);\n}\n"),
+    ]
+    lines = split(spark.createDataFrame(files, "file_id long, language string, code string"))
+    return {r["file_id"]: r for r in review.reviewed(lines).collect()}
+
+
+def test_known_files(reviews):
+    assert [(reviews[i]["security_score"], reviews[i]["risk_level"], reviews[i]["final_decision"]) for i in (1, 2, 3)] == [(80, "CRITICAL", "REJECT"), (100, "LOW", "APPROVE"), (90, "HIGH", "REJECT")]
+
+
+@pytest.mark.parametrize(("name", "code", "want"), [
+    ("test.py", "print('x')", ("python", 0.8)), ("script.js", "console.log(1);", ("javascript", 0.8)), ("a.cs", "public class A {}", (None, 0.0)),
+    ("unknown.txt", "hello there all", (None, 0.0)), ("run", "#!/usr/bin/env ruby\nputs 1", ("ruby", 0.95)),
+])
+def test_detection(spark, name, code, want):
+    r = detect.detected(spark.createDataFrame([(name, code)], "filename string, code string")).first()
+    assert (r["language"], r["confidence"]) == want
+
+
+def test_score_points(spark):
+    df = spark.range(0, 120).select(ladders.security_score(F.col("id")).alias("s"))
+    s = [r["s"] for r in df.collect()]
+    assert (s[0], s[30], s[31], s[65]) == (100, 70, 68, 0) and s == sorted(s, reverse=True) and min(s) == 0
+    lint = lambda e, w, i: spark.range(1).select(ladders.lint_score(F.lit(e), F.lit(w), F.lit(i))).first()[0]
+    assert [lint(0, 0, 0), lint(0, 2, 0), lint(1, 0, 0), lint(10, 10, 10)] == [100, 90, 85, 0]
+
+
+def test_report_counts_what_it_leaves_out(spark):
+    found = spark.createDataFrame([(1, i, "HIGH", "d", i) for i in range(13)], "file_id long, line int, severity string, description string, ord int")
+    text = scan.report(found).first()["report"]
+    assert text.startswith("HIGH (13)") and text.endswith("... and 3 more")
+
+
+def test_flow_extraction(spark):
+    code = "x = input()\nos.system(x)"
+    r = spark.range(1).select(flows.extracted(F.lit(code), F.lit("python")).alias("f"), flows.extracted(F.lit(""), F.lit("go")).alias("g")).first()
+    assert tuple(r["f"]) == ("input()", "os.system", "none") and tuple(r["g"]) == ("internal", "safe_operation", "sanitized")
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "pkg").mkdir()
+    (tmp_path / "pkg/__init__.py").write_text("x = 1\n")
+    (tmp_path / "bad.py").write_bytes(b"\xff\xfe")
+    (tmp_path / "list.json").write_text(json.dumps([{"filename": "a.py", "code": "pass"}]))
+    (tmp_path / "no.json").write_text('{"filename": "a.py"}')
+    assert [tuple(r) for r in readers.read_directory(spark, str(tmp_path), [".py"]).collect()] == [("pkg/__init__.py", "x = 1\n")]
+    assert [tuple(r) for r in readers.read_json(spark, str(tmp_path / "list.json")).collect()] == [("a.py", "pass")]
+    with pytest.raises(Exception, match="JSON list"):
+        readers.read_json(spark, str(tmp_path / "no.json")).collect()
+    (tmp_path / "one.py").write_text("a\nb")
+    assert tuple(readers.read_single(spark, str(tmp_path / "one.py")).first()) == ("one.py", "a\nb")
+
+
+def test_stream_counts(spark, tmp_path):
+    (tmp_path / "a.json").write_text("\n".join(json.dumps({"filename": f"f{i}.py", "code": "print(1)"}) for i in range(3)) + "\n")
+    q = session_counters.running_counts(spark, str(tmp_path)).writeStream.outputMode("complete").format("memory").queryName("counts").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [tuple(r) for r in spark.sql("select * from counts").collect()] == [("python", "SUPPORTED", 3)]
