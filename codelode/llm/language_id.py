@@ -49,6 +49,8 @@ class LanguageModels:
 
     def _bits(self, codes: np.ndarray) -> np.ndarray:
         """(grams, languages): bits each language's model needs for the gram's last character."""
+        if not self.models:
+            return np.zeros((len(codes), 0), dtype=np.float32)
         return np.stack([-np.log2(m.probability(codes)) for m in self.models], axis=1).astype(np.float32)
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
