@@ -298,7 +298,7 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-_BASE32 = "list_aggregate(list_transform(range(8), i -> list_aggregate(list_transform([15, 10, 5, 0], s -> substr('" + _LETTERS + "', ((('0x' || substr(sha, (5 * i + 1)::INT, 5))::INT >> s) & 31) + 1, 1)), 'string_agg', '')), 'string_agg', '')"
+_BASE32 = "list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform([15, 10, 5, 0], lambda s: substr('" + _LETTERS + "', ((('0x' || substr(sha, (5 * i + 1)::INT, 5))::INT >> s) & 31) + 1, 1)), 'string_agg', '')), 'string_agg', '')"
 OP5_SQL = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS sha FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS first FROM p)
 SELECT page_id, strlen(body) AS payload_bytes, {_BASE32} AS payload_digest,
