@@ -465,3 +465,122 @@ def pr_block_decision(spark, d):
 def classifier_fit(spark, d):
     train = label_rotation(spark, d)
     return flows.fitted_classifier(train.select("text", "label")).transform(train).groupBy("label", "prediction").agg(F.count("*").alias("n"))
+
+
+# --- trees, sinks and dense indexes
+
+
+_UP_SQL = "up AS (SELECT file_id, id AS ancestor, id FROM nodes UNION ALL SELECT u.file_id, n.parent_id, u.id FROM up u JOIN nodes n ON n.file_id = u.file_id AND n.id = u.ancestor WHERE n.parent_id IS NOT NULL)"
+
+
+def _tree(name, build, sql):
+    QUERIES[name] = lambda spark, d: build(corpus.nodes(spark, d), corpus.var_refs(spark, d))
+    ORACLE_SQL[name] = f"WITH RECURSIVE {NODES_SQL}, {_UP_SQL} {sql}"
+
+
+_tree(
+    "function_summary", graph.function_summaries,
+    "SELECT u.file_id, u.ancestor AS id, count(DISTINCT r.var) FILTER (r.kind = 'use') AS uses, bool_or(n.node_type = 'RETURN') AS returns FROM up u JOIN nodes f ON f.file_id = u.file_id AND f.id = u.ancestor AND f.node_type = 'FUNCTION_DEF' "
+    "JOIN nodes n ON n.file_id = u.file_id AND n.id = u.id LEFT JOIN refs r ON r.file_id = u.file_id AND r.id = u.id GROUP BY ALL",
+)
+_DEFINED_SQL = "SELECT DISTINCT u.file_id, u.ancestor AS id, r.var FROM up u JOIN refs r ON r.file_id = u.file_id AND r.id = u.id WHERE r.kind = 'def'"
+_tree("subtree_vars", graph.subtree_definitions, _DEFINED_SQL)
+_tree(
+    "branch_merge_vars", graph.branch_merges,
+    f", defined AS ({_DEFINED_SQL}), kids AS (SELECT n.file_id, n.parent_id, n.id, row_number() OVER (PARTITION BY n.file_id, n.parent_id ORDER BY n.id) AS b FROM nodes n JOIN nodes p ON p.file_id = n.file_id AND p.id = n.parent_id WHERE p.node_type = 'IF_STATEMENT') "
+    "SELECT k.file_id, k.parent_id AS id, d.var FROM kids k JOIN defined d ON d.file_id = k.file_id AND d.id = k.id WHERE b <= 2 GROUP BY ALL HAVING count(DISTINCT b) = 2",
+)
+_graph(
+    "ml_edge_index", lambda n, r: graph.edge_index(n, graph.edges(n, r)),
+    f", dense AS (SELECT file_id, id, (row_number() OVER (PARTITION BY file_id ORDER BY id) - 1)::INT AS idx FROM nodes) SELECT e.file_id, a.idx AS src_idx, b.idx AS dst_idx, (list_position({sql_list(graph.EDGE_TYPES)}, edge_type) - 1)::INT AS type_ord "
+    "FROM edges e JOIN dense a ON a.file_id = e.file_id AND a.id = e.src JOIN dense b ON b.file_id = e.file_id AND b.id = e.dst",
+)
+_graph(
+    "semantic_tags", graph.semantic_tags,
+    """SELECT n.file_id, n.id, array_to_string(list_sort(list_filter([CASE WHEN node_type IN ('IF_STATEMENT', 'FOR_STATEMENT', 'WHILE_STATEMENT') THEN 'control_structure' END, CASE WHEN node_type IN ('RETURN', 'BREAK', 'CONTINUE') THEN 'control_terminator' END,
+      CASE WHEN node_type = 'FUNCTION_DEF' THEN 'function:' || name END, CASE WHEN node_type = 'CLASS_DEF' THEN 'class:' || name END, CASE WHEN kind = 'def' THEN 'defines' END, CASE WHEN kind = 'use' THEN 'uses' END], lambda x: x IS NOT NULL)), ',') AS tags
+    FROM nodes n JOIN refs r ON r.file_id = n.file_id AND r.id = n.id""",
+)
+
+
+@query(
+    "taint_sinks",
+    f"""WITH RECURSIVE {EDGES_SQL}, {_SEEDS_SQL}, step AS (SELECT d.file_id, d.src, d.dst FROM data d JOIN nodes n ON n.file_id = d.file_id AND n.id = d.dst WHERE n.name <> 'f12'),
+    t AS (SELECT file_id, id FROM seeds UNION SELECT s.file_id, s.dst FROM t JOIN step s ON s.file_id = t.file_id AND s.src = t.id),
+    names AS (SELECT DISTINCT r.file_id, r.var FROM refs r JOIN t ON t.file_id = r.file_id AND t.id = r.id WHERE r.kind = 'def')
+    SELECT n.file_id, n.id FROM nodes n WHERE n.node_type IN ('CALL', 'ASSIGNMENT', 'EXPRESSION') AND n.name <> 'f12'
+      AND EXISTS (SELECT 1 FROM refs r JOIN names v ON v.file_id = r.file_id AND v.var = r.var WHERE r.file_id = n.file_id AND r.id = n.id AND r.kind = 'use')
+      AND NOT EXISTS (SELECT 1 FROM data d JOIN nodes c ON c.file_id = d.file_id AND c.id = d.src WHERE d.file_id = n.file_id AND d.dst = n.id AND c.name = 'f12')""",
+)
+def taint_sinks(spark, d):
+    n, r = corpus.nodes(spark, d), corpus.var_refs(spark, d)
+    data, clean = graph.data_edges(n, r), n.filter("name = 'f12'").select("file_id", "id")
+    return graph.taint_sinks(n, r, graph.taint_closure(graph.taint_seeds(n, r), data, clean), data, clean)
+
+
+_NAMES = ["total", "print", "String", "_x", "$value", "9lives", "if", "None", "puts", "echo", "func", "len", "x1"]
+
+
+@query(
+    "valid_variables",
+    f"""WITH v AS (SELECT event_id, {sql_list(dims.LANGUAGES)}[1 + event_id % 6] AS language, {sql_list(_NAMES)}[1 + (event_id // 6) % {len(_NAMES)}] AS name FROM events), b AS (SELECT *, regexp_replace(name, '^\\$', '') AS bare FROM v)
+    SELECT event_id, language, name FROM b WHERE regexp_matches(bare, '^[a-zA-Z_]') AND NOT ("""
+    + " OR ".join(f"language = {quoted(x)} AND (list_contains({sql_list(dims.KEYWORDS[x].split())}, lower(bare)) OR list_contains({sql_list(dims.BUILTINS[x].split())}, bare))" for x in dims.LANGUAGES)
+    + ")",
+)
+def valid_variables(spark, d):
+    names = _table(spark, d, "events").select("event_id", corpus.language_of(F.col("event_id")).alias("language"), corpus.pick(_NAMES, F.floor(F.col("event_id") / 6) % len(_NAMES)).alias("name"))
+    return graph.valid_variables(names)
+
+
+# --- more of flows, style and change sets
+
+
+@query(
+    "flow_extract",
+    f"""WITH {FILES_SQL}, x AS (SELECT file_id, {sql_list(dims.LANGUAGES)}[1 + file_id % 6] AS language, lower(code || CASE WHEN file_id % 2 = 0 THEN ' input( shlex.quote' ELSE ' input(' END) AS c FROM files)
+    SELECT file_id, CASE WHEN language = 'python' AND contains(c, 'input(') AND contains(c, 'os.system') THEN 'input()' ELSE 'internal' END AS source,
+      CASE WHEN language = 'python' AND contains(c, 'input(') AND contains(c, 'os.system') THEN 'os.system' ELSE 'safe_operation' END AS sink,
+      CASE WHEN language = 'python' AND contains(c, 'input(') AND contains(c, 'os.system') THEN CASE WHEN contains(c, 'shlex.quote') THEN 'shlex.quote' ELSE 'none' END ELSE 'sanitized' END AS sanitization FROM x""",
+)
+def flow_extract(spark, d):
+    tail = F.when(F.col("file_id") % 2 == 0, " input( shlex.quote").otherwise(" input(")
+    found = flows.extracted(F.concat("code", tail), corpus.language_of(F.col("file_id")))
+    return corpus.files(spark, d).select("file_id", found.alias("f")).select("file_id", "f.*")
+
+
+@query(
+    "prediction_counts",
+    """SELECT doc_id % 50 AS file_id, count(*) AS total, count(*) FILTER (toxic = 1) AS vulnerable, count(*) FILTER (toxic = 1 AND (doc_id % 100) / 100.0 >= 0.85) AS confident FROM labels GROUP BY doc_id % 50""",
+)
+def prediction_counts(spark, d):
+    sure = (F.col("toxic") == 1) & (F.col("doc_id") % 100 / 100.0 >= 0.85)
+    return _table(spark, d, "labels").groupBy((F.col("doc_id") % 50).alias("file_id")).agg(F.count("*").alias("total"), F.count_if(F.col("toxic") == 1).alias("vulnerable"), F.count_if(sure).alias("confident"))
+
+
+@query("running_stats", f"WITH {LINES_SQL}, {LINT_SQL} SELECT count(*) AS total, count(*) FILTER (passed) AS passed, sum(warnings)::BIGINT AS warnings, round(count(*) FILTER (passed) * 100.0::DOUBLE / count(*), 6) AS pass_rate FROM lint")
+def running_stats(spark, d):
+    rate = F.round(F.count_if("passed") * F.lit(100.0).cast("double") / F.count("*"), 6)
+    return lint.lint_results(corpus.lines(spark, d)).agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.sum("warnings").alias("warnings"), rate.alias("pass_rate"))
+
+
+@query(
+    "style_status",
+    """SELECT doc_id, CASE WHEN length(t) < 5 THEN 'ERROR' ELSE 'SUCCESS' END AS status, length(t) AS size FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents)""",
+)
+def style_status(spark, d):
+    size = F.length(ladders.stripped(F.col("text")))
+    return _table(spark, d, "documents").select("doc_id", F.when(size < 5, "ERROR").otherwise("SUCCESS").alias("status"), size.cast("bigint").alias("size"))
+
+
+@query("detect_shebang", """SELECT event_id, ['python', 'javascript', 'ruby', 'php', 'shell', 'shell', NULL][1 + event_id % 7] AS language FROM events""")
+def detect_shebang(spark, d):
+    words = ["#!/usr/bin/env python3", "#!/usr/bin/node", "#!/usr/bin/ruby -w", "#! /usr/bin/php", "#!/bin/bash", "#!/bin/sh", "# no interpreter"]
+    code = F.concat(F.lit("\n  "), corpus.pick(words, F.col("event_id") % 7), F.lit("\nx = 1"))
+    return _table(spark, d, "events").select("event_id", detect.by_shebang(code).alias("language"))
+
+
+@query("review_json")
+def review_json(spark, d):
+    df = _reviews(spark, d)
+    return df.select("file_id", F.to_json(F.struct(*df.columns)).alias("json"))

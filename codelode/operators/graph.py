@@ -115,3 +115,82 @@ def features(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     hot = [number(F.col("node_type") == k) for k in kinds]
     idx = F.row_number().over(W.partitionBy("file_id").orderBy("id")) - 1
     return df.select("file_id", idx.alias("idx"), F.array(number(F.col("line")), number(F.col("col")), *flags, number(F.col("defs")), number(F.col("uses")), *hot).alias("features"))
+
+
+def ancestry(nodes: DataFrame) -> DataFrame:
+    """file_id, ancestor, id: every node with each of its ancestors and itself; one join for each level of the tree."""
+    parents = nodes.filter("parent_id is not null").select("file_id", F.col("id").alias("ancestor"), F.col("parent_id").alias("above"))
+    level = nodes.select("file_id", F.col("id").alias("ancestor"), "id")
+    out = level
+    while True:
+        level = level.join(parents, ["file_id", "ancestor"]).select("file_id", F.col("above").alias("ancestor"), "id").checkpoint()
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
+
+
+def function_summaries(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """file_id, id, uses (distinct variables used below), returns (whether a return is below) of each function."""
+    functions = nodes.filter("node_type = 'FUNCTION_DEF'").select("file_id", F.col("id").alias("ancestor"))
+    below = ancestry(nodes).join(functions, ["file_id", "ancestor"])
+    used = refs.filter("kind = 'use'").select("file_id", "id", "var")
+    kinds = nodes.select("file_id", "id", (F.col("node_type") == "RETURN").alias("stop"))
+    df = below.join(kinds, ["file_id", "id"]).join(used, ["file_id", "id"], "left")
+    return df.groupBy("file_id", F.col("ancestor").alias("id")).agg(F.countDistinct("var").alias("uses"), F.bool_or("stop").alias("returns"))
+
+
+def subtree_definitions(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """file_id, id, var: each variable defined in a node's subtree, once."""
+    defined = refs.filter("kind = 'def'").select("file_id", "id", "var")
+    return ancestry(nodes).join(defined, ["file_id", "id"]).select("file_id", F.col("ancestor").alias("id"), "var").distinct()
+
+
+def branch_merges(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """file_id, id, var: variables defined in the first and the second branch of an if statement."""
+    branches = nodes.filter("node_type = 'IF_STATEMENT'").select("file_id", F.col("id").alias("parent_id"))
+    children = nodes.join(branches, ["file_id", "parent_id"]).select("file_id", "parent_id", "id")
+    children = children.withColumn("_b", F.row_number().over(W.partitionBy("file_id", "parent_id").orderBy("id"))).filter("_b <= 2")
+    defined = children.join(subtree_definitions(nodes, refs), ["file_id", "id"]).select("file_id", F.col("parent_id").alias("id"), "var", "_b")
+    return defined.groupBy("file_id", "id", "var").agg(F.countDistinct("_b").alias("n")).filter("n = 2").select("file_id", "id", "var")
+
+
+def edge_index(nodes: DataFrame, all_edges: DataFrame) -> DataFrame:
+    """file_id, src_idx, dst_idx, type_ord over dense node numbers; edges with unknown ends drop out."""
+    dense = nodes.select("file_id", "id", (F.row_number().over(W.partitionBy("file_id").orderBy("id")) - 1).alias("idx"))
+    df = all_edges.join(dense.select("file_id", F.col("id").alias("src"), F.col("idx").alias("src_idx")), ["file_id", "src"])
+    df = df.join(dense.select("file_id", F.col("id").alias("dst"), F.col("idx").alias("dst_idx")), ["file_id", "dst"])
+    place = F.array_position(F.array(*[F.lit(x) for x in EDGE_TYPES]), F.col("edge_type")) - 1
+    return df.select("file_id", "src_idx", "dst_idx", place.cast("int").alias("type_ord"))
+
+
+def taint_sinks(nodes: DataFrame, refs: DataFrame, tainted: DataFrame, data: DataFrame, clean: DataFrame) -> DataFrame:
+    """file_id, id: calls, assignments and expressions that use a tainted variable (by name) and neither sanitize it nor
+    follow directly on a node that does. clean: file_id, id of sanitizing nodes."""
+    names = refs.filter("kind = 'def'").join(tainted, ["file_id", "id"], "left_semi").select("file_id", "var").distinct()
+    scanned = nodes.filter(F.col("node_type").isin("CALL", "ASSIGNMENT", "EXPRESSION")).select("file_id", "id")
+    using = refs.filter("kind = 'use'").join(names, ["file_id", "var"], "left_semi").select("file_id", "id").distinct()
+    after = data.join(clean.select("file_id", F.col("id").alias("src")), ["file_id", "src"], "left_semi").select("file_id", F.col("dst").alias("id"))
+    return scanned.join(using, ["file_id", "id"], "left_semi").join(clean, ["file_id", "id"], "left_anti").join(after, ["file_id", "id"], "left_anti")
+
+
+def semantic_tags(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """file_id, id, tags: sorted words for control structures, terminators, functions, classes, definitions and uses."""
+    counts = refs.groupBy("file_id", "id").agg(F.bool_or(F.col("kind") == "def").alias("d"), F.bool_or(F.col("kind") == "use").alias("u"))
+    df = nodes.join(counts, ["file_id", "id"], "left")
+    t = F.col("node_type")
+    tags = [
+        F.when(t.isin(CONTROL), "control_structure"), F.when(t.isin(TERMINATORS), "control_terminator"), F.when(t == "FUNCTION_DEF", F.concat(F.lit("function:"), "name")),
+        F.when(t == "CLASS_DEF", F.concat(F.lit("class:"), "name")), F.when(F.col("d"), "defines"), F.when(F.col("u"), "uses"),
+    ]
+    return df.select("file_id", "id", F.array_join(F.array_sort(F.array_compact(F.array(*tags))), ",").alias("tags"))
+
+
+def valid_variables(names: DataFrame) -> DataFrame:
+    """Rows (language, name) whose name can be a variable: no keyword, no builtin, begins with a letter or underscore."""
+    bare = F.regexp_replace("name", r"^\$", "")
+    bad = None
+    for x in dims.LANGUAGES:
+        words, builtins = dims.KEYWORDS[x].split(), dims.BUILTINS[x].split()
+        hit = (F.col("language") == x) & (F.lower(bare).isin(words) | bare.isin(builtins))
+        bad = hit if bad is None else bad | hit
+    return names.filter(~bad & bare.rlike(r"^[\p{L}_]"))
