@@ -33,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
+    """Drops the documents that hold a benchmark item; documents without an id go together, as nothing tells them apart."""
     bounded_batches(spark)
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
@@ -41,7 +41,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data; n_chars is counted anew."""
     bounded_batches(spark)
-    out = pseudonymized(docs)
+    own = {"entities": "_own_entities"} if "entities" in docs.columns else {}
+    out = pseudonymized(docs.withColumnsRenamed(own))
+    if own:
+        out = out.drop("entities").withColumnRenamed("_own_entities", "entities")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
     return out.select(*docs.columns)

@@ -141,3 +141,13 @@ def test_pipeline_of_odd_documents(spark, odd, empty):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, "/root/testdata/sf0.001")
         docs.count()
+
+
+def test_stages_keep_extra_columns(spark, clashing):
+    from pyspark.sql import functions as F
+
+    docs = clashing.withColumns({"entities": F.lit("mine"), "row": F.lit(1), "kept": F.lit("k"), "plain": F.lit(2)})
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+    assert {r["entities"] for r in docs.collect()} == {"mine"} and docs.count() == 4
+    assert corpus_pipeline.STAGES[0][1](spark, docs, "").columns == docs.columns
