@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The benchmark is the stated query set and is taken in blocks of bounded size against all documents. An item's 3-word
-sequences are ranked by their frequency over all documents; of every 4 neighbours the rarest is a seed, so each item
-keeps seeds all along, however often its text was copied. A document that holds a seed is aligned with the item around
-it (match 2, mismatch -1, gap -1); the alignment's score over the item's own best score is the similarity.
+The benchmark is the stated query set and is taken in blocks of bounded size against all documents. Every 3-word
+sequence of an item is a seed, so a copy is met wherever three of its words in a row are unchanged. A document that
+holds a seed is aligned with the item around it (match 2, mismatch -1, gap -1); the alignment's score over the item's
+own best score is the similarity, and it alone decides.
 
 Words here are runs of letters, digits and bytes beyond ASCII; A-Z count as a-z; punctuation only separates.
 
@@ -37,8 +37,6 @@ _SCHEMA = "doc_id bigint, item_id bigint, score double, start bigint, end bigint
 @dataclass(frozen=True)
 class LeakParams:
     seed_words: int = 3
-    #: Of so many neighbouring sequences of an item the rarest is a seed.
-    seed_window: int = 4
     min_score: float = 0.55
     #: Characters of benchmark text held by a task at once.
     block_chars: int = 8_000_000
@@ -56,9 +54,11 @@ class ItemIndex:
         self.n = n
         found = [self._sequences(c) for c in self.codes]
         sizes = [len(f) for f in found]
-        self.gram = np.concatenate([np.empty(0, U), *found])
-        self.item = np.repeat(np.arange(len(rows)), sizes)
-        self.place = np.concatenate([np.empty(0, np.int64), *[np.arange(s) for s in sizes]])
+        gram = np.concatenate([np.empty(0, U), *found])
+        order = np.argsort(gram, kind="stable")
+        self.gram = gram[order]
+        self.item = np.repeat(np.arange(len(rows)), sizes)[order]
+        self.place = np.concatenate([np.empty(0, np.int64), *[np.arange(s) for s in sizes]])[order]
 
     def _sequences(self, codes: np.ndarray) -> np.ndarray:
         return grams(codes, self.n)
@@ -66,20 +66,6 @@ class ItemIndex:
     def short(self) -> list[int]:
         return [i for i, c in enumerate(self.codes) if 0 < len(c) < self.n]
 
-    def choose(self, counts: dict[int, int], window: int) -> None:
-        """Keeps the rarest of each window of neighbours of an item as seeds, sorted by code."""
-        seen = np.array([counts.get(int(g.view(np.int64)), 0) for g in self.gram], dtype=np.int64)
-        keep = np.zeros(len(self.gram), dtype=bool)
-        order = np.lexsort((self.gram, seen))
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        begin = np.flatnonzero(np.r_[True, self.item[1:] != self.item[:-1]]) if len(self.item) else np.empty(0, int)
-        for b, e in zip(begin, [*begin[1:], len(self.item)]):
-            for i in range(b, max(b + 1, e - window + 1)):
-                keep[i + int(np.argmin(rank[i : min(i + window, e)]))] = True
-        order = np.flatnonzero(keep)[np.argsort(self.gram[keep], kind="stable")]
-        self.gram, self.item, self.place = self.gram[order], self.item[order], self.place[order]
-
 
 def _bit_filter(codes: np.ndarray) -> np.ndarray:
     out = np.zeros(1 << _FILTER_BITS, dtype=bool)
@@ -141,27 +127,6 @@ def _candidates(index: ItemIndex, seeds: np.ndarray, places: np.ndarray, first:
     return out
 
 
-def _count_sequences(docs: DataFrame, wanted: np.ndarray, n: int) -> dict[int, int]:
-    """In how many documents each wanted sequence occurs; what comes back is at most as long as wanted."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes_wanted, total = shared.value, np.zeros(len(shared.value), dtype=np.int64)
-        maybe = _bit_filter(codes_wanted)
-        for batch in batches:
-            for _, _, data, starts in text_batches(batch.column("text").to_pylist()):
-                codes, _, _, first = batch_words(_SEPARATE[data], starts)
-                places, seeds = _hits(codes_wanted, maybe, grams(codes, n))
-                text = np.searchsorted(first, places, "right") - 1
-                pairs = np.unique(text * len(codes_wanted) + seeds)
-                total += np.bincount(pairs % len(codes_wanted), minlength=len(codes_wanted))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(codes_wanted[seen].view(np.int64)), pa.array(total[seen])], names=["gram", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"]: r["n"] for r in counted.collect()}
-
-
 def _matches(docs: DataFrame, index: ItemIndex, params: LeakParams) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
     n, min_score = params.seed_words, params.min_score
@@ -224,10 +189,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         if not rows:
             continue
-        index = ItemIndex([tuple(r) for r in rows], params.seed_words)
-        wanted = np.unique(index.gram)
-        index.choose(_count_sequences(texts, wanted, params.seed_words) if len(wanted) else {}, params.seed_window)
-        out.append(_matches(texts, index, params))
+        out.append(_matches(texts, ItemIndex([tuple(r) for r in rows], params.seed_words), params))
     return reduce(DataFrame.unionByName, out) if out else docs.sparkSession.createDataFrame([], _SCHEMA)
 
 

@@ -119,6 +119,21 @@ def test_leaks_found_and_clean_left(spark, small):
     assert [(r["doc_id"], r["item_id"]) for r in found] == [(1, 0)] and 0.55 <= found[0]["score"] < 1
 
 
+def test_edited_copies_equal_brute_force_alignment(spark):
+    rng = random.Random(7)
+    item = [f"q{k}" for k in range(60)]
+    edited = {n: [w if k % n else f"x{n}y{k}" for k, w in enumerate(item, 1)] for n in (3, 4, 5, 6)}
+    texts = {n: [f"f{rng.randrange(500)}" for _ in range(80)] + words + [f"f{rng.randrange(500)}" for _ in range(80)] for n, words in edited.items()}
+    benchmark = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    want = {n: reference_score(item, t) / 120 for n, t in texts.items()}
+    want = {n: v for n, v in want.items() if v >= 0.55}
+    assert sorted(want) == [4, 5, 6]
+    for exact in ({}, {9: item}):  # alone, and beside an exact copy
+        docs = spark.createDataFrame([(n, " ".join(t)) for n, t in {**texts, **exact}.items()], "doc_id long, text string")
+        got = {r["doc_id"]: r["score"] for r in decontamination.leaks(docs, benchmark).collect()}
+        assert got == pytest.approx({**want, **{n: 1.0 for n in exact}})
+
+
 def test_blocks_of_items_give_the_same(spark, small):
     benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     one = decontamination.leaks(small, benchmark)
