@@ -57,7 +57,7 @@ FAMILY = {
 }
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
 #: A text without any of these has no entity; checked before a text leaves the JVM.
-_ANY = r"@|[0-9]{3}|[0-9]\.[0-9]+\.[0-9]|(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20"
+_ANY = r"@|[0-9]{3}|\+[0-9]{1,3}[ .-]?[0-9]|[0-9]\.[0-9]+\.[0-9]|(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20"
 
 
 @dataclass(frozen=True)
