@@ -9,7 +9,9 @@ case) get equal surrogates in all documents.
 
 A permutation never maps two values of a format to one, so distinct values stay distinct. What it can do is hit a value
 that someone in the corpus has: a check over all detected values finds those, and they are permuted again under the next
-number until none is left. Names come from lists and can meet; the same check finds them, and they get a numbered suffix.
+number until none is left; a corpus in which that does not settle is an error. Names come from lists and can meet; the
+same check finds them, and their family names get keyed syllables, more with every try. So do the e-mail addresses that
+find no free surrogate of their own length.
 
 Defined results: null text stays null with no entities; null ids are kept; overlapping matches go to the earlier kind in
 KINDS; repeated rows get equal results; an empty table gives an empty result; extra columns are kept by pseudonymized
@@ -55,6 +57,8 @@ FAMILY = {
     "latin": ["Abel", "Berger", "Costa", "Duval", "Ernst", "Fontana", "Garner", "Holm", "Ibarra", "Jansen", "Keller", "Laurent", "Moreno", "Novak", "Olsen"],
     "cyrillic": ["Белов", "Громов", "Зимин", "Котов", "Лебедев", "Морозов", "Орлов"],
 }
+#: Consonants and vowels of the syllables that keep surrogates apart, by script.
+SYLLABLES = {"latin": ("bcdfghjklmnpqrstvwxz", "aeiou"), "cyrillic": ("бвгджзклмнпрстфхцчшщ", "аеиоу")}
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
 #: A text without any of these has no entity; checked before a text leaves the JVM.
 _ANY = r"@|[0-9]{3}|\+[0-9]{1,3}[ .-]?[0-9]|[0-9]\.[0-9]+\.[0-9]|(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20"
@@ -135,6 +139,16 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+def _syllables(x: int, n: int, script: str) -> str:
+    """The last n digits of x to the base of 100, each as a syllable."""
+    consonants, vowels = SYLLABLES[script]
+    out = []
+    for _ in range(n):
+        x, digit = divmod(x, len(consonants) * len(vowels))
+        out.append(consonants[digit // len(vowels)] + vowels[digit % len(vowels)])
+    return "".join(out)
+
+
 def surrogate(key: bytes, kind: str, value: str, number: int = 0) -> str:
     """The canonical surrogate of a canonical value; number tells apart the tries after a collision."""
     label = f"{kind}|{number}"
@@ -142,8 +156,10 @@ def surrogate(key: bytes, kind: str, value: str, number: int = 0) -> str:
         local, _, domain = value.rpartition("@")
         name, _, top = domain.rpartition(".")
         labels = name.split(".")
+        # short local parts of a host can all be somebody's: from the third try on they grow
+        extra = _syllables(int.from_bytes(hmac.new(key, f"{label}|{value}".encode(), hashlib.sha256).digest(), "big"), min(2 * (number - 2), 30), "latin") if number >= 3 else ""
         # the host's own label is permuted; well-known suffixes and the words example and mail say nothing about a person
-        return f"{_permute_format(key, label + '|' + domain, local)}@{'.'.join(_permute_format(key, label, x) if x not in ('example', 'mail') and not x.startswith('mail') else x for x in labels)}.{top}"
+        return f"{_permute_format(key, label + '|' + domain, local)}{extra}@{'.'.join(_permute_format(key, label, x) if x not in ('example', 'mail') and not x.startswith('mail') else x for x in labels)}.{top}"
     if kind == "ip":
         x = 0
         for part in value.split("."):
@@ -170,9 +186,8 @@ def surrogate(key: bytes, kind: str, value: str, number: int = 0) -> str:
         seed = int.from_bytes(hmac.new(key, f"{label}|{' '.join(names)}".encode(), hashlib.sha256).digest(), "big")
         given, family = GIVEN[gender, script], FAMILY[script]
         chosen = [given[seed % len(given)], family[seed // 1000 % len(family)]] if len(names) > 1 else [family[seed // 1000 % len(family)]]
-        # lists are short: from the third try on a numeral keeps names distinct
-        tail = f"-{number}" if number >= 3 else ""
-        return " ".join([title, *chosen]) + tail
+        # lists are short: each try has 10,000 times the names of the one before
+        return " ".join([title, *chosen]) + _syllables(seed // 1_000_000, min(2 * number, 30), script)
     return _permute_format(key, label, value)
 
 
@@ -182,7 +197,10 @@ def dressed(kind: str, value: str, made: str) -> str:
         fresh = iter(made.lstrip("+"))
         return "".join(next(fresh) if c.isdigit() else c for c in value)
     if kind == "email" and value != value.lower():
-        return "".join(m.upper() if v.isupper() else m for v, m in zip(value, made))
+        # a surrogate that grew is longer than the value only in its local part; the host keeps its letters' places
+        at, to = value.rindex("@"), made.rindex("@")
+        shape = value[:at] + value[at - 1] * (to - at) + value[at:]
+        return "".join(m.upper() if v.isupper() else m for v, m in zip(shape, made))
     return made
 
 
@@ -214,7 +232,7 @@ def exceptions(docs: DataFrame, params: PiiParams) -> DataFrame:
     values = materialized(distinct_values(docs, params))
     originals = values.select("kind", F.col("value").alias("made")).withColumn("taken", F.lit(True))
     current, number = values.withColumn("number", F.lit(0)), 0
-    while number < params.max_tries:
+    while True:
         # of several values with one surrogate the smallest keeps it
         owners = current.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min("value").alias("owner"))
         bad = owners.join(originals, ["kind", "made"], "left").filter(F.col("taken") | (F.col("n") > 1))
@@ -222,6 +240,8 @@ def exceptions(docs: DataFrame, params: PiiParams) -> DataFrame:
         retry = materialized(retry)
         if retry.isEmpty():
             break
+        if number >= params.max_tries:
+            raise RuntimeError(f"surrogates still collide after {number} tries: {retry.groupBy('kind').count().collect()}")
         number += 1
         renewed = retry.withColumn("number", F.lit(number)).withColumn("made", again("kind", "value", "number"))
         kept = current.join(retry, ["kind", "value"], "left_anti")

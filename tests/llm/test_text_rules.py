@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from codelode.llm import pii_surrogates as pii
@@ -147,3 +148,17 @@ def test_the_prefilter_passes_every_pattern(spark):
     df = spark.createDataFrame(texts, "text string, want string")
     for r in pii.pseudonymized(df.withColumn("before", F.col("text"))).collect():
         assert [e["kind"] for e in r["entities"]] == [r["want"]] and r["text"] != r["before"], r["before"]
+
+
+def test_thousands_of_names_of_one_title_stay_distinct(spark):
+    letters = [f"{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(3000)]
+    values = [f"Mr Q{x} V{x}" for x in letters] + [f"Mr W{x}" for x in letters[:1000]] + [f"Mr Ж{x}" for x in letters[:500]]
+    values += [f"{chr(97 + i)}@example.com" for i in range(26)]  # every address of that form is taken
+    df = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    rows = pii.pseudonymized(df).collect()
+    out = {r["text"] for r in rows}
+    assert len(out) == len(values) and not out & set(values)
+    assert all([e[1] for e in pii.entities(r["text"])] == [len(r["text"])] for r in rows)
+    assert pii.dressed("email", "A@Ex.Com", "qba@zy.com") == "QBA@Zy.Com"
+    with pytest.raises(RuntimeError, match="collide"):
+        pii.pseudonymized(df, pii.PiiParams(max_tries=1))
