@@ -1,9 +1,12 @@
-"""Substring deduplication by hashing of lines and of the sentences in them.
+"""Substring deduplication by hashing of paragraphs, lines and the sentences in them.
 
-Units are the sentences of each line (a line without a sentence end is one unit). A unit is normalised (lower case,
-runs of white space to one space, outer punctuation off) and hashed to 128 bits; the earliest occurrence of each digest,
-ranked by (rank column, doc_id, start), stays, and every later one is removed. Spans are code points of the original
-text, so what was removed can always be found again. Units under min_words words are too common to be copies and stay.
+Units are the paragraphs (lines without a blank one between), the lines, and the sentences of each line. A unit is
+normalised (lower case, runs of white space to one space, outer punctuation off, in a paragraph line by line) and hashed
+to 128 bits; the earliest occurrence of each digest, ranked by (rank column, doc_id, start), stays, and every later one
+is removed. Spans are code points of the original text, so what was removed can always be found again. Units under
+min_words words and under min_chars characters (scripts without spaces) are too common to be copies and stay; a unit is
+measured as a whole, whatever its parts are. A unit with the digest of the larger one around it is that one. Sentences
+and lines inside a removed unit are repeats too and have rows of their own: spans nest, their union is what goes.
 
 A passage pasted into a sentence has its first and last sentence joined to foreign words; the sentences between are
 whole units and are found.
@@ -23,39 +26,59 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import table
 
-_UNIT = re.compile(r"[^\n.!?]+[.!?]*")
-_EDGE = " \t\r\f\v.,;:!?\"'()[]-"
+_PARAGRAPH = re.compile(r"[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*")
+_LINE = re.compile(r"[^\n]+")
+_UNIT = re.compile(r"[^\n.!?。！？]+[.!?。！？]*")
+_EDGE = " \t\r\f\v.,;:!?\"'()[]-。！？，、；：「」『』（）"
 
 
 @dataclass(frozen=True)
 class UnitParams:
     min_words: int = 6
+    #: Characters that make a unit of fewer words long enough: text without spaces, long tokens.
+    min_chars: int = 48
 
 
-def units_of(text: str, min_words: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """Start, end, words and digest of each unit that is long enough."""
-    for m in _UNIT.finditer(text):
-        raw = m.group()
-        words = raw.lower().split()
-        if len(words) >= min_words:
-            start = m.start() + len(raw) - len(raw.lstrip())
-            normal = " ".join(words).strip(_EDGE)
-            yield start, m.start() + len(raw.rstrip()), len(words), hashlib.blake2b(normal.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def _normal(text: str) -> str:
+    return " ".join(text.lower().split()).strip(_EDGE)
+
+
+def units_of(text: str, min_words: int, min_chars: int = UnitParams.min_chars) -> Iterator[tuple[int, int, int, bytes]]:
+    """Start, end, words and digest of each unit that is long enough, outer ones before those in them."""
+
+    def unit(start: int, raw: str, normal: str) -> Iterator[tuple[int, int, int, bytes]]:
+        n_words = len(raw.split())
+        if n_words >= min_words or len(normal) >= min_chars:
+            digest = hashlib.blake2b(normal.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            yield start + len(raw) - len(raw.lstrip()), start + len(raw.rstrip()), n_words, digest
+
+    for p in _PARAGRAPH.finditer(text):
+        lines = [(p.start() + m.start(), m.group(), _normal(m.group())) for m in _LINE.finditer(p.group())]
+        whole = "\n".join(normal for _, _, normal in lines)
+        yield from unit(p.start(), p.group(), whole)
+        for start, raw, normal in lines:
+            if normal != whole:
+                yield from unit(start, raw, normal)
+            for m in _UNIT.finditer(raw):
+                inner = _normal(m.group())
+                if inner not in (normal, whole):
+                    yield from unit(start + m.start(), m.group(), inner)
 
 
 def units(docs: DataFrame, params: UnitParams = UnitParams(), rank: str | None = None) -> DataFrame:
     """doc_id, rank, start, end, n_words, digest of every unit."""
-    least = params.min_words
+    least, chars = params.min_words, params.min_chars
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, found = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 if text:
-                    got = list(units_of(text, least))
+                    got = list(units_of(text, least, chars))
                     found += got
                     at += [i] * len(got)
             if found:
@@ -84,7 +107,11 @@ def duplicate_units(docs: DataFrame, params: UnitParams = UnitParams(), rank: st
 
 def without_duplicates(docs: DataFrame, params: UnitParams = UnitParams(), rank: str | None = None) -> DataFrame:
     """docs with the removed units cut out of text; column removed keeps their original spans."""
-    spans = duplicate_units(docs, params, rank).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    # spans nest: what an outer one has cut is not cut again
+    before = W.partitionBy("doc_id").orderBy("start", F.desc("end")).rowsBetween(W.unboundedPreceding, -1)
+    cut = duplicate_units(docs, params, rank).select("doc_id", "start", "end").distinct().withColumn("_done", F.coalesce(F.max("end").over(before), F.lit(0).cast("bigint")))
+    cut = cut.filter(F.col("end") > F.col("_done")).withColumn("start", F.greatest("start", "_done"))
+    spans = cut.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
     out = docs.join(spans.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left").drop("_id")
     begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("removed", lambda s: s["end"]))
     stops = F.concat(F.transform("removed", lambda s: s["start"]), F.array(F.length("text").cast("bigint")))

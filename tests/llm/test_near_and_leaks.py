@@ -173,3 +173,23 @@ def test_units_equal_brute_force(spark, small):
                 seen[digest] = (r["doc_id"], a, b)
     got = {(r["doc_id"], r["start"], r["end"], r["kept_doc_id"], r["kept_start"], r["kept_end"]) for r in substring_dedup.duplicate_units(small).collect()}
     assert got == want
+
+
+def test_repeated_lines_go_whole(spark):
+    short = "Come in. Sit down. No, stay there. It is late. Who said so? Nobody did."
+    mixed = "This sentence alone is long enough to count here. It is. So is this one, which has words enough as well. Yes!"
+    chinese = "这是一个没有空格的长段落" * 5
+    verse = "red sky\nat night\nblue sea\nby day"
+    own = [f"Own line {x} stands here and has no copy anywhere." for x in ("one", "two")]
+    texts = {1: f"{own[0]}\n{short}\n{mixed}\n\n{chinese}\n\n{verse}", 2: f"{mixed.upper()}\n{own[1]}\n  {short}\n\n{verse}\n\n{chinese}"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    spans = {(r["start"], r["end"]): (r["kept_doc_id"], r["kept_start"], r["kept_end"]) for r in substring_dedup.duplicate_units(df).collect()}
+    for passage in (short, mixed.upper(), chinese, verse):
+        a = texts[2].index(passage)
+        kept = spans[a, a + len(passage)]
+        assert kept[0] == 1 and texts[1][kept[1] : kept[2]].lower() == passage.lower()
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.without_duplicates(df).collect()}
+    assert left[1] == texts[1] and left[2].split("\n") == ["", own[1], "  ", "", "", "", ""]
+    # one text alone has nothing to lose, whatever its edges
+    alone = spark.createDataFrame([(1, "- one two three four five six seven. -\n\n(eight nine ten eleven twelve thirteen.)")], "doc_id long, text string")
+    assert substring_dedup.duplicate_units(alone).count() == 0
