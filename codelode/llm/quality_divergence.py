@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACES, table
+from .common import SPACES, materialized, table
 
 _ALL = "*"
 _SYMBOLS = r"[#*$%&|<>]+"
@@ -33,8 +33,6 @@ class DivergenceParams:
     min_words: int = 20
     max_repeat_percent: int = 30
     common_words: int = 40
-    #: Expected size of the sample in which the common words are looked for.
-    vocabulary_docs: int = 2000
     guard_words: int = 40
     guard_chars: int = 200
     max_class_distance: float = 0.28
@@ -125,20 +123,19 @@ def _with_counts(df: DataFrame, longest: int) -> DataFrame:
     return df.withColumn("counts", counts).drop("_codes")
 
 
-def common_words(docs: DataFrame, params: DivergenceParams = DivergenceParams()) -> dict[str, list[str]]:
-    """Each language's most frequent words in a bounded sample (vocabulary_docs rows expected, chosen by hash).
-
-    Only which words are compared comes from the sample; how often they occur is counted over all documents.
-    """
-    share = min(1.0, params.vocabulary_docs / max(docs.count(), 1))
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    words = sample.select("lang", F.explode(F.split("text", SPACES + "+")).alias("word")).filter("word <> ''").groupBy("lang", "word").count()
-    words = words.unionByName(words.groupBy(F.lit(_ALL).alias("lang"), "word").agg(F.sum("count").alias("count"))).filter("lang is not null")
-    place = W.partitionBy("lang").orderBy(F.desc("count"), F.asc("word"))
-    top = words.withColumn("_r", F.row_number().over(place)).filter(F.col("_r") <= min(params.common_words, 79))
-    out: dict[str, list[str]] = {_ALL: []}
+def common_words(docs: DataFrame, params: DivergenceParams = DivergenceParams()) -> dict[str, dict[str, int]]:
+    """The most frequent words of each language and of all documents ('*'), with their counts, over all documents."""
+    words = docs.select("lang", F.explode(F.split("text", SPACES + "+")).alias("word")).filter("word <> ''")
+    words = materialized(words.groupBy("lang", "word").agg(F.count("*").alias("n")))
+    every = words.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(_ALL).alias("lang"), "word", "n")
+    top, k = words.filter("lang is not null").unionByName(every), min(params.common_words, 79)
+    # the best of each salt first, so no task ranks all words of a language
+    for keys in (["lang", F.pmod(F.xxhash64("word"), F.lit(64))], ["lang"]):
+        place = W.partitionBy(*keys).orderBy(F.desc("n"), F.asc("word"))
+        top = top.withColumn("_r", F.row_number().over(place)).filter(F.col("_r") <= k)
+    out: dict[str, dict[str, int]] = {_ALL: {}}
     for r in top.orderBy("lang", "_r").collect():
-        out.setdefault(r["lang"], []).append(r["word"])
+        out.setdefault(r["lang"], {})[r["word"]] = r["n"]
     return out
 
 
@@ -147,20 +144,14 @@ def fit_references(docs: DataFrame, params: DivergenceParams = DivergenceParams(
 
     Counts cover all documents. What comes to the driver holds languages x common_words words, whatever the corpus size.
     """
-    spark, vocabulary = docs.sparkSession, common_words(docs, params)
-    df = _with_reference(base_measures(docs).drop("odd"), spark.createDataFrame([(x, ws) for x, ws in vocabulary.items()], "ref_lang string, ref_words array<string>"), vocabulary)
-    widest = max(map(len, vocabulary.values()))
+    vocabulary = common_words(docs, params)
     sums = [F.sum("n_words").alias("n_words"), *[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(N_CLASSES)]]
-    sums += [F.sum(F.get("counts", F.lit(i))).alias(f"w{i}") for i in range(widest)]
-    out = {x: {"lang": x, "n_words": 0, "classes": [0.0] * N_CLASSES, "counts": dict.fromkeys(ws, 0.0)} for x, ws in vocabulary.items()}
-    for r in df.groupBy("ref_lang").agg(*sums).collect():
-        for name in {r["ref_lang"], _ALL}:
+    out = {x: {"lang": x, "n_words": 0, "classes": [0.0] * N_CLASSES, "counts": {w: float(n) for w, n in ws.items()}} for x, ws in vocabulary.items()}
+    for r in base_measures(docs).groupBy("lang").agg(*sums).collect():
+        for name in {r["lang"], _ALL} & out.keys():
             one = out[name]
             one["n_words"] += r["n_words"]
             one["classes"] = [c + r[f"c{i}"] for i, c in enumerate(one["classes"])]
-            for i, w in enumerate(vocabulary[r["ref_lang"]]):
-                if w in one["counts"]:
-                    one["counts"][w] += r[f"w{i}"]
     return list(out.values())
 
 

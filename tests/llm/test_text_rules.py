@@ -162,3 +162,16 @@ def test_thousands_of_names_of_one_title_stay_distinct(spark):
     assert pii.dressed("email", "A@Ex.Com", "qba@zy.com") == "QBA@Zy.Com"
     with pytest.raises(RuntimeError, match="collide"):
         pii.pseudonymized(df, pii.PiiParams(max_tries=1))
+
+
+def test_every_language_has_a_reference_of_all_its_words(spark):
+    # each document has words of its own beside those of its language; one in 3,000 documents is of the rare language
+    rows = [(i, f"das ist der text {i} und " * 10, "de") for i in range(5998)]
+    rows += [(-1, "здесь написан чистый текст на другом языке " * 8, "ru"), (-2, "и здесь написан чистый текст на другом языке " * 8, "ru")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = {r["lang"]: r for r in quality.fit_references(docs)}
+    assert refs.keys() == {"*", "de", "ru"}
+    assert refs["ru"]["counts"] == {**dict.fromkeys("здесь написан чистый текст на другом языке".split(), 16.0), "и": 8.0}
+    assert refs["ru"]["n_words"] == 120 and refs["de"]["counts"]["und"] == 59_980.0 and refs["*"]["n_words"] == 120 + 6 * 59_980
+    judged = quality.judge(docs.filter("lang = 'ru'"), list(refs.values())).collect()
+    assert all(max(r["class_distance"], r["word_distance"]) < 0.2 for r in judged)
