@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .char_grams import Counter, KneserNey, U, gram_runs, lookup
 from .common import table
@@ -26,10 +25,6 @@ from .common import table
 
 @dataclass(frozen=True)
 class LanguageParams:
-    #: Bound of the model: so many of a language's most frequent grams.
-    grams_per_language: int = 400_000
-    #: Bound of the sample of training rows on which the rejection limits are set (expected number of rows).
-    calibration_rows: int = 20_000
     #: A text is rejected so many standard deviations above its language's mean entropy.
     reject_deviations: float = 5.0
     #: Characters up to which a text's length sharpens its score.
@@ -110,19 +105,15 @@ def count_grams(rows: DataFrame) -> DataFrame:
     return counted.groupBy("kind", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(rows: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModels:
-    """Models of the languages of rows (text, lang), counted over all of them."""
+def fit(rows: DataFrame) -> LanguageModels:
+    """Models of the languages of rows (text, lang), of all grams of all of them."""
     counts = count_grams(rows.select(F.col("lang").alias("kind"), "text"))
-    order, k = [F.desc("n"), F.asc("gram")], params.grams_per_language
-    salted = counts.withColumn("_s", F.pmod(F.xxhash64("gram"), F.lit(32)))
-    top = salted.withColumn("_r", F.row_number().over(W.partitionBy("kind", "_s").orderBy(*order))).filter(F.col("_r") <= max(1, k // 16))
-    got = top.select("kind", "gram", "n").toArrow()
-    kinds = np.array(got.column("kind").to_pylist(), dtype=object)
-    gram, n = got.column("gram").to_numpy().view(U), got.column("n").to_numpy()
+    got = counts.toArrow()
+    kinds = got.column("kind").combine_chunks().dictionary_encode()
+    number, gram, n = kinds.indices.to_numpy(), got.column("gram").to_numpy().view(U), got.column("n").to_numpy()
     held = {}
-    for kind in sorted(set(kinds)):
-        own = np.flatnonzero(kinds == kind)
-        own = own[np.lexsort((gram[own], -n[own]))][:k]
+    for i, kind in enumerate(kinds.dictionary.to_pylist()):
+        own = np.flatnonzero(number == i)
         own = own[np.argsort(gram[own])]
         held[kind] = (gram[own], n[own])
     return LanguageModels(held)
@@ -158,11 +149,8 @@ def predict(docs: DataFrame, models: LanguageModels, params: LanguageParams = La
 
 
 def calibrate(models: LanguageModels, rows: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModels:
-    """Sets each language's rejection limit from a bounded sample of its own training texts."""
-    total = rows.count()
-    share = min(1.0, params.calibration_rows / max(total, 1))
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    own = predict(sample, models, params).filter("lang = lang_pred").groupBy("lang")
+    """Sets each language's rejection limit from all of its own training texts."""
+    own = predict(rows, models, params).filter("lang = lang_pred").groupBy("lang")
     for r in own.agg(F.avg("entropy").alias("m"), F.coalesce(F.stddev_samp("entropy"), F.lit(0.0)).alias("s")).collect():
         models.limits[models.languages.index(r["lang"])] = r["m"] + params.reject_deviations * max(r["s"], 0.05)
     return models

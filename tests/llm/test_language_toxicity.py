@@ -64,3 +64,22 @@ def test_odd_toxicity(spark, odd, empty):
     assert toxicity.score_texts(odd, models).count() == odd.count()
     assert toxicity.fit(empty, labels) is None
     assert {r["score"] for r in toxicity.score_texts(odd, None).collect()} == {0.5}
+
+
+def test_the_language_model_has_all_grams(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x4E00 + 3000, 50_000))) for _ in range(10)]
+    rows = spark.createDataFrame([(t, "zh") for t in texts], "text string, lang string")
+    (model,) = language_id.fit(rows).models
+    codes, counts = distinct(np.concatenate(grams_of(texts)))
+    assert len(codes) > 400_000
+    full = KneserNey(codes, counts, model.alphabet)
+    assert np.array_equal(model.levels[0].codes, codes) and np.array_equal(model.levels[0].counts, counts)
+    assert [x.discount for x in model.levels] == [x.discount for x in full.levels]
+
+
+def test_rejection_limits_come_from_all_training_rows(spark):
+    rows = spark.range(25_000).selectExpr("id doc_id", "concat('word ', repeat(char(97 + id % 26), 1 + cast(id % 17 as int))) text", "'en' lang")
+    models = language_id.calibrate(language_id.fit(rows), rows)
+    bits = models.entropies([r["text"] for r in rows.collect()])[0][:, 0]
+    assert abs(models.limits[0] - (bits.mean() + 5 * max(bits.std(ddof=1), 0.05))) < 1e-9
