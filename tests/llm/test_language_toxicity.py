@@ -83,3 +83,13 @@ def test_rejection_limits_come_from_all_training_rows(spark):
     models = language_id.calibrate(language_id.fit(rows), rows)
     bits = models.entropies([r["text"] for r in rows.collect()])[0][:, 0]
     assert abs(models.limits[0] - (bits.mean() + 5 * max(bits.std(ddof=1), 0.05))) < 1e-9
+
+
+def test_the_toxicity_model_has_all_grams(spark):
+    rng = np.random.default_rng(4)
+    docs = spark.createDataFrame([(i, "".join(map(chr, rng.integers(0x4E00, 0x4E00 + 20_000, 600_000)))) for i in range(10)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, toxic int")
+    learned = docs.filter("pmod(xxhash64(doc_id, 'fold'), 4) <> 0")
+    codes, _ = distinct(np.concatenate(grams_of([r["text"] for r in learned.collect()])))
+    assert len(codes) > 3_000_000
+    assert np.array_equal(toxicity.fit(docs, labels).grams, codes)
