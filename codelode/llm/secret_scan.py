@@ -2,8 +2,8 @@
 
 Candidates are assignments to secret-like names, access key ids, long hexadecimal runs, and other long mixed tokens. Each
 candidate value is hashed; over the whole corpus its distinct repositories and owners are counted. A value that several
-owners hold is a copied example; one that a single owner (or few) holds looks live. The rule-based spans stay whatever
-the verdict; mixed tokens become spans (kind `owned`) only where their value is owner-specific.
+owners or many repositories hold is a copied example; one of few owners and few repositories looks live. The rule-based spans stay whatever
+the verdict; mixed tokens become spans (kind `owned`) only where their value looks live.
 
 Spans are code points, end exclusive. Defined results: null text counts as empty and has no spans; null owners count as
 one owner of their own; null ids are kept; rows equal in doc_id and text get equal results; an empty table gives an
@@ -39,6 +39,8 @@ BASE_KINDS = 3
 class SecretParams:
     #: A value of more owners than this is a copied example.
     max_owners: int = 2
+    #: So is a value of more repositories than this, whoever owns them.
+    max_repositories: int = 10
 
 
 def _with_spans(df: DataFrame, k: int) -> DataFrame:
@@ -99,7 +101,7 @@ def secret_scan(docs: DataFrame, params: SecretParams = SecretParams(), owner: s
     frequency = ownership(found)
     each = found.filter(F.size("base") + F.size("owned") > 0).select("doc_id", "key", F.explode(F.concat("base", "owned")).alias("s"))
     judged = each.withColumn("value", F.col("s.value")).join(frequency, "value")
-    live = F.col("n_owners") <= params.max_owners
+    live = (F.col("n_owners") <= params.max_owners) & (F.col("n_repositories") <= params.max_repositories)
     per_doc = judged.groupBy("doc_id", "key").agg(
         F.collect_set(F.when(live & (F.col("s.ord") == BASE_KINDS), F.col("s"))).alias("added"),
         F.count_if(live).alias("n_live"),

@@ -175,3 +175,12 @@ def test_every_language_has_a_reference_of_all_its_words(spark):
     assert refs["ru"]["n_words"] == 120 and refs["de"]["counts"]["und"] == 59_980.0 and refs["*"]["n_words"] == 120 + 6 * 59_980
     judged = quality.judge(docs.filter("lang = 'ru'"), list(refs.values())).collect()
     assert all(max(r["class_distance"], r["word_distance"]) < 0.2 for r in judged)
+
+
+def test_an_example_in_many_documents_of_one_source_is_copied(spark):
+    rows = [(i, "a sample Abcdef0123456789Abcdef0123 here", "hot") for i in range(200)]
+    rows += [(-i, "the key Zx8Qw2Er7Ty5Ui3Op9As1Df is here", "hot") for i in range(1, 4)]
+    out = secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(out) == 203
+    for r in out:
+        assert (len(r["spans"]), r["n_live"], r["n_copied"]) == ((0, 0, 1) if r["doc_id"] >= 0 else (1, 1, 0))
