@@ -14,15 +14,12 @@ from .decontamination import without_leaks
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .pii_surrogates import pseudonymized
-from .quality_divergence import fit_references, judge
+from .quality_divergence import fit_and_judge
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality rules reject."""
-    judged = judge(docs, fit_references(docs), keep=True)
-    # a filter on a plain column would be pushed below and repeat the verdict's whole expression at each of its uses
-    judged = judged.select("row", "kept", F.monotonically_increasing_id().alias("_stop"))
-    return judged.filter(F.col("kept") & (F.col("_stop") >= 0)).select("row.*")
+    return fit_and_judge(docs, keep=True).filter("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
 import hashlib
+import collections
+import math
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +77,54 @@ def test_quality_equals_brute_force(spark, small, odd):
         assert r["class_distance"] is None or 0 <= r["class_distance"] <= 1
 
 
+def shares(values):
+    return [v / max(sum(values), 1) for v in values]
+
+
+def js_distance(p, q):
+    mean = [(x + y) / 2 for x, y in zip(p, q)]
+    part = lambda a: sum(x * math.log2(x / m) for x, m in zip(a, mean) if x > 0)
+    return math.sqrt(max(0.0, (part(p) + part(q)) / 2))
+
+
+def classes_of(text):
+    out = [0] * 7
+    for c in text:
+        kind = unicodedata.category(c)
+        place = 0 if kind == "Ll" else 1 if c in " \t\n\v\f\r" else 2 if kind == "Lu" else 3 if c in ".,;:?'\"()-" else 4 if kind == "Nd" else 5 if c in "#*$%&|<>" else 6
+        out[place] += 1
+    return out
+
+
+def test_quality_distances_equal_brute_force(spark, small, odd):
+    docs = small.filter("doc_id < 80").select("doc_id", "text", "lang").unionByName(odd.select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text", "lang"))
+    rows, p = docs.collect(), quality.DivergenceParams()
+    words = [WORDS.findall(r["text"] or "") for r in rows]
+    refs = {}
+    for lang in {r["lang"] for r in rows if r["lang"]} | {None}:
+        own = [i for i, r in enumerate(rows) if lang in (None, r["lang"])]
+        held = collections.Counter(w for i in own for w in set(words[i]))
+        if not held and lang:
+            continue
+        top = sorted(held, key=lambda w: (-held[w], w.encode()))[: p.common_words]
+        counts = collections.Counter(w for i in own for w in words[i])
+        total = [sum(x) for x in zip(*[classes_of(rows[i]["text"] or "") for i in own])]
+        refs[lang] = top, shares(total), shares([counts[w] for w in top] + [sum(counts.values()) - sum(counts[w] for w in top)])
+    got = collections.Counter((r["doc_id"], r["kept"], *[x if x is None else round(x, 7) for x in (r["class_distance"], r["word_distance"])]) for r in quality.quality_divergence(docs).collect())
+    want = collections.Counter()
+    for r, ws in zip(rows, words):
+        text = r["text"] or ""
+        top, classes, ref = refs.get(r["lang"], refs[None])
+        x = y = None
+        if len(ws) >= p.guard_words and len(text) >= p.guard_chars:
+            c = collections.Counter(ws)
+            mine = [c[w] for w in top]
+            x, y = js_distance(shares(classes_of(text)), classes), js_distance(shares([*mine, len(ws) - sum(mine)]), ref)
+        kept = not measures(r["text"])[5] and (x is None or (x <= p.max_class_distance and y <= p.max_word_distance))
+        want[r["doc_id"], kept, *[z if z is None else round(z, 7) for z in (x, y)]] += 1
+    assert got == want
+
+
 def test_quality_keeps_clean_and_drops_junk(spark, small):
     prose = small.filter("lang = 'en'").limit(60)
     junk = spark.createDataFrame([(-1, " ".join(f"w{i}### x{i}$$$ y{i}%%%" for i in range(100)), "en"), (-2, " | ".join(f"cell{i}" for i in range(300)), "en")], "doc_id long, text string, lang string")
