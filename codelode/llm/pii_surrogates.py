@@ -13,9 +13,13 @@ number until none is left; a corpus in which that does not settle is an error. N
 same check finds them, and their family names get keyed syllables, more with every try. So do the e-mail addresses that
 find no free surrogate of their own length.
 
+The key is the caller's secret: whoever has it can undo the permutations. The query and the pipeline take it from the
+setting spark.codelode.pii.key of the session, and use SAMPLE_KEY, which is public, where that is unset.
+
 Defined results: null text stays null with no entities; null ids are kept; overlapping matches go to the earlier kind in
-KINDS; repeated rows get equal results; an empty table gives an empty result; extra columns are kept by pseudonymized
-and ignored by the query.
+KINDS; of several values with one surrogate the smallest keeps it; repeated rows get equal results; texts of any length
+are searched whole; an empty table gives an empty result; extra columns, whatever their names, are kept by pseudonymized
+(one with the name it would give to the entities is an error) and ignored by the query.
 """
 
 from __future__ import annotations
@@ -40,11 +44,11 @@ KINDS = {
     "card": r"(?<![0-9])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{3,4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,5}(?![0-9])",
-    "name": r"\b(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20[^\W\d_a-zà-ÿ][^\W\d_]+(?:\x20[^\W\d_a-zà-ÿ][^\W\d_]+)?",
+    "name": r"\b(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora|[Гг]осподин|[Гг]оспожа|г-н|г-жа)\.?\x20[^\W\d_a-zà-ÿа-яё][^\W\d_]+(?:\x20[^\W\d_a-zà-ÿа-яё][^\W\d_]+)?",
 }
 #: Forms of address by gender, and given and family names for surrogates by gender and script.
-FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora"]
-MALE = ["Mr", "Herr", "Monsieur", "Señor"]
+FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа", "госпожа", "г-жа"]
+MALE = ["Mr", "Herr", "Monsieur", "Señor", "Господин", "господин", "г-н"]
 GIVEN = {
     ("female", "latin"): ["Ada", "Berta", "Clara", "Dora", "Edith", "Flora", "Greta", "Hilda", "Irma", "Julia", "Karla", "Linda"],
     ("male", "latin"): ["Albert", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Henri", "Ivan", "Jonas", "Kurt", "Louis"],
@@ -61,12 +65,16 @@ FAMILY = {
 SYLLABLES = {"latin": ("bcdfghjklmnpqrstvwxz", "aeiou"), "cyrillic": ("бвгджзклмнпрстфхцчшщ", "аеиоу")}
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
 #: A text without any of these has no entity; checked before a text leaves the JVM.
-_ANY = r"@|[0-9]{3}|\+[0-9]{1,3}[ .-]?[0-9]|[0-9]\.[0-9]+\.[0-9]|(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20"
+_ANY = r"@|[0-9]{3}|\+[0-9]{1,3}[ .-]?[0-9]|[0-9]\.[0-9]+\.[0-9]|(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora|осподин|оспожа|г-н|г-жа)\.?\x20"
+
+
+#: For tests and checks only.
+SAMPLE_KEY = b"surrogate key 1"
 
 
 @dataclass(frozen=True)
 class PiiParams:
-    key: bytes = b"surrogate key 1"
+    key: bytes
     #: Exceptions (value and number of tries) up to which they are sent to all tasks; beyond, they are joined by document.
     broadcast_rows: int = 100_000
     max_tries: int = 20
@@ -158,8 +166,8 @@ def surrogate(key: bytes, kind: str, value: str, number: int = 0) -> str:
         labels = name.split(".")
         # short local parts of a host can all be somebody's: from the third try on they grow
         extra = _syllables(int.from_bytes(hmac.new(key, f"{label}|{value}".encode(), hashlib.sha256).digest(), "big"), min(2 * (number - 2), 30), "latin") if number >= 3 else ""
-        # the host's own label is permuted; well-known suffixes and the words example and mail say nothing about a person
-        return f"{_permute_format(key, label + '|' + domain, local)}{extra}@{'.'.join(_permute_format(key, label, x) if x not in ('example', 'mail') and not x.startswith('mail') else x for x in labels)}.{top}"
+        # every label of the host is permuted, but not its last, which names no one
+        return f"{_permute_format(key, label + '|' + domain, local)}{extra}@{'.'.join(_permute_format(key, label, x) for x in labels)}.{top}"
     if kind == "ip":
         x = 0
         for part in value.split("."):
@@ -264,10 +272,17 @@ def _replaced(text: str, key: bytes, special: dict[tuple[str, str], str]) -> tup
 _RESULT = "struct<text:string,entities:array<struct<kind:string,start:bigint,end:bigint>>>"
 
 
-def pseudonymized(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
-    """docs with text replaced, and entities: kind and original code point span of each replaced value."""
+def session_params(spark: SparkSession) -> PiiParams:
+    return PiiParams(key=spark.conf.get("spark.codelode.pii.key", SAMPLE_KEY.decode()).encode())
+
+
+def pseudonymized(docs: DataFrame, params: PiiParams, entities_column: str = "entities") -> DataFrame:
+    """docs with text replaced, and the entities: kind and original code point span of each replaced value."""
+    if entities_column in docs.columns:
+        raise ValueError(f"docs has a column {entities_column} already")
     key = params.key
     special = materialized(exceptions(docs, params))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _candidate_text().alias("text"))
     if special.limit(params.broadcast_rows + 1).count() <= params.broadcast_rows:
         shared = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["value"]): r["made"] for r in special.collect()})
 
@@ -276,7 +291,7 @@ def pseudonymized(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame
             rows = [_replaced(t, key, shared.value) if t is not None else (None, None) for t in text]
             return pd.DataFrame(rows, columns=["text", "entities"])
 
-        out = docs.withColumn("_r", replace(_candidate_text()))
+        out = rows.select("row", replace("text").alias("r"))
     else:
 
         @F.pandas_udf(_RESULT)
@@ -291,15 +306,15 @@ def pseudonymized(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame
         def found(text: pd.Series) -> pd.Series:
             return pd.Series([None if t is None else [{"kind": k, "value": v} for k, v in sorted({(k, canonical(k, t[a:b])) for a, b, k in entities(t)})] for t in text], dtype=object)
 
-        texts = docs.select(F.xxhash64("text").alias("_key"), _candidate_text().alias("text")).filter("text is not null")
-        each = texts.select("_key", F.explode(found("text")).alias("e")).select("_key", "e.kind", "e.value").distinct()
-        own = each.join(special, ["kind", "value"]).groupBy("_key").agg(F.collect_list(F.struct("kind", "value", "made")).alias("_own"))
-        joined = docs.withColumn("_key", F.xxhash64("text")).join(own, "_key", "left").drop("_key")
-        out = joined.withColumn("_r", replace_own(_candidate_text(), F.col("_own"))).drop("_own")
+        rows = rows.withColumn("key", F.xxhash64("text"))
+        each = rows.filter("text is not null").select("key", F.explode(found("text")).alias("e")).select("key", "e.kind", "e.value").distinct()
+        own = each.join(special, ["kind", "value"]).groupBy("key").agg(F.collect_list(F.struct("kind", "value", "made")).alias("own"))
+        out = rows.join(own, "key", "left").select("row", replace_own(F.col("text"), F.col("own")).alias("r"))
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    return out.withColumns({"text": F.coalesce("_r.text", "text"), "entities": F.coalesce("_r.entities", none)}).drop("_r")
+    kept = [(F.coalesce("r.text", "row.text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return out.select(*kept, F.coalesce("r.entities", none).alias(entities_column))
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"), session_params(spark))
     return out.select("doc_id", "text", F.size("entities").cast("bigint").alias("n_entities"), "entities")

@@ -13,7 +13,7 @@ from .common import bounded_batches, table
 from .decontamination import without_leaks
 from .near_duplicates import near_duplicates
 from .packing import pack
-from .pii_surrogates import pseudonymized
+from .pii_surrogates import pseudonymized, session_params
 from .quality_divergence import fit_and_judge
 
 
@@ -38,10 +38,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data; n_chars is counted anew."""
     bounded_batches(spark)
-    own = {"entities": "_own_entities"} if "entities" in docs.columns else {}
-    out = pseudonymized(docs.withColumnsRenamed(own))
-    if own:
-        out = out.drop("entities").withColumnRenamed("_own_entities", "entities")
+    spans = "entities"
+    while spans in docs.columns:
+        spans = f"_{spans}"
+    out = pseudonymized(docs, session_params(spark), spans)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
     return out.select(*docs.columns)

@@ -138,6 +138,9 @@ def test_quality_of_an_empty_table(spark, empty):
     assert quality.quality_divergence(empty).count() == 0
 
 
+KEY = b"a key of the tests"
+
+
 def test_permutation_is_one():
     for size in (1, 2, 7, 100, 1009):
         assert sorted(pii.permute(b"k", "x", i, size) for i in range(size)) == list(range(size))
@@ -155,7 +158,7 @@ TEXTS = {
 
 def test_surrogates_hide_keep_format_and_coreference(spark):
     df = spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").withColumn("extra", F.lit(1))
-    rows = {r["doc_id"]: r for r in pii.pseudonymized(df).collect()}
+    rows = {r["doc_id"]: r for r in pii.pseudonymized(df, pii.PiiParams(KEY)).collect()}
     assert rows[4]["text"] == TEXTS[4] and rows[5]["text"] is None and rows[6]["text"] == "" and rows[5]["entities"] == []
     a, b = re.findall(r"\S+@[\w.]+\w", rows[1]["text"])
     assert a.lower() == b and a != b and "doe" not in b
@@ -171,14 +174,31 @@ def test_surrogates_hide_keep_format_and_coreference(spark):
 def test_surrogates_stay_distinct_where_names_are_few(spark):
     names = [f"Mr {chr(65 + i % 26)}{chr(97 + i // 26)}x" for i in range(60)]
     df = spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")
-    out = [r["text"] for r in pii.pseudonymized(df).collect()]
+    out = [r["text"] for r in pii.pseudonymized(df, pii.PiiParams(KEY)).collect()]
     assert len(set(out)) == len(set(names)) and not set(out) & set(names)
-    joined = [r["text"] for r in pii.pseudonymized(df, pii.PiiParams(broadcast_rows=0)).orderBy("doc_id").collect()]
+    joined = [r["text"] for r in pii.pseudonymized(df, pii.PiiParams(KEY, broadcast_rows=0)).orderBy("doc_id").collect()]
     assert sorted(joined) == sorted(out)
 
 
+def test_pii_keeps_extra_columns_of_any_name(spark, clashing):
+    docs = clashing.withColumn("text", F.concat("text", F.lit(" Mr Abc Def"))).withColumns({"own": F.lit("o"), "r": F.lit("r"), "row": F.lit(1)})
+    for params in (pii.PiiParams(KEY), pii.PiiParams(KEY, broadcast_rows=0)):
+        out = pii.pseudonymized(docs, params, "found")
+        assert out.columns == [*docs.columns, "found"] and out.drop("text", "found").exceptAll(docs.drop("text")).count() == 0
+        assert all("Abc" not in r["text"] and len(r["found"]) == 1 and (r["r"], r["own"], r["row"]) == ("r", "o", 1) for r in out.collect())
+    with pytest.raises(ValueError):
+        pii.pseudonymized(docs.withColumn("entities", F.lit(1)), pii.PiiParams(KEY))
+
+
+def test_cyrillic_names_get_cyrillic_names(spark):
+    df = spark.createDataFrame([(1, "Госпожа Анна Каренина и г-н Левин пришли, господин слуга ушёл")], "doc_id long, text string")
+    r = pii.pseudonymized(df, pii.PiiParams(KEY)).first()
+    assert len(r["entities"]) == 2 and "Каренина" not in r["text"] and "Левин" not in r["text"] and r["text"].endswith("господин слуга ушёл")
+    assert re.match(r"Госпожа (\w+) ", r["text"]).group(1) in pii.GIVEN["female", "cyrillic"]
+
+
 def test_odd_pii(spark, odd, empty):
-    assert pii.pseudonymized(odd).count() == odd.count() and pii.pseudonymized(empty).count() == 0
+    assert pii.pseudonymized(odd, pii.PiiParams(KEY)).count() == odd.count() and pii.pseudonymized(empty, pii.PiiParams(KEY)).count() == 0
 
 
 #: Matches of each alternative of each pattern, with as few digits in a row as it allows.
@@ -197,7 +217,7 @@ def test_the_prefilter_passes_every_pattern(spark):
     texts = [(f"{k} is {v}", k) for k, vs in SHORTEST.items() for v in vs]
     assert all([e[2] for e in pii.entities(t)] == [k] for t, k in texts)
     df = spark.createDataFrame(texts, "text string, want string")
-    for r in pii.pseudonymized(df.withColumn("before", F.col("text"))).collect():
+    for r in pii.pseudonymized(df.withColumn("before", F.col("text")), pii.PiiParams(KEY)).collect():
         assert [e["kind"] for e in r["entities"]] == [r["want"]] and r["text"] != r["before"], r["before"]
 
 
@@ -206,13 +226,14 @@ def test_thousands_of_names_of_one_title_stay_distinct(spark):
     values = [f"Mr Q{x} V{x}" for x in letters] + [f"Mr W{x}" for x in letters[:1000]] + [f"Mr Ж{x}" for x in letters[:500]]
     values += [f"{chr(97 + i)}@example.com" for i in range(26)]  # every address of that form is taken
     df = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
-    rows = pii.pseudonymized(df).collect()
+    rows = pii.pseudonymized(df, pii.PiiParams(KEY)).collect()
     out = {r["text"] for r in rows}
     assert len(out) == len(values) and not out & set(values)
     assert all([e[1] for e in pii.entities(r["text"])] == [len(r["text"])] for r in rows)
     assert pii.dressed("email", "A@Ex.Com", "qba@zy.com") == "QBA@Zy.Com"
+    assert not any(label in pii.surrogate(KEY, "email", "j.smith@mailworks.example.com") for label in ("mail", "example", "smith"))
     with pytest.raises(RuntimeError, match="collide"):
-        pii.pseudonymized(df, pii.PiiParams(max_tries=1))
+        pii.pseudonymized(df, pii.PiiParams(KEY, max_tries=1))
 
 
 def test_every_language_has_a_reference_of_all_its_words(spark):
