@@ -28,10 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a new local folder on a local master (tests), and an error on a cluster, whose machines share none.
+    """
     sc = spark.sparkContext
     root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is to name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="codelode-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
@@ -61,6 +66,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def join_skewed(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, share: int = 1000) -> DataFrame:
+    """Inner join on key, which is unique in right; weight is a key's number of rows in left, total all of them.
+
+    Keys that hold more than one in share of all rows are at most share many, as their weights sum to total at most: they
+    are broadcast, so their rows stay where they are. The others are shuffled, none with more than that part of the rows.
+    """
+    hot = F.col(weight) * share > total
+    few = F.broadcast(right.filter(hot))
+    rest = left.join(few.select(F.col(key).alias("_hot_key")), F.col(key) == F.col("_hot_key"), "left_anti")
+    return left.join(few, key).unionByName(rest.join(right.filter(~hot), key))
+
+
 def running_sum(lengths: Column) -> Column:
     """Exclusive prefix sums of an array<bigint>; blocks keep very long arrays from quadratic copying."""
 

@@ -5,9 +5,10 @@ candidate value is hashed; over the whole corpus its distinct repositories and o
 owners or many repositories hold is a copied example; one of few owners and few repositories looks live. The rule-based spans stay whatever
 the verdict; mixed tokens become spans (kind `owned`) only where their value looks live.
 
-Spans are code points, end exclusive. Defined results: null text counts as empty and has no spans; null owners count as
-one owner of their own; null ids are kept; rows equal in doc_id and text get equal results; an empty table gives an
-empty result; extra columns are ignored.
+Spans are code points, end exclusive. Defined results: null text counts as empty and has no spans; all null owners count
+as one owner, apart from the empty one, and so do all null repositories; null ids are kept; rows equal in doc_id and text
+get equal results, those of the row once; spans that start together go by kind as listed; texts of any length are
+searched whole; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialized, running_sum, table
+from .common import join_skewed, materialized, running_sum, table
 
 #: The kinds in their order, each with its pattern, the group that holds the value, and the least length
 #: of that value. In `assign` only the names are free of case.
@@ -88,26 +89,27 @@ def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value, n_owners, n_repositories of every candidate value, over the whole corpus."""
-    each = found.select(F.coalesce("owner", F.lit("")).alias("owner"), "repository", F.explode(F.concat("base", "owned")).alias("s"))
-    pairs = each.select(F.col("s.value").alias("value"), "owner", "repository").distinct()
-    owners = pairs.groupBy("value", "owner").agg(F.count("*").alias("n"))
-    return owners.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
+    """value, n_owners, n_repositories, n_spans of every candidate value, over the whole corpus."""
+    each = found.select("owner", "repository", F.explode(F.concat("base", "owned")).alias("s"))
+    # a value of many rows is summed in each task before every shuffle
+    pairs = each.groupBy(F.col("s.value").alias("value"), "owner", "repository").agg(F.count("*").alias("spans"))
+    owners = pairs.groupBy("value", "owner").agg(F.count("*").alias("n"), F.sum("spans").alias("spans"))
+    return owners.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"), F.sum("spans").alias("n_spans"))
 
 
 def secret_scan(docs: DataFrame, params: SecretParams = SecretParams(), owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """doc_id, base (array of spans), spans (base and owner-specific tokens), n_live, n_copied of each document."""
     found = materialized(candidates(docs, owner, repository))
-    frequency = ownership(found)
+    frequency = materialized(ownership(found))
+    spans = frequency.agg(F.coalesce(F.sum("n_spans"), F.lit(0))).first()[0]
     each = found.filter(F.size("base") + F.size("owned") > 0).select("doc_id", "key", F.explode(F.concat("base", "owned")).alias("s"))
-    judged = each.withColumn("value", F.col("s.value")).join(frequency, "value")
+    judged = join_skewed(each.withColumn("value", F.col("s.value")), frequency, "value", "n_spans", spans)
     live = (F.col("n_owners") <= params.max_owners) & (F.col("n_repositories") <= params.max_repositories)
-    per_doc = judged.groupBy("doc_id", "key").agg(
-        F.collect_set(F.when(live & (F.col("s.ord") == BASE_KINDS), F.col("s"))).alias("added"),
-        F.count_if(live).alias("n_live"),
-        F.count_if(~live).alias("n_copied"),
-    )
-    per_doc = per_doc.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    # a set, so a row that is there twice counts once
+    per_doc = judged.groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", live.alias("live"))).alias("all"))
+    added = F.transform(F.filter("all", lambda x: x["live"] & (x["s"]["ord"] == BASE_KINDS)), lambda x: x["s"])
+    n_live = F.size(F.filter("all", lambda x: x["live"]))
+    per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), added.alias("added"), n_live.alias("n_live"), (F.size("all") - n_live).alias("n_copied"))
     out = found.join(per_doc, found["doc_id"].eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
     added = F.coalesce("added", F.slice("base", 1, F.lit(0)))
     return out.select(
