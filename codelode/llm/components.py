@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialized
+from .common import join_skewed, materialized
 
 
 def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,24 +34,25 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node that has an edge; root is the component's smallest node.
 
     edges: columns a, b (bigint, not null). Alternates large-star and small-star steps until no edge changes; the
-    number of steps grows with the logarithm of the component size. Each round is checkpointed.
+    number of steps grows with the logarithm of the component size. Each round is checkpointed. A node of very many edges
+    (a hub) is joined by broadcast, so its edges stay where they are.
     """
     current = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     current = materialized(current.distinct())
-    before = None
+    before, n_edges = None, current.count()
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = join_skewed(both, low, "a", "n", 2 * n_edges).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter(F.col("a") != F.col("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        linked = large.join(low, "a")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        linked = join_skewed(large, low, "a", "n", 2 * n_edges)
         small = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         current = materialized(small.filter(F.col("a") != F.col("b")).distinct())
         now = current.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             break
-        before = now
+        before, n_edges = now, now[0]
     else:
         raise RuntimeError("components did not settle")
     roots = current.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))

@@ -8,8 +8,9 @@ own best score is the similarity, and it alone decides.
 Words here are runs of letters, digits and bytes beyond ASCII; A-Z count as a-z; punctuation only separates.
 
 Defined results: null or empty texts and items match nothing; items with fewer words than a seed are compared by
-equality of that many words; rows with null ids are reported with null ids; repeated rows are reported each; an empty
-table gives an empty result; extra columns are ignored.
+equality of that many words; rows with null ids are reported with null ids; repeated documents are reported each,
+repeated items once; of alignments of equal score the first in the text is reported; texts of any length are searched
+whole; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -181,7 +182,7 @@ def _matches(docs: DataFrame, index: ItemIndex, params: LeakParams) -> DataFrame
 def leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
     """doc_id, item_id, score and code point span of the best alignment of each document and item that match."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
     chars = items.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // params.block_chars))
     out = []

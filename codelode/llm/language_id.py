@@ -6,7 +6,8 @@ training texts have is marked as rejected (a language that was not learned, or n
 
 Defined results: null texts and texts without a letter get `und`, score 0; rows with a null doc_id are scored but not
 learned from; rows with a null lang are scored but not learned from; without any training row all is `und`; ties between
-languages go to the first in alphabetical order; repeated rows are scored alike; extra columns are ignored.
+languages go to the first in alphabetical order; repeated rows are scored alike, and learned from as often as they are
+there; texts of any length are scored whole; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,16 +30,21 @@ class LanguageParams:
     reject_deviations: float = 5.0
     #: Characters up to which a text's length sharpens its score.
     score_chars: int = 40
+    #: Bound of the table of all grams' bits in all languages; a larger one is not made, and each text's bits are then taken
+    #: from the models themselves: the same figures at more time.
+    table_bytes: int = 256 << 20
 
 
 class LanguageModels:
     """All languages' models, with the log probabilities of all known grams in one sorted table."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], table_bytes: int = LanguageParams.table_bytes):
         self.languages = sorted(counts)
         chars = np.unique(np.concatenate([np.empty(0, U), *[np.unique(c & U(0xFFFF)) for c, _ in counts.values()]]))
         self.models = [KneserNey(*counts[x], len(chars) + 1) for x in self.languages]
         self.known = np.unique(np.concatenate([np.empty(0, U), *[c for c, _ in counts.values()]]))
+        if len(self.known) * len(self.languages) * 4 > table_bytes:
+            self.known = self.known[:0]
         self.bits = self._bits(self.known)
         self.limits = np.full(len(self.languages), np.inf)
 
@@ -105,7 +111,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
     return counted.groupBy("kind", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(rows: DataFrame) -> LanguageModels:
+def fit(rows: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModels:
     """Models of the languages of rows (text, lang), of all grams of all of them."""
     counts = count_grams(rows.select(F.col("lang").alias("kind"), "text"))
     got = counts.toArrow()
@@ -116,7 +122,7 @@ def fit(rows: DataFrame) -> LanguageModels:
         own = np.flatnonzero(number == i)
         own = own[np.argsort(gram[own])]
         held[kind] = (gram[own], n[own])
-    return LanguageModels(held)
+    return LanguageModels(held, params.table_bytes)
 
 
 def predict(docs: DataFrame, models: LanguageModels, params: LanguageParams = LanguageParams()) -> DataFrame:

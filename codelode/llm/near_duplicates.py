@@ -10,7 +10,8 @@ hold every pair within the distance. Inside a cluster links are then confirmed o
 
 Defined results: null text is an empty text; empty texts have no shingles and no links; rows with a null doc_id take no
 part in links and get a null component_id and kept = true; rows that repeat a doc_id are one node with the texts of
-both; an empty table gives an empty result; extra columns are ignored.
+both; of equal sets the smallest doc_id stands for all, so there are no ties; texts of any length are taken whole; an
+empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialized, table
+from .common import broadcast_if_small, join_skewed, materialized, table
 from .components import connected_components, local_stars
 from .wordcodes import U, batch_words, mix, shingle_set, text_batches
 
@@ -243,15 +244,16 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
     sketch = materialized(sketches(docs, params))
     full = sketch.filter("set_hash is not null and doc_id is not null")
     classes = full.groupBy("set_hash").agg(
-        F.min("doc_id").alias("doc"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.max("doc_id").alias("last")
+        F.min("doc_id").alias("doc"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.max("doc_id").alias("last"), F.count("*").alias("n")
     )
     reps = materialized(classes)
     clusters = connected_components(hamming_stars(reps, params)).select(F.col("node").alias("doc"), F.col("root").alias("cluster"))
     sized = clusters.join(reps.groupBy("doc").agg(F.max("n_shingles").alias("n_shingles")), "doc")
     near = confirmed_links(docs, sized, params).select("a", "b")
     # equal sets: a copy is linked with its class; only classes of several ids need it
-    several = reps.filter("last > doc").select("set_hash", "doc")
-    copies = full.select("set_hash", "doc_id").join(several, "set_hash").filter("doc_id > doc").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
+    several = reps.filter("last > doc").select("set_hash", "doc", "n")
+    total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    copies = join_skewed(full.select("set_hash", "doc_id"), several, "set_hash", "n", total).filter("doc_id > doc").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
     found = connected_components(near.unionByName(copies))
     out = sketch.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))

@@ -9,8 +9,9 @@ powers of two, which need no padding. So no sequence has any.
 Which piece goes where follows from its length and its rank among the pieces of that length; ranks come from counts per
 task, so no step gathers all pieces of a length. The driver holds the histogram and the plan, both bounded by the window.
 
-Defined results: null and empty texts are the end id alone; null ids are kept; repeated rows are packed each; an empty
-table gives an empty result; extra columns are ignored.
+Defined results: null and empty texts are the end id alone; null ids are kept; repeated rows are packed each; pieces
+of equal length (ties) are dealt by their rank in the written order; texts of any length are packed whole; an empty table
+gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ on training rows that the models did not see turns that into a probability.
 
 Defined results: null texts, empty texts and texts without letters have no evidence and get the score of the prior;
 rows with a null doc_id are scored, not learned from; several labels of one doc_id count as toxic if any is; without
-labels of both classes every score is 0.5; repeated rows are scored alike; extra columns are ignored.
+labels of both classes every score is 0.5; repeated rows are scored alike; a score of exactly 0.5 counts as toxic; texts
+of any length are scored whole; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ revisit records without payload; smaller payloads are always responses.
 
 Defined results: null html is an empty payload; a null url is written as an empty target; rows with a null page_id are
 revisits of an equal payload that has an id, else responses; rows that repeat a page_id and its payload are alike; an
-empty table writes no archive and reads no record; extra columns are ignored.
+empty table writes no archive and reads no record; payloads of any length are written whole; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialized, staging_path, table
+from .common import broadcast_if_small, materialized, staging_path, stored, table
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MAGIC = b"\x1f\x8b\x08"
@@ -293,8 +294,13 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = staging_path(spark, "warc")
     manifest = write_archives(table(spark, sf_dir, "pages"), folder)
-    found = read_archives(manifest, folder, with_payload=False).filter("gap is null")
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = stored(read_archives(manifest, folder, with_payload=False).drop("payload"), "records")
+    # archives just written have no gaps, and give back as many records as were put in
+    wanted = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    records, gaps = found.agg(F.count_if("gap is null"), F.count("gap")).first()
+    if records != wanted or gaps:
+        raise RuntimeError(f"{records} of {wanted} records read back, {gaps} gaps")
+    return found.filter("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"

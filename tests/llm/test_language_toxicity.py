@@ -1,6 +1,9 @@
+import collections
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from codelode.llm import language_id, toxicity
 from codelode.llm.char_grams import KneserNey, U, distinct, gram_runs
@@ -93,3 +96,68 @@ def test_the_toxicity_model_has_all_grams(spark):
     codes, _ = distinct(np.concatenate(grams_of([r["text"] for r in learned.collect()])))
     assert len(codes) > 3_000_000
     assert np.array_equal(toxicity.fit(docs, labels).grams, codes)
+
+
+def plain_probability(levels, alphabet, gram, k=0):
+    """The textbook recursion over dictionaries of gram counts, longest grams first."""
+    if k == len(levels):
+        return 1 / alphabet
+    lower = plain_probability(levels, alphabet, gram[1:], k + 1)
+    same = {g: n for g, n in levels[k].items() if g[:-1] == gram[:-1]}
+    if not same:
+        return lower
+    once, twice = (sum(n == x for n in levels[k].values()) for x in (1, 2))
+    d = once / (once + 2 * twice) if once else 0.5
+    return (max(levels[k].get(gram, 0) - d, 0) + d * len(same) * lower) / sum(same.values())
+
+
+def as_text(codes):
+    return ["".join(chr(int(c) >> s & 0xFFFF) for s in (48, 32, 16, 0)) for c in codes]
+
+
+def levels_of(texts):
+    counted = collections.Counter(g for c in grams_of(texts) for g in as_text(c))
+    levels = [counted]
+    for _ in range(3):
+        levels.append(collections.Counter(g[1:] for g in levels[-1]))
+    return levels
+
+
+TOXIC = ["you vile fool, you vile liar", "a vile liar you are"] * 2
+ORDINARY = ["the cat sat on the mat", "a cat and a hat", "that is that"] * 2 + ["once upon a time", "xyz"]
+
+
+def test_kneser_ney_equals_the_plain_recursion():
+    codes, counts = distinct(np.concatenate(grams_of(ORDINARY)))
+    levels, model = levels_of(ORDINARY), KneserNey(codes, counts, 30)
+    every = np.concatenate([codes, codes[::3] ^ U(1)])
+    want = [plain_probability(levels, 30, g) for g in as_text(every)]
+    assert model.probability(every) == pytest.approx(want, rel=1e-9)
+
+
+def test_toxic_ratios_equal_the_plain_recursion():
+    own = [levels_of(t)[0] for t in (TOXIC, ORDINARY)]
+    shared = [collections.Counter(g[1:] for g in own[0].keys() | own[1].keys())]
+    for _ in range(2):
+        shared.append(collections.Counter(g[1:] for g in shared[-1]))
+    models = toxicity.ToxicModels(*[distinct(np.concatenate(grams_of(t))) for t in (TOXIC, ORDINARY)])
+    alphabet = len({g[-1] for levels in own for g in levels}) + 1
+    for got, gram in zip(models.ratios, as_text(models.grams)):
+        p = [plain_probability([levels, *shared], alphabet, gram) for levels in own]
+        assert got == pytest.approx(np.log(p[0] / p[1]), rel=1e-9)
+
+
+def test_a_language_model_without_its_table_scores_alike(spark):
+    rows = [(i, f"the quick brown fox number {i} jumps over it", "en") for i in range(30)] + [(100 + i, f"der schnelle braune fuchs {i} springt darueber", "de") for i in range(30)]
+    docs = spark.createDataFrame([*rows, (None, None, None), (7, "", "en")], "doc_id long, text string, lang string")
+    models = [language_id.fit(docs, language_id.LanguageParams(table_bytes=n)) for n in (1 << 20, 0)]
+    assert len(models[0].known) and not len(models[1].known)
+    got = [sorted(map(tuple, language_id.predict(docs, m).select("doc_id", "lang_pred", F.round("score", 6), F.round("entropy", 4)).na.fill("-").na.fill(-1).collect())) for m in models]
+    assert got[0] == got[1] and {r[1] for r in got[0]} == {"en", "de", "und"}
+
+
+def test_extra_columns_of_any_name(spark, clashing):
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(4)], "doc_id long, quality int, toxic int")
+    docs = clashing.withColumns({"kind": F.lit("k"), "gram": F.lit(1), "toxic": F.lit(9), "f0": F.lit(0)})
+    assert language_id.predict(docs, language_id.fit(docs)).count() == 4
+    assert toxicity.score_texts(docs, toxicity.fit(docs, labels)).count() == 4

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codelode.llm import decontamination, near_duplicates, substring_dedup
 from codelode.llm.wordcodes import batch_words, shingle_set, text_batches
@@ -134,6 +135,33 @@ def test_edited_copies_equal_brute_force_alignment(spark):
         assert got == pytest.approx({**want, **{n: 1.0 for n in exact}})
 
 
+def test_recall_against_alignment_of_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) < 6000")
+    benchmark = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    params = decontamination.LeakParams()
+    index = decontamination.ItemIndex([tuple(r) for r in benchmark.select("item_id", "text").collect()], params.seed_words)
+    texts = decontamination.ItemIndex([tuple(r) for r in docs.select("doc_id", "text").collect()], params.seed_words)
+    want = set()
+    for i, item in zip(index.ids, index.codes):
+        own = set(item.tolist())
+        # a text that shares fewer words with an item than its score needs cannot reach it
+        near = [k for k, c in enumerate(texts.codes) if len(item) and sum(w in own for w in c.tolist()) >= params.min_score * len(item)]
+        for at in range(0, len(near), 64):
+            part = near[at : at + 64]
+            score, _ = decontamination.align([item] * len(part), [texts.codes[k] for k in part])
+            want |= {(texts.ids[k], i) for k, s in zip(part, score) if s >= params.min_score * 2 * len(item)}
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, benchmark).collect()}
+    assert got <= want and len(want) > 10 and len(got) >= 0.95 * len(want)
+
+
+def test_extra_columns_of_any_name_here(spark, clashing):
+    docs = clashing.withColumns({"item_id": F.lit(1), "start": F.lit(0), "digest": F.lit("d"), "rank": F.lit(0.0), "_id": F.lit(5), "row": F.lit(2), "id": F.lit(3), "n": F.lit(1)})
+    items = spark.createDataFrame([(1, "this is text number 2 of a small set with words enough")], "item_id long, text string")
+    assert {r["doc_id"] for r in decontamination.leaks(docs, items).collect()} >= {2}
+    out = substring_dedup.without_duplicates(docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10)))
+    assert out.columns == [*docs.columns, "removed"] and out.filter("doc_id >= 10").filter("trim(text) <> ''").count() == 0
+
+
 def test_blocks_of_items_give_the_same(spark, small):
     benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     one = decontamination.leaks(small, benchmark)

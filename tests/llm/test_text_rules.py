@@ -256,3 +256,23 @@ def test_an_example_in_many_documents_of_one_source_is_copied(spark):
     assert len(out) == 203
     for r in out:
         assert (len(r["spans"]), r["n_live"], r["n_copied"]) == ((0, 0, 1) if r["doc_id"] >= 0 else (1, 1, 0))
+
+
+def test_secret_verdict_counts_repositories_and_each_row_once(spark):
+    rows = [(i, "a sample Abcdef0123456789Abcdef0123 here", "one owner") for i in range(2000)]
+    rows += [(-1, "the key Zx8Qw2Er7Ty5Ui3Op9As1Df is here", None)] * 2 + [(-2, "the key Zx8Qw2Er7Ty5Ui3Op9As1Df is here", ""), (-3, "token=abcdefgh", "")]
+    out = secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r["doc_id"], []).append((r["n_live"], r["n_copied"]))
+    assert len(out) == 2004 and all(by[i] == [(0, 1)] for i in range(2000))
+    assert by[-1] == [(1, 0)] * 2 and by[-2] == [(1, 0)] and by[-3] == [(1, 0)]
+    found = secret_scan.ownership(secret_scan.candidates(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()
+    assert sorted((r["n_owners"], r["n_repositories"], r["n_spans"]) for r in found) == [(1, 1, 1), (1, 2000, 2000), (2, 2, 3)]
+
+
+def test_secrets_and_quality_with_extra_columns_of_any_name(spark, clashing):
+    docs = clashing.withColumns({"owner": F.lit("o"), "base": F.lit(1), "n": F.lit(2), "row": F.lit(3), "words": F.lit(4), "kept": F.lit(False), "counts": F.lit(5)})
+    assert secret_scan.secret_scan(docs).count() == 4 and quality.quality_divergence(docs).count() == 4
+    out = quality.fit_and_judge(docs, keep=True).select("row.*")
+    assert out.columns == docs.columns and out.exceptAll(docs).count() == 0
