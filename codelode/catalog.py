@@ -114,7 +114,7 @@ def pylint_parse(spark, d):
 
 @query(
     "flake8_parse",
-    """SELECT event_id, event_id::INT AS line, ['E501', 'F821', 'W291', 'E999'][1 + event_id % 4] AS code, ['E501', 'F821', 'W291', 'E999'][1 + event_id % 4] || ' said ' || user_id AS message,
+    """SELECT event_id, event_id::INT AS line, ['E501', 'F821', 'W291', 'E999'][1 + event_id % 4] AS code, 'said ' || user_id AS message,
       ['warning', 'error', 'warning', 'error'][1 + event_id % 4] AS severity FROM events""",
 )
 def flake8_parse(spark, d):
@@ -263,9 +263,27 @@ def report_top10(spark, d):
     return scan.top_per_severity(_found(spark, d)).select("file_id", "severity", "rank", "line", "description")
 
 
-@query("security_report")
+def _report_sql(found: str, scores: str, tools: str) -> str:
+    """The report text out of CTEs: found rows (file_id, line, ord, severity, description, tool), scores and tools by file."""
+    category, fix = _sql_ladder("description", dims.CATEGORIES, quoted(dims.OTHER_CATEGORY)), _sql_ladder("description", dims.REMEDIATIONS, quoted(dims.OTHER_REMEDIATION))
+    nl = "chr(10)"
+    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY file_id, severity ORDER BY line, ord) AS k, count(*) OVER (PARTITION BY file_id, severity) AS n,
+      list_position({sql_list(dims.SEVERITIES)}, severity) AS place FROM {found}),
+    b AS (SELECT file_id, place, severity, any_value(n) AS n, {nl} || CASE WHEN place <= 2 THEN '⚠️ ' ELSE '🔸 ' END || severity || ' SEVERITY FINDINGS:' || {nl} ||
+      string_agg('  ' || k || '. [Line ' || line || '] ' || description || {nl} || '     Category: ' || {category} || ' | Tool: ' || tool || {nl} || '     💡 Fix: ' || {fix}, {nl} ORDER BY k) ||
+      CASE WHEN any_value(n) > 10 THEN {nl} || '     ... and ' || (any_value(n) - 10) || ' more' ELSE '' END AS t FROM r WHERE k <= 10 GROUP BY file_id, place, severity),
+    p AS (SELECT file_id, string_agg(t, {nl} ORDER BY place) AS details, string_agg('    ' || severity || ': ' || n, {nl} ORDER BY place) AS counts, min(place) AS top FROM b GROUP BY file_id)
+    SELECT s.file_id, concat_ws({nl}, '🔒 SECURITY SCAN REPORT', repeat('=', 70), '', '📊 OVERALL STATUS:', '  Security Score: ' || score || '/100', '  Risk Level: ' || risk_level,
+      '  Status: ' || CASE WHEN risk_level IN ('LOW', 'INFO') THEN '✅ PASSED' ELSE '❌ SECURITY ISSUES DETECTED' END, '  Tools Used: ' || {tools}, '', '📈 SUMMARY:', '  Total Findings: ' || findings,
+      CASE WHEN findings > 0 THEN '  Findings by Severity:' || {nl} || counts END, '', '💡 RECOMMENDATION: ' || CASE top {" ".join(f"WHEN {i + 1} THEN {quoted(t)}" for i, t in enumerate(dims.SUMMARY_ADVICE.values()))} WHEN 5 THEN {quoted(dims.SUMMARY_OTHER)} ELSE {quoted(dims.SUMMARY_NONE)} END,
+      CASE WHEN findings > 0 THEN details ELSE {nl} || '🎉 No security findings detected!' END, '', repeat('=', 70), '🔍 Scan completed. Review findings above.') AS report
+    FROM {scores} s LEFT JOIN p USING (file_id)"""
+
+
+@query("security_report", f"WITH {SCORES_SQL}, {_report_sql('(SELECT *, ' + quoted('regex') + ' AS tool FROM dedup)', 'scores', quoted('Regex scanner only'))}")
 def security_report(spark, d):
-    return scan.report(_found(spark, d))
+    lines = corpus.lines(spark, d)
+    return scan.report(lines.select("file_id").distinct(), scan.deduplicated(scan.findings(lines, scan.rules(spark))))
 
 
 # --- decisions and roll-ups
@@ -525,7 +543,7 @@ _NAMES = ["total", "print", "String", "_x", "$value", "9lives", "if", "None", "p
     "valid_variables",
     f"""WITH v AS (SELECT event_id, {sql_list(dims.LANGUAGES)}[1 + event_id % 6] AS language, {sql_list(_NAMES)}[1 + (event_id // 6) % {len(_NAMES)}] AS name FROM events), b AS (SELECT *, regexp_replace(name, '^\\$', '') AS bare FROM v)
     SELECT event_id, language, name FROM b WHERE regexp_matches(bare, '^[a-zA-Z_]') AND NOT ("""
-    + " OR ".join(f"language = {quoted(x)} AND (list_contains({sql_list(dims.KEYWORDS[x].split())}, lower(bare)) OR list_contains({sql_list(dims.BUILTINS[x].split())}, bare))" for x in dims.LANGUAGES)
+    + " OR ".join(f"language = {quoted(x)} AND (list_contains({sql_list(dims.KEYWORDS[x])}, lower(bare)) OR list_contains({sql_list(dims.BUILTINS[x])}, bare))" for x in dims.LANGUAGES)
     + ")",
 )
 def valid_variables(spark, d):

@@ -233,40 +233,42 @@ SINK_PATTERNS = [
     ("command_injection", r'`.*\$\(.*\).*`'),
 ]
 
-#: Taint sources (used as expressions) and sanitizers (plain text) of each language.
+#: Taint sources of each language, used as expressions.
 TAINT_SOURCES = {
-    "python": ["input", "os.environ", "raw_input", "request.GET", "request.POST", "sys.argv"],
-    "javascript": ["document.getElementById", "document.querySelector", "localStorage.getItem", "req.body", "req.params", "req.query", "sessionStorage.getItem", "window.location.search"],
-    "java": ["BufferedReader.readLine", "HttpServletRequest.getParameter", "Scanner.nextLine", "System.console().readLine", "request.getParameter"],
-    "php": ["$HTTP_RAW_POST_DATA", "$_COOKIE", "$_GET", "$_POST", "$_REQUEST", "$_SESSION", "fgets", "file_get_contents"],
-    "ruby": ["ARGF", "ENV", "gets", "params", "request.params"],
-    "go": ["bufio.Scanner.Text", "http.Request.FormValue", "http.Request.PostFormValue", "os.Getenv", "r.URL.Query().Get"],
+    "python": ["input", "raw_input", "sys.argv", "os.environ", "request.GET", "request.POST"],
+    "javascript": ["document.getElementById", "document.querySelector", "req.query", "req.body", "req.params", "localStorage.getItem", "sessionStorage.getItem", "window.location.search"],
+    "java": ["HttpServletRequest.getParameter", "BufferedReader.readLine", "Scanner.nextLine", "System.console().readLine", "request.getParameter"],
+    "php": ["$_GET", "$_POST", "$_REQUEST", "$_COOKIE", "$_SESSION", "file_get_contents", "fgets", "$HTTP_RAW_POST_DATA"],
+    "ruby": ["params", "gets", "ARGF", "ENV", "request.params"],
+    "go": ["http.Request.FormValue", "http.Request.PostFormValue", "bufio.Scanner.Text", "os.Getenv", "r.URL.Query().Get"],
 }
+
+#: Sanitizers of each language, used as plain text.
 SANITIZERS = {
-    "python": ["cgi.escape", "escape", "html.escape", "htmlspecialchars", "json.dumps", "mysql.connector.escape_string", "psycopg2.sql.Identifier", "re.escape", "str.encode"],
-    "javascript": ["DOMPurify.sanitize", "JSON.stringify", "encodeURI", "encodeURIComponent", "escape", "innerText", "mysql.escape", "pg.escape", "textContent"],
-    "java": ["ESAPI.encoder().encodeForHTML", "JsonSanitizer.sanitize", "PreparedStatement.setString", "StringEscapeUtils.escapeHtml4", "URLEncoder.encode"],
-    "php": ["PDO::quote", "addslashes", "filter_var", "htmlentities", "htmlspecialchars", "json_encode", "mysql_real_escape_string", "mysqli_real_escape_string", "urlencode"],
-    "ruby": ["ActiveRecord::Sanitization", "CGI.escapeHTML", "ERB::Util.html_escape", "JSON.generate", "Rack::Utils.escape_html", "Shellwords.escape"],
-    "go": ["database/sql.DB.Exec", "html.EscapeString", "json.Marshal", "strconv.Quote", "url.QueryEscape"],
+    "python": ["escape", "html.escape", "re.escape", "json.dumps", "str.encode", "mysql.connector.escape_string", "psycopg2.sql.Identifier", "htmlspecialchars", "cgi.escape"],
+    "javascript": ["encodeURI", "encodeURIComponent", "escape", "JSON.stringify", "DOMPurify.sanitize", "textContent", "innerText", "mysql.escape", "pg.escape"],
+    "java": ["ESAPI.encoder().encodeForHTML", "StringEscapeUtils.escapeHtml4", "PreparedStatement.setString", "URLEncoder.encode", "JsonSanitizer.sanitize"],
+    "php": ["htmlspecialchars", "htmlentities", "addslashes", "mysql_real_escape_string", "mysqli_real_escape_string", "PDO::quote", "filter_var", "json_encode", "urlencode"],
+    "ruby": ["ERB::Util.html_escape", "CGI.escapeHTML", "Rack::Utils.escape_html", "Shellwords.escape", "JSON.generate", "ActiveRecord::Sanitization"],
+    "go": ["html.EscapeString", "url.QueryEscape", "json.Marshal", "strconv.Quote", "database/sql.DB.Exec"],
 }
 
 #: Words that are no variables: keywords (compared with the name in lower case) and builtins.
 KEYWORDS = {
-    "python": "def class if else elif for while return import from as try except finally with and or not in is None True False",
-    "javascript": "function var let const if else for while return import export try catch class new this null undefined true false",
-    "java": "public private protected class if else for while return import try catch new this null true false int String void",
-    "php": "function class if else for while return include require try catch echo print new null true false",
-    "ruby": "def class if else elsif for while return require begin rescue end nil true false puts print",
-    "go": "func package import if else for range return var const type struct interface nil true false int string error",
+    "python": ["def", "class", "if", "else", "elif", "for", "while", "return", "import", "from", "as", "try", "except", "finally", "with", "and", "or", "not", "in", "is", "None", "True", "False"],
+    "javascript": ["function", "var", "let", "const", "if", "else", "for", "while", "return", "import", "export", "try", "catch", "class", "new", "this", "null", "undefined", "true", "false"],
+    "java": ["public", "private", "protected", "class", "if", "else", "for", "while", "return", "import", "try", "catch", "new", "this", "null", "true", "false", "int", "String", "void"],
+    "php": ["function", "class", "if", "else", "for", "while", "return", "include", "require", "try", "catch", "echo", "print", "new", "null", "true", "false"],
+    "ruby": ["def", "class", "if", "else", "elsif", "for", "while", "return", "require", "begin", "rescue", "end", "nil", "true", "false", "puts", "print"],
+    "go": ["func", "package", "import", "if", "else", "for", "range", "return", "var", "const", "type", "struct", "interface", "nil", "true", "false", "int", "string", "error"],
 }
 BUILTINS = {
-    "python": "print len range str int float list dict",
-    "javascript": "console alert parseInt parseFloat String Number",
-    "java": "System Math String Integer Double Float",
-    "php": "echo print isset empty strlen count",
-    "ruby": "puts print p require include",
-    "go": "fmt println print len cap make new",
+    "python": ["print", "len", "range", "str", "int", "float", "list", "dict"],
+    "javascript": ["console", "alert", "parseInt", "parseFloat", "String", "Number"],
+    "java": ["System", "Math", "String", "Integer", "Double", "Float"],
+    "php": ["echo", "print", "isset", "empty", "strlen", "count"],
+    "ruby": ["puts", "print", "p", "require", "include"],
+    "go": ["fmt", "println", "print", "len", "cap", "make", "new"],
 }
 
 #: Syntax node types: the first whose words are part of the parser's type name.
@@ -328,3 +330,7 @@ FLOW_SANITIZERS = [
     (["parameterized", "prepared", "bind"], "parameterized"),
     (["sanitized", "validated", "escaped"], "sanitized"),
 ]
+
+#: The short way's languages by the end of a file's name.
+SIMPLE_SUFFIXES = [(".java", "java"), (".py", "python"), (".js", "javascript"), (".cpp", "c"), (".c", "c")]
+OTHER_SUFFIX = "unknown"

@@ -99,3 +99,45 @@ def get_decision(vulnerable: Column, confidence: Column, threshold: float = 0.7)
 
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def recommendations(security: str = "security_score", style: str | None = "style_score", issues: str | None = "issues") -> Column:
+    """What a review says, in order, from the columns of scores and of the counts grave, vulnerable and confident."""
+    said = [F.when(F.col(style) < 70, F.format_string("Improve code style (score: %d/100)", F.col(style)))] if style else []
+    said += [
+        F.when(F.col(security) < 80, F.format_string("Address security issues (score: %d/100)", F.col(security))),
+        F.when(F.col("grave") > 0, F.format_string("Fix %d critical/high security findings", F.col("grave"))),
+    ]
+    if issues:
+        said.append(F.when(F.col(issues) > 0, F.format_string("Review %d PDG-identified vulnerabilities", F.col(issues))))
+    said.append(
+        F.when(F.col("confident") > 0, F.format_string("CRITICAL: Model detected %d high-confidence vulnerable patterns", F.col("confident"))).when(
+            F.col("vulnerable") > 0, F.format_string("Model detected %d vulnerable patterns (review recommended)", F.col("vulnerable"))
+        )
+    )
+    return F.array_compact(F.array(*said))
+
+
+def decision_reason(vulnerable: Column, confidence: Column, threshold: float = 0.7) -> Column:
+    """Why get_decision decides as it does."""
+    said = lambda text: F.format_string(f"{text} vulnerability detected (confidence: %.3f)", confidence.cast("double"))
+    return F.when(vulnerable & (confidence > threshold), said("High confidence")).when(vulnerable, said("Potential")).otherwise("No vulnerability detected")
+
+
+def softmax(scores: Column) -> Column:
+    """Probabilities of an array of scores; the largest is taken off first, so none overflows."""
+    top = F.array_max(scores)
+    e = F.transform(scores, lambda x: F.exp(x - top))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+
+
+def by_suffix(filename: Column, endings: list[tuple[str, str]], otherwise: str) -> Column:
+    """A plain language map by the end of the file's name."""
+    out = None
+    for end, language in endings:
+        out = F.when(filename.endswith(end), language) if out is None else out.when(filename.endswith(end), language)
+    return out.otherwise(otherwise)
+
+
+def title(key: Column) -> Column:
+    return F.initcap(F.replace(key, F.lit("_"), F.lit(" ")))

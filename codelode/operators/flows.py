@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,3 +71,46 @@ def change_set_decision(predictions: DataFrame) -> DataFrame:
     """One row: BLOCK if any vulnerable prediction is sure beyond 0.8, REVIEW_REQUIRED if any is vulnerable, else APPROVE."""
     sure = F.coalesce(F.bool_or(F.col("vulnerable") & (F.col("confidence") > 0.8)), F.lit(False))
     return predictions.agg(F.when(sure, "BLOCK").when(F.coalesce(F.bool_or("vulnerable"), F.lit(False)), "REVIEW_REQUIRED").otherwise("APPROVE").alias("decision"))
+
+
+def rule_predictions(asked: DataFrame) -> DataFrame:
+    """Adds vulnerable and confidence to flows (source, sink, sanitization): a fixed rule in place of a trained model.
+
+    After the normal form, a flow without sanitization is vulnerable for certain when its source or sink is a known one
+    and likely otherwise; an unknown sanitization is safe, with little certainty.
+    """
+    source, sink, clean = ladders.normalized_flow(F.col("source"), F.col("sink"), F.col("sanitization"))
+    known = source.isin([v for _, v in dims.FLOW_SOURCES]) | sink.isin([v for _, v in dims.FLOW_SINKS])
+    confidence = F.when((clean == "none") & known, 0.95).when(clean == "none", 0.75).when(clean == "unknown", 0.6).otherwise(0.9)
+    return asked.withColumns({"vulnerable": clean == "none", "confidence": confidence})
+
+
+def predicted(asked: DataFrame, model, normalize: bool = True) -> DataFrame:
+    """Adds predicted_class, vulnerable, confidence, vulnerability_score, safe_score and input_used by a fitted classifier."""
+    parts = [F.col("source"), F.col("sink"), F.col("sanitization")]
+    source, sink, clean = ladders.normalized_flow(*parts) if normalize else parts
+    df = model.transform(asked.withColumn("text", ladders.flow_text(source, sink, clean)))
+    p = vector_to_array("probability")
+    df = df.withColumn("_p", p).withColumn("predicted_class", F.col("prediction").cast("int"))
+    return df.withColumns(
+        {
+            "vulnerable": F.col("predicted_class") == 1, "confidence": F.get("_p", F.col("predicted_class")), "vulnerability_score": F.get("_p", F.lit(1)),
+            "safe_score": F.get("_p", F.lit(0)), "input_used": F.col("text"),
+        }
+    ).drop("_p", "text", "words", "features", "rawPrediction", "probability", "prediction")
+
+
+def first_rows(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first n rows by position in the given order (all of them where there are fewer)."""
+    return rows.orderBy(*order).limit(n)
+
+
+def code_decisions(files: DataFrame, predict=rule_predictions) -> DataFrame:
+    """file_id, filename, language, source, sink, sanitization, vulnerable, confidence, decision, action, priority, reason
+    of files (file_id, filename, code): the short way from a file to a decision, by one flow a file."""
+    language = ladders.by_suffix(F.col("filename"), dims.SIMPLE_SUFFIXES, dims.OTHER_SUFFIX)
+    df = files.withColumn("language", language)
+    df = predict(df.select("file_id", "filename", "language", extracted(F.col("code"), F.col("language")).alias("f")).select("file_id", "filename", "language", "f.*"))
+    chosen = ladders.get_decision(F.col("vulnerable"), F.col("confidence"))
+    df = df.withColumns({"_d": chosen, "reason": ladders.decision_reason(F.col("vulnerable"), F.col("confidence"))})
+    return df.select("file_id", "filename", "language", "source", "sink", "sanitization", "vulnerable", "confidence", "_d.decision", "_d.action", "_d.priority", "reason")

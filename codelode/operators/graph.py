@@ -190,7 +190,7 @@ def valid_variables(names: DataFrame) -> DataFrame:
     bare = F.regexp_replace("name", r"^\$", "")
     bad = None
     for x in dims.LANGUAGES:
-        words, builtins = dims.KEYWORDS[x].split(), dims.BUILTINS[x].split()
+        words, builtins = dims.KEYWORDS[x], dims.BUILTINS[x]
         hit = (F.col("language") == x) & (F.lower(bare).isin(words) | bare.isin(builtins))
         bad = hit if bad is None else bad | hit
     return names.filter(~bad & bare.rlike(r"^[\p{L}_]"))

@@ -47,12 +47,17 @@ def lines_of_code(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_in", inside).groupBy("file_id", "language").agg(F.count_if(counted).alias("loc"))
 
 
-def lint_results(lines: DataFrame) -> DataFrame:
-    """file_id, errors, warnings, infos, score, passed, complexity, from the line rules."""
-    warned = line_warnings(lines).groupBy("file_id").agg(F.count("*").alias("warnings"))
-    df = lines.select("file_id").distinct().join(warned, "file_id", "left").na.fill(0, ["warnings"])
-    zero = F.lit(0).cast("bigint")
-    df = df.select("file_id", zero.alias("errors"), "warnings", zero.alias("infos"))
+def items(lines: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """file_id, tool, line, severity, message of all linters: what the tools said (tool_items) and the line rules."""
+    own = line_warnings(lines).select("file_id", F.lit("manual").alias("tool"), "line", F.lit("warning").alias("severity"), "message")
+    return own if runs is None else tool_items(runs).unionByName(own)
+
+
+def lint_results(lines: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """file_id, errors, warnings, infos, score, passed, complexity, from the line rules and the tools' runs."""
+    kinds = {"errors": "error", "warnings": "warning", "infos": "info"}
+    sums = items(lines, runs).groupBy("file_id").agg(*[F.count_if(F.col("severity") == k).alias(c) for c, k in kinds.items()])
+    df = lines.select("file_id").distinct().join(sums, "file_id", "left").na.fill(0, list(kinds))
     return df.withColumns(
         {
             "score": ladders.lint_score(F.col("errors"), F.col("warnings"), F.col("infos")),
@@ -72,11 +77,15 @@ def parse_pylint(raw: Column) -> Column:
 
 
 def parse_flake8(raw: Column) -> Column:
-    """file:line:col: code message; the message ends at the next colon."""
+    """file:line:col: code message; the message ends at the next colon and is the code itself where nothing follows it."""
     parts = F.split(raw, ":")
     said = F.trim(F.get(parts, F.lit(3)))
-    bad = said.rlike("E9|F4|F6|F7|F8|F82")
-    return F.when(F.size(parts) >= 4, F.struct(F.get(parts, F.lit(1)).cast("int").alias("line"), F.substring_index(said, " ", 1).alias("code"), said.alias("message"), F.when(bad, "error").otherwise("warning").alias("severity")))
+    code = F.substring_index(said, " ", 1)
+    message = F.when(F.contains(said, F.lit(" ")), F.substring(said, F.length(code) + 2, F.length(said))).otherwise(said)
+    return F.when(
+        F.size(parts) >= 4,
+        F.struct(F.get(parts, F.lit(1)).cast("int").alias("line"), code.alias("code"), message.alias("message"), F.when(code.rlike("E9|F4|F6|F7|F8|F82"), "error").otherwise("warning").alias("severity")),
+    )
 
 
 def parse_govet(raw: Column) -> Column:
@@ -93,3 +102,110 @@ def parse_eslint(raw: Column) -> Column:
     flat = F.flatten(F.transform(doc, lambda d: d["messages"]))
     kind = lambda m: F.when(F.contains(F.lower(m["message"]), F.lit("eval")), "CRITICAL").when(m["severity"] == 2, "HIGH").otherwise("MEDIUM")
     return F.transform(flat, lambda m: F.struct(m["line"].alias("line"), m["ruleId"].alias("rule"), kind(m).alias("severity"), m["message"].alias("message")))
+
+
+#: Exit codes after which a tool's output counts; other tools' output always does.
+GOOD_EXITS = {"pylint": [0, 4, 8, 16, 28], "eslint": [0, 1], "bandit": [0, 1]}
+#: How many items of each severity a result lists.
+LISTED = {"error": 50, "warning": 50, "info": 20}
+
+
+def _item(line: Column, severity: Column, message: Column) -> Column:
+    return F.struct(line.cast("int").alias("line"), severity.alias("severity"), message.alias("message"))
+
+
+def _each(text: Column, made) -> Column:
+    """Items of the lines of text for which made gives one."""
+    return F.array_compact(F.transform(F.split(text, "\n"), made))
+
+
+def eslint_items(raw: Column) -> Column:
+    """Lint items of eslint's JSON; output that is no JSON gives its lines that speak of errors or warnings."""
+    doc = F.from_json(raw, "array<struct<messages:array<struct<line:int,column:int,severity:int,message:string>>>>")
+    flat = F.flatten(F.transform(doc, lambda d: d["messages"]))
+    parsed = F.transform(flat, lambda m: _item(F.coalesce(m["line"], F.lit(1)), F.when(m["severity"] == 2, "error").otherwise("warning"), F.coalesce(m["message"], F.lit(""))))
+    plain = _each(raw, lambda x: F.when(F.lower(x).rlike("error|warning"), _item(F.lit(1), F.lit("warning"), F.substring(x, 1, 200))))
+    return F.when(F.ltrim(raw).startswith("["), F.coalesce(parsed, F.array().cast("array<struct<line:int,severity:string,message:string>>"))).otherwise(plain)
+
+
+def jshint_items(raw: Column) -> Column:
+    doc = F.from_json(raw, "array<struct<errors:array<struct<line:int,code:string,reason:string>>>>")
+    flat = F.flatten(F.transform(doc, lambda d: d["errors"]))
+    kind = lambda m: F.when(F.coalesce(m["code"], F.lit("")).startswith("E"), "error").otherwise("warning")
+    return F.transform(flat, lambda m: _item(F.coalesce(m["line"], F.lit(1)), kind(m), F.coalesce(m["reason"], F.lit(""))))
+
+
+def javac_items(exit_code: Column, stderr: Column) -> Column:
+    """A failed compilation is its first line; a good one has its warnings."""
+    first = F.when(stderr == "", "Compilation failed").otherwise(F.substring_index(stderr, "\n", 1))
+    warned = _each(stderr, lambda x: F.when(F.contains(F.lower(x), F.lit("warning:")), _item(F.lit(1), F.lit("warning"), F.substring(ladders.stripped(x), 1, 200))))
+    return F.when(exit_code != 0, F.array(_item(F.lit(1), F.lit("error"), F.substring(first, 1, 200)))).otherwise(warned)
+
+
+def php_items(stderr: Column) -> Column:
+    at = lambda x: F.when(x.rlike(r"line \d+"), F.regexp_extract(x, r"line (\d+)", 1)).otherwise("1")
+    said = lambda x: F.trim(F.substring_index(x, "Parse error:", -1))
+    return _each(stderr, lambda x: F.when(F.contains(x, F.lit("Parse error:")), _item(at(x), F.lit("error"), said(x))))
+
+
+def ruby_items(stderr: Column) -> Column:
+    return _each(stderr, lambda x: F.when(x.rlike(r":\d+:"), _item(F.regexp_extract(x, r":(\d+):", 1), F.lit("error"), ladders.stripped(x))))
+
+
+def go_items(stderr: Column) -> Column:
+    """file:line:message; what is unused is a warning."""
+    soft = lambda x: F.lower(x).rlike("warning|unused|not used")
+    said = lambda x: F.trim(F.get(F.split(x, ":", 3), F.lit(2)))
+    return _each(stderr, lambda x: F.when(x.rlike(r":\d+:"), _item(F.regexp_extract(x, r":(\d+):", 1), F.when(soft(x), "warning").otherwise("error"), said(x))))
+
+
+def tool_items(runs: DataFrame) -> DataFrame:
+    """file_id, tool, line, severity, message out of runs: file_id, tool, exit_code, stdout, stderr."""
+    tool, out, err, code = F.col("tool"), F.col("stdout"), F.col("stderr"), F.col("exit_code")
+    plain = lambda parsed: F.when(parsed.isNotNull(), _item(parsed["line"], parsed["severity"], parsed["message"]))
+    found = (
+        F.when(tool == "pylint", _each(out, lambda x: plain(parse_pylint(x))))
+        .when(tool == "flake8", _each(out, lambda x: plain(parse_flake8(x))))
+        .when(tool == "eslint", eslint_items(out))
+        .when(tool == "jshint", jshint_items(out))
+        .when(tool == "javac", javac_items(code, err))
+        .when((tool == "php") & (code != 0), php_items(err))
+        .when((tool == "ruby") & (code != 0), ruby_items(err))
+        .when((tool == "gofmt") & (F.trim(out) != ""), F.array(_item(F.lit(1), F.lit("warning"), F.lit("Code not formatted with gofmt"))))
+        .when((tool == "go") & (code != 0), go_items(err))
+    )
+    bad = None
+    for name, codes in GOOD_EXITS.items():
+        one = (tool == name) & ~code.isin(codes)
+        bad = one if bad is None else bad | one
+    return runs.filter(~bad).select("file_id", "tool", F.explode(found).alias("i")).select("file_id", "tool", "i.line", "i.severity", "i.message")
+
+
+def listed(found: DataFrame) -> DataFrame:
+    """The items a result lists: the first of each file and severity, by tool, line and message."""
+    limit = None
+    for kind, n in LISTED.items():
+        limit = F.when(F.col("severity") == kind, n) if limit is None else limit.when(F.col("severity") == kind, n)
+    place = W.partitionBy("file_id", "severity").orderBy("tool", "line", "message")
+    return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= limit)
+
+
+def java_class_name(code: Column) -> Column:
+    """The name under which a source is compiled: its first class, or TempClass."""
+    return F.when(code.rlike(r"class\s+\w+"), F.regexp_extract(code, r"class\s+(\w+)", 1)).otherwise("TempClass")
+
+
+def parse_bandit(raw: Column) -> Column:
+    """Findings of bandit's JSON; missing fields get the tool's defaults."""
+    doc = F.from_json(raw, "struct<results:array<struct<line_number:int,issue_severity:string,issue_confidence:string,test_id:string,issue_text:string,code:string>>>")
+    return F.transform(
+        doc["results"],
+        lambda i: F.struct(
+            F.coalesce(i["line_number"], F.lit(1)).alias("line"),
+            F.upper(F.coalesce(i["issue_severity"], F.lit("MEDIUM"))).alias("severity"),
+            F.upper(F.coalesce(i["issue_confidence"], F.lit("MEDIUM"))).alias("confidence"),
+            F.coalesce(i["test_id"], F.lit("unknown")).alias("rule_id"),
+            F.coalesce(i["issue_text"], F.lit("Security issue")).alias("description"),
+            F.substring(F.coalesce(i["code"], F.lit("")), 1, 100).alias("matched_text"),
+        ),
+    )

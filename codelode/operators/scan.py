@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dims, ladders
+from . import lint
 
 
 def rules(spark: SparkSession) -> DataFrame:
@@ -64,15 +65,80 @@ def top_per_severity(found: DataFrame, k: int = 10) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
 
 
-def report(found: DataFrame, k: int = 10) -> DataFrame:
-    """file_id and the report text: severities in fixed order, k findings each, and how many more there are."""
+#: Headings and marks of the text report.
+RULE = "=" * 70
+GRAVE = ["CRITICAL", "HIGH"]
+
+
+def tool_findings(runs: DataFrame) -> DataFrame:
+    """Findings out of the scanners' runs (file_id, language, tool, exit_code, stdout, stderr), in the columns of findings.
+
+    They stand after the rules' own findings (phase `tool`), in the order of the output.
+    """
+    out = F.when(F.col("tool") == "bandit", F.transform(lint.parse_bandit(F.col("stdout")), lambda i: _tool_finding(i["line"], i["severity"], i["confidence"], i["rule_id"], i["description"], i["matched_text"])))
+    security = lambda m: _tool_finding(m["line"], m["severity"], F.lit("HIGH"), F.coalesce(m["rule"], F.lit("security-rule")), m["message"], F.lit(""))
+    out = out.when(F.col("tool") == "eslint", F.transform(lint.parse_eslint(F.col("stdout")), security))
+    vet = F.array_compact(F.transform(F.split("stderr", "\n"), lambda x: lint.parse_govet(x)))
+    out = out.when(F.col("tool") == "go_vet", F.transform(vet, lambda m: _tool_finding(m["line"], m["severity"], F.lit("MEDIUM"), F.lit("go_vet"), m["message"], F.lit(""))))
+    good = ~F.col("tool").isin("bandit", "eslint") | F.col("exit_code").isin(lint.GOOD_EXITS["bandit"])
+    each = runs.filter(good).select("file_id", "language", "tool", F.posexplode(out).alias("ord", "f"))
+    return each.select(
+        "file_id", "f.line", "language", "ord", F.lit("tool").alias("phase"), "f.severity", "f.confidence", "f.rule_id", "f.description", "f.matched_text",
+        ladders.category(F.col("f.description")).alias("category"), ladders.remediation(F.col("f.description")).alias("remediation"), "tool",
+    )
+
+
+def _tool_finding(line: Column, severity: Column, confidence: Column, rule_id: Column, description: Column, matched: Column) -> Column:
+    parts = {"line": line.cast("bigint"), "severity": severity, "confidence": confidence, "rule_id": rule_id, "description": description, "matched_text": matched}
+    return F.struct(*[c.alias(k) for k, c in parts.items()])
+
+
+def all_findings(lines: DataFrame, runs: DataFrame) -> DataFrame:
+    """The rules' and the scanners' findings, each file, line and description once; column tool names who found it first."""
+    own = findings(lines, rules(lines.sparkSession)).withColumns({"tool": F.lit("regex"), "line": F.col("line").cast("bigint")})
+    return deduplicated(own.unionByName(tool_findings(runs)))
+
+
+def tools_used(all_files: DataFrame, runs: DataFrame) -> DataFrame:
+    """file_id, tools: the scanners that ran on each file in a usable way, or the rule scanner alone."""
+    good = ~F.col("tool").isin("bandit", "eslint") | F.col("exit_code").isin(lint.GOOD_EXITS["bandit"])
+    ran = runs.filter(good).groupBy("file_id").agg(F.array_sort(F.collect_set("tool")).alias("tools"))
+    return all_files.select("file_id").join(ran, "file_id", "left").select("file_id", F.coalesce("tools", F.array(F.lit("regex"))).alias("tools"))
+
+
+def report(all_files: DataFrame, found: DataFrame, used: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """file_id and the report text of every file: status, summary, advice, and at most k findings of each severity."""
+    place = F.array_position(F.array(*[F.lit(s) for s in dims.SEVERITIES]), F.col("severity")).alias("place")
+    named = found if "tool" in found.columns else found.withColumn("tool", F.lit("regex"))
     total = F.count("*").over(W.partitionBy("file_id", "severity"))
-    order = F.array_position(F.array(*[F.lit(s) for s in dims.SEVERITIES]), F.col("severity")).alias("place")
-    top = top_per_severity(found.withColumn("n", total), k)
-    text = F.format_string("  line %d: %s", "line", "description")
+    top = top_per_severity(named.withColumn("n", total), k)
+    text = F.concat(
+        F.format_string("  %d. [Line %d] %s\n     Category: %s | Tool: %s", "rank", "line", "description", "category", "tool"),
+        F.when(F.col("remediation") != "", F.concat(F.lit("\n     💡 Fix: "), "remediation")).otherwise(""),
+    )
     block = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", text.alias("t")))), lambda x: x["t"]), "\n")
-    blocks = top.groupBy("file_id", "severity", order).agg(block.alias("b"), F.max("n").alias("n"))
-    more = F.when(F.col("n") > k, F.format_string("\n  ... and %d more", F.col("n") - k)).otherwise("")
-    whole = F.concat(F.format_string("%s (%d)\n", "severity", "n"), "b", more)
-    ordered = F.array_sort(F.collect_list(F.struct("place", whole.alias("t"))))
-    return blocks.groupBy("file_id").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("report"))
+    blocks = top.groupBy("file_id", "severity", place).agg(block.alias("b"), F.max("n").alias("n"))
+    head = F.concat(F.lit("\n"), F.when(F.col("severity").isin(GRAVE), "⚠️ ").otherwise("🔸 "), F.col("severity"), F.lit(" SEVERITY FINDINGS:\n"))
+    more = F.when(F.col("n") > k, F.format_string("\n     ... and %d more", F.col("n") - k)).otherwise("")
+    ordered = F.array_sort(F.collect_list(F.struct("place", F.concat(head, "b", more).alias("t"), F.format_string("    %s: %d", "severity", "n").alias("s"))))
+    parts = blocks.groupBy("file_id").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("details"), F.array_join(F.transform(ordered, lambda x: x["s"]), "\n").alias("counts"))
+    df = scores(all_files, found).join(parts, "file_id", "left").join(advice(found), "file_id", "left")
+    df = df.join(used if used is not None else tools_used(all_files, _no_runs(all_files.sparkSession)), "file_id", "left")
+    none = F.col("findings") == 0
+    tools = F.when(F.col("tools") == F.array(F.lit("regex")), "Regex scanner only").otherwise(F.array_join("tools", ", "))
+    lines = [
+        F.lit(f"🔒 SECURITY SCAN REPORT\n{RULE}\n\n📊 OVERALL STATUS:"),
+        F.format_string("  Security Score: %d/100\n  Risk Level: %s", "score", "risk_level"),
+        F.concat(F.lit("  Status: "), F.when(F.col("passed"), "✅ PASSED").otherwise("❌ SECURITY ISSUES DETECTED")),
+        F.concat(F.lit("  Tools Used: "), tools),
+        F.format_string("\n📈 SUMMARY:\n  Total Findings: %d", "findings"),
+        F.when(~none, F.concat(F.lit("  Findings by Severity:\n"), "counts")),
+        F.concat(F.lit("\n💡 RECOMMENDATION: "), F.coalesce("recommendation", F.lit(dims.SUMMARY_NONE))),
+        F.when(none, "\n🎉 No security findings detected!").otherwise(F.col("details")),
+        F.lit(f"\n{RULE}\n🔍 Scan completed. Review findings above."),
+    ]
+    return df.select("file_id", F.concat_ws("\n", *lines).alias("report"))
+
+
+def _no_runs(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "file_id bigint, language string, tool string, exit_code int, stdout string, stderr string")

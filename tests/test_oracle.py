@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from codelode import catalog
+from codelode import catalog, catalog_reviews, catalog_tools  # noqa: F401
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
