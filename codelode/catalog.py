@@ -350,11 +350,14 @@ def language_distribution(spark, d):
 
 _STOPS_SQL = "stops AS (SELECT DISTINCT file_id, line FROM nodes WHERE node_type IN ('RETURN', 'BREAK', 'CONTINUE'))"
 EDGES_SQL = f"""{NODES_SQL}, {_STOPS_SQL},
-ctl AS (SELECT file_id, id AS src, line AS c_line FROM nodes WHERE node_type IN ('IF_STATEMENT', 'FOR_STATEMENT', 'WHILE_STATEMENT')),
-body AS (SELECT c.file_id, src, c_line, n.id AS dst, n.line AS b_line FROM ctl c JOIN nodes n ON n.file_id = c.file_id AND n.parent_id = c.src AND n.node_type <> 'BLOCK'
-  UNION ALL SELECT c.file_id, src, c_line, m.id, m.line FROM ctl c JOIN nodes n ON n.file_id = c.file_id AND n.parent_id = c.src AND n.node_type = 'BLOCK'
+fn AS (WITH RECURSIVE up AS (SELECT file_id, id AS ancestor, id, 0 AS steps FROM nodes UNION ALL SELECT u.file_id, n.parent_id, u.id, steps + 1 FROM up u JOIN nodes n ON n.file_id = u.file_id AND n.id = u.ancestor WHERE n.parent_id IS NOT NULL)
+  SELECT n.file_id, n.id, coalesce(f.fn, -1) AS fn FROM nodes n LEFT JOIN (SELECT u.file_id, u.id, arg_min(u.ancestor, steps) AS fn FROM up u JOIN nodes a ON a.file_id = u.file_id AND a.id = u.ancestor AND a.node_type = 'FUNCTION_DEF' GROUP BY u.file_id, u.id) f ON f.file_id = n.file_id AND f.id = n.id),
+scoped_stops AS (SELECT DISTINCT n.file_id, fn, line FROM nodes n JOIN fn ON fn.file_id = n.file_id AND fn.id = n.id WHERE node_type IN ('RETURN', 'BREAK', 'CONTINUE')),
+ctl AS (SELECT n.file_id, n.id AS src, line AS c_line, fn FROM nodes n JOIN fn ON fn.file_id = n.file_id AND fn.id = n.id WHERE node_type IN ('IF_STATEMENT', 'FOR_STATEMENT', 'WHILE_STATEMENT')),
+body AS (SELECT c.file_id, src, c_line, fn, n.id AS dst, n.line AS b_line FROM ctl c JOIN nodes n ON n.file_id = c.file_id AND n.parent_id = c.src AND n.node_type <> 'BLOCK' AND NOT n.is_condition
+  UNION ALL SELECT c.file_id, src, c_line, fn, m.id, m.line FROM ctl c JOIN nodes n ON n.file_id = c.file_id AND n.parent_id = c.src AND n.node_type = 'BLOCK' AND NOT n.is_condition
     JOIN nodes m ON m.file_id = n.file_id AND m.parent_id = n.id AND m.node_type NOT IN ('IF_STATEMENT', 'FOR_STATEMENT', 'WHILE_STATEMENT')),
-control AS (SELECT DISTINCT file_id, src, dst FROM body b WHERE NOT EXISTS (SELECT 1 FROM stops t WHERE t.file_id = b.file_id AND t.line > b.c_line AND t.line < b.b_line)),
+control AS (SELECT DISTINCT file_id, src, dst FROM body b WHERE NOT EXISTS (SELECT 1 FROM scoped_stops t WHERE t.file_id = b.file_id AND t.fn = b.fn AND t.line > b.c_line AND t.line < b.b_line)),
 uses AS (SELECT file_id, id, var, bool_or(kind = 'def') AS d, bool_or(kind = 'use') AS u FROM refs GROUP BY ALL),
 reach AS (SELECT u.*, n.node_type = 'FUNCTION_DEF' AS f, last_value(CASE WHEN d AND n.node_type <> 'FUNCTION_DEF' THEN u.id END IGNORE NULLS)
   OVER (PARTITION BY u.file_id, var ORDER BY line, col, u.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS src FROM uses u JOIN nodes n ON n.file_id = u.file_id AND n.id = u.id),
@@ -380,32 +383,70 @@ _graph("graph_data", graph.data_edges, "SELECT * FROM data")
 _graph("graph_call", lambda n, r: graph.call_edges(n), "SELECT * FROM calls")
 _graph("graph_order", lambda n, r: graph.order_edges(n), "SELECT * FROM ordered")
 _graph("graph_edge_counts", lambda n, r: graph.edges(n, r).groupBy("edge_type").agg(F.count("*").alias("n")), "SELECT edge_type, count(*) AS n FROM edges GROUP BY edge_type")
-_SEEDS_SQL = "seeds AS (SELECT DISTINCT r.file_id, r.id FROM refs r JOIN nodes n ON n.file_id = r.file_id AND n.id = r.id WHERE r.kind = 'def' AND n.node_type IN ('CALL', 'FUNCTION_DEF') AND n.name IN ('f0', 'f1', 'f2'))"
+def _any_of(words: dict[str, list[str]], test: str) -> str:
+    """SQL: whether the code of a node passes test for one of its language's words."""
+    return "(" + " OR ".join(f"(language = {quoted(x)} AND (" + " OR ".join(test % quoted(w) for w in ws) + "))" for x, ws in words.items()) + ")"
+
+
+_SINK_KINDS = list(dict.fromkeys(k for k, _ in dims.SINK_PATTERNS))
+_SINK_SQL = "CASE " + " ".join(
+    "WHEN " + " OR ".join(f"regexp_matches(code, {quoted('(?i)' + p)})" for x, p in dims.SINK_PATTERNS if x == k) + f" THEN {quoted(k)}" for k in reversed(_SINK_KINDS)
+) + " END"
+_SEEDS_SQL = f"""marked AS (SELECT *, {_any_of(dims.TAINT_SOURCES, "regexp_matches(code, '(?i)' || %s)")} AS source, {_any_of(dims.SANITIZERS, "contains(code, %s)")} AS clean, {_SINK_SQL} AS sink FROM nodes),
+seeds AS (SELECT DISTINCT r.file_id, r.id FROM refs r JOIN marked n ON n.file_id = r.file_id AND n.id = r.id WHERE r.kind = 'def' AND n.node_type = 'CALL' AND source)"""
 _graph("taint_seed", graph.taint_seeds, f", {_SEEDS_SQL} SELECT * FROM seeds")
+_TAINT_SQL = f"""{EDGES_SQL}, {_SEEDS_SQL}, step AS (SELECT d.file_id, d.src, d.dst FROM data d JOIN marked n ON n.file_id = d.file_id AND n.id = d.dst WHERE NOT clean AND EXISTS (SELECT 1 FROM refs r WHERE r.file_id = d.file_id AND r.id = d.dst AND r.kind = 'def')),
+    t AS (SELECT file_id, id FROM seeds UNION SELECT s.file_id, s.dst FROM t JOIN step s ON s.file_id = t.file_id AND s.src = t.id)"""
+_ISSUES_SQL = f"""{_TAINT_SQL}, names AS (SELECT DISTINCT r.file_id, r.var FROM refs r JOIN t ON t.file_id = r.file_id AND t.id = r.id WHERE r.kind = 'def'),
+    issues AS (SELECT n.file_id, n.id, n.line, substr(n.code, 1, 60) AS code, sink AS type FROM marked n WHERE n.node_type IN ('CALL', 'ASSIGNMENT', 'EXPRESSION') AND sink IS NOT NULL AND NOT clean AND length(trim(n.code)) >= 5
+      AND EXISTS (SELECT 1 FROM refs r JOIN names v ON v.file_id = r.file_id AND v.var = r.var WHERE r.file_id = n.file_id AND r.id = n.id AND r.kind = 'use')
+      AND NOT EXISTS (SELECT 1 FROM data d JOIN marked c ON c.file_id = d.file_id AND c.id = d.src WHERE d.file_id = n.file_id AND d.dst = n.id AND c.clean))"""
 
 
-@query(
-    "taint_closure",
-    f"""WITH RECURSIVE {EDGES_SQL}, {_SEEDS_SQL}, step AS (SELECT d.file_id, d.src, d.dst FROM data d JOIN nodes n ON n.file_id = d.file_id AND n.id = d.dst WHERE n.name <> 'f12'),
-    t AS (SELECT file_id, id FROM seeds UNION SELECT s.file_id, s.dst FROM t JOIN step s ON s.file_id = t.file_id AND s.src = t.id) SELECT file_id, id FROM t""",
-)
+@query("taint_closure", f"WITH RECURSIVE {_TAINT_SQL} SELECT file_id, id FROM t")
 def taint_closure(spark, d):
     n, r = corpus.nodes(spark, d), corpus.var_refs(spark, d)
-    return graph.taint_closure(graph.taint_seeds(n, r), graph.data_edges(n, r), n.filter("name = 'f12'").select("file_id", "id"))
+    return graph.taint_closure(graph.taint_seeds(n, r), graph.data_edges(n, r), n, r)
+
+
+@query("taint_issues", f"WITH RECURSIVE {_ISSUES_SQL} SELECT file_id, id, line, code, type, true AS tainted, coalesce((SELECT string_agg(DISTINCT var, ',' ORDER BY var) FROM refs r WHERE r.file_id = i.file_id AND r.id = i.id AND kind = 'use'), '') AS used FROM issues i")
+def taint_issues(spark, d):
+    found = graph.taint_issues(corpus.nodes(spark, d), corpus.var_refs(spark, d))
+    return found.select("file_id", "id", "line", "code", "type", "tainted", F.array_join("used", ",").alias("used"))
+
+
+@query("graph_stats", f"WITH RECURSIVE {_ISSUES_SQL} SELECT n.file_id, n.c AS nodes, coalesce(e.c, 0) AS edges, coalesce(i.c, 0) AS issues FROM (SELECT file_id, count(*) AS c FROM nodes GROUP BY ALL) n LEFT JOIN (SELECT file_id, count(*) AS c FROM edges GROUP BY ALL) e USING (file_id) LEFT JOIN (SELECT file_id, count(*) AS c FROM issues GROUP BY ALL) i USING (file_id)")
+def graph_stats(spark, d):
+    n, r = corpus.nodes(spark, d), corpus.var_refs(spark, d)
+    return graph.graph_stats(n, graph.edges(n, r), graph.taint_issues(n, r))
+
+
+_graph("graph_simple", graph.simple_graph, "SELECT file_id, src, dst, arg_max(edge_type, list_position(['structural', 'control', 'data', 'call', 'order'], edge_type)) AS edge_type FROM edges GROUP BY ALL")
+_graph("node_function", lambda n, r: graph.with_function(n).select("file_id", "id", "function"), "SELECT file_id, id, nullif(fn, -1) AS function FROM fn")
+_graph(
+    "node_records",
+    lambda n, r: graph.node_records(n, r).select("file_id", "id", F.to_json(F.struct("id", "code", "line", "type", "function_name", "class_name", "variables_defined", "variables_used", "is_control_node", "is_control_terminator", "is_phi_node"), {"ignoreNullFields": "false"}).alias("json")),
+    """SELECT n.file_id, n.id, to_json({'id': n.id, 'code': code, 'line': line, 'type': lower(node_type), 'function_name': CASE WHEN node_type = 'FUNCTION_DEF' THEN name END, 'class_name': CASE WHEN node_type = 'CLASS_DEF' THEN name END,
+      'variables_defined': CASE WHEN kind = 'def' THEN [var] ELSE [] END, 'variables_used': CASE WHEN kind = 'use' THEN [var] ELSE [] END, 'is_control_node': node_type IN ('IF_STATEMENT', 'FOR_STATEMENT', 'WHILE_STATEMENT'), 'is_control_terminator': node_type IN ('RETURN', 'BREAK', 'CONTINUE'), 'is_phi_node': false})::VARCHAR AS json
+    FROM nodes n JOIN refs r ON r.file_id = n.file_id AND r.id = n.id""",
+)
 
 
 @query(
     "ml_features",
-    f"""WITH {NODES_SQL}, c AS (SELECT file_id, id, count(*) FILTER (kind = 'def') AS defs, count(*) FILTER (kind = 'use') AS uses FROM refs GROUP BY ALL)
-    SELECT n.file_id, (row_number() OVER (PARTITION BY n.file_id ORDER BY n.id) - 1)::INT AS idx,
-      line * 1000000 + col * 10000 + (node_type IN ('IF_STATEMENT', 'FOR_STATEMENT', 'WHILE_STATEMENT'))::INT * 1000 + (node_type IN ('RETURN', 'BREAK', 'CONTINUE'))::INT * 100 + defs * 10 + uses AS packed,
-      list_position({sql_list([t for _, t in dims.NODE_TYPES] + [dims.OTHER_NODE_TYPE])}, node_type)::INT AS hot FROM nodes n JOIN c ON c.file_id = n.file_id AND c.id = n.id""",
+    f"""WITH {NODES_SQL} SELECT n.file_id, (row_number() OVER (PARTITION BY n.file_id ORDER BY n.id) - 1)::INT AS idx, concat_ws(',', length(code), line, col, (n.id > 0)::INT + (n.id > 25 AND n.id % 25 <> 0)::INT + (n.id % 5 <> 0 AND n.id % 25 > 4)::INT,
+      (node_type IN ('IF_STATEMENT', 'FOR_STATEMENT', 'WHILE_STATEMENT'))::INT, (node_type = 'FUNCTION_DEF')::INT, (node_type IN ('RETURN', 'BREAK', 'CONTINUE'))::INT, 0, (kind = 'def')::INT, (kind = 'use')::INT,
+      array_to_string([(node_type = x)::INT for x in {sql_list(dims.ALL_NODE_TYPES)}], ',')) AS features FROM nodes n JOIN refs r ON r.file_id = n.file_id AND r.id = n.id""",
 )
 def ml_features(spark, d):
     df = graph.features(corpus.nodes(spark, d), corpus.var_refs(spark, d))
-    f = F.col("features")
-    packed = f[0] * 1000000 + f[1] * 10000 + f[2] * 1000 + f[3] * 100 + f[4] * 10 + f[5]
-    return df.select("file_id", "idx", packed.cast("bigint").alias("packed"), F.array_position(F.slice("features", 7, 17), 1.0).cast("int").alias("hot"))
+    return df.select("file_id", "idx", F.array_join(F.transform("features", lambda x: x.cast("int").cast("string")), ",").alias("features"))
+
+
+@query("call_name", "SELECT event_id, CASE WHEN contains(c, '(') THEN trim(string_split(string_split(c, '(')[1], '.')[-1]) END AS name FROM (SELECT event_id, ['a.b.run (x)', 'f(g.h(1))', 'no call', '  go( )'][1 + event_id % 4] AS c FROM events)")
+def call_name(spark, d):
+    code = corpus.pick(["a.b.run (x)", "f(g.h(1))", "no call", "  go( )"], F.col("event_id") % 4)
+    return _table(spark, d, "events").select("event_id", graph.call_name(code).alias("name"))
 
 
 @query("node_type_map", f"SELECT event_id, {_sql_ladder('t', dims.NODE_TYPES, quoted(dims.OTHER_NODE_TYPE))} AS node_type FROM (SELECT event_id, {sql_list(['if_statement', 'method_invocation', 'class_body', 'call_expression', 'identifier', 'import_declaration', 'return_statement'])}[1 + event_id % 7] AS t FROM events)")
@@ -521,21 +562,6 @@ _graph(
 )
 
 
-@query(
-    "taint_sinks",
-    f"""WITH RECURSIVE {EDGES_SQL}, {_SEEDS_SQL}, step AS (SELECT d.file_id, d.src, d.dst FROM data d JOIN nodes n ON n.file_id = d.file_id AND n.id = d.dst WHERE n.name <> 'f12'),
-    t AS (SELECT file_id, id FROM seeds UNION SELECT s.file_id, s.dst FROM t JOIN step s ON s.file_id = t.file_id AND s.src = t.id),
-    names AS (SELECT DISTINCT r.file_id, r.var FROM refs r JOIN t ON t.file_id = r.file_id AND t.id = r.id WHERE r.kind = 'def')
-    SELECT n.file_id, n.id FROM nodes n WHERE n.node_type IN ('CALL', 'ASSIGNMENT', 'EXPRESSION') AND n.name <> 'f12'
-      AND EXISTS (SELECT 1 FROM refs r JOIN names v ON v.file_id = r.file_id AND v.var = r.var WHERE r.file_id = n.file_id AND r.id = n.id AND r.kind = 'use')
-      AND NOT EXISTS (SELECT 1 FROM data d JOIN nodes c ON c.file_id = d.file_id AND c.id = d.src WHERE d.file_id = n.file_id AND d.dst = n.id AND c.name = 'f12')""",
-)
-def taint_sinks(spark, d):
-    n, r = corpus.nodes(spark, d), corpus.var_refs(spark, d)
-    data, clean = graph.data_edges(n, r), n.filter("name = 'f12'").select("file_id", "id")
-    return graph.taint_sinks(n, r, graph.taint_closure(graph.taint_seeds(n, r), data, clean), data, clean)
-
-
 _NAMES = ["total", "print", "String", "_x", "$value", "9lives", "if", "None", "puts", "echo", "func", "len", "x1"]
 
 

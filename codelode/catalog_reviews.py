@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from .catalog import DETECT_SQL, LINT_SQL, REVIEW_SQL, SCORES_SQL, _found, _reviews, _sql_ladder, _table, ORACLE_SQL, query
 from .catalog_tools import ALL_ITEMS_SQL
 from .functions import dims, ladders
-from .operators import flows
+from .operators import detect, flows
 from .plans import review, style
-from .sources import corpus, tool_runs
+from .sources import corpus, parser, tool_runs
 from .sources.corpus import FILES_SQL, LINES_SQL, quoted, sql_list
 
 _GATED_SQL = f"{DETECT_SQL}, gate AS (SELECT d.*, f.filename, f.code AS whole, coalesce(confidence >= 0.7 AND language IN ({', '.join(map(quoted, dims.LANGUAGES))}), false) AS ok FROM det d JOIN files f USING (file_id))"
@@ -230,3 +230,74 @@ def softmax(spark, d):
 def label_examples(spark, d):
     texts = flows.training_texts(_table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")))
     return texts.groupBy("label").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.min_by("text", "idx").alias("text"))
+
+
+# --- the parser's nodes
+
+
+_SOURCES = {
+    "python": "def f%d(a):\n    if a:\n        return a\n    b = g(a)\n    return b\n",
+    "javascript": "function f%d(a) {\n  if (a) {\n    return a;\n  }\n  let b = g(a);\n}\n",
+    "ruby": "def f%d(a)\n  b = g(a)\n  return b\nend\n",
+    "go": "func f%d(a int) {\n  b := g(a)\n  return b\n}\n",
+    "php": "<?php\nfunction f%d($a) {\n  $b = g($a);\n  return $b;\n}\n",
+    "java": "class F%d {\n  public int f(int a) {\n    return a;\n  }\n}\n",
+}
+#: Nodes of each type in the sources above, counted by hand.
+_NODE_COUNTS = {
+    "python": {"MODULE": 1, "FUNCTION_DEF": 1, "EXPRESSION": 8, "BLOCK": 2, "IF_STATEMENT": 1, "RETURN": 2, "ASSIGNMENT": 1, "CALL": 1},
+    "javascript": {"MODULE": 1, "FUNCTION_DEF": 1, "EXPRESSION": 2, "BLOCK": 2, "IF_STATEMENT": 1, "RETURN": 1, "VARIABLE": 1, "CALL": 1},
+    "ruby": {"MODULE": 1, "FUNCTION_DEF": 1, "EXPRESSION": 1, "BLOCK": 1, "ASSIGNMENT": 1, "CALL": 1, "RETURN": 1},
+    "go": {"MODULE": 1, "FUNCTION_DEF": 1, "EXPRESSION": 1, "BLOCK": 1, "ASSIGNMENT": 1, "CALL": 1, "RETURN": 1},
+    "php": {"MODULE": 1, "FUNCTION_DEF": 1, "EXPRESSION": 1, "BLOCK": 1, "ASSIGNMENT": 1, "CALL": 1, "RETURN": 1},
+    "java": {"MODULE": 1, "CLASS_DEF": 1, "FUNCTION_DEF": 1, "EXPRESSION": 2, "BLOCK": 2, "RETURN": 1},
+}
+
+
+def _sources(spark, d):
+    """A short source in each file's language, with the file's number in a name; files divisible by 11 cannot be parsed as Python."""
+    text = None
+    for x, code in _SOURCES.items():
+        one = F.replace(F.lit(code), F.lit("%d"), F.col("file_id").cast("string"))
+        text = F.when(F.col("language") == x, one) if text is None else text.when(F.col("language") == x, one)
+    files = corpus.lines(spark, d).select("file_id", "language").distinct()
+    return files.withColumn("code", F.when((F.col("file_id") % 11 == 0) & (F.col("language") == "python"), "def (").otherwise(text))
+
+
+_PARSED = ", ".join(f"({quoted(x)}, {quoted(t)}, {n})" for x, counts in _NODE_COUNTS.items() for t, n in counts.items())
+
+
+@query(
+    "parsed_node_types",
+    f"WITH {LINES_SQL}, f AS (SELECT DISTINCT file_id, language FROM lines), c(language, node_type, n) AS (VALUES {_PARSED}) SELECT file_id, node_type, n::BIGINT AS n FROM f JOIN c USING (language) WHERE NOT (file_id % 11 = 0 AND language = 'python') UNION ALL SELECT file_id, 'MODULE', 1 FROM f WHERE file_id % 11 = 0 AND language = 'python'",
+)
+def parsed_node_types(spark, d):
+    return parser.node_table(parser.parsed(_sources(spark, d))).groupBy("file_id", "node_type").agg(F.count("*").alias("n"))
+
+
+@query(
+    "parsed_variables",
+    f"""WITH {LINES_SQL}, f AS (SELECT DISTINCT file_id, language FROM lines) SELECT file_id, v AS var, k AS kind FROM f JOIN (VALUES ('python', 'def', 'a'), ('python', 'def', 'b'), ('python', 'use', 'a'), ('python', 'use', 'b'), ('python', 'use', 'g'),
+      ('javascript', 'def', 'a'), ('javascript', 'def', 'b'), ('javascript', 'use', 'a'), ('ruby', 'def', 'a'), ('ruby', 'def', 'b'), ('ruby', 'use', 'a'), ('ruby', 'use', 'b'),
+      ('php', 'def', 'a'), ('php', 'def', 'b'), ('php', 'use', 'a'), ('php', 'use', 'b'), ('go', 'def', 'a'), ('go', 'def', 'b'), ('go', 'use', 'a'), ('go', 'use', 'b'), ('java', 'def', 'a'), ('java', 'use', 'a')) x(l, k, v) ON l = language
+    WHERE NOT (file_id % 11 = 0 AND language = 'python')""",
+)
+def parsed_variables(spark, d):
+    _, refs = parser.code_graph(_sources(spark, d))
+    return refs.filter("id = 0 and var in ('a', 'b', 'g')").select("file_id", "var", "kind")
+
+
+@query("parsed_functions", f"WITH {LINES_SQL}, f AS (SELECT DISTINCT file_id, language FROM lines) SELECT file_id, CASE WHEN language = 'java' THEN 'f' ELSE 'f' || file_id END AS name FROM f WHERE NOT (file_id % 11 = 0 AND language = 'python')")
+def parsed_functions(spark, d):
+    nodes, _ = parser.code_graph(_sources(spark, d))
+    return nodes.filter("node_type = 'FUNCTION_DEF'").select("file_id", "name")
+
+
+@query("full_reviews")
+def full_reviews(spark, d):
+    return review.full_reviews(corpus.files(spark, d)).drop("recommendations")
+
+
+@query("supported_languages", "SELECT * FROM (VALUES " + ", ".join(f"({quoted(x)}, {quoted(e)})" for x, ends in dims.EXTENSIONS.items() for e in ends) + ") t(language, extension)")
+def supported_languages(spark, d):
+    return detect.extensions(spark)

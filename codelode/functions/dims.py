@@ -292,6 +292,12 @@ NODE_TYPES = [
 ]
 OTHER_NODE_TYPE = "EXPRESSION"
 
+#: All node types, in the order of the one-hot features.
+ALL_NODE_TYPES = [
+    "MODULE", "FUNCTION_DEF", "METHOD_DEF", "CLASS_DEF", "VARIABLE", "ASSIGNMENT", "CALL", "IF_STATEMENT", "FOR_STATEMENT", "WHILE_STATEMENT", "CONDITION", "RETURN", "BREAK",
+    "CONTINUE", "IMPORT", "EXPORT", "REQUIRE", "INCLUDE", "EXPRESSION", "LITERAL", "COMMENT", "BLOCK", "PARAMETER", "PHI_NODE",
+]
+
 #: Flow texts (source, sink, sanitization) that stand for the labels 1 and 0 in training.
 FLOW_TEXTS = {
     1: [

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims, ladders
@@ -72,3 +72,8 @@ def gated(files: DataFrame, least: float = 0.7) -> DataFrame:
     supported = F.lower("language").isin(dims.LANGUAGES)
     reason = F.when(F.col("confidence") < least, "Low confidence").when(~F.coalesce(supported, F.lit(False)), "Unsupported language")
     return df.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "SUPPORTED").otherwise("UNSUPPORTED_LANGUAGE"))
+
+
+def extensions(spark: SparkSession) -> DataFrame:
+    """language, extension: the languages that are reviewed and the endings of their files."""
+    return spark.createDataFrame([(x, e) for x, ends in dims.EXTENSIONS.items() for e in ends], "language string, extension string")

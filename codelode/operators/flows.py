@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dims, ladders
+from ..session import kept
 
 
 def extracted(code: Column, language: Column) -> Column:
@@ -39,10 +40,12 @@ def training_texts(labels: DataFrame) -> DataFrame:
     """
     ranged = labels.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("_p", F.spark_partition_id())
     ranged = ranged.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy("doc_id", "label")))
-    ranged = ranged.checkpoint()
+    ranged = kept(ranged)
+    # one row a partition
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy("a._p").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    df = ranged.join(before, "_p").withColumn("idx", F.col("before") + F.col("_n") - 1)
+    earlier = F.sum("n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1))
+    before = sizes.select("_p", F.coalesce(earlier, F.lit(0)).alias("before"))
+    df = ranged.join(F.broadcast(before), "_p").withColumn("idx", F.col("before") + F.col("_n") - 1)
     made = {k: F.array(*[ladders.flow_text(*[F.lit(x) for x in t]) for t in v]) for k, v in dims.FLOW_TEXTS.items()}
     turn = (F.col("idx") % 6 + 1).cast("int")
     return df.select("idx", "label", F.when(F.col("label") == 1, F.element_at(made[1], turn)).otherwise(F.element_at(made[0], turn)).alias("text"))

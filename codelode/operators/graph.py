@@ -1,19 +1,26 @@
 """Program dependence graph over node tables: edges, features, taint.
 
-nodes: file_id, id, parent_id, line, col, node_type, name; refs: file_id, id, var, kind ('def' or 'use').
+nodes: file_id, id (preorder), parent_id, path (ids of all ancestors, outermost first), line, col, node_type, name, code,
+language, is_condition; refs: file_id, id, var, kind ('def' or 'use').
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import dims
+from ..functions import dims, ladders
+from ..session import kept
 
 CONTROL = ["IF_STATEMENT", "FOR_STATEMENT", "WHILE_STATEMENT"]
 TERMINATORS = ["RETURN", "BREAK", "CONTINUE"]
 EDGE_TYPES = ["control", "data", "call", "order", "structural"]
+#: The order in which the kinds of edges are added.
+ADDED = ["structural", "control", "data", "call", "order"]
+SCANNED = ["ASSIGNMENT", "CALL", "EXPRESSION"]
 _ORDER = ["line", "col", "id"]
 
 
@@ -21,17 +28,36 @@ def structural_edges(nodes: DataFrame) -> DataFrame:
     return nodes.filter("parent_id is not null").select("file_id", F.col("parent_id").alias("src"), F.col("id").alias("dst"))
 
 
+def ancestry(nodes: DataFrame) -> DataFrame:
+    """file_id, ancestor, id: every node with each of its ancestors and itself, from the paths the parser gives."""
+    return nodes.select("file_id", F.explode(F.array_append("path", F.col("id"))).alias("ancestor"), "id")
+
+
+def with_function(nodes: DataFrame) -> DataFrame:
+    """Adds function: the nearest function a node is in, itself included, or null."""
+    functions = nodes.filter("node_type = 'FUNCTION_DEF'").select("file_id", F.col("id").alias("ancestor"))
+    # ids are in preorder, so of several ancestors the deepest has the largest
+    nearest = ancestry(nodes).join(functions, ["file_id", "ancestor"]).groupBy("file_id", "id").agg(F.max("ancestor").alias("function"))
+    return nodes.join(nearest, ["file_id", "id"], "left")
+
+
+def _next_stop(*scope: str) -> Column:
+    """Line of the next terminator on a later line of the same scope; running minima, so large files cost no more."""
+    later = W.partitionBy(*scope).orderBy(F.desc("line")).rangeBetween(W.unboundedPreceding, -1)
+    return F.min(F.when(F.col("node_type").isin(TERMINATORS), F.col("line"))).over(later)
+
+
 def control_edges(nodes: DataFrame) -> DataFrame:
-    """Control node to its body; a block child stands for its own children; none beyond a terminator line in between."""
-    n = nodes.select("file_id", "id", "parent_id", "line", "node_type")
-    control = n.filter(F.col("node_type").isin(CONTROL)).select("file_id", F.col("id").alias("src"), F.col("line").alias("c_line"))
-    child = control.join(n.withColumnRenamed("parent_id", "src"), ["file_id", "src"])
-    direct = child.filter("node_type <> 'BLOCK'").select("file_id", "src", "c_line", F.col("id").alias("dst"), F.col("line").alias("b_line"))
-    blocks = child.filter("node_type = 'BLOCK'").select("file_id", "src", "c_line", F.col("id").alias("parent_id"))
-    inner = blocks.join(n.filter(~F.col("node_type").isin(CONTROL)), ["file_id", "parent_id"]).select("file_id", "src", "c_line", F.col("id").alias("dst"), F.col("line").alias("b_line"))
-    stops = n.filter(F.col("node_type").isin(TERMINATORS)).select(F.col("file_id").alias("t_file"), F.col("line").alias("t_line")).distinct()
-    between = (F.col("file_id") == F.col("t_file")) & (F.col("t_line") > F.col("c_line")) & (F.col("t_line") < F.col("b_line"))
-    return direct.unionByName(inner).join(stops, between, "left_anti").select("file_id", "src", "dst").distinct()
+    """Control node to its body; a block child stands for its own children; none beyond a terminator of the same function
+    on a line in between, and none to conditions."""
+    n = with_function(nodes).withColumn("stop", _next_stop("file_id", "function")).select("file_id", "id", "parent_id", "line", "node_type", "is_condition", "stop")
+    control = n.filter(F.col("node_type").isin(CONTROL)).select("file_id", F.col("id").alias("src"), "stop")
+    child = control.join(n.filter("not is_condition").drop("stop").withColumnRenamed("parent_id", "src"), ["file_id", "src"])
+    direct = child.filter("node_type <> 'BLOCK'").select("file_id", "src", "stop", F.col("id").alias("dst"), "line")
+    blocks = child.filter("node_type = 'BLOCK'").select("file_id", "src", "stop", F.col("id").alias("parent_id"))
+    inner = blocks.join(n.filter(~F.col("node_type").isin(CONTROL)).drop("stop"), ["file_id", "parent_id"]).select("file_id", "src", "stop", F.col("id").alias("dst"), "line")
+    free = F.col("stop").isNull() | (F.col("stop") >= F.col("line"))
+    return direct.unionByName(inner).filter(free).select("file_id", "src", "dst").distinct()
 
 
 def data_edges(nodes: DataFrame, refs: DataFrame) -> DataFrame:
@@ -56,77 +82,163 @@ def call_edges(nodes: DataFrame) -> DataFrame:
 def order_edges(nodes: DataFrame) -> DataFrame:
     """Neighbours in reading order with one parent and no terminator on a line strictly between."""
     place = W.partitionBy("file_id").orderBy(*_ORDER)
-    df = nodes.select(
-        "file_id", F.col("id").alias("src"), "parent_id", F.col("line").alias("c_line"), F.lead("id").over(place).alias("dst"), F.lead("parent_id").over(place).alias("next_parent"), F.lead("line").over(place).alias("b_line")
-    )
-    df = df.filter("dst is not null").filter(F.col("parent_id").eqNullSafe(F.col("next_parent")))
-    stops = nodes.filter(F.col("node_type").isin(TERMINATORS)).select(F.col("file_id").alias("t_file"), F.col("line").alias("t_line")).distinct()
-    between = (F.col("file_id") == F.col("t_file")) & (F.col("t_line") > F.col("c_line")) & (F.col("t_line") < F.col("b_line"))
-    return df.join(stops, between, "left_anti").select("file_id", "src", "dst")
+    ahead = [F.lead(c).over(place).alias(f"next_{c}") for c in ("id", "parent_id", "line")]
+    df = nodes.select("file_id", "id", "parent_id", "line", _next_stop("file_id").alias("stop"), *ahead)
+    df = df.filter("next_id is not null").filter(F.col("parent_id").eqNullSafe(F.col("next_parent_id")))
+    free = F.col("stop").isNull() | (F.col("stop") >= F.col("next_line"))
+    return df.filter(free).select("file_id", F.col("id").alias("src"), F.col("next_id").alias("dst"))
 
 
 def edges(nodes: DataFrame, refs: DataFrame) -> DataFrame:
-    """All edges with their type, once for each pair and type, ends known and distinct."""
+    """All edges with their type, once for each pair and type, between nodes that are there.
+
+    Each kind of edge is distinct by itself, so the union needs no further pass.
+    """
+    n, r = nodes.repartition("file_id"), refs.repartition("file_id")
     parts = {
-        "control": control_edges(nodes),
-        "data": data_edges(nodes, refs).select("file_id", "src", "dst"),
-        "call": call_edges(nodes),
-        "order": order_edges(nodes),
-        "structural": structural_edges(nodes),
+        "control": control_edges(n),
+        "data": data_edges(n, r).select("file_id", "src", "dst"),
+        "call": call_edges(n),
+        "order": order_edges(n),
+        "structural": structural_edges(n),
     }
+    each = [df.withColumn("edge_type", F.lit(kind)) for kind, df in parts.items()]
+    return reduce(DataFrame.unionByName, each).filter("src <> dst")
+
+
+def simple_graph(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """file_id, src, dst, edge_type: one edge for each pair of nodes, of the type that is added last."""
+    place = F.array_position(F.array(*[F.lit(x) for x in ADDED]), F.col("edge_type"))
+    return edges(nodes, refs).groupBy("file_id", "src", "dst").agg(F.max_by("edge_type", place).alias("edge_type"))
+
+
+def node_records(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """A node as a record for export: code cut to 100 characters, names by kind, flags, sorted variables."""
+    by = refs.groupBy("file_id", "id").agg(
+        *[F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("var")))).alias(c) for k, c in (("def", "variables_defined"), ("use", "variables_used"))]
+    )
+    t, none = F.col("node_type"), F.array().cast("array<string>")
+    return nodes.join(by, ["file_id", "id"], "left").select(
+        "file_id", "id", F.substring("code", 1, 100).alias("code"), "line", "col", F.lower("node_type").alias("type"),
+        F.when(t == "FUNCTION_DEF", F.col("name")).alias("function_name"), F.when(t == "CLASS_DEF", F.col("name")).alias("class_name"),
+        *[F.coalesce(c, none).alias(c) for c in ("variables_defined", "variables_used")],
+        t.isin(CONTROL).alias("is_control_node"), t.isin(TERMINATORS).alias("is_control_terminator"), (t == "PHI_NODE").alias("is_phi_node"),
+    )
+
+
+def _by_language(made: dict[str, Column], otherwise: Column) -> Column:
     out = None
-    for kind, df in parts.items():
-        df = df.withColumn("edge_type", F.lit(kind))
-        out = df if out is None else out.unionByName(df)
-    return out.filter("src <> dst").distinct()
+    for language, value in made.items():
+        hit = F.lower("language") == language
+        out = F.when(hit, value) if out is None else out.when(hit, value)
+    return out.otherwise(otherwise)
+
+
+def is_source() -> Column:
+    """Whether a node's code matches a taint source of its language (the sources are used as expressions, in any case)."""
+    return _by_language({x: F.col("code").rlike("(?di)" + "|".join(f"(?:{p})" for p in ps)) for x, ps in dims.TAINT_SOURCES.items()}, F.lit(False))
+
+
+def is_sanitized() -> Column:
+    """Whether a node's code contains a sanitizer of its language."""
+    return _by_language({x: reduce(lambda a, b: a | b, [F.contains(F.col("code"), F.lit(w)) for w in ws]) for x, ws in dims.SANITIZERS.items()}, F.lit(False))
+
+
+def sink_types() -> Column:
+    """Kinds of sinks whose expressions a node's code matches, in the order in which the later one wins."""
+    kinds = list(dict.fromkeys(k for k, _ in dims.SINK_PATTERNS))
+    hits = [F.when(F.col("code").rlike("(?di)" + "|".join(f"(?:{p})" for x, p in dims.SINK_PATTERNS if x == k)), F.lit(k)) for k in kinds]
+    return F.array_compact(F.array(*hits))
 
 
 def taint_seeds(nodes: DataFrame, refs: DataFrame) -> DataFrame:
-    """Variables defined at nodes that read from a source; here `name` f0 to f2 stands for source calls."""
-    sources = nodes.filter(F.col("node_type").isin("CALL", "FUNCTION_DEF") & F.col("name").isin("f0", "f1", "f2"))
-    return refs.filter("kind = 'def'").join(sources.select("file_id", "id"), ["file_id", "id"], "left_semi").select("file_id", "id").distinct()
+    """file_id, id of calls that read from a source and define a variable."""
+    sources = nodes.filter((F.col("node_type") == "CALL") & is_source()).select("file_id", "id")
+    return refs.filter("kind = 'def'").join(sources, ["file_id", "id"], "left_semi").select("file_id", "id").distinct()
 
 
-def taint_closure(seeds: DataFrame, data: DataFrame, blocked: DataFrame, max_rounds: int = 500) -> DataFrame:
-    """Nodes reachable from seeds over data edges without entering a blocked (sanitizing) node.
+def taint_closure(seeds: DataFrame, data: DataFrame, nodes: DataFrame, refs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """Defining nodes reachable from seeds over data edges without entering a sanitizing node.
 
-    Semi-naive: each round joins only what is new; rounds are checkpointed, so lineage stays short and lost executors
-    cost no more than a round.
+    Semi-naive: each round joins only what is new. Steps and rounds are checkpointed, each round's new nodes as a piece of
+    its own, so nothing is written twice and a lost executor costs no more than a round. A path has at most as many steps
+    as a file has nodes; beyond max_rounds the data is taken to be wrong.
     """
-    step = data.join(blocked.select("file_id", F.col("id").alias("dst")), ["file_id", "dst"], "left_anti").select("file_id", F.col("src").alias("id"), "dst")
-    step = step.checkpoint()
-    known = frontier = seeds.select("file_id", "id").distinct().checkpoint()
+    clean = nodes.filter(is_sanitized()).select("file_id", F.col("id").alias("dst"))
+    defining = refs.filter("kind = 'def'").select("file_id", F.col("id").alias("dst")).distinct()
+    step = data.join(clean, ["file_id", "dst"], "left_anti").join(defining, ["file_id", "dst"], "left_semi").select("file_id", F.col("src").alias("id"), "dst")
+    step = kept(step.repartition("file_id"))
+    pieces = [kept(seeds.select("file_id", "id").distinct())]
     for _ in range(max_rounds):
-        new = frontier.join(step, ["file_id", "id"]).select("file_id", F.col("dst").alias("id")).distinct()
-        frontier = new.join(known, ["file_id", "id"], "left_anti").checkpoint()
-        if frontier.isEmpty():
-            return known
-        known = known.unionByName(frontier).checkpoint()
+        new = pieces[-1].join(step, ["file_id", "id"]).select("file_id", F.col("dst").alias("id")).distinct()
+        new = kept(new.join(reduce(DataFrame.unionByName, pieces), ["file_id", "id"], "left_anti"))
+        if new.isEmpty():
+            return reduce(DataFrame.unionByName, pieces)
+        pieces.append(new)
+        if len(pieces) > 16:  # a long chain of small pieces becomes one
+            pieces = [kept(reduce(DataFrame.unionByName, pieces[:-1]).coalesce(64)), pieces[-1]]
     raise RuntimeError("taint did not settle")
 
 
+def taint_sinks(nodes: DataFrame, refs: DataFrame, tainted: DataFrame, data: DataFrame) -> DataFrame:
+    """file_id, id, line, code (60 characters), type, defined, used of the nodes that look vulnerable.
+
+    Those are calls, assignments and expressions of five characters or more that use a tainted variable (by name), match a
+    sink's expression, and neither sanitize nor follow directly on a node that does. type is the last kind that matches.
+    """
+    names = refs.filter("kind = 'def'").join(tainted, ["file_id", "id"], "left_semi").select("file_id", "var").distinct()
+    marked = nodes.withColumns({"clean": is_sanitized(), "types": sink_types()})
+    clean = marked.filter("clean").select("file_id", F.col("id").alias("src"))
+    long_enough = F.length(ladders.stripped(F.col("code"))) >= 5
+    scanned = marked.filter(F.col("node_type").isin(SCANNED) & long_enough & ~F.col("clean") & (F.size("types") > 0))
+    using = refs.filter("kind = 'use'").join(names, ["file_id", "var"], "left_semi").select("file_id", "id").distinct()
+    after = data.join(clean, ["file_id", "src"], "left_semi").select("file_id", F.col("dst").alias("id"))
+    found = scanned.join(using, ["file_id", "id"], "left_semi").join(after, ["file_id", "id"], "left_anti")
+    rows = node_records(found, refs)
+    last = found.select("file_id", "id", F.element_at("types", -1).alias("vulnerability"))
+    return rows.join(last, ["file_id", "id"]).select("file_id", "id", "line", F.substring("code", 1, 60).alias("code"), F.col("vulnerability").alias("type"), F.col("variables_defined").alias("defined"), F.col("variables_used").alias("used"))
+
+
+def taint_issues(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """The whole analysis of taint: seeds, closure, sinks; every issue involves tainted input."""
+    data = kept(data_edges(nodes, refs))
+    tainted = taint_closure(taint_seeds(nodes, refs), data, nodes, refs)
+    return taint_sinks(nodes, refs, tainted, data).withColumn("tainted", F.lit(True))
+
+
+def graph_stats(nodes: DataFrame, all_edges: DataFrame, issues: DataFrame) -> DataFrame:
+    """file_id, nodes, edges, issues of every file that has nodes."""
+    df = nodes.groupBy("file_id").agg(F.count("*").alias("nodes"))
+    df = df.join(all_edges.groupBy("file_id").agg(F.count("*").alias("edges")), "file_id", "left")
+    return df.join(issues.groupBy("file_id").agg(F.count("*").alias("issues")), "file_id", "left").na.fill(0, ["edges", "issues"])
+
+
+def lifted(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """refs of each node and of all nodes below it, each variable and kind once."""
+    return ancestry(nodes).join(refs, ["file_id", "id"]).select("file_id", F.col("ancestor").alias("id"), "var", "kind").distinct()
+
+
+def call_name(code: Column) -> Column:
+    """The name a call's code calls: what stands before the first parenthesis, after its last dot."""
+    return F.when(F.contains(code, F.lit("(")), F.trim(F.substring_index(F.substring_index(code, "(", 1), ".", -1)))
+
+
+def child_names(nodes: DataFrame) -> DataFrame:
+    """file_id, id, name of functions and classes: the code of their first child that is an identifier or a name."""
+    named = nodes.filter(F.col("ast_type").isin("identifier", "name")).groupBy("file_id", F.col("parent_id").alias("id")).agg(F.min_by("code", "id").alias("name"))
+    return nodes.filter(F.col("node_type").isin("FUNCTION_DEF", "CLASS_DEF")).select("file_id", "id").join(named, ["file_id", "id"], "left")
+
+
 def features(nodes: DataFrame, refs: DataFrame) -> DataFrame:
-    """file_id, idx (dense), features: line, col, control and terminator flags, numbers of definitions and uses, one-hot type."""
-    kinds = [t for _, t in dims.NODE_TYPES] + [dims.OTHER_NODE_TYPE]
-    counts = refs.groupBy("file_id", "id").agg(F.count_if(F.col("kind") == "def").alias("defs"), F.count_if(F.col("kind") == "use").alias("uses"))
+    """file_id, idx (dense), features: length of the code, line, col, depth, flags of control, function, terminator and phi
+    nodes, numbers of variables defined and used, one-hot of the 24 node types."""
+    counts = refs.groupBy("file_id", "id").agg(*[F.count_distinct(F.when(F.col("kind") == k, F.col("var"))).alias(c) for k, c in (("def", "defs"), ("use", "uses"))])
     df = nodes.join(counts, ["file_id", "id"], "left").na.fill(0, ["defs", "uses"])
-    number = lambda c: c.cast("double")
-    flags = [number(F.col("node_type").isin(CONTROL)), number(F.col("node_type").isin(TERMINATORS))]
-    hot = [number(F.col("node_type") == k) for k in kinds]
+    t = F.col("node_type")
+    numbers = [F.length("code"), F.col("line"), F.col("col"), F.size("path"), t.isin(CONTROL), t == "FUNCTION_DEF", t.isin(TERMINATORS), t == "PHI_NODE", F.col("defs"), F.col("uses")]
+    hot = [t == k for k in dims.ALL_NODE_TYPES]
     idx = F.row_number().over(W.partitionBy("file_id").orderBy("id")) - 1
-    return df.select("file_id", idx.alias("idx"), F.array(number(F.col("line")), number(F.col("col")), *flags, number(F.col("defs")), number(F.col("uses")), *hot).alias("features"))
-
-
-def ancestry(nodes: DataFrame) -> DataFrame:
-    """file_id, ancestor, id: every node with each of its ancestors and itself; one join for each level of the tree."""
-    parents = nodes.filter("parent_id is not null").select("file_id", F.col("id").alias("ancestor"), F.col("parent_id").alias("above"))
-    level = nodes.select("file_id", F.col("id").alias("ancestor"), "id")
-    out = level
-    while True:
-        level = level.join(parents, ["file_id", "ancestor"]).select("file_id", F.col("above").alias("ancestor"), "id").checkpoint()
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
+    return df.select("file_id", idx.alias("idx"), F.array(*[c.cast("double") for c in (*numbers, *hot)]).alias("features"))
 
 
 def function_summaries(nodes: DataFrame, refs: DataFrame) -> DataFrame:
@@ -163,16 +275,6 @@ def edge_index(nodes: DataFrame, all_edges: DataFrame) -> DataFrame:
     return df.select("file_id", "src_idx", "dst_idx", place.cast("int").alias("type_ord"))
 
 
-def taint_sinks(nodes: DataFrame, refs: DataFrame, tainted: DataFrame, data: DataFrame, clean: DataFrame) -> DataFrame:
-    """file_id, id: calls, assignments and expressions that use a tainted variable (by name) and neither sanitize it nor
-    follow directly on a node that does. clean: file_id, id of sanitizing nodes."""
-    names = refs.filter("kind = 'def'").join(tainted, ["file_id", "id"], "left_semi").select("file_id", "var").distinct()
-    scanned = nodes.filter(F.col("node_type").isin("CALL", "ASSIGNMENT", "EXPRESSION")).select("file_id", "id")
-    using = refs.filter("kind = 'use'").join(names, ["file_id", "var"], "left_semi").select("file_id", "id").distinct()
-    after = data.join(clean.select("file_id", F.col("id").alias("src")), ["file_id", "src"], "left_semi").select("file_id", F.col("dst").alias("id"))
-    return scanned.join(using, ["file_id", "id"], "left_semi").join(clean, ["file_id", "id"], "left_anti").join(after, ["file_id", "id"], "left_anti")
-
-
 def semantic_tags(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     """file_id, id, tags: sorted words for control structures, terminators, functions, classes, definitions and uses."""
     counts = refs.groupBy("file_id", "id").agg(F.bool_or(F.col("kind") == "def").alias("d"), F.bool_or(F.col("kind") == "use").alias("u"))

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ladders
-from ..operators import detect, flows, lint, scan
+from ..operators import detect, flows, graph, lint, scan
+from ..sources import parser
 
 #: Marks of the decisions in the console text.
 SYMBOLS = {"APPROVE": "✅", "REVIEW_RECOMMENDED": "⚠️", "REVIEW_REQUIRED": "🔴", "REJECT": "❌"}
@@ -114,6 +115,12 @@ def whole_reviews(files: DataFrame, predict=None, issues: DataFrame | None = Non
     )
 
 
+def full_reviews(files: DataFrame, predict=None, runs: DataFrame | None = None) -> DataFrame:
+    """whole_reviews with the graph's own issues: files that pass the gate are parsed and searched for taint first."""
+    passed = detect.gated(files).filter("status = 'SUPPORTED'").select("file_id", "language", "code")
+    return whole_reviews(files, predict, graph.taint_issues(*parser.code_graph(passed)), runs)
+
+
 def with_errors(reviews: DataFrame, changed: DataFrame) -> DataFrame:
     """A row for each file of changed (file_id, filename): its review, or a row of decision ERROR where there is none."""
     kept = [c for c in ("overall_score", "final_decision", "recommendations") if c in reviews.columns]

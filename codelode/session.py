@@ -2,7 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint, in the shared folder that spark.checkpoint.dir names.
+
+    Where that is unset, a new local folder on a local master (tests), and an error on a cluster.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if root is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is to name a folder that driver and executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="codelode-checkpoint-"))
+    return df.checkpoint()
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:

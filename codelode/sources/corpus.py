@@ -71,17 +71,27 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("file_id", name.alias("filename"), "code")
 
 
+#: Code of the nodes: sources, sanitizers, sinks and plain code of all languages.
+CODES = [
+    "x = input()", "os.system(x)", "html.escape(x)", "total = total + 1", "cursor.execute('select a' + x)", "el.innerHTML = x", "req.query.id", "document.write(x)",
+    "encodeURIComponent(x)", "Scanner.nextLine()", "Runtime.exec (x)", "URLEncoder.encode(x)", "file_get_contents($f)", "echo $x", "htmlentities($x)", "gets",
+    "system(x)", "CGI.escapeHTML(x)", "os.Getenv(k)", "fmt.Sprintf('SELECT 1', x)", "strconv.Quote(x)", "f(x)", "ok", "params[:id] ", "\"INSERT into t\" + x", "exec (cmd + \"DELETE \" + x)",
+]
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graph nodes derived from events: ids in event order, parent (id - 1) / 3, types by event."""
+    """Graph nodes derived from events: ids in event order, three levels of 25, 5 and 1 nodes, types and code by event."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("user_id").alias("file_id"))
     node = (F.row_number().over(W.partitionBy("file_id").orderBy("event_id")) - 1).cast("bigint")
     df = events.select("file_id", "event_id", node.alias("id"))
     kind = pick([t for _, t in dims.NODE_TYPES] + [dims.OTHER_NODE_TYPE], F.col("event_id") % 17)
+    above = F.array(F.lit(0).cast("bigint"), F.col("id") - F.col("id") % 25, F.col("id") - F.col("id") % 5)
+    df = df.withColumn("path", F.array_distinct(F.filter(above, lambda x: x < F.col("id"))))
     return df.select(
-        "file_id", "id",
-        F.when(F.col("id") > 0, F.floor((F.col("id") - 1) / 3)).cast("bigint").alias("parent_id"),
+        "file_id", "id", "path", F.get("path", F.size("path") - 1).alias("parent_id"),
         F.floor(F.col("id") / 2).cast("bigint").alias("line"), (F.col("event_id") % 5).alias("col"), kind.alias("node_type"),
         F.concat(F.lit("f"), (F.col("event_id") % 13).cast("string")).alias("name"), "event_id",
+        pick(CODES, (F.col("event_id") * 5 + F.col("file_id")) % len(CODES)).alias("code"), language_of(F.col("file_id")).alias("language"), (F.col("event_id") % 19 == 0).alias("is_condition"),
     )
 
 
@@ -110,8 +120,9 @@ FILES_SQL = LINES_SQL + f""", files AS (
     string_agg(text, chr(10) ORDER BY line) AS code
   FROM lines GROUP BY file_id)"""
 NODES_SQL = f"""nodes AS (
-  SELECT file_id, id, CASE WHEN id > 0 THEN (id - 1) // 3 END AS parent_id, id // 2 AS line, event_id % 5 AS col,
-    {sql_list([t for _, t in dims.NODE_TYPES] + [dims.OTHER_NODE_TYPE])}[1 + event_id % 17] AS node_type, 'f' || (event_id % 13) AS name, event_id
+  SELECT file_id, id, CASE WHEN id = 0 THEN NULL WHEN id % 25 = 0 THEN 0 WHEN id % 5 = 0 THEN id - id % 25 ELSE id - id % 5 END AS parent_id, id // 2 AS line, event_id % 5 AS col,
+    {sql_list([t for _, t in dims.NODE_TYPES] + [dims.OTHER_NODE_TYPE])}[1 + event_id % 17] AS node_type, 'f' || (event_id % 13) AS name, event_id,
+    {sql_list(CODES)}[1 + (event_id * 5 + file_id) % {len(CODES)}] AS code, {sql_list(dims.LANGUAGES)}[1 + file_id % {len(dims.LANGUAGES)}] AS language, event_id % 19 = 0 AS is_condition
   FROM (SELECT user_id AS file_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS id FROM events)),
 refs AS (SELECT file_id, id, 'v' || (event_id % 11) AS var, CASE WHEN event_id % 3 = 0 THEN 'def' ELSE 'use' END AS kind FROM nodes)"""
 RULES_SQL = "rules(ord, language, phase, severity, description, regex) AS (VALUES " + ", ".join(

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
+import subprocess
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -45,3 +48,46 @@ def read_directory(spark: SparkSession, root: str, endings: list[str] | None = N
 
     listed = spark.createDataFrame([(n,) for n in names], "filename string")
     return listed.mapInPandas(read, _SCHEMA)
+
+
+#: Endings of the files that a review of changes looks at.
+CHANGED_ENDINGS = [".py", ".js", ".java", ".php", ".rb", ".go", ".c", ".cpp", ".cs"]
+#: Small samples of code, one of each kind a review tells apart.
+SAMPLES = [
+    ("clean.py", "def add(a, b):\n    return a + b\n"),
+    ("shell.py", "import os\ndef run(name):\n    os.system('ls ' + name)\n"),
+    ("page.js", "function show(n) {\n  document.write('<b>' + n);\n}\n"),
+    ("notes.txt", "nothing to review here\n"),
+]
+
+
+def samples(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SAMPLES, _SCHEMA)
+
+
+def changed_names(root: str, base: str | None = None) -> list[str]:
+    """Names of the files that differ from the base branch and are still there; nothing where git cannot tell."""
+    base = base or os.environ.get("GITHUB_BASE_REF") or "main"
+    try:
+        got = subprocess.run(["git", "diff", "--name-only", f"origin/{base}...HEAD"], cwd=root, capture_output=True, text=True, check=True, timeout=60)
+    except (OSError, subprocess.SubprocessError):
+        return []
+    return [n for n in got.stdout.splitlines() if n.endswith(tuple(CHANGED_ENDINGS)) and os.path.exists(os.path.join(root, n))]
+
+
+def changed_files(files: DataFrame, names: DataFrame) -> DataFrame:
+    """The files whose filename is among names (filename) and has one of the endings."""
+    wanted = names.filter(reduce(lambda a, b: a | b, [F.col("filename").endswith(e) for e in CHANGED_ENDINGS])).select("filename").distinct()
+    return files.join(wanted, "filename", "left_semi")
+
+
+def read_file(spark: SparkSession, path: str) -> DataFrame:
+    """One file for review, with file_id 0; a path that is not there is an error."""
+    if "://" not in path and not os.path.exists(path):
+        raise FileNotFoundError(path)
+    return read_single(spark, path).withColumn("file_id", F.lit(0).cast("bigint"))
+
+
+def tools_available() -> dict[str, bool]:
+    """Which external scanners the driver can start."""
+    return {name: shutil.which(name) is not None for name in ("bandit", "eslint", "go")}
