@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ladders
 from ..operators import detect, flows, graph, lint, scan
+from ..session import kept
 from ..sources import parser
 
 #: Marks of the decisions in the console text.
@@ -74,7 +75,7 @@ def whole_reviews(files: DataFrame, predict=None, issues: DataFrame | None = Non
     not among components is SKIPPED and counts with its default score. predict adds vulnerable (boolean) and confidence to
     rows with source, sink and sanitization (flows.rule_predictions, or a fitted classifier). issues: see flow_patterns.
     """
-    gate = detect.gated(files).select("file_id", "filename", "code", "language", "confidence", "status", "reason")
+    gate = kept(detect.gated(files).select("file_id", "filename", "code", "language", "confidence", "status", "reason"))
     passed = gate.filter("status = 'SUPPORTED'")
     lines = passed.select("file_id", "language", F.posexplode(F.split("code", "\n", -1)).alias("pos", "text")).select("file_id", (F.col("pos") + 1).alias("line"), "language", "text")
     found = scan.deduplicated(scan.findings(lines, scan.rules(files.sparkSession)))

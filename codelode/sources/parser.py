@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims, ladders
 from ..operators import graph
+from ..session import kept
 
 _ROW = "file_id bigint, language string, id bigint, parent_id bigint, path array<bigint>, line bigint, col bigint, ast_type string, code string, is_condition boolean, defines array<string>, uses array<string>, error string"
 #: Types of Python syntax nodes that do not follow from the name of their class.
@@ -273,5 +274,5 @@ def ref_table(rows: DataFrame) -> DataFrame:
 
 def code_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes and refs of files (file_id, language, code)."""
-    rows = parsed(files)
+    rows = kept(parsed(files))  # every table of the graph is made of them
     return node_table(rows), ref_table(rows)

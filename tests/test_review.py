@@ -51,7 +51,8 @@ def test_score_points(spark):
 
 def test_report_counts_what_it_leaves_out(spark):
     found = spark.createDataFrame([(1, i, "HIGH", "d", i) for i in range(13)], "file_id long, line int, severity string, description string, ord int")
-    text = scan.report(found).first()["report"]
+    found = found.withColumns({"category": F.lit("Other"), "remediation": F.lit("")})
+    text = scan.report(found.select("file_id").distinct(), found).first()["report"]
     assert text.startswith("HIGH (13)") and text.endswith("... and 3 more")
 
 
