@@ -53,7 +53,7 @@ def test_report_counts_what_it_leaves_out(spark):
     found = spark.createDataFrame([(1, i, "HIGH", "d", i) for i in range(13)], "file_id long, line int, severity string, description string, ord int")
     found = found.withColumns({"category": F.lit("Other"), "remediation": F.lit("")})
     text = scan.report(found.select("file_id").distinct(), found).first()["report"]
-    assert text.startswith("HIGH (13)") and text.endswith("... and 3 more")
+    assert "    HIGH: 13\n" in text and "⚠️ HIGH SEVERITY FINDINGS:\n  1. [Line 0] d" in text and "  10. [Line 9] d" in text and "[Line 10]" not in text and "     ... and 3 more\n" in text
 
 
 def test_flow_extraction(spark):
