@@ -102,7 +102,8 @@ def duplicate_units(docs: DataFrame, params: UnitParams = UnitParams(), rank: st
     place = F.struct(F.col("rank").isNull().alias("r0"), "rank", F.col("doc_id").isNull().alias("r1"), "doc_id", "start", "end")
     # sums by digest are made before the shuffle, so a line of all documents is one row of each task
     first = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).filter("first < last")
-    later = join_skewed(found, first.select("digest", "first", "n"), "digest", "n", found.count()).filter(place > F.col("first"))
+    first = stored(first.select("digest", "first", "n"), "first")
+    later = join_skewed(found, first, "digest", "n", found.count()).filter(place > F.col("first"))
     return later.select(
         "doc_id", "start", "end", "n_words",
         F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"), F.col("first.end").alias("kept_end"),

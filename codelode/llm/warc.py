@@ -297,7 +297,7 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stored(read_archives(manifest, folder, with_payload=False).drop("payload"), "records")
     # archives just written have no gaps, and give back as many records as were put in
     wanted = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
-    records, gaps = found.agg(F.count_if("gap is null"), F.count("gap")).first()
+    records, gaps = found.agg(F.count_if(F.isnull("gap")), F.count("gap")).first()
     if records != wanted or gaps:
         raise RuntimeError(f"{records} of {wanted} records read back, {gaps} gaps")
     return found.filter("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

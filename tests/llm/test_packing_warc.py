@@ -151,3 +151,17 @@ def test_stages_keep_extra_columns(spark, clashing):
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     assert {r["entities"] for r in docs.collect()} == {"mine"} and docs.count() == 4
     assert corpus_pipeline.STAGES[0][1](spark, docs, "").columns == docs.columns
+
+
+def test_round_trip_query_equals_its_sql(spark):
+    import duckdb
+
+    from codelode.llm import warc
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{data}/pages.parquet')")
+    got = warc.op5_warc_round_trip(spark, data)
+    cols = sorted(got.columns)
+    want = con.sql(warc.OP5_SQL).select(", ".join(cols)).fetchall()
+    assert sorted(map(str, (tuple(r[c] for c in cols) for r in got.collect()))) == sorted(map(str, want))
