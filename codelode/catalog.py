@@ -267,7 +267,7 @@ def _report_sql(found: str, scores: str, tools: str) -> str:
     """The report text out of CTEs: found rows (file_id, line, ord, severity, description, tool), scores and tools by file."""
     category, fix = _sql_ladder("description", dims.CATEGORIES, quoted(dims.OTHER_CATEGORY)), _sql_ladder("description", dims.REMEDIATIONS, quoted(dims.OTHER_REMEDIATION))
     nl = "chr(10)"
-    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY file_id, severity ORDER BY line, ord) AS k, count(*) OVER (PARTITION BY file_id, severity) AS n,
+    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY file_id, severity ORDER BY line, tool <> 'regex', ord) AS k, count(*) OVER (PARTITION BY file_id, severity) AS n,
       list_position({sql_list(dims.SEVERITIES)}, severity) AS place FROM {found}),
     b AS (SELECT file_id, place, severity, any_value(n) AS n, {nl} || CASE WHEN place <= 2 THEN '⚠️ ' ELSE '🔸 ' END || severity || ' SEVERITY FINDINGS:' || {nl} ||
       string_agg('  ' || k || '. [Line ' || line || '] ' || description || {nl} || '     Category: ' || {category} || ' | Tool: ' || tool || {nl} || '     💡 Fix: ' || {fix}, {nl} ORDER BY k) ||

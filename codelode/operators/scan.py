@@ -61,7 +61,9 @@ def advice(found: DataFrame) -> DataFrame:
 
 
 def top_per_severity(found: DataFrame, k: int = 10) -> DataFrame:
-    place = W.partitionBy("file_id", "severity").orderBy("line", "ord")
+    # on one line the rules' findings stand before the scanners'
+    late = F.col("phase") == "tool" if "phase" in found.columns else F.lit(False)
+    place = W.partitionBy("file_id", "severity").orderBy("line", late, "ord")
     return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
 
 
