@@ -265,4 +265,5 @@ def quality_divergence(docs: DataFrame, params: DivergenceParams = DivergencePar
 
 
 def op7_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_divergence(table(spark, sf_dir, "documents"))
+    distances = {c: F.round(c, 6) for c in ("class_distance", "word_distance")}
+    return quality_divergence(table(spark, sf_dir, "documents")).withColumns(distances)

@@ -9,6 +9,7 @@ from .packing import op4_packing
 from .pii_surrogates import op6_pii_surrogates
 from .quality_divergence import op7_quality_divergence
 from .secret_scan import op3_secret_scan
+from .sql import OP2_SQL, OP3_SQL, OP7_SQL, OP9_SQL
 from .substring_dedup import op2_substring_dedup
 from .toxicity import op8_toxicity
 from .warc import OP5_SQL, op5_warc_round_trip
@@ -25,5 +26,12 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_decontamination": op10_decontamination,
 }
-#: The other operators have no SQL form of bearable cost; tests/llm holds them against brute force or held-out labels.
-ORACLE_SQL: dict[str, str] = {"op5_warc_round_trip": OP5_SQL}
+#: The other operators (language models, tokens, keyed permutations, alignment) have no SQL form; tests/llm holds them against
+#: brute force or held-out labels.
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": OP2_SQL,
+    "op3_secret_scan": OP3_SQL,
+    "op5_warc_round_trip": OP5_SQL,
+    "op7_quality_divergence": OP7_SQL,
+    "op9_near_duplicates": OP9_SQL,
+}
