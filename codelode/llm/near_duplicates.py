@@ -5,8 +5,13 @@ similarity s differ in a value with chance 1 - s, so at s = 0.75 more than 31 of
 Signatures are cut into 16 chunks of 4 values. If two differ in at most 31 values, some chunk has at most
 floor(31 / 16) = 1 of them, so they agree in 3 values of that chunk: with all 4 ways of leaving a value out, every pair
 within the distance shares one of the 64 keys. Texts with equal sets are collapsed first. Pairs that share a key are
-compared by signature inside a task, in blocks, and only a spanning star of each block leaves it; the clusters so found
-hold every pair within the distance. Inside a cluster links are then confirmed on the full shingle sets, again in blocks.
+compared by signature inside a task, and only spanning stars leave it; the clusters so found hold every pair within the
+distance. Inside a cluster links are then confirmed on the full shingle sets.
+
+Buckets and clusters larger than a block are split into blocks, and one member, the pivot, is put into each of them. What
+a block links with the pivot is one component and needs no more comparing among itself; only the loose rest meets all
+other members, in pairs of blocks. So a group of N copies near one text costs N times a block, and one with L loose
+members L times N more: no pair is left out.
 
 Defined results: null text is an empty text; empty texts have no shingles and no links; rows with a null doc_id take no
 part in links and get a null component_id and kept = true; rows that repeat a doc_id are one node with the texts of
@@ -16,20 +21,23 @@ empty table gives an empty result; extra columns are ignored, whatever their nam
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, join_skewed, materialized, table
+from .common import broadcast_if_small, join_skewed, materialized, stored, table
 from .components import connected_components, local_stars
 from .wordcodes import U, batch_words, mix, shingle_set, text_batches
 
 VALUES, CHUNK = 64, 4
+#: Places to which one row of a plan is sent at most; more places take more rows.
+FAN = 1024
 _RNG = np.random.default_rng(7)
 _XOR = _RNG.integers(0, 2**64, VALUES, dtype=U)[:, None]
 _MUL = (_RNG.integers(0, 2**64, VALUES, dtype=U) | U(1))[:, None]
@@ -119,9 +127,9 @@ def _column(t: pa.Table, name: str) -> np.ndarray:
     return t.column(name).to_numpy()
 
 
-def _stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    node, root = local_stars(a, b)
-    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], names=["a", "b"])
+def _pivots(t: pa.Table) -> np.ndarray:
+    """Each row's pivot, or the row's own doc in groups that are not split."""
+    return pc.coalesce(t.column("pivot"), t.column("doc")).to_numpy()
 
 
 def _starts(t: pa.Table, keys: list[str]) -> np.ndarray:
@@ -133,11 +141,68 @@ def _starts(t: pa.Table, keys: list[str]) -> np.ndarray:
     return np.cumsum(new) - 1
 
 
-def _block_pairs(df: DataFrame, n_blocks) -> DataFrame:
-    """Sends each row to every pair of blocks that its own block (by hash of doc) is in: columns bi <= bj, own."""
-    df = df.withColumn("_n", n_blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("_n").cast("bigint")).cast("int"))
-    df = df.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return df.withColumn("bi", F.least("own", "_j")).withColumn("bj", F.greatest("own", "_j")).drop("_n", "_j")
+def _each(df: DataFrame, first: Column, n: Column, name: str) -> DataFrame:
+    """A row for each of the n numbers from first on, in column name; in two steps, so no long array is made."""
+    df = df.withColumn("_first", first.cast("int")).withColumn("_end", F.col("_first") + n.cast("int"))
+    df = df.withColumn("_step", F.explode(F.sequence(F.col("_first"), F.col("_end") - 1, F.lit(FAN))))
+    return df.withColumn(name, F.explode(F.sequence(F.col("_step"), F.least(F.col("_end"), F.col("_step") + FAN) - 1))).drop("_first", "_end", "_step")
+
+
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Columns bi = bj = own: each row's block (by hash of doc) of its group's blocks; the pivot goes to all of them."""
+    split = F.col("blocks") > 1
+    everywhere = split & (F.col("doc") == F.col("pivot"))
+    own = F.pmod(F.xxhash64("doc"), F.col("blocks").cast("bigint"))
+    df = _each(members, F.when(everywhere, F.lit(0)).otherwise(own), F.when(everywhere, F.col("blocks")).otherwise(F.lit(1)), "own")
+    return df.withColumn("pivot", F.when(split, F.col("pivot"))).withColumn("bi", F.col("own")).withColumn("bj", F.col("own"))
+
+
+def _loose_pairs(members: DataFrame) -> DataFrame:
+    """Sends loose rows to their block's pairs with all blocks, the others to their block's pairs with the loose ones."""
+    loose = F.pmod(F.xxhash64("doc", F.lit("loose")), F.col("loose_blocks").cast("bigint")).cast("int")
+    other = F.col("loose_blocks") + F.pmod(F.xxhash64("doc"), F.col("blocks").cast("bigint")).cast("int")
+    df = members.withColumn("own", F.when(F.col("loose"), loose).otherwise(other))
+    met = F.when(F.col("loose"), F.col("loose_blocks") + F.col("blocks")).otherwise(F.col("loose_blocks"))
+    df = _each(df, F.lit(0), met, "_j")
+    return df.withColumn("bi", F.least("own", "_j")).withColumn("bj", F.greatest("own", "_j")).withColumn("pivot", F.lit(None).cast("bigint"))
+
+
+def _spanned(members: DataFrame, weight: Column, payload: Callable[[DataFrame], DataFrame], compare: Callable, params: NearParams) -> DataFrame:
+    """Edges (a, b) that span all links in the groups of members (grp, doc, blocks, pivot and what weight needs).
+
+    payload adds to rows the column that compare needs; compare gives a, b of links, and doc, null, grp of loose members.
+    """
+
+    def compared(placed: DataFrame) -> DataFrame:
+        rows = payload(placed.select("grp", "bi", "bj", "own", "pivot", "doc", *[c for c in placed.columns if c == "signature"]))
+        return rows.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "own").mapInArrow(compare, "a bigint, b bigint, grp bigint")
+
+    found = stored(compared(_in_blocks(members)), "links")
+    edges, loose = found.filter("b is not null").select("a", "b"), found.filter("b is null").select("grp", F.col("a").alias("doc")).distinct()
+    if loose.isEmpty():
+        return edges
+    loose = loose.withColumn("loose", F.lit(True))
+    # of split groups only, one row each
+    sizes = members.filter("blocks > 1").join(loose, ["grp", "doc"]).groupBy("grp").agg(weight.cast("int").alias("loose_blocks"))
+    rest = members.filter("blocks > 1").join(broadcast_if_small(materialized(sizes), params.broadcast_rows), "grp")
+    rest = rest.join(loose, ["grp", "doc"], "left").withColumn("loose", F.coalesce("loose", F.lit(False)))
+    return edges.unionByName(compared(_loose_pairs(rest)).filter("b is not null").select("a", "b"))
+
+
+def _links_and_loose(a: np.ndarray, b: np.ndarray, grp: np.ndarray, doc: np.ndarray, pivot: np.ndarray) -> pa.RecordBatch:
+    """Stars of the links (a, b), and of rows in split groups those that the links do not join with their pivot."""
+    node, root = local_stars(a, b)
+
+    def label(x: np.ndarray) -> np.ndarray:
+        if len(node) == 0:
+            return x
+        at = np.minimum(np.searchsorted(node, x), len(node) - 1)
+        return np.where(node[at] == x, root[at], x)
+
+    loose = np.flatnonzero(label(doc) != label(pivot))
+    none = pa.nulls(len(loose), pa.int64())
+    columns = [(pa.array(node, pa.int64()), pa.array(doc[loose], pa.int64())), (pa.array(root, pa.int64()), none), (pa.nulls(len(node), pa.int64()), pa.array(grp[loose], pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["a", "b", "grp"])
 
 
 def hamming_stars(reps: DataFrame, params: NearParams) -> DataFrame:
@@ -149,13 +214,13 @@ def hamming_stars(reps: DataFrame, params: NearParams) -> DataFrame:
                 part = batch.slice(i, 2000)
                 sig = np.frombuffer(b"".join(part.column("signature").to_pylist()), dtype=np.uint16).reshape(-1, VALUES)
                 doc = np.repeat(part.column("doc").to_numpy(), VALUES)
-                yield pa.RecordBatch.from_arrays([pa.array(signature_keys(sig).ravel()), pa.array(doc)], names=["key", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(signature_keys(sig).ravel()), pa.array(doc)], names=["grp", "doc"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ["key", "bi", "bj"]):
-            group, doc, own, bi, bj = _starts(t, ["key", "bi", "bj"]), _column(t, "doc"), _column(t, "own"), _column(t, "bi"), _column(t, "bj")
+        for t in _groups(batches, ["grp", "bi", "bj"]):
+            group, doc, own, bi, bj = _starts(t, ["grp", "bi", "bj"]), _column(t, "doc"), _column(t, "own"), _column(t, "bi"), _column(t, "bj")
             sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), dtype=np.uint16).reshape(-1, VALUES)
-            left, right = [], []
+            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             rows = np.arange(len(doc))
             for k in range(1, len(doc)):
                 rows = rows[: np.searchsorted(rows, len(doc) - k)]
@@ -166,15 +231,13 @@ def hamming_stars(reps: DataFrame, params: NearParams) -> DataFrame:
                 close = (sig[r] != sig[r + k]).sum(axis=1) <= params.max_distance
                 left.append(doc[r[close]])
                 right.append(doc[r[close] + k])
-            if left:
-                yield _stars(np.concatenate(left), np.concatenate(right))
+            yield _links_and_loose(np.concatenate(left), np.concatenate(right), _column(t, "grp"), doc, _pivots(t))
 
-    entries = reps.select("doc", "signature").mapInArrow(keys, "key bigint, doc bigint").repartition("key")
-    shared = entries.groupBy("key").count().filter("count > 1")
-    members = entries.join(shared, "key").join(reps.select("doc", "signature"), "doc")
-    pairs = _block_pairs(members, F.ceil(F.col("count") / F.lit(params.block)))
-    pairs = pairs.select("key", "bi", "bj", "own", "doc", "signature")
-    return pairs.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "own").mapInArrow(compare, "a bigint, b bigint")
+    entries = reps.select("doc", "signature").mapInArrow(keys, "grp bigint, doc bigint").repartition("grp")
+    blocks = F.ceil(F.count("*") / F.lit(params.block)).cast("int")
+    shared = entries.groupBy("grp").agg(F.count("*").alias("n"), blocks.alias("blocks"), F.min("doc").alias("pivot")).filter("n > 1")
+    members = stored(entries.join(shared, "grp").join(reps.select("doc", "signature"), "doc").select("grp", "doc", "blocks", "pivot", "signature"), "members")
+    return _spanned(members, blocks, lambda placed: placed, compare, params)
 
 
 def _confirm(sets: list[np.ndarray], doc: np.ndarray, side: np.ndarray, one_block: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,29 +277,38 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, params: NearParams) ->
             for _, _, data, starts in text_batches(texts):
                 codes, _, _, first = batch_words(data, starts)
                 sets += [shingle_set(codes[first[i] : first[i + 1]], params.shingle).tobytes() for i in range(len(starts) - 1)]
-            kept = [batch.column(c) for c in ("cluster", "blocks", "doc")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sets, pa.binary())], names=["cluster", "blocks", "doc", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sets, pa.binary()), batch.column("places")], names=["doc", "shingles", "places"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ["cluster", "bi", "bj"]):
-            group, doc, own, bi, bj = _starts(t, ["cluster", "bi", "bj"]), _column(t, "doc"), _column(t, "own"), _column(t, "bi"), _column(t, "bj")
+        for t in _groups(batches, ["grp", "bi", "bj"]):
+            group, doc, own, bi, bj = _starts(t, ["grp", "bi", "bj"]), _column(t, "doc"), _column(t, "own"), _column(t, "bi"), _column(t, "bj")
             sets = [np.frombuffer(x, dtype=U) for x in t.column("shingles").to_pylist()]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(doc)]])
+            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for x, y in zip(cuts[:-1], cuts[1:]):
                 if y - x > 1:
                     a, b = _confirm(sets[x:y], doc[x:y], own[x:y], bi[x] == bj[x], params.similarity_percent)
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    left.append(a)
+                    right.append(b)
+            yield _links_and_loose(np.concatenate(left), np.concatenate(right), _column(t, "grp"), doc, _pivots(t))
+
+    def blocks(of: str) -> Column:
+        return F.greatest(F.ceil(F.count("*") / F.lit(params.block)), F.ceil(F.sum(of) / F.lit(params.block_shingles))).cast("int")
 
-    size = clusters.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.count("*") / F.lit(params.block)), F.ceil(F.sum("n_shingles") / F.lit(params.block_shingles))).cast("int").alias("blocks")
-    )
-    members = materialized(clusters.join(size, "cluster").select("doc", "cluster", "blocks"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(broadcast_if_small(members, params.broadcast_rows), "doc").select("cluster", "blocks", "doc", "text")
-    sets = texts.mapInArrow(to_sets, "cluster bigint, blocks int, doc bigint, shingles binary")
-    pairs = _block_pairs(sets, F.col("blocks")).select("cluster", "bi", "bj", "own", "doc", "shingles")
-    return pairs.repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "own").mapInArrow(confirm, "a bigint, b bigint")
+
+    def with_sets(placed: DataFrame) -> DataFrame:
+        # a text is cut into shingles once for all of its places, or for each FAN of them
+        places = placed.groupBy("doc", F.floor((F.col("bi") + F.col("bj")) / F.lit(FAN)).alias("part")).agg(F.collect_list(F.struct("grp", "bi", "bj", "own", "pivot")).alias("places"))
+        own = texts.join(broadcast_if_small(places, params.broadcast_rows), "doc")
+        kind = "array<struct<grp:bigint,bi:int,bj:int,own:int,pivot:bigint>>"
+        sets = own.select("doc", "text", "places").mapInArrow(to_sets, f"doc bigint, shingles binary, places {kind}")
+        return sets.select("doc", "shingles", F.inline("places")).select("grp", "bi", "bj", "own", "pivot", "doc", "shingles")
+
+    # a pivot by hash, so that it is a member like any other
+    size = clusters.groupBy("cluster").agg(blocks("n_shingles").alias("blocks"), F.min_by("doc", F.xxhash64("doc")).alias("pivot"))
+    members = materialized(clusters.join(size, "cluster").select(F.col("cluster").alias("grp"), "doc", "blocks", "pivot", "n_shingles"))
+    return _spanned(members, blocks("n_shingles"), with_sets, confirm, params)
 
 
 def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:

@@ -62,6 +62,30 @@ def test_equals_brute_force_on_a_chain_of_edits(spark, monkeypatch):
     assert got == brute_components(texts)[0]
 
 
+def test_large_groups_of_any_ids_equal_brute_force(spark):
+    """Three families of edits and loose texts between them, ids below zero, groups of many blocks."""
+    rng = random.Random(6)
+    families, texts = [[f"{f}{rng.randrange(400)}" for _ in range(100)] for f in "xyz"], {}
+    for i in range(240):
+        words = list(families[i % 3] if i % 8 else families[0][:50] + families[1][50:])
+        for _ in range(rng.randint(0, 7)):
+            words[rng.randrange(100)] = f"w{rng.randrange(900)}"
+        texts[i - 120] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    want = brute_components(texts)[0]
+    for params in (near_duplicates.NearParams(block=12), near_duplicates.NearParams(block_shingles=900), near_duplicates.NearParams(block=12, broadcast_rows=0)):
+        assert {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(df, params).collect()} == want
+
+
+def test_places_in_blocks_grow_with_the_group(spark):
+    n, blocks = 5000, 2500
+    members = spark.range(n).select(F.lit(1).cast("long").alias("grp"), F.col("id").alias("doc"), F.lit(blocks).alias("blocks"), F.lit(7).cast("long").alias("pivot"))
+    placed = near_duplicates._in_blocks(members)
+    assert placed.count() == n + blocks - 1 and placed.filter("doc = 7").select("bi").distinct().count() == blocks
+    loose = members.withColumn("loose", F.col("doc") < 10).withColumn("loose_blocks", F.lit(2))
+    assert near_duplicates._loose_pairs(loose).count() == 10 * (blocks + 2) + (n - 10) * 2
+
+
 def test_keys_find_every_pair_within_the_distance():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**16, 64, dtype=np.uint16)
