@@ -160,7 +160,7 @@ _NOT_LISTED = quoted(style.UNSUPPORTED.split("%s")[0]) + " || language || " + qu
       CASE WHEN n_warnings > 0 THEN chr(10) || '⚠️  WARNINGS (' || least(n_warnings, 50) || '):' || chr(10) || coalesce(wt, '   1. [system] Line 1: ' || {_NOT_LISTED}) END, '', repeat('=', 70)) AS out FROM res""",
 )
 def style_text(spark, d):
-    return style.exported(_style(spark, d), "text")
+    return style.exported(_style(spark, d).withColumn("confidence", F.round("confidence", 6)), "text")
 
 
 @query("style_export_other", "SELECT DISTINCT user_id AS file_id, 'Unsupported format: xml' AS out FROM events")

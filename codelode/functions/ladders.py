@@ -118,9 +118,25 @@ def recommendations(security: str = "security_score", style: str | None = "style
     return F.array_compact(F.array(*said))
 
 
+def printed(value: Column, digits: int) -> Column:
+    """A double with three decimals at most as text, rounded by its exact binary value and ties to even, as SQL, C and Python print it.
+
+    Java's own format rounds the shortest decimal text of the double, and half up: 81.25 gives 81.3 there and 81.2 here.
+    """
+    scale = 10**digits
+    x = value.cast("double")
+    # 24 and 29 bits: either part times scale is exact, so the sign of over is, too
+    high = x.cast("float").cast("double")
+    low, n = x - high, F.floor(x * scale)
+    over = high * scale - (n + F.lit(0.5)) + low * scale
+    up = (over > 0) | ((over == 0) & (n % 2 != 0))
+    exact = F.abs(x) < float(2**51 // scale)
+    return F.format_string(f"%.{digits}f", F.when(exact, (n + F.when(up, 1).otherwise(0)).cast("double") / scale).otherwise(x))
+
+
 def decision_reason(vulnerable: Column, confidence: Column, threshold: float = 0.7) -> Column:
     """Why get_decision decides as it does."""
-    said = lambda text: F.format_string(f"{text} vulnerability detected (confidence: %.3f)", confidence.cast("double"))
+    said = lambda text: F.format_string(f"{text} vulnerability detected (confidence: %s)", printed(confidence, 3))
     return F.when(vulnerable & (confidence > threshold), said("High confidence")).when(vulnerable, said("Potential")).otherwise("No vulnerability detected")
 
 

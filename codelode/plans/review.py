@@ -101,7 +101,7 @@ def whole_reviews(files: DataFrame, predict=None, issues: DataFrame | None = Non
     overall = ladders.overall_score(F.col("style_score"), F.col("security_score"))
     decision = ladders.final_decision(F.col("security_score"), F.col("risk_level"), F.col("vulnerable"), F.col("confident"))
     df = df.select("file_id", "style_score", "security_score", "risk_level", "findings", overall.alias("overall_score"), ladders.overall_status(overall).alias("overall_status"), decision.alias("final_decision"), ladders.recommendations().alias("recommendations"))
-    percent = F.format_string("%.1f%%", F.col("confidence") * 100)
+    percent = F.concat(ladders.printed(F.col("confidence") * 100, 1), F.lit("%"))
     reason = F.when(F.col("reason") == "Low confidence", F.concat(F.lit("Low confidence detection ("), percent, F.lit(" < 70%)"))).otherwise(F.concat(F.lit("Unsupported language: "), F.coalesce("language", F.lit("unknown"))))
     out = gate.select("file_id", "filename", F.coalesce("language", F.lit("unknown")).alias("language"), "confidence", "status", reason.alias("why")).join(df, "file_id", "left")
     stopped = F.col("status") == "UNSUPPORTED_LANGUAGE"

@@ -71,7 +71,7 @@ def formatted(results: DataFrame, detailed: bool = False, shown: int = 20) -> Co
     metrics = [F.when(F.col(c).isNotNull(), F.concat(F.lit("  "), ladders.title(F.lit(n)), F.lit(": "), F.col(c).cast("string"))) for c, n in (("loc", "lines_of_code"), ("complexity", "complexity"), ("maintainability", "maintainability"))]
     parts = [
         F.lit(f"{_RULE}\n📋 CODE STYLE ANALYSIS REPORT\n{_RULE}"),
-        F.format_string("\n📁 File: %s\n🔤 Language: %s\n📈 Detection Confidence: %.1f%%", "filename", "language", F.col("confidence").cast("double") * 100),
+        F.format_string("\n📁 File: %s\n🔤 Language: %s\n📈 Detection Confidence: %s%%", "filename", "language", ladders.printed(F.col("confidence").cast("double") * 100, 1)),
         F.concat(F.lit("\n📊 SUMMARY\n  Status: "), F.when(F.col("passed"), "✅ PASSED").otherwise("❌ NEEDS IMPROVEMENT")),
         F.format_string("  Score: %d/100\n  Errors: %d\n  Warnings: %d\n  Info: %d", "score", F.size("errors"), F.size("warnings"), F.size("info")),
         F.when(F.col("loc").isNotNull(), F.lit("\n📈 METRICS")), *metrics,
