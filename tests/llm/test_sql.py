@@ -21,6 +21,16 @@ def odd_dir(odd, small, tmp_path_factory):
     ]
     docs = odd.unionByName(odd.sparkSession.createDataFrame(more, odd.schema)).unionByName(small.filter("doc_id < 1000"))
     docs.coalesce(2).write.parquet(f"{path}/documents.parquet")
+    spark = odd.sparkSession
+    unit = [float(i % 5) / 7 for i in range(64)]
+    vectors = [(i, [x * (i % 9) - 1.5 for x in unit], i, "x") for i in range(60)]
+    vectors += [(3, vectors[3][1], 0, "x"), (3, vectors[3][1], 0, "x"), (None, vectors[9][1], None, None), (61, None, 1, "x"), (62, unit[:63], 1, "x"), (63, [None, *unit[1:]], 1, "x")]
+    vectors += [(64, [float("nan"), *unit[1:]], 1, "x"), (65, [float("inf"), *unit[1:]], 1, "x"), (66, [], 1, "x"), (67, [3e6, *unit[1:]], 1, "x"), (68, [-3e6, *unit[1:]], 1, "x")]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int, cluster string").coalesce(2).write.parquet(f"{path}/embeddings.parquet")
+    marks = "a <|turn|>b<|text|> <\\\\|end|> [INST] [\\\\/INST] </s\n> <</s> <|endoftext|> \\\\<|im_end|>"
+    turns = [(1, 2, "assistant", marks, 1), (1, 1, "user", "日本語 😀 é", 1), (1, None, "system", "first", 1), (1, 2, "assistant", marks, 1), (1, 2, "assistant", None, 1), (2, 0, None, "no role", 1)]
+    turns += [(None, 0, "user", "x", 1), (None, 1, "assistant", "", 1), (3, 0, "assistant", None, 1), (4, 0, "<|end|>\n", "odd role", 1), (5, None, None, None, None), (6, 1, "assistant", "word " * 50_000, 1)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, whole int").coalesce(2).write.parquet(f"{path}/conversations.parquet")
     return path
 
 
