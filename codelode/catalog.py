@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import dims, ladders
-from .operators import detect, flows, graph, lint, scan
+from .operators import detect, flows, graph, lint, rule_index, scan
 from .plans import review
 from .sources import corpus
 from .sources.corpus import FILES_SQL, LINES_SQL, NODES_SQL, RULES_SQL, quoted, sql_list
@@ -209,6 +209,22 @@ def rule_findings(spark, d):
     return scan.findings(corpus.lines(spark, d), scan.rules(spark)).select("file_id", "line", "ord", "severity")
 
 
+_KEYS_SQL = "keys(ord, key) AS (VALUES " + ", ".join(f"({i}, {quoted(k)})" for i, k in enumerate(rule_index.keyed([(r[0], r[4]) for r in dims.RULES]))) + ")"
+
+
+@query(
+    "rule_tests",
+    f"""WITH {LINES_SQL}, {RULES_SQL}, {_KEYS_SQL} SELECT l.language, count(*) AS line_rules, count(*) FILTER (contains(lower(text), key)) AS tested,
+      count(*) FILTER (regexp_matches(text, '(?i)' || regex)) AS matched FROM lines l JOIN rules r ON l.language = r.language JOIN keys USING (ord) GROUP BY l.language""",
+)
+def rule_tests(spark, d):
+    """Lines times rules of each language, the pairs left to test, and those that match."""
+    lines, table = corpus.lines(spark, d), scan.rules(spark)
+    every = lines.groupBy("language").agg(F.count("*").alias("n")).join(table.groupBy("language").agg(F.count("*").alias("r")), "language")
+    pairs = rule_index.reached(lines, table).groupBy("language").agg(F.count("*").alias("tested"), F.count_if(F.expr("rlike(text, pattern)")).alias("matched"))
+    return every.join(pairs, "language", "left").na.fill(0).select("language", (F.col("n") * F.col("r")).alias("line_rules"), "tested", "matched")
+
+
 @query("findings_dedup", f"WITH {FOUND_SQL} SELECT file_id, line, description, severity, {_sql_ladder('description', dims.CATEGORIES, quoted(dims.OTHER_CATEGORY))} AS category FROM dedup")
 def findings_dedup(spark, d):
     return _found(spark, d).select("file_id", "line", "description", "severity", "category")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dims, ladders
-from . import lint
+from . import lint, rule_index
 
 
 def rules(spark: SparkSession) -> DataFrame:
@@ -26,11 +26,9 @@ def rules(spark: SparkSession) -> DataFrame:
 
 
 def findings(lines: DataFrame, rule_table: DataFrame) -> DataFrame:
-    """Every rule that matches a line of its language; the rule table is a fixed small dimension."""
-    r = F.broadcast(rule_table.withColumnRenamed("language", "rule_language"))
-    hit = (F.col("language") == F.col("rule_language")) & F.expr("rlike(text, pattern)")
+    """Every rule that matches a line of its language; rules are tested where a line holds the literal they require."""
     matched = F.when(F.col("phase") == "common", F.expr("regexp_extract(text, pattern, 0)")).otherwise(ladders.stripped(F.col("text")))
-    return lines.join(r, hit).select(
+    return rule_index.reached(lines, rule_table).filter(F.expr("rlike(text, pattern)")).select(
         "file_id", "line", "language", "ord", "phase", "severity", "confidence", "rule_id", "description", F.substring(matched, 1, 100).alias("matched_text"), "category", "remediation"
     )
 
