@@ -1,6 +1,6 @@
 """Program dependence graph over node tables: edges, features, taint.
 
-nodes: file_id, id (preorder), parent_id, path (ids of all ancestors, outermost first), line, col, node_type, name, code,
+nodes: file_id, id (preorder), parent_id, last_id (of the last node below it), depth, line, col, node_type, name, code,
 language, is_condition; refs: file_id, id, var, kind ('def' or 'use').
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims, ladders
 from ..session import kept
+from . import intervals
 
 CONTROL = ["IF_STATEMENT", "FOR_STATEMENT", "WHILE_STATEMENT"]
 TERMINATORS = ["RETURN", "BREAK", "CONTINUE"]
@@ -28,17 +29,9 @@ def structural_edges(nodes: DataFrame) -> DataFrame:
     return nodes.filter("parent_id is not null").select("file_id", F.col("parent_id").alias("src"), F.col("id").alias("dst"))
 
 
-def ancestry(nodes: DataFrame) -> DataFrame:
-    """file_id, ancestor, id: every node with each of its ancestors and itself, from the paths the parser gives."""
-    return nodes.select("file_id", F.explode(F.array_append("path", F.col("id"))).alias("ancestor"), "id")
-
-
 def with_function(nodes: DataFrame) -> DataFrame:
     """Adds function: the nearest function a node is in, itself included, or null."""
-    functions = nodes.filter("node_type = 'FUNCTION_DEF'").select("file_id", F.col("id").alias("ancestor"))
-    # ids are in preorder, so of several ancestors the deepest has the largest
-    nearest = ancestry(nodes).join(functions, ["file_id", "ancestor"]).groupBy("file_id", "id").agg(F.max("ancestor").alias("function"))
-    return nodes.join(nearest, ["file_id", "id"], "left")
+    return intervals.nearest(nodes, F.col("node_type") == "FUNCTION_DEF", "function")
 
 
 def _next_stop(*scope: str) -> Column:
@@ -215,7 +208,7 @@ def graph_stats(nodes: DataFrame, all_edges: DataFrame, issues: DataFrame) -> Da
 
 def lifted(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     """refs of each node and of all nodes below it, each variable and kind once."""
-    return ancestry(nodes).join(refs, ["file_id", "id"]).select("file_id", F.col("ancestor").alias("id"), "var", "kind").distinct()
+    return intervals.below(nodes, refs, ["var", "kind"])
 
 
 def call_name(code: Column) -> Column:
@@ -235,7 +228,7 @@ def features(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     counts = refs.groupBy("file_id", "id").agg(*[F.count_distinct(F.when(F.col("kind") == k, F.col("var"))).alias(c) for k, c in (("def", "defs"), ("use", "uses"))])
     df = nodes.join(counts, ["file_id", "id"], "left").na.fill(0, ["defs", "uses"])
     t = F.col("node_type")
-    numbers = [F.length("code"), F.col("line"), F.col("col"), F.size("path"), t.isin(CONTROL), t == "FUNCTION_DEF", t.isin(TERMINATORS), t == "PHI_NODE", F.col("defs"), F.col("uses")]
+    numbers = [F.length("code"), F.col("line"), F.col("col"), F.col("depth"), t.isin(CONTROL), t == "FUNCTION_DEF", t.isin(TERMINATORS), t == "PHI_NODE", F.col("defs"), F.col("uses")]
     hot = [t == k for k in dims.ALL_NODE_TYPES]
     idx = F.row_number().over(W.partitionBy("file_id").orderBy("id")) - 1
     return df.select("file_id", idx.alias("idx"), F.array(*[c.cast("double") for c in (*numbers, *hot)]).alias("features"))
@@ -243,18 +236,15 @@ def features(nodes: DataFrame, refs: DataFrame) -> DataFrame:
 
 def function_summaries(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     """file_id, id, uses (distinct variables used below), returns (whether a return is below) of each function."""
-    functions = nodes.filter("node_type = 'FUNCTION_DEF'").select("file_id", F.col("id").alias("ancestor"))
-    below = ancestry(nodes).join(functions, ["file_id", "ancestor"])
-    used = refs.filter("kind = 'use'").select("file_id", "id", "var")
-    kinds = nodes.select("file_id", "id", (F.col("node_type") == "RETURN").alias("stop"))
-    df = below.join(kinds, ["file_id", "id"]).join(used, ["file_id", "id"], "left")
-    return df.groupBy("file_id", F.col("ancestor").alias("id")).agg(F.countDistinct("var").alias("uses"), F.bool_or("stop").alias("returns"))
+    used = intervals.distinct_below(nodes, refs.filter("kind = 'use'"), ["var"], "uses")
+    stops = intervals.sums_below(nodes, nodes.filter("node_type = 'RETURN'").select("file_id", "id"), {"stops": F.lit(1)})
+    functions = nodes.filter("node_type = 'FUNCTION_DEF'").select("file_id", "id")
+    return functions.join(used, ["file_id", "id"]).join(stops, ["file_id", "id"]).select("file_id", "id", "uses", (F.col("stops") > 0).alias("returns"))
 
 
 def subtree_definitions(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     """file_id, id, var: each variable defined in a node's subtree, once."""
-    defined = refs.filter("kind = 'def'").select("file_id", "id", "var")
-    return ancestry(nodes).join(defined, ["file_id", "id"]).select("file_id", F.col("ancestor").alias("id"), "var").distinct()
+    return intervals.below(nodes, refs.filter("kind = 'def'"), ["var"])
 
 
 def branch_merges(nodes: DataFrame, refs: DataFrame) -> DataFrame:

@@ -86,9 +86,11 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = events.select("file_id", "event_id", node.alias("id"))
     kind = pick([t for _, t in dims.NODE_TYPES] + [dims.OTHER_NODE_TYPE], F.col("event_id") % 17)
     above = F.array(F.lit(0).cast("bigint"), F.col("id") - F.col("id") % 25, F.col("id") - F.col("id") % 5)
-    df = df.withColumn("path", F.array_distinct(F.filter(above, lambda x: x < F.col("id"))))
+    path = F.array_distinct(F.filter(above, lambda x: x < F.col("id")))
+    last = F.max("id").over(W.partitionBy("file_id"))
+    wide = F.when(F.col("id") == 0, last).when(F.col("id") % 25 == 0, F.col("id") + 24).when(F.col("id") % 5 == 0, F.col("id") + 4).otherwise(F.col("id"))
     return df.select(
-        "file_id", "id", "path", F.get("path", F.size("path") - 1).alias("parent_id"),
+        "file_id", "id", F.get(path, F.size(path) - 1).alias("parent_id"), F.least(wide, last).alias("last_id"), F.size(path).alias("depth"),
         F.floor(F.col("id") / 2).cast("bigint").alias("line"), (F.col("event_id") % 5).alias("col"), kind.alias("node_type"),
         F.concat(F.lit("f"), (F.col("event_id") % 13).cast("string")).alias("name"), "event_id",
         pick(CODES, (F.col("event_id") * 5 + F.col("file_id")) % len(CODES)).alias("code"), language_of(F.col("file_id")).alias("language"), (F.col("event_id") % 19 == 0).alias("is_condition"),

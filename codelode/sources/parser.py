@@ -2,7 +2,7 @@
 
 Python is parsed by its own grammar (module ast); the other languages by a small statement parser: comments and strings
 are set aside, statements end at semicolons, line ends and braces (in Ruby at `end`), and each gets the type of its
-leading word. Nodes are numbered in preorder and know all their ancestors; variables are found at the leaves and lifted
+leading word. Nodes are numbered in preorder and know their depth and the last node below them; variables are found at the leaves and lifted
 to every node above them (graph.lifted). A file that cannot be parsed becomes one MODULE node without edges.
 
 A file is parsed whole in one task, in Arrow batches; nothing is gathered across files.
@@ -23,7 +23,7 @@ from ..functions import dims, ladders
 from ..operators import graph
 from ..session import kept
 
-_ROW = "file_id bigint, language string, id bigint, parent_id bigint, path array<bigint>, line bigint, col bigint, ast_type string, code string, is_condition boolean, defines array<string>, uses array<string>, error string"
+_ROW = "file_id bigint, language string, id bigint, parent_id bigint, last_id bigint, depth int, line bigint, col bigint, ast_type string, code string, is_condition boolean, defines array<string>, uses array<string>, error string"
 #: Types of Python syntax nodes that do not follow from the name of their class.
 _PYTHON_TYPES = {
     "Module": "module", "FunctionDef": "function_definition", "AsyncFunctionDef": "function_definition", "ClassDef": "class_definition", "If": "if_statement", "For": "for_statement",
@@ -69,12 +69,19 @@ class _Tree:
         self.rows: list[dict] = []
 
     def add(self, parent: dict | None, ast_type: str, code: str, line: int, col: int, defines=(), uses=(), condition: bool = False) -> dict:
-        path = [*parent["path"], parent["id"]] if parent else []
-        row = {"id": len(self.rows), "parent_id": parent["id"] if parent else None, "path": path, "line": line, "col": col, "ast_type": ast_type, "code": code.strip(),
+        row = {"id": len(self.rows), "parent_id": parent["id"] if parent else None, "last_id": len(self.rows), "depth": parent["depth"] + 1 if parent else 0, "line": line, "col": col, "ast_type": ast_type, "code": code.strip(),
                "is_condition": condition, "defines": sorted(set(defines)), "uses": sorted(set(uses)), "error": None}
         self.rows.append(row)
         return row
 
+    def closed(self) -> list[dict]:
+        """The rows, each with the last node below it."""
+        for row in reversed(self.rows):
+            if row["parent_id"] is not None:
+                above = self.rows[row["parent_id"]]
+                above["last_id"] = max(above["last_id"], row["last_id"])
+        return self.rows
+
 
 def _python(code: str) -> list[dict]:
     tree, lines = _Tree(), code.encode().split(b"\n")
@@ -130,7 +137,7 @@ def _python(code: str) -> list[dict]:
     root = tree.add(None, "module", code, 1, 1)
     for x in parsed.body:
         walk(x, root, parsed)
-    return tree.rows
+    return tree.closed()
 
 
 def _quiet(code: str, language: str) -> str:
@@ -234,7 +241,7 @@ def _braced(code: str, language: str) -> list[dict]:
                         tree.add(node, "call", code[a:b], *place(a), (), _variables(quiet[a:b], "", language)[1])
             if shape in ("open", "middle"):
                 stack.append(tree.add(node, "block", "", line, col) if kind != "block" else node)
-    return tree.rows
+    return tree.closed()
 
 
 def parse(language: str, code: str) -> list[dict]:
@@ -242,7 +249,7 @@ def parse(language: str, code: str) -> list[dict]:
     try:
         return _python(code) if language == "python" else _braced(code, language)
     except (SyntaxError, ValueError, RecursionError, KeyError) as e:
-        return [{"id": 0, "parent_id": None, "path": [], "line": 1, "col": 1, "ast_type": "module", "code": code[:100], "is_condition": False, "defines": [], "uses": [], "error": f"parsing failed: {type(e).__name__}"}]
+        return [{"id": 0, "parent_id": None, "last_id": 0, "depth": 0, "line": 1, "col": 1, "ast_type": "module", "code": code[:100], "is_condition": False, "defines": [], "uses": [], "error": f"parsing failed: {type(e).__name__}"}]
 
 
 def parsed(files: DataFrame) -> DataFrame:
@@ -260,7 +267,7 @@ def parsed(files: DataFrame) -> DataFrame:
 def node_table(rows: DataFrame) -> DataFrame:
     """nodes out of parsed rows: types by the ladder, MODULE for the root, names of functions, classes and calls."""
     kind = F.when(F.col("ast_type").isin("module", "program"), "MODULE").otherwise(ladders.node_type(F.col("ast_type")))
-    n = rows.select("file_id", "language", "id", "parent_id", "path", "line", "col", "ast_type", kind.alias("node_type"), "code", "is_condition")
+    n = rows.select("file_id", "language", "id", "parent_id", "last_id", "depth", "line", "col", "ast_type", kind.alias("node_type"), "code", "is_condition")
     named = graph.child_names(n).withColumnRenamed("name", "own")
     called = F.when(F.col("node_type") == "CALL", graph.call_name(F.col("code")))
     return n.join(named, ["file_id", "id"], "left").withColumn("name", F.coalesce("own", called)).drop("own")
@@ -269,7 +276,7 @@ def node_table(rows: DataFrame) -> DataFrame:
 def ref_table(rows: DataFrame) -> DataFrame:
     """refs out of parsed rows, lifted to all nodes above."""
     each = [rows.select("file_id", "id", F.explode(c).alias("var"), F.lit(k).alias("kind")) for c, k in (("defines", "def"), ("uses", "use"))]
-    return graph.lifted(rows.select("file_id", "id", "path"), each[0].unionByName(each[1]))
+    return graph.lifted(rows.select("file_id", "id", "depth"), each[0].unionByName(each[1]))
 
 
 def code_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:

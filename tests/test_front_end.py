@@ -18,6 +18,15 @@ CODES = {
 }
 
 
+def assert_nested(rows):
+    """A node's interval is that of the nodes below it, by their parents."""
+    under = {r["id"]: {r["id"]} for r in rows}
+    for r in reversed(rows):
+        if r["parent_id"] is not None:
+            under[r["parent_id"]] |= under[r["id"]]
+    assert all(under[r["id"]] == set(range(r["id"], r["last_id"] + 1)) for r in rows)
+
+
 def types(rows):
     return [r["ast_type"] for r in rows]
 
@@ -26,7 +35,8 @@ def test_python_nodes_are_in_preorder_and_know_their_ancestors():
     rows = parser.parse("python", PYTHON)
     assert [r["id"] for r in rows] == list(range(len(rows)))
     for r in rows[1:]:
-        assert r["path"] == [*rows[r["parent_id"]]["path"], r["parent_id"]] and r["parent_id"] < r["id"]
+        assert r["depth"] == rows[r["parent_id"]]["depth"] + 1 and r["parent_id"] < r["id"]
+    assert_nested(rows)
     by = {t: [r for r in rows if r["ast_type"] == t] for t in types(rows)}
     assert by["call"][0]["code"] == "input()" and by["return_statement"][0]["code"] == "return cmd" and by["return_statement"][0]["line"] == 6
     assert [r["code"] for r in by["block"]][1:] == ["return cmd", "x = 1"] and by["binary_expression"][0]["is_condition"]
@@ -37,8 +47,9 @@ def test_python_nodes_are_in_preorder_and_know_their_ancestors():
 def test_other_languages(language):
     rows = parser.parse(language, CODES[language])
     for r in rows[1:]:
-        assert r["path"] == [*rows[r["parent_id"]]["path"], r["parent_id"]]
+        assert r["depth"] == rows[r["parent_id"]]["depth"] + 1
         assert r["code"] in CODES[language] and CODES[language].split("\n")[r["line"] - 1][r["col"] - 1 :].startswith(r["code"].split("\n")[0][:1])
+    assert_nested(rows)
     defined, used = ({v for r in rows for v in r[k]} for k in ("defines", "uses"))
     want = {
         "javascript": ({"f", "n", "a"}, {"req", "a", "n", "document"}), "ruby": ({"go", "x", "y"}, {"params", "id", "y"}), "go": ({"main", "a", "x", "i"}, {"os", "x", "i"}),
@@ -75,14 +86,14 @@ def test_graph_of_code(spark):
 
 def test_terminators_of_other_functions_do_not_count(spark):
     rows = [(0, None, [], 1, "FUNCTION_DEF"), (1, 0, [0], 2, "IF_STATEMENT"), (2, 1, [0, 1], 3, "FUNCTION_DEF"), (3, 2, [0, 1, 2], 4, "RETURN"), (4, 1, [0, 1], 6, "CALL"), (5, 0, [0], 7, "IF_STATEMENT"), (6, 5, [0, 5], 8, "RETURN"), (7, 5, [0, 5], 9, "CALL")]
-    nodes = spark.createDataFrame([(1, i, p, path, line, 0, t, f"n{i}", "c", "python", False) for i, p, path, line, t in rows], "file_id long, id long, parent_id long, path array<long>, line long, col long, node_type string, name string, code string, language string, is_condition boolean")
+    nodes = spark.createDataFrame([(1, i, p, max([i, *(k for k, _, q, _, _ in rows if i in q)]), len(path), line, 0, t, f"n{i}", "c", "python", False) for i, p, path, line, t in rows], "file_id long, id long, parent_id long, last_id long, depth int, line long, col long, node_type string, name string, code string, language string, is_condition boolean")
     assert {(r["src"], r["dst"]) for r in graph.control_edges(nodes).collect()} == {(1, 2), (1, 4), (5, 6)}
 
 
 def test_taint_over_code(spark):
     rows = [(0, "ASSIGNMENT", "x = 1"), (1, "CALL", "x = input()"), (2, "ASSIGNMENT", "y = x"), (3, "ASSIGNMENT", "z = html.escape(y)"), (4, "CALL", "os.system(y)"), (5, "CALL", "os.system(z)"), (6, "CALL", "sys")]
     refs = [(0, "x", "def"), (1, "x", "def"), (2, "y", "def"), (2, "x", "use"), (3, "z", "def"), (3, "y", "use"), (4, "y", "use"), (5, "z", "use"), (6, "y", "use")]
-    nodes = spark.createDataFrame([(1, i, None, [], i + 1, 0, t, "n", c, "python", False) for i, t, c in rows], "file_id long, id long, parent_id long, path array<long>, line long, col long, node_type string, name string, code string, language string, is_condition boolean")
+    nodes = spark.createDataFrame([(1, i, None, i, 0, i + 1, 0, t, "n", c, "python", False) for i, t, c in rows], "file_id long, id long, parent_id long, last_id long, depth int, line long, col long, node_type string, name string, code string, language string, is_condition boolean")
     refs = spark.createDataFrame([(1, *r) for r in refs], "file_id long, id long, var string, kind string")
     issues = graph.taint_issues(nodes, refs).collect()
     assert [(r["line"], r["code"], r["type"], r["used"], r["tainted"]) for r in issues] == [(5, "os.system(y)", "command_injection", ["y"], True)]
