@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import dims, ladders
-from .operators import detect, flows, graph, lint, rule_index, scan
+from .operators import detect, flows, graph, lint, merges, rule_index, scan
 from .plans import review
 from .sources import corpus
 from .sources.corpus import FILES_SQL, LINES_SQL, NODES_SQL, RULES_SQL, quoted, sql_list
@@ -378,6 +378,7 @@ uses AS (SELECT file_id, id, var, bool_or(kind = 'def') AS d, bool_or(kind = 'us
 reach AS (SELECT u.*, n.node_type = 'FUNCTION_DEF' AS f, last_value(CASE WHEN d AND n.node_type <> 'FUNCTION_DEF' THEN u.id END IGNORE NULLS)
   OVER (PARTITION BY u.file_id, var ORDER BY line, col, u.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS src FROM uses u JOIN nodes n ON n.file_id = u.file_id AND n.id = u.id),
 data AS (SELECT file_id, src, id AS dst, min(var) AS label FROM reach WHERE src IS NOT NULL AND ((d AND NOT f) OR (u AND (f OR NOT d))) GROUP BY ALL),
+data_said AS (SELECT file_id, src, id AS dst, coalesce('def->def:' || min(var) FILTER (d AND NOT f), 'def->use:' || min(var)) AS label FROM reach WHERE src IS NOT NULL AND ((d AND NOT f) OR (u AND (f OR NOT d))) GROUP BY ALL),
 calls AS (SELECT n.file_id, n.id AS src, g.dst FROM nodes n JOIN (SELECT file_id, name, max(id) AS dst FROM nodes WHERE node_type = 'FUNCTION_DEF' GROUP BY ALL) g
   ON g.file_id = n.file_id AND g.name = n.name WHERE n.node_type = 'CALL' AND n.id <> g.dst),
 seq AS (SELECT file_id, id AS src, parent_id, line AS c_line, lead(id) OVER w AS dst, lead(parent_id) OVER w AS np, lead(line) OVER w AS b_line FROM nodes WINDOW w AS (PARTITION BY file_id ORDER BY line, col, id)),
@@ -437,7 +438,11 @@ def graph_stats(spark, d):
     return graph.graph_stats(n, graph.edges(n, r), graph.taint_issues(n, r))
 
 
-_graph("graph_simple", graph.simple_graph, "SELECT file_id, src, dst, arg_max(edge_type, list_position(['structural', 'control', 'data', 'call', 'order'], edge_type)) AS edge_type FROM edges GROUP BY ALL")
+#: Each edge with what is written on it.
+_SAID_SQL = """, said AS (SELECT e.*, CASE e.edge_type WHEN 'structural' THEN 'parent-child' WHEN 'order' THEN 'order' WHEN 'call' THEN 'calls:' || t.name WHEN 'control' THEN 'control->body:' || lower(s.node_type) ELSE d.label END AS label
+    FROM edges e JOIN nodes s ON s.file_id = e.file_id AND s.id = e.src JOIN nodes t ON t.file_id = e.file_id AND t.id = e.dst LEFT JOIN data_said d ON d.file_id = e.file_id AND d.src = e.src AND d.dst = e.dst)"""
+_graph("graph_simple", graph.simple_graph, _SAID_SQL + " SELECT file_id, src, dst, unnest(arg_max({'edge_type': edge_type, 'label': label, 'weight': 1.0::DOUBLE}, list_position(['structural', 'control', 'data', 'call', 'order'], edge_type))) FROM said GROUP BY file_id, src, dst")
+_graph("edge_records", lambda n, r: graph.edge_records(graph.labelled_edges(n, r)), _SAID_SQL + " SELECT file_id, src AS source, dst AS target, edge_type || '_dependency' AS type, label, 1.0::DOUBLE AS weight FROM said")
 _graph("node_function", lambda n, r: graph.with_function(n).select("file_id", "id", "function"), "SELECT file_id, id, nullif(fn, -1) AS function FROM fn")
 _graph(
     "node_records",
@@ -565,6 +570,42 @@ _tree(
     f", defined AS ({_DEFINED_SQL}), kids AS (SELECT n.file_id, n.parent_id, n.id, row_number() OVER (PARTITION BY n.file_id, n.parent_id ORDER BY n.id) AS b FROM nodes n JOIN nodes p ON p.file_id = n.file_id AND p.id = n.parent_id WHERE p.node_type = 'IF_STATEMENT') "
     "SELECT k.file_id, k.parent_id AS id, d.var FROM kids k JOIN defined d ON d.file_id = k.file_id AND d.id = k.id WHERE b <= 2 GROUP BY ALL HAVING count(DISTINCT b) = 2",
 )
+_MERGES_SQL = f"""{NODES_SQL.replace('event_id % 11', 'event_id % 4').replace('event_id % 3 = 0 THEN', 'event_id % 3 <> 0 THEN')}, {_UP_SQL}, last AS (SELECT file_id, ancestor AS id, max(id) AS last FROM up GROUP BY ALL),
+  kids AS (SELECT n.file_id, n.parent_id, n.id, row_number() OVER (PARTITION BY n.file_id, n.parent_id ORDER BY n.id) AS b FROM nodes n JOIN nodes p ON p.file_id = n.file_id AND p.id = n.parent_id WHERE p.node_type = 'IF_STATEMENT'),
+  ends AS (SELECT k.file_id, k.parent_id AS id, b, var, max(r.id) AS z FROM kids k JOIN up u ON u.file_id = k.file_id AND u.ancestor = k.id JOIN refs r ON r.file_id = u.file_id AND r.id = u.id AND r.kind = 'def' WHERE b <= 2 GROUP BY ALL),
+  points AS (SELECT e.file_id, e.id, var, l.last, min(z) AS a, max(z) AS b, row_number() OVER (PARTITION BY e.file_id, l.last ORDER BY e.id DESC, var) AS k FROM ends e JOIN last l ON l.file_id = e.file_id AND l.id = e.id GROUP BY e.file_id, e.id, var, l.last HAVING count(*) = 2),
+  ids AS (SELECT file_id, id, id + (SELECT count(*) FROM points p WHERE p.file_id = n.file_id AND p.last < n.id) AS new FROM nodes n)"""
+
+
+def _with_merges(spark, d):
+    return merges.with_merges(corpus.nodes(spark, d), corpus.var_refs(spark, d, 4, (1, 2)))
+
+
+@query(
+    "graph_merges",
+    f"""WITH RECURSIVE {_MERGES_SQL} SELECT p.file_id, x.new + k AS id, y.new AS parent_id, var, a.new AS src_1, b.new AS src_2, p.var || ' = phi(' || p.var || ', ' || p.var || ')' AS code
+    FROM points p JOIN nodes n ON n.file_id = p.file_id AND n.id = p.id JOIN ids x ON x.file_id = p.file_id AND x.id = p.last LEFT JOIN ids y ON y.file_id = p.file_id AND y.id = n.parent_id
+      JOIN ids a ON a.file_id = p.file_id AND a.id = p.a JOIN ids b ON b.file_id = p.file_id AND b.id = p.b""",
+)
+def graph_merges(spark, d):
+    nodes, _, joined = _with_merges(spark, d)
+    ends = joined.groupBy("file_id", F.col("dst").alias("id")).agg(F.min("src").alias("src_1"), F.max("src").alias("src_2"))
+    return nodes.filter("node_type = 'PHI_NODE'").join(ends, ["file_id", "id"]).select("file_id", "id", "parent_id", F.col("name").alias("var"), "src_1", "src_2", "code")
+
+
+@query(
+    "merged_features",
+    f"""WITH RECURSIVE {_MERGES_SQL}, c AS (SELECT file_id, count(*) AS n FROM points GROUP BY file_id) SELECT n.file_id, count(*) + coalesce(any_value(c.n), 0) AS nodes, coalesce(any_value(c.n), 0) AS phi_nodes,
+      count(*) FILTER (kind = 'def') + coalesce(any_value(c.n), 0) AS definitions, max(id) + coalesce(any_value(c.n), 0) AS last FROM nodes n JOIN refs r USING (file_id, id) LEFT JOIN c USING (file_id) GROUP BY n.file_id""",
+)
+def merged_features(spark, d):
+    """Feature vectors of the graph with merge nodes, summed by file: the phi flag and the definitions."""
+    nodes, refs, _ = _with_merges(spark, d)
+    f = graph.features(nodes, refs)
+    of = lambda i: F.sum(F.get("features", F.lit(i))).cast("bigint")
+    return f.groupBy("file_id").agg(F.count("*").alias("nodes"), of(7).alias("phi_nodes"), of(8).alias("definitions"), F.max("idx").cast("bigint").alias("last"))
+
+
 _graph(
     "ml_edge_index", lambda n, r: graph.edge_index(n, graph.edges(n, r)),
     f", dense AS (SELECT file_id, id, (row_number() OVER (PARTITION BY file_id ORDER BY id) - 1)::INT AS idx FROM nodes) SELECT e.file_id, a.idx AS src_idx, b.idx AS dst_idx, (list_position({sql_list(graph.EDGE_TYPES)}, edge_type) - 1)::INT AS type_ord "

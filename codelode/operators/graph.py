@@ -43,18 +43,29 @@ def _next_stop(*scope: str) -> Column:
 def control_edges(nodes: DataFrame) -> DataFrame:
     """Control node to its body; a block child stands for its own children; none beyond a terminator of the same function
     on a line in between, and none to conditions."""
-    n = with_function(nodes).withColumn("stop", _next_stop("file_id", "function")).select("file_id", "id", "parent_id", "line", "node_type", "is_condition", "stop")
-    control = n.filter(F.col("node_type").isin(CONTROL)).select("file_id", F.col("id").alias("src"), "stop")
+    return _control(nodes).drop("label")
+
+
+def _control(nodes: DataFrame) -> DataFrame:
+    written = F.col("ast_type") if "ast_type" in nodes.columns else F.lower("node_type")
+    n = with_function(nodes).withColumn("stop", _next_stop("file_id", "function")).select("file_id", "id", "parent_id", "line", "node_type", "is_condition", "stop", F.concat(F.lit("control->body:"), written).alias("label"))
+    control = n.filter(F.col("node_type").isin(CONTROL)).select("file_id", F.col("id").alias("src"), "stop", "label")
+    n = n.drop("label")
     child = control.join(n.filter("not is_condition").drop("stop").withColumnRenamed("parent_id", "src"), ["file_id", "src"])
-    direct = child.filter("node_type <> 'BLOCK'").select("file_id", "src", "stop", F.col("id").alias("dst"), "line")
-    blocks = child.filter("node_type = 'BLOCK'").select("file_id", "src", "stop", F.col("id").alias("parent_id"))
-    inner = blocks.join(n.filter(~F.col("node_type").isin(CONTROL)).drop("stop"), ["file_id", "parent_id"]).select("file_id", "src", "stop", F.col("id").alias("dst"), "line")
+    direct = child.filter("node_type <> 'BLOCK'").select("file_id", "src", "stop", "label", F.col("id").alias("dst"), "line")
+    blocks = child.filter("node_type = 'BLOCK'").select("file_id", "src", "stop", "label", F.col("id").alias("parent_id"))
+    inner = blocks.join(n.filter(~F.col("node_type").isin(CONTROL)).drop("stop"), ["file_id", "parent_id"]).select("file_id", "src", "stop", "label", F.col("id").alias("dst"), "line")
     free = F.col("stop").isNull() | (F.col("stop") >= F.col("line"))
-    return direct.unionByName(inner).filter(free).select("file_id", "src", "dst").distinct()
+    return direct.unionByName(inner).filter(free).select("file_id", "src", "dst", "label").distinct()
 
 
 def data_edges(nodes: DataFrame, refs: DataFrame) -> DataFrame:
-    """From the last earlier definition of a variable (not at a function's own node) to each node that uses or redefines it."""
+    """From the last earlier definition of a variable (not at a function's own node) to each node that uses or redefines it;
+    label: the first such variable."""
+    return _data(nodes, refs).select("file_id", "src", "dst", F.col("var").alias("label"))
+
+
+def _data(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     per_node = refs.groupBy("file_id", "id", "var").agg(F.bool_or(F.col("kind") == "def").alias("defines"), F.bool_or(F.col("kind") == "use").alias("uses"))
     df = per_node.join(nodes.select("file_id", "id", "line", "col", (F.col("node_type") == "FUNCTION_DEF").alias("function")), ["file_id", "id"])
     place = W.partitionBy("file_id", "var").orderBy(*_ORDER).rowsBetween(W.unboundedPreceding, -1)
@@ -62,14 +73,18 @@ def data_edges(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     df = df.withColumn("src", previous).filter("src is not null")
     redefined = F.col("defines") & ~F.col("function")
     used = F.col("uses") & (F.col("function") | ~F.col("defines"))
-    return df.filter(redefined | used).groupBy("file_id", "src", F.col("id").alias("dst")).agg(F.min("var").alias("label"))
+    # a node's definitions come before its uses, and variables in their order
+    first = F.struct((~redefined).cast("int").alias("late"), F.col("var"))
+    df = df.filter(redefined | used).groupBy("file_id", "src", F.col("id").alias("dst")).agg(F.min("var").alias("var"), F.min(first).alias("f"))
+    return df.select("file_id", "src", "dst", "var", F.concat(F.when(F.col("f.late") == 0, "def->def:").otherwise("def->use:"), "f.var").alias("label"))
 
 
-def call_edges(nodes: DataFrame) -> DataFrame:
+def call_edges(nodes: DataFrame, *more: str) -> DataFrame:
     """Calls to the last function definition of that name in the file."""
     functions = nodes.filter("node_type = 'FUNCTION_DEF'").groupBy("file_id", "name").agg(F.max("id").alias("dst"))
     calls = nodes.filter("node_type = 'CALL'").select("file_id", F.col("id").alias("src"), "name")
-    return calls.join(functions, ["file_id", "name"]).filter("src <> dst").select("file_id", "src", "dst")
+    label = F.concat(F.lit("calls:"), "name").alias("label")
+    return calls.join(functions, ["file_id", "name"]).filter("src <> dst").select("file_id", "src", "dst", label).select("file_id", "src", "dst", *more)
 
 
 def order_edges(nodes: DataFrame) -> DataFrame:
@@ -82,27 +97,51 @@ def order_edges(nodes: DataFrame) -> DataFrame:
     return df.filter(free).select("file_id", F.col("id").alias("src"), F.col("next_id").alias("dst"))
 
 
-def edges(nodes: DataFrame, refs: DataFrame) -> DataFrame:
-    """All edges with their type, once for each pair and type, between nodes that are there.
+def labelled_edges(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """file_id, src, dst, edge_type, label: all edges between nodes that are there, once for each pair and type.
 
-    Each kind of edge is distinct by itself, so the union needs no further pass.
+    Each kind of edge is distinct by itself, so the union needs no further pass. The tables are dealt out by file once and
+    written, as every kind reads them.
     """
-    n, r = nodes.repartition("file_id"), refs.repartition("file_id")
+    n, r = kept(nodes.repartition("file_id")), kept(refs.repartition("file_id"))
     parts = {
-        "control": control_edges(n),
-        "data": data_edges(n, r).select("file_id", "src", "dst"),
-        "call": call_edges(n),
-        "order": order_edges(n),
-        "structural": structural_edges(n),
+        "control": _control(n),
+        "data": _data(n, r).select("file_id", "src", "dst", "label"),
+        "call": call_edges(n, "label"),
+        "order": order_edges(n).withColumn("label", F.lit("order")),
+        "structural": structural_edges(n).withColumn("label", F.lit("parent-child")),
     }
     each = [df.withColumn("edge_type", F.lit(kind)) for kind, df in parts.items()]
-    return reduce(DataFrame.unionByName, each).filter("src <> dst")
+    return reduce(DataFrame.unionByName, each).filter("src <> dst").select("file_id", "src", "dst", "edge_type", "label")
+
+
+def edges(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """All edges with their type, once for each pair and type, between nodes that are there."""
+    return labelled_edges(nodes, refs).drop("label")
+
+
+def inserted(labelled: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """Edges as they go into a graph: of several with the same ends and type the one added first stays, label and all.
+
+    Kinds are added in the order of ADDED; more (the same columns) after all of them.
+    """
+    place = F.array_position(F.array(*[F.lit(x) for x in ADDED]), F.col("edge_type"))
+    every = labelled.withColumn("place", place)
+    if more is not None:
+        every = every.unionByName(more.withColumn("place", F.lit(len(ADDED) + 1).cast("bigint")))
+    return every.groupBy("file_id", "src", "dst", "edge_type").agg(F.min_by("label", F.struct("place", "label")).alias("label"))
+
+
+def edge_records(labelled: DataFrame) -> DataFrame:
+    """An edge as a record for export: source, target, type, label, weight."""
+    return inserted(labelled).select("file_id", F.col("src").alias("source"), F.col("dst").alias("target"), F.concat(F.col("edge_type"), F.lit("_dependency")).alias("type"), "label", F.lit(1.0).alias("weight"))
 
 
 def simple_graph(nodes: DataFrame, refs: DataFrame) -> DataFrame:
-    """file_id, src, dst, edge_type: one edge for each pair of nodes, of the type that is added last."""
+    """file_id, src, dst, edge_type, label, weight: one edge for each pair of nodes, that of the type that is added last."""
     place = F.array_position(F.array(*[F.lit(x) for x in ADDED]), F.col("edge_type"))
-    return edges(nodes, refs).groupBy("file_id", "src", "dst").agg(F.max_by("edge_type", place).alias("edge_type"))
+    last = F.max_by(F.struct("edge_type", "label"), place)
+    return inserted(labelled_edges(nodes, refs)).groupBy("file_id", "src", "dst").agg(last.alias("e")).select("file_id", "src", "dst", "e.edge_type", "e.label", F.lit(1.0).alias("weight"))
 
 
 def node_records(nodes: DataFrame, refs: DataFrame) -> DataFrame:

@@ -79,8 +79,15 @@ CODES = [
 ]
 
 
+#: A source and a sink in each of the languages, in their order.
+OWN_CODES = [
+    ["x = input()", "os.system(x)"], ["Scanner.nextLine()", "Runtime.exec (x)"], ["req.query.id", "document.write(x)"], ["file_get_contents($f)", "echo $x"], ["gets", "system(x)"], ["os.Getenv(k)", "exec (x)"],
+]
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graph nodes derived from events: ids in event order, three levels of 25, 5 and 1 nodes, types and code by event."""
+    """Graph nodes derived from events: ids in event order, three levels of 25, 5 and 1 nodes, types and code by event;
+    every second piece of code is a source or a sink of the file's own language."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("user_id").alias("file_id"))
     node = (F.row_number().over(W.partitionBy("file_id").orderBy("event_id")) - 1).cast("bigint")
     df = events.select("file_id", "event_id", node.alias("id"))
@@ -89,19 +96,22 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.array_distinct(F.filter(above, lambda x: x < F.col("id")))
     last = F.max("id").over(W.partitionBy("file_id"))
     wide = F.when(F.col("id") == 0, last).when(F.col("id") % 25 == 0, F.col("id") + 24).when(F.col("id") % 5 == 0, F.col("id") + 4).otherwise(F.col("id"))
+    own = F.array(*[F.array(*[F.lit(x) for x in pair]) for pair in OWN_CODES])
+    own = F.get(F.get(own, (F.col("file_id") % len(OWN_CODES)).cast("int")), (F.floor(F.col("event_id") / 2) % 2).cast("int"))
+    code = F.when(F.col("event_id") % 2 == 0, own).otherwise(pick(CODES, (F.col("event_id") * 5 + F.col("file_id")) % len(CODES)))
     return df.select(
         "file_id", "id", F.get(path, F.size(path) - 1).alias("parent_id"), F.least(wide, last).alias("last_id"), F.size(path).alias("depth"),
         F.floor(F.col("id") / 2).cast("bigint").alias("line"), (F.col("event_id") % 5).alias("col"), kind.alias("node_type"),
         F.concat(F.lit("f"), (F.col("event_id") % 13).cast("string")).alias("name"), "event_id",
-        pick(CODES, (F.col("event_id") * 5 + F.col("file_id")) % len(CODES)).alias("code"), language_of(F.col("file_id")).alias("language"), (F.col("event_id") % 19 == 0).alias("is_condition"),
+        code.alias("code"), language_of(F.col("file_id")).alias("language"), (F.col("event_id") % 19 == 0).alias("is_condition"),
     )
 
 
-def var_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_id, id, var, kind: one definition or use at each node."""
+def var_refs(spark: SparkSession, sf_dir: str, variables: int = 11, defined: tuple[int, ...] = (0,)) -> DataFrame:
+    """file_id, id, var, kind: one definition or use at each node; a definition where event_id % 3 is among defined."""
     n = nodes(spark, sf_dir)
-    kind = F.when(F.col("event_id") % 3 == 0, "def").otherwise("use")
-    return n.select("file_id", "id", F.concat(F.lit("v"), (F.col("event_id") % 11).cast("string")).alias("var"), kind.alias("kind"))
+    kind = F.when((F.col("event_id") % 3).isin(*defined), "def").otherwise("use")
+    return n.select("file_id", "id", F.concat(F.lit("v"), (F.col("event_id") % variables).cast("string")).alias("var"), kind.alias("kind"))
 
 
 def quoted(value: str) -> str:
@@ -124,7 +134,7 @@ FILES_SQL = LINES_SQL + f""", files AS (
 NODES_SQL = f"""nodes AS (
   SELECT file_id, id, CASE WHEN id = 0 THEN NULL WHEN id % 25 = 0 THEN 0 WHEN id % 5 = 0 THEN id - id % 25 ELSE id - id % 5 END AS parent_id, id // 2 AS line, event_id % 5 AS col,
     {sql_list([t for _, t in dims.NODE_TYPES] + [dims.OTHER_NODE_TYPE])}[1 + event_id % 17] AS node_type, 'f' || (event_id % 13) AS name, event_id,
-    {sql_list(CODES)}[1 + (event_id * 5 + file_id) % {len(CODES)}] AS code, {sql_list(dims.LANGUAGES)}[1 + file_id % {len(dims.LANGUAGES)}] AS language, event_id % 19 = 0 AS is_condition
+    CASE WHEN event_id % 2 = 0 THEN [{", ".join(map(sql_list, OWN_CODES))}][1 + file_id % {len(OWN_CODES)}][1 + event_id // 2 % 2] ELSE {sql_list(CODES)}[1 + (event_id * 5 + file_id) % {len(CODES)}] END AS code, {sql_list(dims.LANGUAGES)}[1 + file_id % {len(dims.LANGUAGES)}] AS language, event_id % 19 = 0 AS is_condition
   FROM (SELECT user_id AS file_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS id FROM events)),
 refs AS (SELECT file_id, id, 'v' || (event_id % 11) AS var, CASE WHEN event_id % 3 = 0 THEN 'def' ELSE 'use' END AS kind FROM nodes)"""
 RULES_SQL = "rules(ord, language, phase, severity, description, regex) AS (VALUES " + ", ".join(

@@ -77,3 +77,49 @@ def test_a_chain_of_20000_nodes(spark):
     assert n * 5 - 60 < graph.subtree_definitions(nodes, refs).count() < n * 5
     for df in (summary, graph.subtree_definitions(nodes, refs)):
         assert "path" not in df.columns
+
+
+def test_merge_nodes_keep_the_tree(spark):
+    """Every node keeps its place among the others; merge nodes stand after their statements; intervals are those of the parents."""
+    from codelode.operators import merges
+
+    rng = random.Random(8)
+    files = {f: forest(rng, 120, 0.8) for f in range(4)}
+    for rows in files.values():
+        for r in rows:
+            r[4] = rng.choice(["IF_STATEMENT", "IF_STATEMENT", "ASSIGNMENT"])
+    refs = [(f, r[0], f"v{rng.randrange(3)}", rng.choice(["def", "def", "use"])) for f, rows in files.items() for r in rows]
+    made = [(f, *r[:4], 1, 0, r[4], f"n{r[0]}", f"c{r[0]}", "python", False) for f, rows in files.items() for r in rows]
+    nodes = spark.createDataFrame(made, f"{NODES.replace(', node_type string', '')}, line long, col long, node_type string, name string, code string, language string, is_condition boolean")
+    new, new_refs, joined = merges.with_merges(nodes, spark.createDataFrame(refs, "file_id long, id long, var string, kind string"))
+    ends = {}
+    for r in joined.collect():
+        ends.setdefault((r["file_id"], r["dst"]), set()).add(r["src"])
+    phis, table = 0, new.collect()
+    for f, rows in files.items():
+        got = sorted((r for r in table if r["file_id"] == f), key=lambda r: r["id"])
+        assert [r["id"] for r in got] == list(range(len(got)))
+        assert [r["code"] for r in got if r["node_type"] != "PHI_NODE"] == [f"c{r[0]}" for r in rows]
+        under = [{i} for i in range(len(got))]
+        for r in reversed(got):
+            if r["parent_id"] is not None:
+                assert r["parent_id"] < r["id"] and got[r["parent_id"]]["depth"] == r["depth"] - 1
+                under[r["parent_id"]] |= under[r["id"]]
+        assert all(under[r["id"]] == set(range(r["id"], r["last_id"] + 1)) for r in got)
+        at = {r["code"]: r["id"] for r in got}
+        defined = {(i, v) for g, i, v, k in refs if g == f and k == "def"}
+        want = []
+        for r in rows:
+            kids = [c for c in rows if c[1] == r[0]][:2]
+            if r[4] == "IF_STATEMENT" and len(kids) == 2:
+                for v in ("v0", "v1", "v2"):
+                    last = [max((i for i in range(c[0], c[2] + 1) if (i, v) in defined), default=None) for c in kids]
+                    if None not in last:
+                        want.append((at[f"c{r[2]}"], -r[0], v, at[f"c{r[1]}"] if r[1] is not None else None, {at[f"c{i}"] for i in last}))
+        found = [(r["name"], r["parent_id"], ends[f, r["id"]]) for r in got if r["node_type"] == "PHI_NODE"]
+        assert found == [(v, parent, last) for _, _, v, parent, last in sorted(want, key=lambda w: w[:3])]
+        phis += len(found)
+    assert phis > 20 and new_refs.count() == len(refs) + 2 * phis
+    graphed = merges.edges_with_merges(nodes, spark.createDataFrame(refs, "file_id long, id long, var string, kind string"))
+    assert graphed.count() == graphed.select("file_id", "src", "dst", "edge_type").distinct().count()
+    assert graphed.filter("label like 'phi:%'").count() > 0
