@@ -49,6 +49,42 @@ def review_rows(spark, d):
     return df.withColumns({"recommendations": F.array_join("recommendations", "\n"), "confidence": F.round("confidence", 6)})
 
 
+def _failed_sql() -> str:
+    """The rows of whole reviews, with components that broke off on some files."""
+    bad = "bad AS (SELECT DISTINCT user_id AS file_id, user_id % 5 = 1 AS no_style, user_id % 7 = 2 AS no_scan, user_id % 9 = 4 AS no_model FROM events)"
+    count = "p AS (SELECT file_id, count(*) FILTER (vulnerable) AS v, count(*) FILTER (vulnerable AND"
+    joined = "FROM scores s JOIN lint l USING (file_id) JOIN p USING (file_id)"
+    changes = [
+        ("asked AS (", f"{bad},\nasked AS ("),
+        ("FROM dedup QUALIFY row_number()", "FROM dedup WHERE file_id % 7 <> 2 QUALIFY row_number()"),
+        (count, count.replace("(vulnerable", "(vulnerable AND file_id % 9 <> 4")),
+        (
+            f"rev AS (SELECT s.file_id, l.score AS style_score, s.score AS security_score, risk_level, findings, grave, v, hc, trunc(l.score * 0.4::DOUBLE + s.score * 0.6::DOUBLE)::INT AS overall_score {joined})",
+            f"""rev AS (SELECT *, trunc(style_score * 0.4::DOUBLE + security_score * 0.6::DOUBLE)::INT AS overall_score FROM (SELECT s.file_id, no_style, no_scan, CASE WHEN no_style THEN 0 ELSE l.score END AS style_score,
+      CASE WHEN no_scan THEN 50 ELSE s.score END AS security_score, CASE WHEN no_scan THEN 'UNKNOWN' ELSE risk_level END AS risk_level, CASE WHEN no_scan THEN 0 ELSE findings END AS findings, CASE WHEN no_scan THEN 0 ELSE grave END AS grave, v, hc
+      {joined} JOIN bad USING (file_id)))""",
+        ),
+        ("CASE WHEN style_score < 70 THEN", "CASE WHEN style_score < 70 AND NOT no_style THEN"),
+        ("CASE WHEN security_score < 80 THEN 'Address", "CASE WHEN no_scan THEN 'Security scanner failed - manual review required' WHEN security_score < 80 THEN 'Address"),
+        ("CASE WHEN ok THEN 'SUCCESS' ELSE 'SKIPPED' END AS style_status", "CASE WHEN ok AND no_style THEN 'ERROR' WHEN ok THEN 'SUCCESS' ELSE 'SKIPPED' END AS style_status"),
+        ("CASE WHEN ok THEN 'SUCCESS' ELSE 'SKIPPED' END AS security_status", "CASE WHEN ok AND no_scan THEN 'ERROR' WHEN ok THEN 'SUCCESS' ELSE 'SKIPPED' END AS security_status"),
+    ]
+    sql = ROWS_SQL
+    for old, new in changes:
+        assert old in sql, old
+        sql = sql.replace(old, new, 1)
+    return sql
+
+
+@query("review_with_errors", f"WITH {_failed_sql()} SELECT * EXCLUDE (recs), array_to_string(recs, chr(10)) AS recommendations FROM whole")
+def review_with_errors(spark, d):
+    """Whole reviews of files on which a component broke off."""
+    users = _table(spark, d, "events").select(F.col("user_id").alias("file_id")).distinct()
+    parts = [users.filter(f"file_id % {n} = {r}").select("file_id", F.lit(c).alias("component")) for c, n, r in (("style", 5, 1), ("security", 7, 2), ("model", 9, 4))]
+    df = review.whole_reviews(corpus.files(spark, d), failures=parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return df.withColumns({"recommendations": F.array_join("recommendations", "\n"), "confidence": F.round("confidence", 6)})
+
+
 @query(
     "review_without_components",
     f"""WITH {_GATED_SQL} SELECT file_id, CASE WHEN ok THEN 80 ELSE 0 END AS style_score, CASE WHEN ok THEN 100 ELSE 0 END AS security_score, CASE WHEN ok THEN 92 ELSE 0 END AS overall_score, 'SKIPPED' AS style_status,

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import FOUND_SQL, LINES_SQL, WARN_SQL, _report_sql, query
-from .operators import lint, scan
+from .catalog import FOUND_SQL, LINES_SQL, SCORES_SQL, WARN_SQL, _report_sql, query
+from .operators import lint, outcomes, scan
 from .plans import review
 from .sources import corpus, tool_runs
+from .sources.corpus import quoted
 from .sources.tool_runs import ITEMS_SQL, SCANNED_SQL
 
 ALL_ITEMS_SQL = f"{LINES_SQL}, {WARN_SQL}, {ITEMS_SQL}, every AS (SELECT file_id, tool, line, severity, message FROM items UNION ALL SELECT file_id, 'manual', line, 'warning', message FROM warned)"
@@ -65,6 +66,68 @@ def summary_with_tools(spark, d):
     return review.style_summary(lint_with_tools(spark, d))
 
 
+_TOOLS = [(x, i, t, s) for x, own in outcomes.EXPECTED.items() for i, (t, s) in enumerate(own.items())]
+OUTCOMES_SQL = f"""{LINES_SQL}, {WARN_SQL}, {ITEMS_SQL}, tools(language, place, tool, seconds) AS (VALUES {", ".join(f"({quoted(x)}, {i}, {quoted(t)}, {s})" for x, i, t, s in _TOOLS)}),
+file AS (SELECT DISTINCT file_id, language FROM lines),
+one AS (SELECT file_id, tool, any_value(code) AS code FROM ran WHERE file_id % 7 <> 3 GROUP BY ALL),
+outcome AS (SELECT f.file_id, t.tool, t.place, t.seconds, CASE WHEN o.tool IS NULL THEN 'missing' WHEN f.file_id % 9 = 4 AND t.tool <> 'flake8' THEN 'late'
+    WHEN (t.tool = 'pylint' AND code NOT IN (0, 4, 8, 16, 28)) OR (t.tool = 'eslint' AND code NOT IN (0, 1)) THEN 'bad_exit' WHEN t.tool = 'jshint' AND f.file_id % 5 = 1 THEN 'unreadable' ELSE 'ran' END AS outcome
+  FROM file f JOIN tools t USING (language) LEFT JOIN one o ON o.file_id = f.file_id AND o.tool = t.tool)"""
+_WHY_SQL = "CASE outcome WHEN 'missing' THEN '[Errno 2] No such file or directory: ''' || tool || '''' ELSE 'timed out after ' || seconds || ' seconds' END"
+
+
+def _troubled_runs(spark, d):
+    """Runs of which some were not started, some stopped at their limit, and some printed no JSON."""
+    late = (F.col("file_id") % 9 == 4) & (F.col("tool") != "flake8")
+    odd = (F.col("tool") == "jshint") & (F.col("file_id") % 5 == 1)
+    runs = tool_runs.tool_runs(spark, d).filter("file_id % 7 <> 3")
+    return runs.withColumns({"exit_code": F.when(~late, F.col("exit_code")), "stdout": F.when(odd, "no JSON").otherwise(F.col("stdout"))})
+
+
+@query("tool_outcomes", f"WITH {OUTCOMES_SQL} SELECT file_id, tool, outcome FROM outcome")
+def tool_outcomes(spark, d):
+    files = corpus.lines(spark, d).select("file_id", "language").distinct()
+    return outcomes.outcomes(files, _troubled_runs(spark, d)).select("file_id", "tool", "outcome")
+
+
+@query(
+    "lint_with_failures",
+    f"""WITH {OUTCOMES_SQL},
+    every AS (SELECT file_id, severity FROM items JOIN outcome o USING (file_id, tool) WHERE o.outcome = 'ran' UNION ALL SELECT file_id, 'warning' FROM warned
+      UNION ALL SELECT file_id, 'warning' FROM outcome WHERE outcome IN ('missing', 'late') AND tool IN ('pylint', 'flake8', 'eslint')),
+    broke AS (SELECT file_id, arg_min(CASE outcome WHEN 'late' THEN 'Linter timeout - code too complex' ELSE 'Linter failed: ' || {_WHY_SQL} END, place) AS error FROM outcome
+      WHERE outcome IN ('missing', 'late') AND tool NOT IN ('pylint', 'flake8', 'eslint', 'jshint') GROUP BY file_id),
+    sums AS (SELECT f.file_id, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w, count(*) FILTER (severity = 'info') AS i
+      FROM file f LEFT JOIN every USING (file_id) GROUP BY f.file_id)
+    SELECT file_id, error, CASE WHEN error IS NULL THEN e ELSE 1 END::BIGINT AS errors, CASE WHEN error IS NULL THEN w ELSE 0 END::BIGINT AS warnings, CASE WHEN error IS NULL THEN i ELSE 0 END::BIGINT AS infos,
+      CASE WHEN error IS NOT NULL THEN 0 WHEN e = 0 AND w = 0 THEN least(100, 110 - least(i * 2, 5)) ELSE greatest(0, 100 - least(e * 15, 70) - least(w * 5, 25) - least(i * 2, 5)) END::INT AS score,
+      error IS NULL AND e = 0 AS passed, CASE WHEN error IS NULL THEN e + w ELSE 0 END::BIGINT AS complexity FROM sums LEFT JOIN broke USING (file_id)""",
+)
+def lint_with_failures(spark, d):
+    return outcomes.lint_results(corpus.lines(spark, d), _troubled_runs(spark, d))
+
+
+@query("failure_items", f"WITH {OUTCOMES_SQL} SELECT file_id, tool, CASE tool WHEN 'eslint' THEN 'ESLint' ELSE tool END || ' failed: ' || {_WHY_SQL} AS message FROM outcome WHERE outcome IN ('missing', 'late') AND tool IN ('pylint', 'flake8', 'eslint')")
+def failure_items(spark, d):
+    files = corpus.lines(spark, d).select("file_id", "language").distinct()
+    return outcomes.failure_items(outcomes.outcomes(files, _troubled_runs(spark, d))).select("file_id", "tool", "message")
+
+
+@query(
+    "security_with_failures",
+    f"""WITH {SCORES_SQL}, f AS (SELECT DISTINCT file_id, CASE WHEN file_id % 8 = 5 THEN 'shell' ELSE language END AS language FROM lines)
+    SELECT s.file_id, CASE WHEN x THEN 0 ELSE findings END AS findings, CASE WHEN x THEN 0 ELSE weight END AS weight, CASE WHEN other THEN 100 WHEN broke THEN 0 ELSE score END AS score,
+      CASE WHEN other THEN 'LOW' WHEN broke THEN 'HIGH' ELSE risk_level END AS risk_level, other OR (NOT broke AND risk_level IN ('LOW', 'INFO')) AS passed,
+      CASE WHEN other THEN 'Unsupported language for security scan: shell' WHEN broke THEN 'Security scan failed: stopped ' || s.file_id END AS error
+    FROM (SELECT *, file_id % 8 = 5 AS other, file_id % 6 = 1 AS broke, file_id % 8 = 5 OR file_id % 6 = 1 AS x FROM scores) s JOIN f USING (file_id)""",
+)
+def security_with_failures(spark, d):
+    lines = corpus.lines(spark, d)
+    files = lines.select("file_id", F.when(F.col("file_id") % 8 == 5, "shell").otherwise(F.col("language")).alias("language")).distinct()
+    failed = files.filter("file_id % 6 = 1").select("file_id", F.format_string("stopped %d", "file_id").alias("error"))
+    return scan.scores_with_failures(files, scan.deduplicated(scan.findings(lines, scan.rules(spark))), failed)
+
+
 @query("java_class_name", "SELECT doc_id, CASE WHEN regexp_matches(text, 'class\\s+\\w+') THEN regexp_extract(text, 'class\\s+(\\w+)', 1) ELSE 'TempClass' END AS class_name FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'public class Doc' || doc_id || ' {' ELSE 'interface x' END AS text FROM documents)")
 def java_class_name(spark, d):
     code = F.when(F.col("doc_id") % 2 == 0, F.format_string("public class Doc%d {", "doc_id")).otherwise("interface x")

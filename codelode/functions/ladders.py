@@ -101,13 +101,19 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def recommendations(security: str = "security_score", style: str | None = "style_score", issues: str | None = "issues") -> Column:
-    """What a review says, in order, from the columns of scores and of the counts grave, vulnerable and confident."""
+def recommendations(security: str = "security_score", style: str | None = "style_score", issues: str | None = "issues", scanner_failed: Column | None = None) -> Column:
+    """What a review says, in order, from the columns of scores and of the counts grave, vulnerable and confident.
+
+    Where scanner_failed holds, that is said in place of what the scanner would have given.
+    """
     said = [F.when(F.col(style) < 70, F.format_string("Improve code style (score: %d/100)", F.col(style)))] if style else []
     said += [
         F.when(F.col(security) < 80, F.format_string("Address security issues (score: %d/100)", F.col(security))),
         F.when(F.col("grave") > 0, F.format_string("Fix %d critical/high security findings", F.col("grave"))),
     ]
+    if scanner_failed is not None:
+        failed = F.when(scanner_failed, "Security scanner failed - manual review required")
+        said = [*said[:-2], failed, *[F.when(~scanner_failed, x) for x in said[-2:]]]
     if issues:
         said.append(F.when(F.col(issues) > 0, F.format_string("Review %d PDG-identified vulnerabilities", F.col(issues))))
     said.append(

@@ -47,16 +47,17 @@ def lines_of_code(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_in", inside).groupBy("file_id", "language").agg(F.count_if(counted).alias("loc"))
 
 
-def items(lines: DataFrame, runs: DataFrame | None = None) -> DataFrame:
-    """file_id, tool, line, severity, message of all linters: what the tools said (tool_items) and the line rules."""
+def items(lines: DataFrame, runs: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
+    """file_id, tool, line, severity, message of all linters: what the tools said (tool_items), the line rules, and more."""
     own = line_warnings(lines).select("file_id", F.lit("manual").alias("tool"), "line", F.lit("warning").alias("severity"), "message")
+    own = own if more is None else own.unionByName(more)
     return own if runs is None else tool_items(runs).unionByName(own)
 
 
-def lint_results(lines: DataFrame, runs: DataFrame | None = None) -> DataFrame:
-    """file_id, errors, warnings, infos, score, passed, complexity, from the line rules and the tools' runs."""
+def lint_results(lines: DataFrame, runs: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
+    """file_id, errors, warnings, infos, score, passed, complexity, from the line rules, the tools' runs and more items."""
     kinds = {"errors": "error", "warnings": "warning", "infos": "info"}
-    sums = items(lines, runs).groupBy("file_id").agg(*[F.count_if(F.col("severity") == k).alias(c) for c, k in kinds.items()])
+    sums = items(lines, runs, more).groupBy("file_id").agg(*[F.count_if(F.col("severity") == k).alias(c) for c, k in kinds.items()])
     df = lines.select("file_id").distinct().join(sums, "file_id", "left").na.fill(0, list(kinds))
     return df.withColumns(
         {

@@ -39,6 +39,21 @@ def deduplicated(found: DataFrame) -> DataFrame:
     return found.withColumn("_r", first).filter("_r = 1").drop("_r")
 
 
+def scores_with_failures(files: DataFrame, found: DataFrame, failed: DataFrame) -> DataFrame:
+    """scores of files (file_id, language) with the scanner's own error rows, and error.
+
+    failed: file_id, error, of files on which the scanner broke off: no findings, score 0, risk HIGH. A language that is not
+    scanned passes with 100 and says so.
+    """
+    known = F.coalesce(F.col("language").isin(dims.LANGUAGES), F.lit(False))
+    df = scores(files, found.join(files.filter(known), "file_id", "left_semi").join(failed, "file_id", "left_anti"))
+    df = df.join(files.select("file_id", "language"), "file_id").join(failed.select("file_id", F.col("error").alias("_why")), "file_id", "left")
+    broke = known & F.col("_why").isNotNull()
+    error = F.when(~known, F.format_string("Unsupported language for security scan: %s", "language")).when(broke, F.concat(F.lit("Security scan failed: "), "_why"))
+    given = {"score": F.lit(0), "risk_level": F.lit("HIGH"), "passed": F.lit(False)}
+    return df.withColumn("error", error).withColumns({c: F.when(broke, v).otherwise(F.col(c)) for c, v in given.items()}).drop("_why", "language")
+
+
 def scores(all_files: DataFrame, found: DataFrame) -> DataFrame:
     """file_id, findings, weight, score, risk_level, passed; files without findings score 100."""
     has = [F.bool_or(F.col("severity") == s).alias(s) for s in dims.SEVERITIES]

@@ -68,18 +68,26 @@ def flow_patterns(files: DataFrame, issues: DataFrame, found: DataFrame) -> Data
     return every.withColumn("rank", F.row_number().over(W.partitionBy("file_id").orderBy("place"))).filter("rank <= 2").select("file_id", "rank", "source", "sink", "sanitization")
 
 
-def whole_reviews(files: DataFrame, predict=None, issues: DataFrame | None = None, runs: DataFrame | None = None, components: tuple[str, ...] = ("style", "security")) -> DataFrame:
+def whole_reviews(files: DataFrame, predict=None, issues: DataFrame | None = None, runs: DataFrame | None = None, components: tuple[str, ...] = ("style", "security"), failures: DataFrame | None = None) -> DataFrame:
     """One row for each of files (file_id, filename, code): gate, scores, decision and recommendations.
 
     A file whose language is unsure or not supported is rejected with score 0 and goes no further. A component that is
     not among components is SKIPPED and counts with its default score. predict adds vulnerable (boolean) and confidence to
     rows with source, sink and sanitization (flows.rule_predictions, or a fitted classifier). issues: see flow_patterns.
+    failures: file_id, component (style, security, graph or model) of components that broke off on a file; their status is
+    ERROR. Style then counts as 0, security as 50 without findings, the graph gives no issues and the model no predictions.
     """
     gate = kept(detect.gated(files).select("file_id", "filename", "code", "language", "confidence", "status", "reason"))
     passed = gate.filter("status = 'SUPPORTED'")
     lines = passed.select("file_id", "language", F.posexplode(F.split("code", "\n", -1)).alias("pos", "text")).select("file_id", (F.col("pos") + 1).alias("line"), "language", "text")
     found = scan.deduplicated(scan.findings(lines, scan.rules(files.sparkSession)))
     df = passed.select("file_id")
+    broke = None
+    if failures is not None:
+        parts = ("style", "security", "graph", "model")
+        broke = kept(failures.groupBy("file_id").agg(*[F.coalesce(F.bool_or(F.col("component") == c), F.lit(False)).alias(f"{c}_broke") for c in parts]))
+        lost = lambda c: broke.filter(f"{c}_broke").select("file_id")
+        found = found.join(lost("security"), "file_id", "left_anti")
     if "security" in components:
         sums = found.groupBy("file_id").agg(F.count_if(F.col("severity").isin("CRITICAL", "HIGH")).alias("grave"))
         security = scan.scores(df, found).select("file_id", F.col("score").alias("security_score"), "risk_level", "findings")
@@ -94,18 +102,31 @@ def whole_reviews(files: DataFrame, predict=None, issues: DataFrame | None = Non
         df = df.withColumn("style_score", F.lit(MISSING_SCORE))
     no_issues = files.sparkSession.createDataFrame([], "file_id bigint, id bigint, used array<string>, defined array<string>, tainted boolean")
     known = issues if issues is not None else no_issues
+    if broke is not None:
+        known = known.join(lost("graph"), "file_id", "left_anti")
     df = df.join(known.groupBy("file_id").agg(F.count("*").alias("issues")), "file_id", "left").na.fill(0, ["issues"])
     asked = (predict or flows.rule_predictions)(flow_patterns(passed, known.join(passed.select("file_id"), "file_id", "left_semi"), found))
+    if broke is not None:
+        asked = asked.join(lost("model"), "file_id", "left_anti")
     sums = asked.groupBy("file_id").agg(F.count_if("vulnerable").alias("vulnerable"), F.count_if(F.col("vulnerable") & (F.col("confidence") >= 0.85)).alias("confident"))
     df = df.join(sums, "file_id", "left").na.fill(0, ["vulnerable", "confident"])
+    no_style = no_scan = F.lit(False)
+    if broke is not None:
+        df = df.join(broke, "file_id", "left").na.fill(False, [f"{c}_broke" for c in parts])
+        # only what is there can break off
+        no_style, no_scan = (F.col(f"{c}_broke") & F.lit(c in components) for c in ("style", "security"))
+        # a style that broke off is not advised on
+        given = {"style_score": (no_style, F.lit(0)), "security_score": (no_scan, F.lit(FAILED_SCANNER_SCORE)), "risk_level": (no_scan, F.lit("UNKNOWN"))}
+        df = df.withColumns({"_style": F.when(~no_style, F.col("style_score")), **{c: F.when(lost_one, v).otherwise(F.col(c)) for c, (lost_one, v) in given.items()}})
+    said = ladders.recommendations() if broke is None else ladders.recommendations(style="_style", scanner_failed=no_scan)
     overall = ladders.overall_score(F.col("style_score"), F.col("security_score"))
     decision = ladders.final_decision(F.col("security_score"), F.col("risk_level"), F.col("vulnerable"), F.col("confident"))
-    df = df.select("file_id", "style_score", "security_score", "risk_level", "findings", overall.alias("overall_score"), ladders.overall_status(overall).alias("overall_status"), decision.alias("final_decision"), ladders.recommendations().alias("recommendations"))
+    df = df.select("file_id", "style_score", "security_score", "risk_level", "findings", overall.alias("overall_score"), ladders.overall_status(overall).alias("overall_status"), decision.alias("final_decision"), said.alias("recommendations"), no_style.alias("style_broke"), no_scan.alias("security_broke"))
     percent = F.concat(ladders.printed(F.col("confidence") * 100, 1), F.lit("%"))
     reason = F.when(F.col("reason") == "Low confidence", F.concat(F.lit("Low confidence detection ("), percent, F.lit(" < 70%)"))).otherwise(F.concat(F.lit("Unsupported language: "), F.coalesce("language", F.lit("unknown"))))
     out = gate.select("file_id", "filename", F.coalesce("language", F.lit("unknown")).alias("language"), "confidence", "status", reason.alias("why")).join(df, "file_id", "left")
     stopped = F.col("status") == "UNSUPPORTED_LANGUAGE"
-    skipped = lambda name: F.when(stopped, "SKIPPED").otherwise("SUCCESS" if name in components else "SKIPPED").alias(f"{name}_status")
+    skipped = lambda name: F.when(stopped, "SKIPPED").when(F.col(f"{name}_broke"), "ERROR").otherwise("SUCCESS" if name in components else "SKIPPED").alias(f"{name}_status")
     return out.select(
         "file_id", "filename", "language", "confidence", skipped("style"), skipped("security"),
         *[F.when(stopped, 0).otherwise(F.col(c)).alias(c) for c in ("style_score", "security_score", "overall_score")],
