@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import dims, ladders
 from .operators import detect, flows, graph, lint, merges, rule_index, scan
 from .plans import review
-from .sources import corpus
+from .sources import corpus, readers
 from .sources.corpus import FILES_SQL, LINES_SQL, NODES_SQL, RULES_SQL, quoted, sql_list
 
 QUERIES: dict = {}
@@ -148,8 +148,8 @@ def eslint_json_parse(spark, d):
 def json_input_files(spark, d):
     item = F.struct(F.concat(F.lit("c"), "conv_id", F.lit("_"), "turn", F.lit(".py")).alias("filename"), F.col("text").alias("code"))
     packed = _table(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.collect_list(item)).alias("j"))
-    parsed = packed.select(F.explode(F.from_json("j", "array<struct<filename:string,code:string>>")).alias("f"))
-    return parsed.select("f.filename", F.length("f.code").cast("bigint").alias("code_length"))
+    files = readers.json_files(packed.withColumnRenamed("j", "value"))
+    return files.select("filename", F.length("code").cast("bigint").alias("code_length"))
 
 
 # --- detection
@@ -263,6 +263,31 @@ def summary_by_category(spark, d):
     return _found(spark, d).groupBy("file_id", "category").agg(F.count("*").alias("n"))
 
 
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(regex, ''), lambda c: ord(c)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
+
+
+@query(
+    "rule_ids",
+    f"""WITH {FOUND_SQL}, ids AS (SELECT ord, CASE WHEN phase = 'lang' THEN upper(language) ELSE 'SEC' END || '_' || severity || '_' || lpad(({_CRC_SQL} % 10000)::VARCHAR, 4, '0') AS rule_id FROM rules)
+    SELECT file_id, line, rule_id, confidence FROM dedup JOIN ids USING (ord) JOIN (SELECT ord, CASE WHEN {" OR ".join(f"(language = {quoted(x)} AND phase = {quoted(p)})" for x, p in dims.MEDIUM_CONFIDENCE)} THEN 'MEDIUM' ELSE 'HIGH' END AS confidence FROM rules) USING (ord)""",
+)
+def rule_ids(spark, d):
+    return _found(spark, d).select("file_id", "line", "rule_id", "confidence")
+
+
+@query(
+    "summary_maps",
+    f"""WITH {FOUND_SQL}, c AS (SELECT *, {_sql_ladder('description', dims.CATEGORIES, quoted(dims.OTHER_CATEGORY))} AS category FROM dedup),
+    s AS (SELECT file_id, '{{' || string_agg('"' || severity || '":' || n, ',' ORDER BY severity) || '}}' AS by_severity, sum(n)::BIGINT AS n FROM (SELECT file_id, severity, count(*) AS n FROM c GROUP BY ALL) GROUP BY file_id),
+    k AS (SELECT file_id, '{{' || string_agg('"' || category || '":' || n, ',' ORDER BY category) || '}}' AS by_category FROM (SELECT file_id, category, count(*) AS n FROM c GROUP BY ALL) GROUP BY file_id)
+    SELECT f.file_id, coalesce(s.n, 0) AS total_findings, coalesce(by_severity, '{{}}') AS by_severity, coalesce(by_category, '{{}}') AS by_category FROM (SELECT DISTINCT file_id FROM lines) f LEFT JOIN s USING (file_id) LEFT JOIN k USING (file_id)""",
+)
+def summary_maps(spark, d):
+    maps = scan.summary_maps(corpus.lines(spark, d), _found(spark, d))
+    return maps.withColumns({c: F.to_json(c) for c in ("by_severity", "by_category")})
+
+
 @query(
     "summary_advice",
     f"WITH {SCORES_SQL} SELECT file_id, CASE WHEN c THEN {quoted(dims.SUMMARY_ADVICE['CRITICAL'])} WHEN h THEN {quoted(dims.SUMMARY_ADVICE['HIGH'])} WHEN m THEN {quoted(dims.SUMMARY_ADVICE['MEDIUM'])} WHEN l THEN {quoted(dims.SUMMARY_ADVICE['LOW'])} ELSE {quoted(dims.SUMMARY_OTHER)} END AS recommendation FROM sums",

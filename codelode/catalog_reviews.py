@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from .catalog import DETECT_SQL, LINT_SQL, REVIEW_SQL, SCORES_SQL, _found, _reviews, _sql_ladder, _table, ORACLE_SQL, query
 from .catalog_tools import ALL_ITEMS_SQL
 from .functions import dims, ladders
-from .operators import detect, flows
+from .operators import detect, flows, snapshots
 from .plans import review, style
 from .sources import corpus, parser, tool_runs
 from .sources.corpus import FILES_SQL, LINES_SQL, quoted, sql_list
+from .streaming import session_statistics
 
 _GATED_SQL = f"{DETECT_SQL}, gate AS (SELECT d.*, f.filename, f.code AS whole, coalesce(confidence >= 0.7 AND language IN ({', '.join(map(quoted, dims.LANGUAGES))}), false) AS ok FROM det d JOIN files f USING (file_id))"
 _SRC_SQL = "src AS (SELECT file_id, generate_subscripts(string_split(whole, chr(10)), 1) AS line, language, unnest(string_split(whole, chr(10))) AS text FROM gate WHERE ok)"
@@ -145,6 +146,75 @@ def flow_patterns(spark, d):
     return review.flow_patterns(corpus.lines(spark, d).select("file_id").distinct(), issues, _found(spark, d))
 
 
+# --- two snapshots
+
+
+def _snapshots(spark, d):
+    """The corpus before and after: files that came, went, were changed, or moved."""
+    files = corpus.files(spark, d).select("file_id", "filename", "code")
+    n = F.col("file_id")
+    moved = F.when(n % 11 == 4, F.concat(F.lit("moved/"), "filename")).otherwise(F.col("filename"))
+    after = files.filter(n % 10 != 2).withColumns({"filename": moved, "code": F.when(n % 7 == 3, F.concat("code", F.lit("\n# more"))).otherwise(F.col("code"))})
+    return files.filter(n % 10 != 1), after
+
+
+_SNAPSHOT_SQL = f"""{FILES_SQL}, old AS (SELECT filename, code FROM files WHERE file_id % 10 <> 1),
+new AS (SELECT file_id, CASE WHEN file_id % 11 = 4 THEN 'moved/' || filename ELSE filename END AS filename, CASE WHEN file_id % 7 = 3 THEN code || chr(10) || '# more' ELSE code END AS code FROM files WHERE file_id % 10 <> 2),
+gone AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY filename) AS k FROM old WHERE filename NOT IN (SELECT filename FROM new)),
+come AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY filename) AS k FROM new WHERE filename NOT IN (SELECT filename FROM old)),
+diff AS (SELECT o.filename, NULL::VARCHAR AS old_filename, 'changed' AS status FROM old o JOIN new n USING (filename) WHERE o.code <> n.code
+  UNION ALL SELECT c.filename, g.filename, CASE WHEN g.filename IS NULL THEN 'added' ELSE 'renamed' END FROM come c LEFT JOIN gone g ON g.code = c.code AND g.k = c.k
+  UNION ALL SELECT g.filename, NULL, 'removed' FROM gone g LEFT JOIN come c ON g.code = c.code AND g.k = c.k WHERE c.filename IS NULL)"""
+
+
+@query("snapshot_changes", f"WITH {_SNAPSHOT_SQL} SELECT filename, old_filename, status FROM diff")
+def snapshot_changes(spark, d):
+    return snapshots.changes(*_snapshots(spark, d))
+
+
+_SNAPSHOT_ROWS_SQL = ROWS_SQL.replace(
+    "FROM lines GROUP BY file_id)",
+    "FROM lines GROUP BY file_id), every_file AS (SELECT * FROM files), " + _SNAPSHOT_SQL.replace(FILES_SQL + ", ", "").replace("FROM files", "FROM every_file") + ", review_files AS (SELECT n.file_id, n.filename, n.code FROM new n JOIN diff USING (filename) WHERE status <> 'removed')",
+    1,
+).replace("code AS whole, array_to_string(string_split(code, chr(10))[1:100], chr(10)) AS code,\n    split_part(trim(code, chr(32) || chr(10)), chr(10), 1) AS first FROM files)", "code AS whole, array_to_string(string_split(code, chr(10))[1:100], chr(10)) AS code,\n    split_part(trim(code, chr(32) || chr(10)), chr(10), 1) AS first FROM review_files)", 1).replace("FROM det d JOIN files f", "FROM det d JOIN review_files f", 1)
+
+
+@query(
+    "snapshot_decision",
+    f"""WITH {_SNAPSHOT_ROWS_SQL} SELECT count(*) AS total_files, count(*) AS files_analyzed, CASE WHEN count(*) = 0 THEN 'NO_CHANGES' WHEN bool_or(final_decision = 'REJECT') THEN 'REJECT' WHEN bool_or(final_decision = 'REVIEW_REQUIRED') THEN 'REVIEW_REQUIRED'
+      WHEN bool_or(final_decision = 'REVIEW_RECOMMENDED') THEN 'REVIEW_RECOMMENDED' ELSE 'APPROVE' END AS overall_decision, coalesce(sum(overall_score), 0)::BIGINT AS scores, coalesce(sum(findings), 0)::BIGINT AS findings FROM whole""",
+)
+def snapshot_decision(spark, d):
+    """The change set between two snapshots, reviewed."""
+    rows = review.whole_reviews(snapshots.to_review(*_snapshots(spark, d)))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias
+    return review.change_set(rows, total("overall_score")("scores"), total("findings")("findings")).drop("exit_code")
+
+
+# --- statistics of sessions
+
+
+@query(
+    "session_statistics",
+    """WITH e AS (SELECT 's' || user_id % 20 AS session, event_id AS seq, event_id % 61 = 0 AS reset, event_id % 4 <> 0 AS passed, event_id % 3 AS errors, event_id % 5 AS warnings, event_id % 1000 AS millis FROM events),
+    c AS (SELECT *, count(*) FILTER (reset) OVER (PARTITION BY session ORDER BY seq) AS stretch FROM e),
+    t AS (SELECT session, stretch, count(*) FILTER (NOT reset) AS total_files, count(*) FILTER (NOT reset AND passed) AS passed_files, count(*) FILTER (NOT reset AND NOT passed) AS failed_files,
+      coalesce(sum(errors) FILTER (NOT reset), 0)::BIGINT AS total_errors, coalesce(sum(warnings) FILTER (NOT reset), 0)::BIGINT AS total_warnings, coalesce(sum(millis) FILTER (NOT reset), 0)::BIGINT AS total_millis FROM c GROUP BY session, stretch)
+    SELECT *, round(CASE WHEN total_files = 0 THEN 0 ELSE total_millis::DOUBLE / total_files END, 6) AS average_millis, round(CASE WHEN total_files = 0 THEN 0 ELSE passed_files * 100.0::DOUBLE / total_files END, 6) AS pass_rate FROM t""",
+)
+def session_statistics_query(spark, d):
+    df = session_statistics.statistics(session_events(spark, d))
+    return df.withColumns({c: F.round(c, 6) for c in ("average_millis", "pass_rate")})
+
+
+def session_events(spark, d):
+    e = F.col("event_id")
+    return _table(spark, d, "events").select(
+        F.concat(F.lit("s"), (F.col("user_id") % 20).cast("string")).alias("session"), e.alias("seq"), F.when(e % 61 == 0, "reset").otherwise("result").alias("kind"),
+        (e % 4 != 0).alias("passed"), (e % 3).alias("errors"), (e % 5).alias("warnings"), (e % 1000).alias("millis"),
+    )
+
+
 # --- style results and exports
 
 

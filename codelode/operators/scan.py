@@ -20,7 +20,7 @@ def rules(spark: SparkSession) -> DataFrame:
         F.when(medium, "MEDIUM").otherwise("HIGH").alias("confidence"),
         ladders.category(F.col("description")).alias("category"),
         ladders.remediation(F.col("description")).alias("remediation"),
-        F.format_string("SEC_%s_%04d", "severity", F.pmod(F.crc32(F.col("regex").cast("binary")), F.lit(10000))).alias("rule_id"),
+        F.format_string("%s_%s_%04d", F.when(F.col("phase") == "lang", F.upper("language")).otherwise("SEC"), "severity", F.pmod(F.crc32(F.col("regex").cast("binary")), F.lit(10000))).alias("rule_id"),
         F.concat(F.lit("(?di)"), F.col("regex")).alias("pattern"),
     )
 
@@ -73,6 +73,20 @@ def advice(found: DataFrame) -> DataFrame:
     return found.groupBy("file_id").agg(out.otherwise(dims.SUMMARY_OTHER).alias("recommendation"))
 
 
+def summary_maps(all_files: DataFrame, found: DataFrame) -> DataFrame:
+    """file_id, total_findings, by_severity and by_category (maps of counts, empty without findings) of every file."""
+
+    def counted(c: str, name: str) -> DataFrame:
+        n = found.groupBy("file_id", c).agg(F.count("*").alias("n"))
+        return n.groupBy("file_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n")))).alias(name))
+
+    df = all_files.select("file_id").distinct().join(found.groupBy("file_id").agg(F.count("*").alias("total_findings")), "file_id", "left").na.fill(0, ["total_findings"])
+    none = F.create_map().cast("map<string,bigint>")
+    for c, name in (("severity", "by_severity"), ("category", "by_category")):
+        df = df.join(counted(c, name), "file_id", "left").withColumn(name, F.coalesce(name, none))
+    return df
+
+
 def top_per_severity(found: DataFrame, k: int = 10) -> DataFrame:
     # on one line the rules' findings stand before the scanners'
     late = F.col("phase") == "tool" if "phase" in found.columns else F.lit(False)
@@ -80,6 +94,8 @@ def top_per_severity(found: DataFrame, k: int = 10) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
 
 
+#: Fixed value: what a scanner's plain output about eval is told as.
+EVAL_USED = "eval() usage detected"
 #: Headings and marks of the text report.
 RULE = "=" * 70
 GRAVE = ["CRITICAL", "HIGH"]
@@ -92,7 +108,11 @@ def tool_findings(runs: DataFrame) -> DataFrame:
     """
     out = F.when(F.col("tool") == "bandit", F.transform(lint.parse_bandit(F.col("stdout")), lambda i: _tool_finding(i["line"], i["severity"], i["confidence"], i["rule_id"], i["description"], i["matched_text"])))
     security = lambda m: _tool_finding(m["line"], m["severity"], F.lit("HIGH"), F.coalesce(m["rule"], F.lit("security-rule")), m["message"], F.lit(""))
-    out = out.when(F.col("tool") == "eslint", F.transform(lint.parse_eslint(F.col("stdout")), security))
+    # output that is no JSON: its lines that speak of an error and of eval
+    plain = ~F.ltrim("stdout").rlike(r"^[\[{]")
+    spoken = F.filter(F.split("stdout", "\n"), lambda x: F.contains(F.lower(x), F.lit("error")) & F.contains(F.lower(x), F.lit("eval")))
+    told = F.transform(spoken, lambda x: _tool_finding(F.lit(1), F.lit("CRITICAL"), F.lit("MEDIUM"), F.lit("no-eval"), F.lit(EVAL_USED), F.lit("")))
+    out = out.when(F.col("tool") == "eslint", F.when(plain, told).otherwise(F.transform(lint.parse_eslint(F.col("stdout")), security)))
     vet = F.array_compact(F.transform(F.split("stderr", "\n"), lambda x: lint.parse_govet(x)))
     out = out.when(F.col("tool") == "go_vet", F.transform(vet, lambda m: _tool_finding(m["line"], m["severity"], F.lit("MEDIUM"), F.lit("go_vet"), m["message"], F.lit(""))))
     good = ~F.col("tool").isin("bandit", "eslint") | F.col("exit_code").isin(lint.GOOD_EXITS["bandit"])

@@ -68,7 +68,7 @@ def flow_patterns(files: DataFrame, issues: DataFrame, found: DataFrame) -> Data
     return every.withColumn("rank", F.row_number().over(W.partitionBy("file_id").orderBy("place"))).filter("rank <= 2").select("file_id", "rank", "source", "sink", "sanitization")
 
 
-def whole_reviews(files: DataFrame, predict=None, issues: DataFrame | None = None, runs: DataFrame | None = None, components: tuple[str, ...] = ("style", "security"), failures: DataFrame | None = None) -> DataFrame:
+def whole_reviews(files: DataFrame, predict=None, issues: DataFrame | None = None, runs: DataFrame | None = None, components: tuple[str, ...] = ("style", "security"), failures: DataFrame | None = None, watch=lambda name, df: df) -> DataFrame:
     """One row for each of files (file_id, filename, code): gate, scores, decision and recommendations.
 
     A file whose language is unsure or not supported is rejected with score 0 and goes no further. A component that is
@@ -76,8 +76,9 @@ def whole_reviews(files: DataFrame, predict=None, issues: DataFrame | None = Non
     rows with source, sink and sanitization (flows.rule_predictions, or a fitted classifier). issues: see flow_patterns.
     failures: file_id, component (style, security, graph or model) of components that broke off on a file; their status is
     ERROR. Style then counts as 0, security as 50 without findings, the graph gives no issues and the model no predictions.
+    watch sees the rows of each stage (observed.Stages).
     """
-    gate = kept(detect.gated(files).select("file_id", "filename", "code", "language", "confidence", "status", "reason"))
+    gate = kept(watch("language_detection", detect.gated(files).select("file_id", "filename", "code", "language", "confidence", "status", "reason")))
     passed = gate.filter("status = 'SUPPORTED'")
     lines = passed.select("file_id", "language", F.posexplode(F.split("code", "\n", -1)).alias("pos", "text")).select("file_id", (F.col("pos") + 1).alias("line"), "language", "text")
     found = scan.deduplicated(scan.findings(lines, scan.rules(files.sparkSession)))
@@ -91,13 +92,13 @@ def whole_reviews(files: DataFrame, predict=None, issues: DataFrame | None = Non
     if "security" in components:
         sums = found.groupBy("file_id").agg(F.count_if(F.col("severity").isin("CRITICAL", "HIGH")).alias("grave"))
         security = scan.scores(df, found).select("file_id", F.col("score").alias("security_score"), "risk_level", "findings")
-        df = df.join(security, "file_id").join(sums, "file_id", "left").na.fill(0, ["grave"])
+        df = df.join(watch("security_analysis", security), "file_id").join(sums, "file_id", "left").na.fill(0, ["grave"])
     else:
         # a scanner that is not there leaves the decision's own score at 100
         df = df.withColumns({"security_score": F.lit(100), "risk_level": F.lit("UNKNOWN"), "findings": F.lit(0).cast("bigint"), "grave": F.lit(0).cast("bigint")})
         found = found.limit(0)
     if "style" in components:
-        df = df.join(lint.lint_results(lines, runs).select("file_id", F.col("score").alias("style_score")), "file_id")
+        df = df.join(watch("style_analysis", lint.lint_results(lines, runs).select("file_id", F.col("score").alias("style_score"))), "file_id")
     else:
         df = df.withColumn("style_score", F.lit(MISSING_SCORE))
     no_issues = files.sparkSession.createDataFrame([], "file_id bigint, id bigint, used array<string>, defined array<string>, tainted boolean")
@@ -108,7 +109,7 @@ def whole_reviews(files: DataFrame, predict=None, issues: DataFrame | None = Non
     asked = (predict or flows.rule_predictions)(flow_patterns(passed, known.join(passed.select("file_id"), "file_id", "left_semi"), found))
     if broke is not None:
         asked = asked.join(lost("model"), "file_id", "left_anti")
-    sums = asked.groupBy("file_id").agg(F.count_if("vulnerable").alias("vulnerable"), F.count_if(F.col("vulnerable") & (F.col("confidence") >= 0.85)).alias("confident"))
+    sums = watch("vulnerability_prediction", asked).groupBy("file_id").agg(F.count_if("vulnerable").alias("vulnerable"), F.count_if(F.col("vulnerable") & (F.col("confidence") >= 0.85)).alias("confident"))
     df = df.join(sums, "file_id", "left").na.fill(0, ["vulnerable", "confident"])
     no_style = no_scan = F.lit(False)
     if broke is not None:
@@ -127,7 +128,7 @@ def whole_reviews(files: DataFrame, predict=None, issues: DataFrame | None = Non
     out = gate.select("file_id", "filename", F.coalesce("language", F.lit("unknown")).alias("language"), "confidence", "status", reason.alias("why")).join(df, "file_id", "left")
     stopped = F.col("status") == "UNSUPPORTED_LANGUAGE"
     skipped = lambda name: F.when(stopped, "SKIPPED").when(F.col(f"{name}_broke"), "ERROR").otherwise("SUCCESS" if name in components else "SKIPPED").alias(f"{name}_status")
-    return out.select(
+    return watch("final_decision", out).select(
         "file_id", "filename", "language", "confidence", skipped("style"), skipped("security"),
         *[F.when(stopped, 0).otherwise(F.col(c)).alias(c) for c in ("style_score", "security_score", "overall_score")],
         F.coalesce("risk_level", F.lit("UNKNOWN")).alias("risk_level"), F.coalesce("findings", F.lit(0)).alias("findings"),

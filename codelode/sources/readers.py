@@ -7,8 +7,10 @@ import shutil
 import subprocess
 from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import quote
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,32 +24,56 @@ def read_single(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A JSON list of {filename, code}; anything else is an error."""
-    raw = spark.read.text(path, wholetext=True)
+    return json_files(spark.read.text(path, wholetext=True))
+
+
+def json_files(raw: DataFrame) -> DataFrame:
+    """filename and code of the items of JSON lists (column value)."""
     parsed = raw.select(F.from_json("value", "array<struct<filename:string,code:string>>").alias("items"), F.ltrim("value").startswith("[").alias("is_list"))
     checked = parsed.withColumn("items", F.when(F.col("is_list") & F.col("items").isNotNull(), F.col("items")).otherwise(F.raise_error(F.lit("expected a JSON list of files")).cast("array<struct<filename:string,code:string>>")))
     return checked.select(F.explode("items").alias("f")).select("f.filename", "f.code")
 
 
 def read_directory(spark: SparkSession, root: str, endings: list[str] | None = None) -> DataFrame:
-    """Files under a mounted folder, also those whose names begin with _ or .; unreadable and non-UTF-8 files are left out.
+    """filename (below root) and code of the files under a folder of any file system; what is not UTF-8 is left out.
 
-    Only names are listed on the driver; contents are read by the tasks.
+    The binary source lists and reads the files, and the JVM tells UTF-8 from other bytes. It passes over names that begin
+    with _ or . (and folders of such names); those alone are listed by the driver, as they come, and read by tasks.
     """
-    names = sorted(os.path.relpath(os.path.join(d, f), root) for d, _, fs in os.walk(root) for f in fs if not endings or f.endswith(tuple(endings)))
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for name in frame["filename"]:
-                try:
-                    with open(os.path.join(root, name), encoding="utf-8") as f:
-                        rows.append((name, f.read()))
-                except (OSError, UnicodeDecodeError):
-                    continue
-            yield pd.DataFrame(rows, columns=["filename", "code"])
-
-    listed = spark.createDataFrame([(n,) for n in names], "filename string")
-    return listed.mapInPandas(read, _SCHEMA)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = fs.makeQualified(path).toString().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root).select("path", "content")
+    hidden = _hidden(fs, path, top)
+    if hidden:
+        files = files.unionByName(spark.createDataFrame([(n,) for n in hidden], "path string").repartition(max(1, len(hidden) // 1000)).mapInArrow(_contents, "path string, content binary"))
+    named = files.select(F.substring("path", len(top) + 2, 1 << 20).alias("filename"), F.col("content").cast("string").alias("code"))
+    if endings:
+        named = named.filter(reduce(lambda a, b: a | b, [F.col("filename").endswith(e) for e in endings]))
+    return named.filter(F.is_valid_utf8("code"))
+
+
+def _hidden(fs, path, top: str) -> list[str]:
+    """Files that have a part below top which begins with _ or . in their name."""
+    out, each = [], fs.listFiles(path, True)
+    while each.hasNext():
+        name = each.next().getPath().toString()
+        if any(part[:1] in ("_", ".") for part in name[len(top) :].split("/")):
+            out.append(name)
+    return out
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name in batch.column("path").to_pylist():
+            uri = f"file://{name.removeprefix('file:')}" if name.startswith("file:/") else name
+            try:
+                system, inner = pafs.FileSystem.from_uri(quote(uri, safe=":/"))
+                with system.open_input_stream(inner) as f:
+                    content = f.read()
+            except OSError:
+                continue
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], names=["path", "content"])
 
 
 #: Endings of the files that a review of changes looks at.

@@ -92,7 +92,12 @@ def test_readers(spark, tmp_path):
     (tmp_path / "bad.py").write_bytes(b"\xff\xfe")
     (tmp_path / "list.json").write_text(json.dumps([{"filename": "a.py", "code": "pass"}]))
     (tmp_path / "no.json").write_text('{"filename": "a.py"}')
-    assert [tuple(r) for r in readers.read_directory(spark, str(tmp_path), [".py"]).collect()] == [("pkg/__init__.py", "x = 1\n")]
+    for name, content in {"pkg/a.PY": b"upper", "pkg/deep/x y%20.py": "é = '😀'\n".encode(), ".hidden/b.py": b"z", "_c.py": b"", "pkg/.d.py": b"\xc3(", "pkg/deep/e.pyc": b"1"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    got = {tuple(r) for r in readers.read_directory(spark, str(tmp_path), [".py"]).collect()}
+    assert got == {("pkg/__init__.py", "x = 1\n"), ("pkg/deep/x y%20.py", "é = '😀'\n"), (".hidden/b.py", "z"), ("_c.py", "")}
+    assert {r["filename"] for r in readers.read_directory(spark, f"file://{tmp_path}/").collect()} == {x for x, _ in got} | {"pkg/a.PY", "pkg/deep/e.pyc", "list.json", "no.json"}
     assert [tuple(r) for r in readers.read_json(spark, str(tmp_path / "list.json")).collect()] == [("a.py", "pass")]
     with pytest.raises(Exception, match="JSON list"):
         readers.read_json(spark, str(tmp_path / "no.json")).collect()
@@ -106,3 +111,41 @@ def test_stream_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.sql("select * from counts").collect()] == [("python", "SUPPORTED", 3)]
+
+
+def test_stages_are_observed(spark):
+    from codelode.plans import observed
+
+    files = readers.samples(spark).withColumn("file_id", F.monotonically_increasing_id()).repartition(2)
+    stages = observed.Stages()
+    rows = review.whole_reviews(files, watch=stages).collect()
+    plain = review.whole_reviews(files).collect()
+    assert sorted(rows, key=str) == sorted(plain, key=str)
+    good = sum(r["style_status"] == "SUCCESS" for r in rows)
+    counts = stages.rows()
+    assert counts == {"language_detection": len(rows), "security_analysis": good, "style_analysis": good, "vulnerability_prediction": counts["vulnerability_prediction"], "final_decision": len(rows)}
+    assert counts["vulnerability_prediction"] >= good > 0
+    times = stages.times(spark).collect()
+    assert [r["stage"] for r in times] == list(counts) and all(r["millis"] > 0 and r["began"] is not None for r in times)
+
+
+def test_plain_scanner_output(spark):
+    said = "x\nError: eval is evil\nwarning eval\nERROR no-EVAL"
+    runs = spark.createDataFrame([(1, "javascript", "eslint", 1, said, ""), (2, "javascript", "eslint", 1, "all fine", ""), (3, "javascript", "eslint", 2, said, ""), (4, "javascript", "eslint", 0, "[]", "")], "file_id long, language string, tool string, exit_code int, stdout string, stderr string")
+    got = [(r["file_id"], r["line"], r["severity"], r["confidence"], r["rule_id"], r["description"], r["category"]) for r in scan.tool_findings(runs).collect()]
+    assert got == [(1, 1, "CRITICAL", "MEDIUM", "no-eval", "eval() usage detected", "Code Injection")] * 2
+
+
+def test_summary_maps(spark):
+    found = spark.createDataFrame([(1, "HIGH", "A"), (1, "HIGH", "B"), (1, "LOW", "A")], "file_id long, severity string, category string")
+    rows = {r["file_id"]: (r["total_findings"], r["by_severity"], r["by_category"]) for r in scan.summary_maps(spark.range(1, 3).withColumnRenamed("id", "file_id"), found).collect()}
+    assert rows == {1: (3, {"HIGH": 2, "LOW": 1}, {"A": 2, "B": 1}), 2: (0, {}, {})}
+
+
+def test_renamed_files_pair_up_by_content(spark):
+    from codelode.operators import snapshots
+
+    before = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1"), ("same", "x"), ("d", "2"), ("n", None)], "filename string, code string")
+    after = spark.createDataFrame([("y", "1"), ("z", "1"), ("same", "x"), ("d", "3"), ("e", "9"), ("m", None)], "filename string, code string")
+    assert {tuple(r) for r in snapshots.changes(before, after).collect()} == {("y", "a", "renamed"), ("z", "b", "renamed"), ("c", None, "removed"), ("d", None, "changed"), ("e", None, "added"), ("m", "n", "renamed")}
+    assert snapshots.changes(after, after).count() == 0 and snapshots.changes(before.limit(0), after.limit(0)).count() == 0
