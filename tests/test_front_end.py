@@ -154,3 +154,20 @@ def test_small_expressions(spark):
     assert one.select(ladders.title(F.lit("lines_of_code"))).first()[0] == "Lines Of Code"
     assert one.select(ladders.softmax(F.array(F.lit(1000.0), F.lit(1000.0)))).first()[0] == [0.5, 0.5]
     assert len(dims.ALL_NODE_TYPES) == 24 and len(set(dims.ALL_NODE_TYPES)) == 24
+
+
+def test_encodings_and_the_best_fit(spark):
+    from codelode.operators import training
+
+    texts = spark.createDataFrame([(1, "The cat, the DOG"), (2, None), (3, "dog " * 300), (3, "cat unseen"), (4, "")], "id long, text string")
+    known = training.vocabulary(texts.filter("id < 4"), 8)
+    words = {r["token"]: r["id"] for r in known.collect()}
+    assert words == {"dog": 4, "cat": 5, "the": 6, ",": 7}
+    rows = [(r["id"], r["input_ids"], r["attention_mask"]) for r in training.encoded(texts, known, 8).collect()]
+    assert sorted(rows) == sorted([(1, [2, 6, 5, 7, 6, 4, 3, 0], [1] * 7 + [0]), (2, [2, 3] + [0] * 6, [1, 1] + [0] * 6), (3, [2] + [4] * 6 + [3], [1] * 8), (3, [2, 5, 1, 3, 0, 0, 0, 0], [1] * 4 + [0] * 4), (4, [2, 3] + [0] * 6, [1, 1] + [0] * 6)])
+    made = spark.createDataFrame([(f"word{i % 6} thing", float((i % 6 < 2) != (i % 11 == 0)), i) for i in range(300)], "text string, label double, i long")
+    model, best, every = training.best_fit(made.filter("i < 200"), made.filter("i >= 200"))
+    said = model.transform(made.filter("i >= 200")).collect()
+    tp = sum(r["label"] == 1 and r["prediction"] == 1 for r in said)
+    wrong = sum(r["label"] != r["prediction"] for r in said)
+    assert best["f1"] == max(e["f1"] for e in every) == round(2 * tp / (2 * tp + wrong), 6) and min(e["f1"] for e in every) < best["f1"] < 1
