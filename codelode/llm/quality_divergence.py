@@ -48,6 +48,10 @@ class DivergenceParams:
     #: References are a small dimension that every task holds; more languages than this are an error.
     max_languages: int = 10_000
 
+    def __post_init__(self):
+        if not 1 <= self.common_words <= _MOST // 2:
+            raise ValueError(f"common_words is to be from 1 to {_MOST // 2}: each common word needs a mark of its own")
+
 
 def _plain(text: Column) -> Column:
     """The text with all white space as spaces and none at its ends."""
@@ -135,7 +139,7 @@ def common_words(docs: DataFrame, params: DivergenceParams = DivergenceParams())
     if words.select("lang").distinct().count() > params.max_languages:
         raise ValueError(f"more than {params.max_languages} languages")
     every = words.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(_ALL).alias("lang"), "word", "n")
-    top, k = words.filter("lang is not null").unionByName(every), min(params.common_words, _MOST // 2)
+    top, k = words.filter("lang is not null").unionByName(every), params.common_words
     # a power of two that at least k words of the language reach (1 where it has fewer): only those words are ranked
     sizes = top.groupBy("lang", F.floor(F.log2("n")).alias("level")).agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("n", F.sum("n").over(W.partitionBy("lang").orderBy(F.desc("level"))))

@@ -276,3 +276,12 @@ def test_secrets_and_quality_with_extra_columns_of_any_name(spark, clashing):
     assert secret_scan.secret_scan(docs).count() == 4 and quality.quality_divergence(docs).count() == 4
     out = quality.fit_and_judge(docs, keep=True).select("row.*")
     assert out.columns == docs.columns and out.exceptAll(docs).count() == 0
+
+
+def test_more_common_words_than_marks_are_an_error():
+    from codelode.llm.quality_divergence import DivergenceParams
+
+    assert DivergenceParams(common_words=40).common_words == 40
+    for n in (0, 41, 100):
+        with pytest.raises(ValueError, match="common_words"):
+            DivergenceParams(common_words=n)
