@@ -3,8 +3,9 @@
 A toxic and an ordinary model over character 4-grams have their own counts at the top order and back off to continuation
 counts of both classes together, so a gram that one class never showed is judged by what both share. The evidence of a
 word is its log-likelihood ratio. A text is described by its ratio per character, the highest ratio per character of any
-8 words in a row (insults are few among many words), and the share of clearly toxic words; a logistic regression fitted
-on training rows that the models did not see turns that into a probability.
+8 words in a row (insults are few among many words), the highest ratio of a single word, taken as 12 nats at most (beyond
+that a word is as clear as it can be), and the share of clearly toxic words; a logistic regression fitted on training rows
+that the models did not see turns these four into a probability.
 
 Defined results: null texts, empty texts and texts without letters have no evidence and get the score of the prior;
 rows with a null doc_id are scored, not learned from; several labels of one doc_id count as toxic if any is; without
