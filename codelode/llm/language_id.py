@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .char_grams import Counter, KneserNey, U, gram_runs, lookup
-from .common import table
+from .common import materialized, table
 
 
 @dataclass(frozen=True)
@@ -33,6 +33,9 @@ class LanguageParams:
     #: Bound of the table of all grams' bits in all languages; a larger one is not made, and each text's bits are then taken
     #: from the models themselves: the same figures at more time.
     table_bytes: int = 256 << 20
+    #: Grams (of all languages together) up to which models are made; more are an error before any goes to the driver. A gram
+    #: takes about 60 bytes there and in every executor.
+    max_grams: int = 100_000_000
 
 
 class LanguageModels:
@@ -113,7 +116,10 @@ def count_grams(rows: DataFrame) -> DataFrame:
 
 def fit(rows: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModels:
     """Models of the languages of rows (text, lang), of all grams of all of them."""
-    counts = count_grams(rows.select(F.col("lang").alias("kind"), "text"))
+    counts = materialized(count_grams(rows.select(F.col("lang").alias("kind"), "text")))
+    n_grams = counts.count()
+    if n_grams > params.max_grams:
+        raise ValueError(f"{n_grams} grams; models hold {params.max_grams} at most (LanguageParams.max_grams)")
     got = counts.toArrow()
     kinds = got.column("kind").combine_chunks().dictionary_encode()
     number, gram, n = kinds.indices.to_numpy(), got.column("gram").to_numpy().view(U), got.column("n").to_numpy()

@@ -38,6 +38,8 @@ from .wordcodes import U, batch_words, mix, shingle_set, text_batches
 VALUES, CHUNK = 64, 4
 #: Places to which one row of a plan is sent at most; more places take more rows.
 FAN = 1024
+#: A key with more than two in so many of all entries is not dealt out by its value; entries of a run that is counted at once.
+HOT, _RUN = 1000, 256_000
 _RNG = np.random.default_rng(7)
 _XOR = _RNG.integers(0, 2**64, VALUES, dtype=U)[:, None]
 _MUL = (_RNG.integers(0, 2**64, VALUES, dtype=U) | U(1))[:, None]
@@ -233,10 +235,41 @@ def hamming_stars(reps: DataFrame, params: NearParams) -> DataFrame:
                 right.append(doc[r[close] + k])
             yield _links_and_loose(np.concatenate(left), np.concatenate(right), _column(t, "grp"), doc, _pivots(t))
 
-    entries = reps.select("doc", "signature").mapInArrow(keys, "grp bigint, doc bigint").repartition("grp")
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys that hold more than one in HOT entries of a run of texts, with their number there."""
+
+        def out() -> Iterator[pa.RecordBatch]:
+            values, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n * HOT >= n.sum()
+            yield pa.RecordBatch.from_arrays([pa.array(values[often]), pa.array(n[often])], names=["grp", "n"])
+
+        held, size = [], 0
+        for batch in keys(batches):
+            held.append(batch.column("grp").to_numpy())
+            size += batch.num_rows
+            if size >= _RUN:
+                yield from out()
+                held, size = [], 0
+        if size:
+            yield from out()
+
+    sketched = reps.select("doc", "signature")
+    entries = sketched.mapInArrow(keys, "grp bigint, doc bigint")
+    # a key with two in HOT of all entries has one in HOT of them in the runs where it is frequent; at most HOT keys have that
+    total = sketched.count() * VALUES
+    hot = materialized(sketched.mapInArrow(frequent, "grp bigint, n bigint").groupBy("grp").agg(F.sum("n").alias("n")).filter(F.col("n") * HOT >= total).select("grp"))
     blocks = F.ceil(F.count("*") / F.lit(params.block)).cast("int")
-    shared = entries.groupBy("grp").agg(F.count("*").alias("n"), blocks.alias("blocks"), F.min("doc").alias("pivot")).filter("n > 1")
-    members = stored(entries.join(shared, "grp").join(reps.select("doc", "signature"), "doc").select("grp", "doc", "blocks", "pivot", "signature"), "members")
+    sums = [F.count("*").alias("n"), blocks.alias("blocks"), F.min("doc").alias("pivot")]
+    rest = entries
+    if not hot.isEmpty():
+        rest = entries.join(F.broadcast(hot), "grp", "left_anti")
+    dealt = rest.repartition("grp")
+    kept = dealt.join(dealt.groupBy("grp").agg(*sums).filter("n > 1"), "grp")
+    if not hot.isEmpty():
+        # entries of frequent keys stay where they are; each task sums its own before they meet
+        of_hot = entries.join(F.broadcast(hot), "grp")
+        kept = kept.unionByName(of_hot.join(F.broadcast(of_hot.groupBy("grp").agg(*sums).filter("n > 1")), "grp"))
+    members = stored(kept.join(sketched, "doc").select("grp", "doc", "blocks", "pivot", "signature"), "members")
     return _spanned(members, blocks, lambda placed: placed, compare, params)
 
 

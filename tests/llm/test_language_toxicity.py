@@ -161,3 +161,10 @@ def test_extra_columns_of_any_name(spark, clashing):
     docs = clashing.withColumns({"kind": F.lit("k"), "gram": F.lit(1), "toxic": F.lit(9), "f0": F.lit(0)})
     assert language_id.predict(docs, language_id.fit(docs)).count() == 4
     assert toxicity.score_texts(docs, toxicity.fit(docs, labels)).count() == 4
+
+
+def test_more_grams_than_models_hold_are_an_error(spark, small):
+    from codelode.llm import language_id
+
+    with pytest.raises(ValueError, match="max_grams"):
+        language_id.fit(small.filter("lang is not null"), language_id.LanguageParams(max_grams=1000))

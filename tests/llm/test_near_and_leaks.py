@@ -245,3 +245,26 @@ def test_repeated_lines_go_whole(spark):
     # one text alone has nothing to lose, whatever its edges
     alone = spark.createDataFrame([(1, "- one two three four five six seven. -\n\n(eight nine ten eleven twelve thirteen.)")], "doc_id long, text string")
     assert substring_dedup.duplicate_units(alone).count() == 0
+
+
+def test_one_chunk_key_in_most_sets(spark):
+    """A key that 20,000 unlike texts share stays where its entries are: no task gets them all before blocks are made."""
+    import numpy as np
+    from codelode.llm.near_duplicates import NearParams, VALUES, hamming_stars
+
+    n = 20_000
+    rng = np.random.default_rng(1)
+    sig = rng.integers(0, 1 << 16, (n, VALUES), dtype=np.uint16)
+    sig[:, :3] = 7
+    sig[n - 1] = sig[0]
+    sig[n - 1, 10:30] += 1
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        reps = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sig)], "doc long, signature binary").repartition(8)
+        found = hamming_stars(reps, NearParams(block=2048)).filter("a is not null and b is not null").select("a", "b").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(min(r), max(r)) for r in map(tuple, found)} == {(0, n - 1)}
