@@ -186,11 +186,52 @@ def test_extra_columns_of_any_name_here(spark, clashing):
     assert out.columns == [*docs.columns, "removed"] and out.filter("doc_id >= 10").filter("trim(text) <> ''").count() == 0
 
 
-def test_blocks_of_items_give_the_same(spark, small):
-    benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
-    one = decontamination.leaks(small, benchmark)
-    many = decontamination.leaks(small, benchmark, decontamination.LeakParams(block_chars=2000))
-    assert sorted(map(tuple, one.select("doc_id", "item_id").collect())) == sorted(map(tuple, many.select("doc_id", "item_id").collect()))
+def test_a_benchmark_beyond_a_block_reads_documents_once(spark, small):
+    """Ten blocks' worth of items, short ones among them: the same rows, and every document goes to Python once."""
+    benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text")
+    benchmark = benchmark.unionByName(spark.createDataFrame([(900, "zebra"), (901, "Nothing? Nothing!"), (902, ""), (None, "one two three four five six")], "item_id long, text string"))
+    more = spark.createDataFrame([(5000, "a zebra, and one more zebra; one two three four five six"), (5000, "nothing nothing"), (None, "Zebra."), (5001, None), (5002, "")], "doc_id long, text string")
+    docs = small.select("doc_id", "text").unionByName(more)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    seen = docs.mapInArrow(counted, docs.schema)
+    many = decontamination.leaks(seen, benchmark, decontamination.LeakParams(block_chars=1000))
+    got = sorted(map(tuple, many.collect()), key=repr)
+    assert read.value == docs.count()
+    assert got == sorted(map(tuple, decontamination.leaks(docs, benchmark).collect()), key=repr) and len(got) > 6
+
+
+def test_seeds_are_the_rarest_that_occur():
+    rng = np.random.default_rng(4)
+    n_items, n = 40, 600
+    item, counts = np.sort(rng.integers(0, n_items, n)), rng.integers(0, 5, n)
+    gram = rng.integers(0, 1 << 60, n).astype(np.uint64)
+    places = np.bincount(item, minlength=n_items) + rng.integers(0, 4, n_items)
+    keep = decontamination.rarest(item, gram, counts, places, 0.6)
+    for i in range(n_items):
+        own = np.flatnonzero(item == i)
+        there = [k for k in own if counts[k] > 0]
+        kept, left = counts[[k for k in own if keep[k]]], counts[[k for k in there if not keep[k]]]
+        assert not keep[[k for k in own if counts[k] == 0]].any()
+        assert len(kept) == min(len(there), int(np.ceil(places[i] * 0.6)))
+        assert not len(kept) or not len(left) or kept.max() <= left.min()
+
+
+def test_common_phrases_are_no_seeds(spark):
+    """What many texts share is left out while an item has rarer sequences, and an edited copy is found all the same."""
+    own = [f"w{k}" for k in range(20)]
+    item = "which of the following is true about the " + " ".join(own)
+    docs = [(k, f"which of the following is true about the thing{k}") for k in range(50)] + [(99, "x " + " ".join(w if k % 7 else "y" for k, w in enumerate(own)) + " which of")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    index = decontamination.ItemIndex([(1, item)], 3)
+    index.keep_rare(decontamination._counted(df, index, 3), 0.6)
+    assert len(index.gram) > 5 and index.place.min() > 5
+    assert [r["doc_id"] for r in decontamination.leaks(df, spark.createDataFrame([(1, item)], "item_id long, text string"), decontamination.LeakParams(min_score=0.4)).collect()] == [99]
 
 
 def test_odd_leaks(spark, odd, empty):
