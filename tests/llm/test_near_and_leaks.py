@@ -229,9 +229,9 @@ def test_common_phrases_are_no_seeds(spark):
     docs = [(k, f"which of the following is true about the thing{k}") for k in range(50)] + [(99, "x " + " ".join(w if k % 7 else "y" for k, w in enumerate(own)) + " which of")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     index = decontamination.ItemIndex([(1, item)], 3)
-    index.keep_rare(decontamination._counted(df, index, 3), 0.6)
+    index.keep_rare(decontamination._counted(df, index, 3), 0.4)
     assert len(index.gram) > 5 and index.place.min() > 5
-    assert [r["doc_id"] for r in decontamination.leaks(df, spark.createDataFrame([(1, item)], "item_id long, text string"), decontamination.LeakParams(min_score=0.4)).collect()] == [99]
+    assert [r["doc_id"] for r in decontamination.leaks(df, spark.createDataFrame([(1, item)], "item_id long, text string"), decontamination.LeakParams(min_score=0.4, rare_share=0.4)).collect()] == [99]
 
 
 def test_odd_leaks(spark, odd, empty):
