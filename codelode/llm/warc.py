@@ -29,11 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialized, staging_path, stored, table
+from .common import materialized, staging_path, stored, table
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MAGIC = b"\x1f\x8b\x08"
 _READ = 1 << 16
+HOT = 1000
 _MANIFEST = "path string, bytes bigint, records bigint"
 RECORDS = (
     "path string, start bigint, end bigint, gap string, page_id bigint, url string, record_type string, refers_to bigint, "
@@ -50,6 +51,8 @@ class WarcParams:
     level: int = 4
     #: Repeated payloads (digest and id each) up to which they are broadcast.
     broadcast_rows: int = 500_000
+    #: Bytes of archives that a reading task takes, where there are more than the cluster has cores.
+    read_bytes: int = 256 << 20
 
 
 def _digest(payload: bytes) -> str:
@@ -228,6 +231,18 @@ class SalvageReader:
             yield {"start": gap, "end": self.size, "gap": why}
 
 
+def _with_first(rows: DataFrame, repeated: DataFrame, params: WarcParams) -> DataFrame:
+    """rows with first: the page whose payload theirs repeats, or null. Pages of a payload that many repeat stay where they are."""
+    if repeated.limit(params.broadcast_rows + 1).count() <= params.broadcast_rows:
+        return rows.join(F.broadcast(repeated.drop("n")), "sha", "left")
+    total = repeated.agg(F.sum("n")).first()[0]
+    # at most HOT payloads hold more than one in HOT of the repeated pages
+    often = F.col("n") * HOT > total
+    hot = F.broadcast(repeated.filter(often).drop("n"))
+    rest = rows.join(hot.select("sha"), "sha", "left_anti").join(repeated.filter(~often).drop("n"), "sha", "left")
+    return rows.join(hot, "sha").unionByName(rest)
+
+
 def write_archives(pages: DataFrame, folder: str, params: WarcParams = WarcParams()) -> DataFrame:
     """Writes pages (page_id, url, html) and returns the manifest: path, bytes and records of each finished archive.
 
@@ -238,8 +253,8 @@ def write_archives(pages: DataFrame, folder: str, params: WarcParams = WarcParam
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
     equal = rows.filter(F.octet_length("html") >= params.min_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    repeated = materialized(equal.filter("n > 1").select("sha", "first"))
-    judged = rows.join(broadcast_if_small(repeated, params.broadcast_rows), "sha", "left")
+    repeated = materialized(equal.filter("n > 1").select("sha", "first", "n"))
+    judged = _with_first(rows, repeated, params)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("html") >= params.min_bytes)
     judged = judged.select("page_id", "url", "html", "first", revisit.alias("revisit"))
 
@@ -268,8 +283,11 @@ def write_archives(pages: DataFrame, folder: str, params: WarcParams = WarcParam
     return materialized(judged.mapInArrow(run, _MANIFEST))
 
 
-def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
-    """Records and gaps of the archives (path, bytes); gap says why bytes are quarantined and is null for records."""
+def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True, params: WarcParams = WarcParams()) -> DataFrame:
+    """Records and gaps of the archives (path, bytes); gap says why bytes are quarantined and is null for records.
+
+    Archives are dealt out in turn, several to a task: they are of much the same size, so tasks are too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
@@ -287,8 +305,9 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema)
 
-    archives = max(1, manifest.count())
-    return manifest.select("path").repartition(archives).mapInArrow(run, RECORDS)
+    archives, size = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(-(-size // params.read_bytes), manifest.sparkSession.sparkContext.defaultParallelism)
+    return manifest.select("path").repartition(max(1, min(archives, tasks))).mapInArrow(run, RECORDS)
 
 
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,3 +165,18 @@ def test_round_trip_query_equals_its_sql(spark):
     cols = sorted(got.columns)
     want = con.sql(warc.OP5_SQL).select(", ".join(cols)).fetchall()
     assert sorted(map(str, (tuple(r[c] for c in cols) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_a_payload_that_many_repeat(spark, tmp_path):
+    """Beyond the broadcast's bound the commonest payloads stay where they are; the records are the same, and names do not clash."""
+    rows = [(i, f"u{i}", "error page" if i % 2 else f"page {i // 6}", 1, "s", b"") for i in range(600)] + [(None, "x", "error page", 1, "s", b""), (7, "again", "error page", 1, "s", b"")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n long, sha string, payload binary").repartition(6)
+    found = []
+    for k, params in enumerate((warc.WarcParams(), warc.WarcParams(broadcast_rows=1, archive_bytes=2000))):
+        folder = f"file://{tmp_path}/{k}"
+        manifest = warc.write_archives(pages, folder, params)
+        read = warc.read_archives(manifest, folder, params=params)
+        assert read.rdd.getNumPartitions() <= max(1, min(manifest.count(), spark.sparkContext.defaultParallelism))
+        found.append(sorted(map(tuple, read.select("page_id", "record_type", "refers_to", "payload_digest").collect()), key=repr))
+    assert found[0] == found[1] and len(found[0]) == 602
+    assert sum(r[1] == "revisit" and r[2] == 1 for r in found[0]) == 301
