@@ -1,16 +1,19 @@
 """PII: detection and keyed surrogates.
 
-Entities are e-mail addresses, telephone numbers, payment card numbers, IPv4 addresses, US social security numbers and
-names after a form of address. Each value is replaced by one of the same kind and format, by a keyed permutation of all
+Entities are e-mail addresses, IPv4 and IPv6 addresses, account numbers (IBAN, by their check digits), payment card numbers,
+US social security numbers, telephone numbers, and names after a form of address. A name's given and family part have
+surrogates of their own, so `Mr John Smith`, `Mr J Smith` and `Mr Smith` keep one family name; where a text has named
+somebody so, the full name, and its parts of three letters or more, are replaced wherever else they stand in it, without a
+form of address too. Each value is replaced by one of the same kind and format, by a keyed permutation of all
 values of that format: digits stay digits, letters stay letters of the same script and case, punctuation stays. Card
-numbers keep length and first digit and get a valid check digit if they had one, addresses stay addresses, telephone
-numbers keep their country code, names get names of the same gender and script. Equal values (whatever their letter
-case) get equal surrogates in all documents.
+numbers keep length and first digit and get a valid check digit if they had one, account numbers keep country and shape and
+get valid check digits, addresses stay addresses, telephone numbers keep their country code, names get names of the same
+gender and script, initials get initials. Equal values (whatever their letter case) get equal surrogates in all documents.
 
 A permutation never maps two values of a format to one, so distinct values stay distinct. What it can do is hit a value
 that someone in the corpus has: a check over all detected values finds those, and they are permuted again under the next
 number until none is left; a corpus in which that does not settle is an error. Names come from lists and can meet; the
-same check finds them, and their family names get keyed syllables, more with every try. So do the e-mail addresses that
+same check finds them, for given and family names by themselves, and they get keyed syllables, more with every try. So do the e-mail addresses that
 find no free surrogate of their own length.
 
 The key is the caller's secret: whoever has it can undo the permutations. The query and the pipeline take it from the
@@ -26,9 +29,11 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,14 +43,21 @@ from pyspark.sql import types as T
 from .common import materialized, table
 
 #: Kinds in order of precedence.
+_UPPER = r"[^\W\d_a-zà-ÿа-яё]"
+_WORD = rf"{_UPPER}(?:[^\W\d_]|['’-](?={_UPPER}))+"
+_INITIAL = rf"{_UPPER}\.?"
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
+    "ip6": r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{3,4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,5}(?![0-9])",
-    "name": r"\b(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora|[Гг]осподин|[Гг]оспожа|г-н|г-жа)\.?\x20[^\W\d_a-zà-ÿа-яё][^\W\d_]+(?:\x20[^\W\d_a-zà-ÿа-яё][^\W\d_]+)?",
+    "name": r"\b(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora|[Гг]осподин|[Гг]оспожа|г-н|г-жа)\.?\x20(?:" + rf"{_INITIAL}\x20){{0,2}}{_WORD}(?:\x20(?:{_INITIAL}\x20)?{_WORD})?",
 }
+#: Kinds of the parts of a name.
+PARTS = ("family", "given", "initial")
 #: Forms of address by gender, and given and family names for surrogates by gender and script.
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа", "госпожа", "г-жа"]
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Господин", "господин", "г-н"]
@@ -64,8 +76,11 @@ FAMILY = {
 #: Consonants and vowels of the syllables that keep surrogates apart, by script.
 SYLLABLES = {"latin": ("bcdfghjklmnpqrstvwxz", "aeiou"), "cyrillic": ("бвгджзклмнпрстфхцчшщ", "аеиоу")}
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
+#: The kinds whose matches need no further test; characters beyond a match that looks like another kind in which theirs end.
+_PLAIN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items() if k not in ("ip6", "iban")))
+_REACH = 400
 #: A text without any of these has no entity; checked before a text leaves the JVM.
-_ANY = r"@|[0-9]{3}|\+[0-9]{1,3}[ .-]?[0-9]|[0-9]\.[0-9]+\.[0-9]|(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora|осподин|оспожа|г-н|г-жа)\.?\x20"
+_ANY = r"@|[0-9]{3}|[A-Z]{2}[0-9]{2}|[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:|::[0-9A-Fa-f]|\+[0-9]{1,3}[ .-]?[0-9]|[0-9]\.[0-9]+\.[0-9]|(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora|осподин|оспожа|г-н|г-жа)\.?\x20"
 
 
 #: For tests and checks only.
@@ -80,9 +95,95 @@ class PiiParams:
     max_tries: int = 20
 
 
+def _valid(kind: str, value: str) -> bool:
+    """Whether a match is what it looks like, where that can be told."""
+    if kind == "ip6":
+        try:
+            return bool(ipaddress.IPv6Address(value)) and any(c.isdigit() for c in value)
+        except ValueError:
+            return False
+    return kind != "iban" or _iban_rest(canonical(kind, value)) == 1
+
+
+def _iban_rest(value: str) -> int:
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
+
+
+def _gender(title: str) -> str:
+    return "female" if title in FEMALE else "male" if title in MALE else "either"
+
+
+def _script(word: str) -> str:
+    return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "latin"
+
+
+def _name_parts(text: str, start: int) -> list[tuple[int, int, str, str]]:
+    """Start, end, kind (family, given or initial) and value of the words of a name with its form of address."""
+    title, *words = [(m.start() + start, m.end() + start, m.group()) for m in re.finditer(r"[^\x20]+", text)]
+    gender, out = _gender(title[2].rstrip(".")), []
+    for i, (a, b, word) in enumerate(words):
+        if len(word.rstrip(".")) == 1:
+            out.append((a, a + 1, "initial", word[0]))
+        elif i + 1 < len(words):
+            out.append((a, b, "given", f"{gender}|{word.lower()}"))
+        else:
+            out.append((a, b, "family", f"{_script(word)}|{word.lower()}"))
+    return out
+
+
+def _matches(text: str) -> Iterator[re.Match]:
+    """The entities' matches; where one is not what it looks like, what else begins in it."""
+    at = 0
+    while m := _FIND.search(text, at):
+        if not _valid(m.lastgroup, m.group()):
+            other = _PLAIN.search(text, m.start(), m.end() + _REACH)
+            if other is None or other.start() >= m.end():
+                at = m.end()
+                continue
+            m = other
+        yield m
+        at = m.end()
+
+
+def mentions(text: str) -> list[tuple[int, int, str, list[tuple[int, int, str, str]]]]:
+    """Start, end and kind of the entities of a text, each with the pieces to be replaced: start, end, kind and canonical value."""
+    found, names = [], {}
+    for m in _matches(text):
+        kind, value = m.lastgroup, m.group()
+        if kind == "name":
+            pieces = _name_parts(value, m.start())
+            whole = [(k, v, text[a:b]) for a, b, k, v in pieces if k != "initial"]
+            for k, v, word in whole:
+                names.setdefault(word, (k, v))
+        else:
+            pieces = [(m.start(), m.end(), kind, canonical(kind, value))]
+        found.append((m.start(), m.end(), kind, pieces))
+    known = sorted((w for w in names if len(w) >= 3), key=lambda w: (-len(w), w))
+    if known:
+        taken = iter([*found, (len(text) + 1, len(text) + 1, "", [])])
+        here, more = next(taken), []
+        for m in re.finditer(r"(?<![\w@.-])(?:" + "|".join(map(re.escape, known)) + r")(?![\w@-]|['’]\w\w)", text):
+            while here[1] <= m.start():
+                here = next(taken)
+            if m.end() > here[0]:
+                continue
+            piece = (m.start(), m.end(), *names[m.group()])
+            if more and text[more[-1][1] : m.start()] == " " and more[-1][3][-1][2] == "given":
+                more[-1] = (more[-1][0], m.end(), "name", [*more[-1][3], piece])
+            else:
+                more.append((m.start(), m.end(), "name", [piece]))
+        found = sorted([*found, *more])
+    return found
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of the entities of a text."""
-    return [(m.start(), m.end(), m.lastgroup) for m in _FIND.finditer(text)]
+    return [(a, b, k) for a, b, k, _ in mentions(text)]
+
+
+def values_of(text: str) -> set[tuple[str, str]]:
+    """Kind and canonical value of all that is to be replaced in a text."""
+    return {(k, v) for _, _, _, pieces in mentions(text) for _, _, k, v in pieces}
 
 
 def canonical(kind: str, value: str) -> str:
@@ -91,7 +192,14 @@ def canonical(kind: str, value: str) -> str:
         return value.lower()
     if kind in ("card", "ssn", "phone"):
         return re.sub(r"[ .()-]", "", value)
-    return " ".join(value.split()) if kind == "name" else value
+    if kind == "ip6":
+        return ipaddress.IPv6Address(value).compressed
+    return value.replace(" ", "") if kind == "iban" else value
+
+
+def plain(kind: str, value: str) -> str:
+    """A canonical value in the form of a canonical surrogate."""
+    return value.split("|")[-1] if kind in PARTS else value
 
 
 def _round(key: bytes, label: str, r: int, half: int, size: int) -> int:
@@ -186,16 +294,22 @@ def surrogate(key: bytes, kind: str, value: str, number: int = 0) -> str:
     if kind == "phone":
         code = re.match(r"\+\d{1,3}(?=\d{10}$)|\+\d{2}|", value).group()
         return code + _permute_format(key, label + "|" + code, value[len(code) :])
-    if kind == "name":
-        title, *names = value.split(" ")
-        bare = title.rstrip(".")
-        gender = "female" if bare in FEMALE else "male" if bare in MALE else "either"
-        script = "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in value) else "latin"
-        seed = int.from_bytes(hmac.new(key, f"{label}|{' '.join(names)}".encode(), hashlib.sha256).digest(), "big")
-        given, family = GIVEN[gender, script], FAMILY[script]
-        chosen = [given[seed % len(given)], family[seed // 1000 % len(family)]] if len(names) > 1 else [family[seed // 1000 % len(family)]]
+    if kind == "ip6":
+        return ipaddress.IPv6Address(permute(key, label, int(ipaddress.IPv6Address(value)), 2**128)).compressed
+    if kind == "iban":
+        body = _permute_format(key, f"{label}|{value[:2]}", value[4:].lower()).upper()
+        return f"{value[:2]}{98 - _iban_rest(f'{value[:2]}00{body}'):02d}{body}"
+    if kind == "initial":
+        letters = "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ" if _script(value) == "cyrillic" else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        x = letters.find(value)
+        return letters[permute(key, label, x if x >= 0 else ord(value) % len(letters), len(letters))]
+    if kind in PARTS:
+        group, word = value.split("|", 1)
+        script = group if kind == "family" else _script(word)
+        names = FAMILY[script] if kind == "family" else GIVEN[group, script]
+        seed = int.from_bytes(hmac.new(key, f"{label}|{value}".encode(), hashlib.sha256).digest(), "big")
         # lists are short: each try has 10,000 times the names of the one before
-        return " ".join([title, *chosen]) + _syllables(seed // 1_000_000, min(2 * number, 30), script)
+        return names[seed % len(names)].lower() + _syllables(seed // 1_000_000, min(2 * number, 30), script)
     return _permute_format(key, label, value)
 
 
@@ -204,6 +318,13 @@ def dressed(kind: str, value: str, made: str) -> str:
     if kind in ("card", "ssn", "phone"):
         fresh = iter(made.lstrip("+"))
         return "".join(next(fresh) if c.isdigit() else c for c in value)
+    if kind == "iban":
+        fresh = iter(made)
+        return "".join(c if c == " " else next(fresh) for c in value)
+    if kind == "ip6":
+        return made.upper() if value != value.lower() else made
+    if kind in ("family", "given"):
+        return made.upper() if value.isupper() else made.capitalize()
     if kind == "email" and value != value.lower():
         # a surrogate that grew is longer than the value only in its local part; the host keeps its letters' places
         at, to = value.rindex("@"), made.rindex("@")
@@ -217,16 +338,17 @@ def _candidate_text() -> Column:
 
 
 def distinct_values(docs: DataFrame, params: PiiParams) -> DataFrame:
-    """kind, value (canonical) of every entity of the corpus, once each, with its first surrogate."""
+    """kind, value (canonical) of all that is to be replaced in the corpus, once each, with what its surrogate may not be equal
+    to (own) and its first surrogate (made)."""
     key = params.key
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            seen = {(k, canonical(k, t[a:b])) for t in frame["text"] for a, b, k in entities(t)}
-            yield pd.DataFrame([(k, v, surrogate(key, k, v)) for k, v in sorted(seen)], columns=["kind", "value", "made"])
+            seen = {x for t in frame["text"] for x in values_of(t)}
+            yield pd.DataFrame([(k, v, plain(k, v), surrogate(key, k, v)) for k, v in sorted(seen)], columns=["kind", "value", "own", "made"])
 
     texts = docs.select(_candidate_text().alias("text")).filter("text is not null")
-    return texts.mapInPandas(run, "kind string, value string, made string").distinct()
+    return texts.mapInPandas(run, "kind string, value string, own string, made string").distinct()
 
 
 def exceptions(docs: DataFrame, params: PiiParams) -> DataFrame:
@@ -237,35 +359,38 @@ def exceptions(docs: DataFrame, params: PiiParams) -> DataFrame:
     def again(kind: pd.Series, value: pd.Series, number: pd.Series) -> pd.Series:
         return pd.Series([surrogate(key, k, v, n) for k, v, n in zip(kind, value, number)], dtype=object)
 
-    values = materialized(distinct_values(docs, params))
-    originals = values.select("kind", F.col("value").alias("made")).withColumn("taken", F.lit(True))
-    current, number = values.withColumn("number", F.lit(0)), 0
+    # an initial stands for many names and tells none apart
+    values = materialized(distinct_values(docs, params).filter("kind <> 'initial'"))
+    taken = values.select("kind", F.col("own").alias("made")).distinct()
+    # what is settled stays as it was written; each round looks at the values in dispute alone
+    settled, current, number = [], values.select("kind", "value", "made", F.lit(0).alias("number")), 0
     while True:
         # of several values with one surrogate the smallest keeps it
-        owners = current.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min("value").alias("owner"))
-        bad = owners.join(originals, ["kind", "made"], "left").filter(F.col("taken") | (F.col("n") > 1))
-        retry = current.join(bad, ["kind", "made"]).filter(F.col("taken") | (F.col("value") != F.col("owner"))).select("kind", "value")
-        retry = materialized(retry)
+        owners = current.groupBy("kind", "made").agg(F.min("value").alias("owner"))
+        owners = owners.join(taken, ["kind", "made"], "left_anti")
+        for piece in settled:
+            owners = owners.join(piece.select("kind", "made"), ["kind", "made"], "left_anti")
+        judged = current.join(owners, ["kind", "made"], "left").withColumn("good", F.coalesce(F.col("owner") == F.col("value"), F.lit(False))).drop("owner")
+        judged = materialized(judged)
+        settled.append(judged.filter("good").drop("good"))
+        retry = judged.filter("not good").select("kind", "value")
         if retry.isEmpty():
             break
         if number >= params.max_tries:
             raise RuntimeError(f"surrogates still collide after {number} tries: {retry.groupBy('kind').count().collect()}")
         number += 1
-        renewed = retry.withColumn("number", F.lit(number)).withColumn("made", again("kind", "value", "number"))
-        kept = current.join(retry, ["kind", "value"], "left_anti")
-        current = materialized(kept.select("kind", "value", "made", "number").unionByName(renewed.select("kind", "value", "made", "number")))
-    return current.filter("number > 0").select("kind", "value", "made")
+        current = materialized(retry.withColumn("number", F.lit(number)).withColumn("made", again("kind", "value", "number")))
+    return reduce(DataFrame.unionByName, settled).filter("number > 0").select("kind", "value", "made")
 
 
 def _replaced(text: str, key: bytes, special: dict[tuple[str, str], str]) -> tuple[str, list[dict]]:
     out, spans, done = [], [], 0
-    for a, b, kind in entities(text):
-        value = text[a:b]
-        plain = canonical(kind, value)
-        made = special.get((kind, plain)) or surrogate(key, kind, plain)
-        out += [text[done:a], dressed(kind, value, made)]
-        spans.append({"kind": kind, "start": a, "end": b})
-        done = b
+    for start, end, entity, pieces in mentions(text):
+        for a, b, kind, value in pieces:
+            made = special.get((kind, value)) or surrogate(key, kind, value)
+            out += [text[done:a], dressed(kind, text[a:b], made)]
+            done = b
+        spans.append({"kind": entity, "start": start, "end": end})
     return "".join([*out, text[done:]]), spans
 
 
@@ -304,7 +429,7 @@ def pseudonymized(docs: DataFrame, params: PiiParams, entities_column: str = "en
 
         @F.pandas_udf("array<struct<kind:string,value:string>>")
         def found(text: pd.Series) -> pd.Series:
-            return pd.Series([None if t is None else [{"kind": k, "value": v} for k, v in sorted({(k, canonical(k, t[a:b])) for a, b, k in entities(t)})] for t in text], dtype=object)
+            return pd.Series([None if t is None else [{"kind": k, "value": v} for k, v in sorted(values_of(t))] for t in text], dtype=object)
 
         rows = rows.withColumn("key", F.xxhash64("text"))
         each = rows.filter("text is not null").select("key", F.explode(found("text")).alias("e")).select("key", "e.kind", "e.value").distinct()

@@ -198,17 +198,77 @@ def test_cyrillic_names_get_cyrillic_names(spark):
 
 
 def test_odd_pii(spark, odd, empty):
-    assert pii.pseudonymized(odd, pii.PiiParams(KEY)).count() == odd.count() and pii.pseudonymized(empty, pii.PiiParams(KEY)).count() == 0
+    assert pii.pseudonymized(empty, pii.PiiParams(KEY)).count() == 0
+    more = odd.sparkSession.createDataFrame([(6, "+45 12 34 56 78 " * 20_000, "en", "s", 5), (1, "Mr Abc", None, None, None), (1, "Mr Abc", None, None, None)], odd.schema)
+    rows = pii.pseudonymized(odd.unionByName(more), pii.PiiParams(KEY)).collect()
+    assert len(rows) == odd.count() + 3
+    plain = sorted((r["doc_id"], r["text"]) for r in odd.collect() if r["text"] is not None and r["doc_id"] is not None)
+    assert sorted((r["doc_id"], r["text"]) for r in rows if not r["entities"] and r["text"] is not None and r["doc_id"] is not None) == plain
+    assert sorted((r["doc_id"], len(r["entities"])) for r in rows if r["entities"]) == [(1, 1), (1, 1), (6, 20_000)]
+    assert len({r["text"] for r in rows if r["doc_id"] == 1 and r["entities"]}) == 1 and len({r["text"] for r in rows if r["text"] is None}) == 1
+
+
+def test_coreference_of_parts_of_names(spark):
+    text = "Mr John Smith met Mr Smith and Mr J. Smith. Mary Jones left with John. Ms Mary Jones said Jones, Smith-like SMITH and Smithers. Mr John Smith's hat. Smith's and jones."
+    out = pii.pseudonymized(spark.createDataFrame([(1, text), (2, "Herr Smith and Frau Jones, not Smith@x or x.Smith")], "doc_id long, text string"), pii.PiiParams(KEY)).orderBy("doc_id").collect()
+    john, smith = re.match(r"Mr (\w+) (\w+) met", out[0]["text"]).groups()
+    mary, jones = re.search(r"Ms (\w+) (\w+) said", out[0]["text"]).groups()
+    initial = re.search(r"Mr (\w)\. ", out[0]["text"]).group(1)
+    assert out[0]["text"] == f"Mr {john} {smith} met Mr {smith} and Mr {initial}. {smith}. {mary} {jones} left with {john}. Ms {mary} {jones} said {jones}, Smith-like SMITH and Smithers. Mr {john} {smith}'s hat. {smith}'s and jones."
+    assert out[1]["text"] == f"Herr {smith} and Frau {jones}, not Smith@x or x.Smith"
+    assert len({john, smith, mary, jones, "John", "Smith", "Mary", "Jones"}) == 8 and john in pii.GIVEN["male", "latin"]
+    assert [text[e["start"] : e["end"]] for e in out[0]["entities"]][3:5] == ["Mary Jones", "John"]
+
+
+def test_account_numbers_and_addresses_keep_their_form(spark):
+    text = "pay GB82 WEST 1234 5698 7654 32 or DE89370400440532013000, not DE88370400440532013000; host 2001:DB8::1 at 12:34:56, ::1, std::dead::beef"
+    r = pii.pseudonymized(spark.createDataFrame([(1, text)], "doc_id long, text string"), pii.PiiParams(KEY)).first()
+    assert [e["kind"] for e in r["entities"]][:2] == ["iban", "iban"] and [e["kind"] for e in r["entities"]][-2:] == ["ip6", "ip6"]
+    one, two = re.search(r"pay (GB\d\d [A-Z]{4}(?: \d{4}){3} \d\d) or (DE\d{20}),", r["text"]).groups()
+    assert pii._iban_rest(one.replace(" ", "")) == pii._iban_rest(two) == 1 and "WEST" not in one
+    assert [k for _, _, k in pii.entities("ref AB12 4111 1111 1111 1111 and XY99 +1 (649) 555-1648 at 1:2:3")] == ["card", "phone"]
+    assert "12:34:56" in r["text"] and "std::dead::beef" in r["text"] and "2001:DB8::1" not in r["text"]
+
+
+def test_distinctness_and_coreference_by_brute_force(spark):
+    """Over generated documents: one surrogate for each value, one value for each surrogate, none that somebody has."""
+    import random
+
+    rng = random.Random(12)
+    givens, families = ["Ann", "Bob", "Cleo", "Dan"], [f"{a}{b}er" for a in "BCDFGKLM" for b in ("ak", "ol", "um")] + ["Keller", "Novak", "Berger"]
+    numbers = [f"+1 (649) 555-{n:04d}" for n in range(40)] + [f"10.0.{n}.1" for n in range(40)] + [f"u{n}@mail.org" for n in range(40)]
+    docs = []
+    for i in range(300):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            g, f = rng.choice(givens), rng.choice(families)
+            parts.append(rng.choice([f"Mr {g} {f}", f"Mr {f}", f"Ms {f}", rng.choice(numbers)]))
+        docs.append((i, " ; ".join(parts)))
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymized(spark.createDataFrame(docs, "doc_id long, text string"), pii.PiiParams(KEY)).collect()}
+    to, back = {}, {}
+    for i, text in docs:
+        was, now = text.split(" ; "), out[i].split(" ; ")
+        assert len(was) == len(now)
+        for a, b in zip(was, now):
+            pairs = [("number", a, b)]
+            if a[:2] in ("Mr", "Ms"):
+                assert a[:2] == b[:2] and len(a.split()) == len(b.split())
+                pairs = [("family" if k == len(a.split()) - 1 else "given", x, y) for k, (x, y) in enumerate(zip(a.split(), b.split())) if k]
+            for kind, x, y in pairs:
+                assert to.setdefault((kind, x), y) == y and back.setdefault((kind, y), x) == x
+    assert not {(k, y) for k, y in back} & {(k, x) for k, x in to} and len(to) > 100
 
 
 #: Matches of each alternative of each pattern, with as few digits in a row as it allows.
 SHORTEST = {
     "email": ["a@b.cd", "A.b+c@d-e.f.gh"],
     "ip": ["1.2.3.4", "255.10.0.99"],
+    "ip6": ["::1", "fe80::a:1", "2001:0DB8:0:0:0:0:0:1"],
+    "iban": ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"],
     "card": ["4111 1111 1111 1111", "378282246310005"],
     "ssn": ["078-05-1120"],
     "phone": ["(12) 345 6789", "123 456 7890", "+1 (64) 555 1648", "+45 12 34 56 78", "+49 30 12 34 56", "+33 12 34 56 78", "+45.12.34.56", "+1-23-45-67", "+12345678"],
-    "name": [f"{t} Xy" for t in (*pii.FEMALE, *pii.MALE, "Dr", "Dr.")],
+    "name": ["Mr J Smith", "Mr O'Neil", "Dr A. B. Keller", "Ms Jean Luc-Marie"] + [f"{t} Xy" for t in (*pii.FEMALE, *pii.MALE, "Dr", "Dr.")],
 }
 
 
