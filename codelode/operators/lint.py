@@ -136,59 +136,80 @@ def jshint_items(raw: Column) -> Column:
     return F.transform(flat, lambda m: _item(F.coalesce(m["line"], F.lit(1)), kind(m), F.coalesce(m["reason"], F.lit(""))))
 
 
-def javac_items(exit_code: Column, stderr: Column) -> Column:
-    """A failed compilation is its first line; a good one has its warnings."""
+def javac_failure(stderr: Column) -> Column:
+    """A failed compilation is its first line."""
     first = F.when(stderr == "", "Compilation failed").otherwise(F.substring_index(stderr, "\n", 1))
-    warned = _each(stderr, lambda x: F.when(F.contains(F.lower(x), F.lit("warning:")), _item(F.lit(1), F.lit("warning"), F.substring(ladders.stripped(x), 1, 200))))
-    return F.when(exit_code != 0, F.array(_item(F.lit(1), F.lit("error"), F.substring(first, 1, 200)))).otherwise(warned)
+    return F.array(_item(F.lit(1), F.lit("error"), F.substring(first, 1, 200)))
 
 
-def php_items(stderr: Column) -> Column:
-    at = lambda x: F.when(x.rlike(r"line \d+"), F.regexp_extract(x, r"line (\d+)", 1)).otherwise("1")
-    said = lambda x: F.trim(F.substring_index(x, "Parse error:", -1))
-    return _each(stderr, lambda x: F.when(F.contains(x, F.lit("Parse error:")), _item(at(x), F.lit("error"), said(x))))
+def javac_warning(x: Column) -> Column:
+    return F.when(F.contains(F.lower(x), F.lit("warning:")), _item(F.lit(1), F.lit("warning"), F.substring(ladders.stripped(x), 1, 200)))
 
 
-def ruby_items(stderr: Column) -> Column:
-    return _each(stderr, lambda x: F.when(x.rlike(r":\d+:"), _item(F.regexp_extract(x, r":(\d+):", 1), F.lit("error"), ladders.stripped(x))))
+def php_item(x: Column) -> Column:
+    place = F.when(x.rlike(r"line \d+"), F.regexp_extract(x, r"line (\d+)", 1)).otherwise("1")
+    return F.when(F.contains(x, F.lit("Parse error:")), _item(place, F.lit("error"), F.trim(F.substring_index(x, "Parse error:", -1))))
 
 
-def go_items(stderr: Column) -> Column:
+def ruby_item(x: Column) -> Column:
+    return F.when(x.rlike(r":\d+:"), _item(F.regexp_extract(x, r":(\d+):", 1), F.lit("error"), ladders.stripped(x)))
+
+
+def go_item(x: Column) -> Column:
     """file:line:message; what is unused is a warning."""
-    soft = lambda x: F.lower(x).rlike("warning|unused|not used")
-    said = lambda x: F.trim(F.get(F.split(x, ":", 3), F.lit(2)))
-    return _each(stderr, lambda x: F.when(x.rlike(r":\d+:"), _item(F.regexp_extract(x, r":(\d+):", 1), F.when(soft(x), "warning").otherwise("error"), said(x))))
+    kind = F.when(F.lower(x).rlike("warning|unused|not used"), "warning").otherwise("error")
+    return F.when(x.rlike(r":\d+:"), _item(F.regexp_extract(x, r":(\d+):", 1), kind, F.trim(F.get(F.split(x, ":", 3), F.lit(2)))))
 
 
 def tool_items(runs: DataFrame) -> DataFrame:
-    """file_id, tool, line, severity, message out of runs: file_id, tool, exit_code, stdout, stderr."""
+    """file_id, tool, line, severity, message out of runs: file_id, tool, exit_code, stdout, stderr.
+
+    Tools that print a line for each item are taken line by line, the others as a whole: two plans of moderate expressions.
+    """
     tool, out, err, code = F.col("tool"), F.col("stdout"), F.col("stderr"), F.col("exit_code")
-    plain = lambda parsed: F.when(parsed.isNotNull(), _item(parsed["line"], parsed["severity"], parsed["message"]))
-    found = (
-        F.when(tool == "pylint", _each(out, lambda x: plain(parse_pylint(x))))
-        .when(tool == "flake8", _each(out, lambda x: plain(parse_flake8(x))))
-        .when(tool == "eslint", eslint_items(out))
-        .when(tool == "jshint", jshint_items(out))
-        .when(tool == "javac", javac_items(code, err))
-        .when((tool == "php") & (code != 0), php_items(err))
-        .when((tool == "ruby") & (code != 0), ruby_items(err))
-        .when((tool == "gofmt") & (F.trim(out) != ""), F.array(_item(F.lit(1), F.lit("warning"), F.lit("Code not formatted with gofmt"))))
-        .when((tool == "go") & (code != 0), go_items(err))
-    )
     bad = None
     for name, codes in GOOD_EXITS.items():
         one = (tool == name) & ~code.isin(codes)
         bad = one if bad is None else bad | one
-    return runs.filter(~bad).select("file_id", "tool", F.explode(found).alias("i")).select("file_id", "tool", "i.line", "i.severity", "i.message")
+    good = runs.filter(~bad)
+    columns = ["file_id", "tool", "i.line", "i.severity", "i.message"]
+
+    by_line = tool.isin("pylint", "flake8") | ((tool == "javac") & (code == 0)) | (tool.isin("php", "ruby", "go") & (code != 0))
+    x = F.col("x")
+    each = good.filter(by_line).select("file_id", "tool", F.explode(F.split(F.when(tool.isin("pylint", "flake8"), out).otherwise(err), "\n")).alias("x"))
+    said = lambda parsed: F.when(parsed.isNotNull(), _item(parsed["line"], parsed["severity"], parsed["message"]))
+    item = (
+        F.when(tool == "pylint", said(parse_pylint(x)))
+        .when(tool == "flake8", said(parse_flake8(x)))
+        .when(tool == "javac", javac_warning(x))
+        .when(tool == "php", php_item(x))
+        .when(tool == "ruby", ruby_item(x))
+        .when(tool == "go", go_item(x))
+    )
+    lined = each.select("file_id", "tool", item.alias("i")).filter("i is not null").select(*columns)
+
+    found = (
+        F.when(tool == "eslint", eslint_items(out))
+        .when(tool == "jshint", jshint_items(out))
+        .when((tool == "javac") & (code != 0), javac_failure(err))
+        .when((tool == "gofmt") & (F.trim(out) != ""), F.array(_item(F.lit(1), F.lit("warning"), F.lit("Code not formatted with gofmt"))))
+    )
+    whole = good.filter(tool.isin("eslint", "jshint", "javac", "gofmt")).select("file_id", "tool", F.explode(found).alias("i")).select(*columns)
+    return lined.unionByName(whole)
 
 
 def listed(found: DataFrame) -> DataFrame:
     """The items a result lists: the first of each file and severity, by tool, line and message."""
+    return ranked(found).filter("listed").drop("listed")
+
+
+def ranked(found: DataFrame) -> DataFrame:
+    """Items with rank, their place in the file and severity by tool, line and message, and listed: whether a result lists it."""
     limit = None
     for kind, n in LISTED.items():
         limit = F.when(F.col("severity") == kind, n) if limit is None else limit.when(F.col("severity") == kind, n)
     place = W.partitionBy("file_id", "severity").orderBy("tool", "line", "message")
-    return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= limit)
+    return found.withColumn("rank", F.row_number().over(place)).withColumn("listed", F.col("rank") <= limit)
 
 
 def java_class_name(code: Column) -> Column:

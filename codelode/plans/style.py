@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims, ladders
 from ..operators import detect, lint
+from ..session import kept
 
 #: What a file that is not linted is told.
 NO_CODE, TOO_SHORT, UNDETECTED = "No code provided", "Code too short for analysis (minimum 5 characters)", "Could not detect programming language"
@@ -26,7 +27,8 @@ def style_results(files: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     Blank, very short and undetected code is an ERROR of score 0; a language that is not supported passes with a warning
     and score 80; the rest is linted.
     """
-    df = detect.detected(files).select("file_id", "filename", "code", "language", "confidence")
+    # detection is many expressions over the whole code: done once, and its result written
+    df = kept(detect.detected(files).select("file_id", "filename", "code", "language", "confidence"))
     bare = ladders.stripped(F.coalesce("code", F.lit("")))
     why = F.when(bare == "", NO_CODE).when(F.length(bare) < 5, TOO_SHORT).when(F.col("language").isNull(), UNDETECTED)
     df = df.withColumn("why", why).withColumn("linted", F.col("why").isNull() & F.col("language").isin(dims.LANGUAGES))
@@ -35,12 +37,16 @@ def style_results(files: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     lines = good.select("file_id", "language", F.posexplode(F.split("code", "\n", -1)).alias("pos", "text")).select("file_id", (F.col("pos") + 1).alias("line"), "language", "text")
     mine = runs.join(good.select("file_id"), "file_id", "left_semi") if runs is not None else None
     item = F.struct(F.col("line").cast("int").alias("line"), "message", "severity", "tool")
-    held = lint.listed(lint.items(lines, mine)).groupBy("file_id")
     kinds = {"errors": "error", "warnings": "warning", "info": "info"}
+    counts = {"n_errors": "error", "n_warnings": "warning", "n_infos": "info"}
     # at most LISTED items of each severity a file
-    lists = held.agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("severity") == k, F.struct("rank", item.alias("i"))))), lambda x: x["i"]).alias(c) for c, k in kinds.items()])
-    sums = lint.lint_results(lines, mine).withColumnsRenamed({"errors": "n_errors", "warnings": "n_warnings", "infos": "n_infos"})
-    out = df.join(sums, "file_id", "left").join(lint.lines_of_code(lines).select("file_id", "loc"), "file_id", "left").join(lists, "file_id", "left")
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("listed") & (F.col("severity") == k), F.struct("rank", item.alias("i"))))), lambda x: x["i"]).alias(c) for c, k in kinds.items()]
+    sums = lint.ranked(lint.items(lines, mine)).groupBy("file_id").agg(*lists, *[F.count_if(F.col("severity") == k).alias(c) for c, k in counts.items()])
+    out = df.join(lint.lines_of_code(lines).select("file_id", "loc"), "file_id", "left").join(sums, "file_id", "left")
+    n = [F.coalesce(c, F.lit(0)) for c in counts]
+    linted = F.col("linted")
+    scored = {"score": ladders.lint_score(*n), "passed": n[0] == 0, "complexity": n[0] + n[1]}
+    out = out.withColumns({c: F.when(linted, v) for c, v in scored.items()})
     none, failed, other = F.array().cast(_ITEMS), F.col("why").isNotNull(), F.col("why").isNull() & ~F.col("linted")
     tool = F.when(F.col("why") == UNDETECTED, _one(F.col("why"), "error", "detector")).otherwise(_one(F.col("why"), "error", "system"))
     return out.select(

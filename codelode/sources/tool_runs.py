@@ -52,10 +52,8 @@ def _exit(tool: Column, file_id: Column) -> Column:
 def tool_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 6 = 0").select("event_id", F.col("user_id").alias("file_id"))
     e, turn = F.col("event_id"), (F.col("event_id") / 6).cast("bigint") % 2
-    tools = F.when(F.lit(False), None)
-    for x, names in TOOLS.items():
-        tools = tools.when(F.col("language") == x, pick(names, turn))
-    df = events.withColumn("language", language_of(F.col("file_id"))).withColumn("tool", tools)
+    tools = spark.createDataFrame([(x, i, t) for x, names in TOOLS.items() for i, t in enumerate(names)], "language string, turn bigint, tool string")
+    df = events.withColumns({"language": language_of(F.col("file_id")), "turn": turn}).join(F.broadcast(tools), ["language", "turn"])
     df = df.withColumn("text", _text(F.col("tool"), e, e % 200 + 1))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "text"))), lambda x: x["text"])
     runs = df.groupBy("file_id", "language", "tool").agg(texts.alias("t"))
