@@ -50,6 +50,28 @@ def review_rows(spark, d):
     return df.withColumns({"recommendations": F.array_join("recommendations", "\n"), "confidence": F.round("confidence", 6)})
 
 
+_TEXT_SQL = f"""{ROWS_SQL}, told AS (SELECT file_id, count(*) AS n, count(*) FILTER (vulnerable) AS v, count(*) FILTER (vulnerable AND confidence >= 0.85) AS hc,
+  string_agg('    ' || k || '. Source: ' || source || chr(10) || '       Sink: ' || sink || chr(10) || '       Prediction: ' || CASE WHEN vulnerable THEN 'VULNERABLE' ELSE 'SAFE' END || chr(10) ||
+    '       Confidence: ' || printf('%.1f', confidence * 100) || '%' || chr(10) || '       High-confidence: ' || CASE WHEN confidence >= 0.85 THEN '✅' ELSE '❌' END, chr(10) ORDER BY k) AS t
+  FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY place) AS k FROM ({_PREDICTED % 'placed'})) GROUP BY file_id)"""
+_TEXT_SQL = _TEXT_SQL.replace("p AS (SELECT file_id, count(*) FILTER (vulnerable)", """placed AS (SELECT g.file_id, coalesce(d.sink, 'system_call') AS sink, 'user_input' AS source, coalesce(CASE WHEN contains(lower(d.sink), 'injection') THEN 'none' END, 'unknown') AS sanitization, coalesce(line * 1000 + ord, 0) AS place
+  FROM (SELECT file_id FROM gate WHERE ok) g LEFT JOIN (SELECT file_id, line, ord, """ + _CATEGORY + """ AS sink FROM dedup QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY line, ord) <= 2) d USING (file_id)),
+p AS (SELECT file_id, count(*) FILTER (vulnerable)""", 1)
+
+
+@query(
+    "review_text",
+    f"""WITH {_TEXT_SQL} SELECT w.file_id, concat_ws(chr(10), repeat('=', 80), '📋 FINAL ANALYSIS REPORT', repeat('=', 80), '', '🔤 Language: ' || language, '📁 File: ' || filename, '', '📋 STYLE ANALYSIS:', '  Score: ' || style_score || '/100',
+      '  Status: ' || CASE WHEN style_status = 'SUCCESS' THEN '✅ PASSED' ELSE '❌ FAILED' END, '', '🔒 SECURITY ANALYSIS:', '  Score: ' || security_score || '/100', '  Risk Level: ' || risk_level, '  Findings: ' || findings,
+      CASE WHEN t.n IS NOT NULL THEN concat_ws(chr(10), '', '🏗️ AUG-PDG ANALYSIS:', '  PDG Nodes: 0', '  PDG Edges: 0', '  Vulnerabilities: 0', '', '🤖 VULNERABILITY MODEL:', '  Status: RULES', '  Predictions: ' || t.n, '  Vulnerable: ' || t.v, '  High-confidence vulnerable: ' || t.hc, t.t) END,
+      '', repeat('=', 80), '⚖️ FINAL DECISION: ' || final_decision, repeat('=', 80), CASE final_decision {" ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in review.VERDICTS.items())} ELSE {quoted(review.REFUSED)} END,
+      CASE WHEN len(recs) > 0 THEN chr(10) || '💡 RECOMMENDATIONS:' || chr(10) || array_to_string(list_transform(recs, lambda x, i: '  ' || i || '. ' || x), chr(10)) END) AS report
+    FROM whole w LEFT JOIN told t USING (file_id)""",
+)
+def review_text(spark, d):
+    return review.review_texts(review.whole_reviews(corpus.files(spark, d), details=True))
+
+
 def _failed_sql() -> str:
     """The rows of whole reviews, with components that broke off on some files."""
     bad = "bad AS (SELECT DISTINCT user_id AS file_id, user_id % 5 = 1 AS no_style, user_id % 7 = 2 AS no_scan, user_id % 9 = 4 AS no_model FROM events)"

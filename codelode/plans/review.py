@@ -68,7 +68,7 @@ def flow_patterns(files: DataFrame, issues: DataFrame, found: DataFrame) -> Data
     return every.withColumn("rank", F.row_number().over(W.partitionBy("file_id").orderBy("place"))).filter("rank <= 2").select("file_id", "rank", "source", "sink", "sanitization")
 
 
-def whole_reviews(files: DataFrame, predict=None, issues: DataFrame | None = None, runs: DataFrame | None = None, components: tuple[str, ...] = ("style", "security"), failures: DataFrame | None = None, watch=lambda name, df: df) -> DataFrame:
+def whole_reviews(files: DataFrame, predict=None, issues: DataFrame | None = None, runs: DataFrame | None = None, components: tuple[str, ...] = ("style", "security"), failures: DataFrame | None = None, watch=lambda name, df: df, details: bool = False) -> DataFrame:
     """One row for each of files (file_id, filename, code): gate, scores, decision and recommendations.
 
     A file whose language is unsure or not supported is rejected with score 0 and goes no further. A component that is
@@ -76,7 +76,8 @@ def whole_reviews(files: DataFrame, predict=None, issues: DataFrame | None = Non
     rows with source, sink and sanitization (flows.rule_predictions, or a fitted classifier). issues: see flow_patterns.
     failures: file_id, component (style, security, graph or model) of components that broke off on a file; their status is
     ERROR. Style then counts as 0, security as 50 without findings, the graph gives no issues and the model no predictions.
-    watch sees the rows of each stage (observed.Stages).
+    watch sees the rows of each stage (observed.Stages). details adds what a report of the review tells besides: style_passed,
+    vulnerable, confident, and predictions (rank, source, sink, vulnerable, confidence; two at most).
     """
     gate = kept(watch("language_detection", detect.gated(files).select("file_id", "filename", "code", "language", "confidence", "status", "reason")))
     passed = gate.filter("status = 'SUPPORTED'")
@@ -98,9 +99,9 @@ def whole_reviews(files: DataFrame, predict=None, issues: DataFrame | None = Non
         df = df.withColumns({"security_score": F.lit(100), "risk_level": F.lit("UNKNOWN"), "findings": F.lit(0).cast("bigint"), "grave": F.lit(0).cast("bigint")})
         found = found.limit(0)
     if "style" in components:
-        df = df.join(watch("style_analysis", lint.lint_results(lines, runs).select("file_id", F.col("score").alias("style_score"))), "file_id")
+        df = df.join(watch("style_analysis", lint.lint_results(lines, runs).select("file_id", F.col("score").alias("style_score"), F.col("passed").alias("style_passed"))), "file_id")
     else:
-        df = df.withColumn("style_score", F.lit(MISSING_SCORE))
+        df = df.withColumns({"style_score": F.lit(MISSING_SCORE), "style_passed": F.lit(True)})
     no_issues = files.sparkSession.createDataFrame([], "file_id bigint, id bigint, used array<string>, defined array<string>, tainted boolean")
     known = issues if issues is not None else no_issues
     if broke is not None:
@@ -109,7 +110,7 @@ def whole_reviews(files: DataFrame, predict=None, issues: DataFrame | None = Non
     asked = (predict or flows.rule_predictions)(flow_patterns(passed, known.join(passed.select("file_id"), "file_id", "left_semi"), found))
     if broke is not None:
         asked = asked.join(lost("model"), "file_id", "left_anti")
-    sums = watch("vulnerability_prediction", asked).groupBy("file_id").agg(F.count_if("vulnerable").alias("vulnerable"), F.count_if(F.col("vulnerable") & (F.col("confidence") >= 0.85)).alias("confident"))
+    sums = watch("vulnerability_prediction", asked).groupBy("file_id").agg(F.count_if("vulnerable").alias("vulnerable"), F.count_if(F.col("vulnerable") & (F.col("confidence") >= 0.85)).alias("confident"), F.array_sort(F.collect_list(F.struct("rank", "source", "sink", "vulnerable", "confidence"))).alias("predictions"))
     df = df.join(sums, "file_id", "left").na.fill(0, ["vulnerable", "confident"])
     no_style = no_scan = F.lit(False)
     if broke is not None:
@@ -122,7 +123,8 @@ def whole_reviews(files: DataFrame, predict=None, issues: DataFrame | None = Non
     said = ladders.recommendations() if broke is None else ladders.recommendations(style="_style", scanner_failed=no_scan)
     overall = ladders.overall_score(F.col("style_score"), F.col("security_score"))
     decision = ladders.final_decision(F.col("security_score"), F.col("risk_level"), F.col("vulnerable"), F.col("confident"))
-    df = df.select("file_id", "style_score", "security_score", "risk_level", "findings", overall.alias("overall_score"), ladders.overall_status(overall).alias("overall_status"), decision.alias("final_decision"), said.alias("recommendations"), no_style.alias("style_broke"), no_scan.alias("security_broke"))
+    extra = {"style_passed": (F.col("style_passed") & ~no_style).alias("style_passed"), **{c: F.col(c) for c in ("vulnerable", "confident", "predictions")}} if details else {}
+    df = df.select("file_id", "style_score", "security_score", "risk_level", "findings", overall.alias("overall_score"), ladders.overall_status(overall).alias("overall_status"), decision.alias("final_decision"), said.alias("recommendations"), no_style.alias("style_broke"), no_scan.alias("security_broke"), *extra.values())
     percent = F.concat(ladders.printed(F.col("confidence") * 100, 1), F.lit("%"))
     reason = F.when(F.col("reason") == "Low confidence", F.concat(F.lit("Low confidence detection ("), percent, F.lit(" < 70%)"))).otherwise(F.concat(F.lit("Unsupported language: "), F.coalesce("language", F.lit("unknown"))))
     out = gate.select("file_id", "filename", F.coalesce("language", F.lit("unknown")).alias("language"), "confidence", "status", reason.alias("why")).join(df, "file_id", "left")
@@ -134,10 +136,55 @@ def whole_reviews(files: DataFrame, predict=None, issues: DataFrame | None = Non
         F.coalesce("risk_level", F.lit("UNKNOWN")).alias("risk_level"), F.coalesce("findings", F.lit(0)).alias("findings"),
         F.when(stopped, F.lit("UNSUPPORTED_LANGUAGE")).otherwise(F.col("overall_status")).alias("overall_status"),
         F.when(stopped, F.lit("REJECT")).otherwise(F.col("final_decision")).alias("final_decision"),
-        F.when(stopped, F.array(F.concat(F.lit("Language detection failed: "), "why"))).otherwise(F.col("recommendations")).alias("recommendations"),
+        F.when(stopped, F.array(F.concat(F.lit("Language detection failed: "), "why"))).otherwise(F.col("recommendations")).alias("recommendations"), *extra,
     )
 
 
+#: Headings and closing words of a review's report.
+WIDE = "=" * 80
+VERDICTS = {"APPROVE": "✅ Code is SAFE to merge", "REVIEW_REQUIRED": "⚠️ Code requires SECURITY REVIEW before merging", "REVIEW_RECOMMENDED": "⚠️ Code review recommended"}
+REFUSED = "❌ Code is NOT SAFE - REJECT pull request"
+
+
+def review_texts(reviews: DataFrame, graphs: DataFrame | None = None, model_status: str = "RULES") -> DataFrame:
+    """file_id and the report of each review (whole_reviews with details).
+
+    graphs: file_id, nodes, edges, issues (graph.graph_stats); zeros where there is none. A file that the gate has stopped has
+    neither graph nor predictions.
+    """
+    df = reviews
+    if graphs is not None:
+        df = df.join(graphs.select("file_id", "nodes", "edges", F.col("issues").alias("graph_issues")), "file_id", "left")
+    for c in ("nodes", "edges", "graph_issues"):
+        df = df.withColumn(c, F.coalesce(c, F.lit(0)) if c in df.columns else F.lit(0))
+    stopped = F.col("overall_status") == "UNSUPPORTED_LANGUAGE"
+    number = lambda i: (i + 1).cast("string")
+
+    def prediction(p: Column, i: Column) -> Column:
+        parts = [
+            ("    ", number(i), ". Source: ", p["source"]), ("       Sink: ", p["sink"]), ("       Prediction: ", F.when(p["vulnerable"], "VULNERABLE").otherwise("SAFE")),
+            ("       Confidence: ", ladders.printed(p["confidence"] * 100, 1), "%"), ("       High-confidence: ", F.when(p["confidence"] >= 0.85, "✅").otherwise("❌")),
+        ]
+        return F.concat_ws("\n", *[F.concat(*[F.lit(x) if isinstance(x, str) else x for x in line]) for line in parts])
+
+    verdict = F.lit(REFUSED)
+    for decision, text in VERDICTS.items():
+        verdict = F.when(F.col("final_decision") == decision, text).otherwise(verdict)
+    said = F.transform("recommendations", lambda r, i: F.concat(F.lit("  "), number(i), F.lit(". "), r))
+    blocks = [
+        F.lit(f"{WIDE}\n📋 FINAL ANALYSIS REPORT\n{WIDE}"),
+        F.format_string("\n🔤 Language: %s\n📁 File: %s", "language", "filename"),
+        F.format_string("\n📋 STYLE ANALYSIS:\n  Score: %d/100\n  Status: %s", "style_score", F.when(F.coalesce("style_passed", F.lit(False)), "✅ PASSED").otherwise("❌ FAILED")),
+        F.format_string("\n🔒 SECURITY ANALYSIS:\n  Score: %d/100\n  Risk Level: %s\n  Findings: %d", "security_score", "risk_level", "findings"),
+        F.when(~stopped, F.format_string("\n🏗️ AUG-PDG ANALYSIS:\n  PDG Nodes: %d\n  PDG Edges: %d\n  Vulnerabilities: %d", "nodes", "edges", "graph_issues")),
+        F.when(~stopped, F.format_string(f"\n🤖 VULNERABILITY MODEL:\n  Status: {model_status}\n  Predictions: %d\n  Vulnerable: %d\n  High-confidence vulnerable: %d", F.size("predictions"), "vulnerable", "confident")),
+        F.when(F.size("predictions") > 0, F.array_join(F.transform("predictions", prediction), "\n")),
+        F.format_string(f"\n{WIDE}\n⚖️ FINAL DECISION: %s\n{WIDE}", "final_decision"), verdict,
+        F.when(F.size("recommendations") > 0, F.concat(F.lit("\n💡 RECOMMENDATIONS:\n"), F.array_join(said, "\n"))),
+    ]
+    return df.select("file_id", F.concat_ws("\n", *blocks).alias("report"))
+
+
 def full_reviews(files: DataFrame, predict=None, runs: DataFrame | None = None) -> DataFrame:
     """whole_reviews with the graph's own issues: files that pass the gate are parsed and searched for taint first."""
     passed = detect.gated(files).filter("status = 'SUPPORTED'").select("file_id", "language", "code")
