@@ -445,6 +445,17 @@ _ISSUES_SQL = f"""{_TAINT_SQL}, names AS (SELECT DISTINCT r.file_id, r.var FROM
       AND NOT EXISTS (SELECT 1 FROM data d JOIN marked c ON c.file_id = d.file_id AND c.id = d.src WHERE d.file_id = n.file_id AND d.dst = n.id AND c.clean))"""
 
 
+_INTENT_SQL = f"""{NODES_SQL}, up AS (SELECT file_id, id AS ancestor, id FROM nodes UNION ALL SELECT u.file_id, n.parent_id, u.id FROM up u JOIN nodes n ON n.file_id = u.file_id AND n.id = u.ancestor WHERE n.parent_id IS NOT NULL),
+  read AS (SELECT file_id, id, node_type FROM nodes WHERE {_any_of(dims.TAINT_SOURCES, "contains(code, %s)")}),
+  near AS (SELECT r.file_id, max(u.ancestor) AS id FROM read r JOIN up u ON u.file_id = r.file_id AND u.id = r.id JOIN nodes a ON a.file_id = u.file_id AND a.id = u.ancestor AND a.node_type IN ('ASSIGNMENT', 'VARIABLE') GROUP BY r.file_id, r.id
+    UNION ALL SELECT file_id, id FROM read WHERE node_type = 'CALL')"""
+
+
+@query("taint_seed_intent", f"WITH RECURSIVE {_INTENT_SQL} SELECT DISTINCT n.file_id, n.id FROM near n JOIN refs r ON r.file_id = n.file_id AND r.id = n.id AND r.kind = 'def'")
+def taint_seed_intent(spark, d):
+    return graph.taint_seeds(corpus.nodes(spark, d), corpus.var_refs(spark, d), intent=True)
+
+
 @query("taint_closure", f"WITH RECURSIVE {_TAINT_SQL} SELECT file_id, id FROM t")
 def taint_closure(spark, d):
     n, r = corpus.nodes(spark, d), corpus.var_refs(spark, d)

@@ -166,8 +166,14 @@ def _by_language(made: dict[str, Column], otherwise: Column) -> Column:
     return out.otherwise(otherwise)
 
 
-def is_source() -> Column:
-    """Whether a node's code matches a taint source of its language (the sources are used as expressions, in any case)."""
+def is_source(literal: bool = False) -> Column:
+    """Whether a node's code matches a taint source of its language (the sources are used as expressions, in any case).
+
+    With literal they are taken as they are written, so `$_GET` is found, and only in that case of its letters.
+    """
+    if literal:
+        held = lambda words: reduce(lambda a, b: a | b, [F.contains(F.col("code"), F.lit(w)) for w in words])
+        return _by_language({x: held(words) for x, words in dims.TAINT_SOURCES.items()}, F.lit(False))
     return _by_language({x: F.col("code").rlike("(?di)" + "|".join(f"(?:{p})" for p in ps)) for x, ps in dims.TAINT_SOURCES.items()}, F.lit(False))
 
 
@@ -183,8 +189,17 @@ def sink_types() -> Column:
     return F.array_compact(F.array(*hits))
 
 
-def taint_seeds(nodes: DataFrame, refs: DataFrame) -> DataFrame:
-    """file_id, id of calls that read from a source and define a variable."""
+def taint_seeds(nodes: DataFrame, refs: DataFrame, intent: bool = False) -> DataFrame:
+    """file_id, id of calls that read from a source and define a variable.
+
+    With intent: of assignments and declarations that read from a source in any node of theirs (the source as it is written) and define a
+    variable, and of such calls; a call by itself hardly ever defines one.
+    """
+    if intent:
+        at = intervals.nearest(nodes, F.col("node_type").isin("ASSIGNMENT", "VARIABLE"), "_assigned").filter(is_source(literal=True))
+        own = at.filter("node_type = 'CALL'").select("file_id", "id")
+        sources = at.filter("_assigned is not null").select("file_id", F.col("_assigned").alias("id")).unionByName(own)
+        return refs.filter("kind = 'def'").join(sources, ["file_id", "id"], "left_semi").select("file_id", "id").distinct()
     sources = nodes.filter((F.col("node_type") == "CALL") & is_source()).select("file_id", "id")
     return refs.filter("kind = 'def'").join(sources, ["file_id", "id"], "left_semi").select("file_id", "id").distinct()
 
@@ -231,10 +246,10 @@ def taint_sinks(nodes: DataFrame, refs: DataFrame, tainted: DataFrame, data: Dat
     return rows.join(last, ["file_id", "id"]).select("file_id", "id", "line", F.substring("code", 1, 60).alias("code"), F.col("vulnerability").alias("type"), F.col("variables_defined").alias("defined"), F.col("variables_used").alias("used"))
 
 
-def taint_issues(nodes: DataFrame, refs: DataFrame) -> DataFrame:
-    """The whole analysis of taint: seeds, closure, sinks; every issue involves tainted input."""
+def taint_issues(nodes: DataFrame, refs: DataFrame, intent: bool = False) -> DataFrame:
+    """The whole analysis of taint: seeds (intent: see taint_seeds), closure, sinks; every issue involves tainted input."""
     data = kept(data_edges(nodes, refs))
-    tainted = taint_closure(taint_seeds(nodes, refs), data, nodes, refs)
+    tainted = taint_closure(taint_seeds(nodes, refs, intent), data, nodes, refs)
     return taint_sinks(nodes, refs, tainted, data).withColumn("tainted", F.lit(True))
 
 

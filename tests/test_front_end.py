@@ -99,6 +99,14 @@ def test_taint_over_code(spark):
     assert [(r["line"], r["code"], r["type"], r["used"], r["tainted"]) for r in issues] == [(5, "os.system(y)", "command_injection", ["y"], True)]
 
 
+def test_intended_seeds_over_parsed_code(spark):
+    """What is assigned from a source is tainted by intent; as coded a call that defines nothing seeds nothing."""
+    files = [(1, "python", "import os\nname = input()\nos.system(name)\n"), (2, "php", "<?php\n$x = $_GET['a'];\necho $x;\n?>"), (3, "javascript", "let a = req.query.id;\ndocument.write(a);\n"), (4, "python", "name = 1\nos.system(name)\n")]
+    nodes, refs = parser.code_graph(spark.createDataFrame(files, "file_id long, language string, code string"))
+    assert graph.taint_issues(nodes, refs).count() == 0
+    assert {(r["file_id"], r["type"]) for r in graph.taint_issues(nodes, refs, intent=True).collect()} == {(1, "command_injection"), (2, "xss"), (3, "xss")}
+
+
 def test_full_reviews(spark):
     files = readers.samples(spark).withColumn("file_id", F.monotonically_increasing_id())
     rows = {r["filename"]: r for r in review.full_reviews(files).collect()}
