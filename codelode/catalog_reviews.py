@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import DETECT_SQL, LINT_SQL, REVIEW_SQL, SCORES_SQL, _found, _reviews, _sql_ladder, _table, ORACLE_SQL, query
+from .catalog import DETECT_SQL, LINT_SQL, REVIEW_SQL, SCORES_SQL, _found, _sql_ladder, _table, ORACLE_SQL, query
 from .catalog_tools import ALL_ITEMS_SQL
 from .functions import dims, ladders
 from .operators import detect, flows, snapshots, training
