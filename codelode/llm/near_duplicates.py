@@ -54,6 +54,8 @@ class NearParams:
     block: int = 256
     #: Shingles of a block of a cluster.
     block_shingles: int = 400_000
+    #: Entries (two longs each) of a key that a task takes easily; keys with fewer are dealt out by their value.
+    hot_entries: int = 100_000
     #: Rows (two longs each) up to which the clusters' membership is broadcast.
     broadcast_rows: int = 1_000_000
 
@@ -257,7 +259,7 @@ def hamming_stars(reps: DataFrame, params: NearParams) -> DataFrame:
     entries = sketched.mapInArrow(keys, "grp bigint, doc bigint")
     # a key with two in HOT of all entries has one in HOT of them in the runs where it is frequent; at most HOT keys have that
     total = sketched.count() * VALUES
-    hot = materialized(sketched.mapInArrow(frequent, "grp bigint, n bigint").groupBy("grp").agg(F.sum("n").alias("n")).filter(F.col("n") * HOT >= total).select("grp"))
+    hot = materialized(sketched.mapInArrow(frequent, "grp bigint, n bigint").groupBy("grp").agg(F.sum("n").alias("n")).filter((F.col("n") * HOT >= total) & (F.col("n") >= params.hot_entries)).select("grp"))
     blocks = F.ceil(F.count("*") / F.lit(params.block)).cast("int")
     sums = [F.count("*").alias("n"), blocks.alias("blocks"), F.min("doc").alias("pivot")]
     rest = entries
