@@ -240,14 +240,18 @@ def taint_sinks(nodes: DataFrame, refs: DataFrame, tainted: DataFrame, data: Dat
     scanned = marked.filter(F.col("node_type").isin(SCANNED) & long_enough & ~F.col("clean") & (F.size("types") > 0))
     using = refs.filter("kind = 'use'").join(names, ["file_id", "var"], "left_semi").select("file_id", "id").distinct()
     after = data.join(clean, ["file_id", "src"], "left_semi").select("file_id", F.col("dst").alias("id"))
-    found = scanned.join(using, ["file_id", "id"], "left_semi").join(after, ["file_id", "id"], "left_anti")
-    rows = node_records(found, refs)
+    found = kept(scanned.join(using, ["file_id", "id"], "left_semi").join(after, ["file_id", "id"], "left_anti"))
+    rows = node_records(found, refs.join(found.select("file_id", "id"), ["file_id", "id"], "left_semi"))
     last = found.select("file_id", "id", F.element_at("types", -1).alias("vulnerability"))
     return rows.join(last, ["file_id", "id"]).select("file_id", "id", "line", F.substring("code", 1, 60).alias("code"), F.col("vulnerability").alias("type"), F.col("variables_defined").alias("defined"), F.col("variables_used").alias("used"))
 
 
 def taint_issues(nodes: DataFrame, refs: DataFrame, intent: bool = False) -> DataFrame:
-    """The whole analysis of taint: seeds (intent: see taint_seeds), closure, sinks; every issue involves tainted input."""
+    """The whole analysis of taint: seeds (intent: see taint_seeds), closure, sinks; every issue involves tainted input.
+
+    Each step reads both tables, so they are made and written once.
+    """
+    nodes, refs = kept(nodes), kept(refs)
     data = kept(data_edges(nodes, refs))
     tainted = taint_closure(taint_seeds(nodes, refs, intent), data, nodes, refs)
     return taint_sinks(nodes, refs, tainted, data).withColumn("tainted", F.lit(True))

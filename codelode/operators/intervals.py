@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_BITS = 40
-
 
 def nearest(nodes: DataFrame, kind: Column, name: str) -> DataFrame:
     """Adds name: the id of the nearest node of that kind that a node is in, itself included, or null.
@@ -40,14 +38,13 @@ def _least_depth(nodes: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFr
     block = F.floor(F.col("id") / F.pow(F.lit(2), "_k")).cast("bigint")
     least = sized.groupBy("file_id", "_k", block.alias("_block")).agg(F.min("depth").alias("_least"))
 
-    def parts(k: Column) -> Column:
-        size = F.pow(F.lit(2), k)
-        low, high = F.ceil(F.col("lo") / size).cast("bigint"), F.floor((F.col("hi") + 1) / size).cast("bigint")
-        take = lambda c, b: F.when((low < high) & (c % 2 == 1), F.struct(k.alias("k"), b.alias("b")))
-        return F.array(take(low, low), take(high, high - 1))
-
-    every = F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_BITS)), parts)))
-    split = ranges.select("file_id", *keys, F.explode(every).alias("_p")).select("file_id", *keys, F.col("_p.k").alias("_k"), F.col("_p.b").alias("_block"))
+    # a range of n ids holds no block of more than n
+    most = F.length(F.bin(F.col("hi") - F.col("lo") + 1)) - 1
+    each = ranges.select("file_id", *keys, "lo", "hi", F.explode(F.sequence(F.lit(0), most)).alias("_k"))
+    # the first block that begins at lo or later, and the one that is not over at hi
+    each = each.select("file_id", *keys, "_k", F.expr("shiftright(lo + shiftleft(1L, _k) - 1, _k)").alias("_low"), F.expr("shiftright(hi + 1, _k)").alias("_high")).filter("_low < _high")
+    blocks = F.array(F.when(F.col("_low") % 2 == 1, F.col("_low")), F.when(F.col("_high") % 2 == 1, F.col("_high") - 1))
+    split = each.select("file_id", *keys, "_k", F.explode(blocks).alias("_block")).filter("_block is not null")
     return split.join(least, ["file_id", "_k", "_block"]).groupBy("file_id", *keys).agg(F.min("_least").alias("least"))
 
 
